@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pagewright.llm.mixing import op5_pivotal_mix
 from pagewright.llm.packing import op9_best_fit
+from pagewright.llm.quality_rules import op3_line_frequency
 from pagewright.llm.token_blocks import op2_token_blocks
 
 QUERIES = {
     "op2_token_blocks": op2_token_blocks,
+    "op3_line_frequency": op3_line_frequency,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op9_best_fit": op9_best_fit,
 }
