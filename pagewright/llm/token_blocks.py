@@ -230,7 +230,7 @@ def write_token_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 0
                     store.create_dir(folder, recursive=True)
                     stream = store.open_output_stream(held)
                     writer = BlockWriter(stream)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     writer.add(doc_id, ids + end)
         if writer is not None:
             n_docs, n_tokens = writer.close()
