@@ -198,3 +198,29 @@ def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
     mixed = mix(items)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none, once or up to three times.
+
+    Rows alike in id and content are numbered, so that each gets the copies of one item.
+    """
+    names = docs.columns
+    same = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("source", "text").alias("h")]
+    ids = docs.select(*same, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    # Items of one content are alike; only how many copies they take together matters.
+    counted = ids.groupBy("doc_id", "h").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("rows"))
+    items = counted.select("doc_id", "h", "source", "size", F.posexplode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth", "x")).select("doc_id", "source", "size", F.xxhash64("doc_id", "h", F.when(F.col("nth") > 0, F.col("nth"))).alias("key"), F.col("h"))
+    mixed = mix(items.select("doc_id", "source", "size", "key"))
+    taken = materialise(items.select("key", "h", "doc_id").withColumnRenamed("key", "k").join(mixed.select("key", "copies"), F.col("k") == F.col("key")).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("copies").alias("__c")), "taken")
+    keyed = docs.withColumns({"__e": F.col("doc_id").cast("long"), "__i": F.xxhash64("source", "text")})
+    several = taken.where(F.size("__c") > 1).limit(1).count() > 0
+    if several:
+        from pyspark.sql import Window
+
+        keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__e", "__i").orderBy(F.lit(1))))
+    else:
+        keyed = keyed.withColumn("__n", F.lit(1))
+    joined = keyed.join(taken, F.col("__e").eqNullSafe(F.col("__d")) & (F.col("__i") == F.col("__h")))
+    times = F.get(F.sort_array("__c"), F.col("__n") - 1)
+    return joined.withColumn("__t", times).where("__t > 0").withColumn("__x", F.explode(F.array_repeat(F.lit(0), F.col("__t").cast("int")))).select(*names)

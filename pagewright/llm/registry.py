@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pagewright.llm.mixing import op5_pivotal_mix
+from pagewright.llm.ngram_join import op1_ngram_join
 from pagewright.llm.packing import op9_best_fit
 from pagewright.llm.quality_rules import op3_line_frequency
+from pagewright.llm.secret_scan import op7_secret_spans
 from pagewright.llm.token_blocks import op2_token_blocks
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_blocks": op2_token_blocks,
     "op3_line_frequency": op3_line_frequency,
     "op5_pivotal_mix": op5_pivotal_mix,
+    "op7_secret_spans": op7_secret_spans,
     "op9_best_fit": op9_best_fit,
 }
 
