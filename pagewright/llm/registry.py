@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagewright.llm.anisotropic import op4_anisotropic_search
 from pagewright.llm.mixing import op5_pivotal_mix
 from pagewright.llm.ngram_join import op1_ngram_join
 from pagewright.llm.packing import op9_best_fit
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_blocks": op2_token_blocks,
     "op3_line_frequency": op3_line_frequency,
+    "op4_anisotropic_search": op4_anisotropic_search,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op7_secret_spans": op7_secret_spans,
     "op9_best_fit": op9_best_fit,
