@@ -4,7 +4,9 @@ Vectors are put into cells (k-means) and what is left of them after their cell's
 subspaces of 16 codewords, four bits each. Codewords and codes minimise an anisotropic loss that penalises the part
 of a vector's residual error along the vector ``eta`` times as much as the rest, for it moves the inner products
 with the queries that matter. A query visits the cells whose centres are nearest, adds up entries of its lookup
-tables by the codes, and reranks the best by exact inner products in double precision.
+tables by the codes, and reranks the best by exact inner products in double precision: at least ``keep`` of a block,
+and all that come within the codes' usual error of its k-th best, so that many rows that are nearly alike are told
+apart by their vectors.
 
 The index is fitted on a sample of about ``sample_rows`` vectors (by hash of the id), and so is the number of cells
 a query visits: the fewest that hold ``cell_recall`` of the sample's exact neighbours. Every row is indexed. Cells
@@ -130,6 +132,13 @@ class Index:
         codes = self._codes(*self._split(x, own))
         return own, (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
+    def decode(self, own, packed):
+        """The vectors that cells and codes stand for."""
+        import numpy as np
+
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)
+        return self.centres[own] + self.words[np.arange(len(self.words)), codes].reshape(len(packed), -1)[:, : self.dim]
+
     def tables(self, q):
         """For each query and byte of codes, the inner products with the 256 pairs of codewords."""
         import numpy as np
@@ -150,7 +159,7 @@ def _valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (usual["n"] if usual else 0))
 
 
-def fit(vectors: DataFrame, total: int, k: int, sample_rows: int = 12_000, cell_recall: float = 0.985, threshold: float = 0.2) -> Index:
+def fit(vectors: DataFrame, total: int, k: int, sample_rows: int = 12_000, cell_recall: float = 0.99, threshold: float = 0.2) -> Index:
     """Fit an index on a hash sample; sets ``visits``, the number of cells that a query visits."""
     import numpy as np
 
@@ -158,7 +167,9 @@ def fit(vectors: DataFrame, total: int, k: int, sample_rows: int = 12_000, cell_
     chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).orderBy("id").toPandas()
     if not len(chosen):
         chosen = vectors.orderBy("id").limit(min(total, sample_rows)).toPandas()
-    x = np.stack(chosen["vec"].to_numpy()).astype(np.float64)
+    # Copies would make a few directions count for more than all others.
+    x = np.unique(np.stack(chosen["vec"].to_numpy()).astype(np.float64), axis=0)
+    x = x[np.random.default_rng(3).permutation(len(x))]
     d = x.shape[1]
     # Parallel errors count more by (d - 1) t**2 / (1 - t**2) for queries whose score is at least t of the largest.
     index = Index(x, max(1, min(1024, round(math.sqrt(total) / 3))), max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
@@ -167,6 +178,10 @@ def fit(vectors: DataFrame, total: int, k: int, sample_rows: int = 12_000, cell_
     scores = q @ x.T
     best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k + 1, len(x))]
     rank = np.argsort(np.argsort(-(q @ index.centres.T), axis=1, kind="stable"), axis=1)
+    # By how much codes mistake the scores of neighbours, for a query of length 1.
+    gap = x - index.decode(*index.encode(x))
+    error = np.einsum("qkd,qd->qk", gap[best], q) / np.linalg.norm(q, axis=1, keepdims=True)
+    index.margin = 2.5 * float(np.sqrt((error**2).mean()))
     needed = np.sort(np.take_along_axis(rank, cells[best], 1).ravel())
     index.visits = int(needed[min(len(needed) - 1, math.ceil(cell_recall * len(needed)) - 1)]) + 1
     return index
@@ -242,12 +257,13 @@ def search(df: DataFrame, k: int = 20, every: int = 20, keep: int = 96, block_ro
                 for i, name in enumerate(names[at : at + 128]):
                     row = scores[i]
                     if len(ids) > keep:
-                        least = np.partition(row, len(row) - keep)[len(row) - keep]
+                        top = np.partition(row, (len(row) - keep, len(row) - k))
+                        least = min(top[len(row) - keep], top[len(row) - k] - ix.margin * np.linalg.norm(q[i]))
                         near = np.flatnonzero(row >= least)
                     else:
                         near = np.arange(len(ids))
                     near = near[ids[near] != name]
-                    exact = x[near] @ q[i]
+                    exact = (x[near] * q[i]).sum(axis=1)  # unlike a matrix product, the same for copies wherever they stand
                     order = np.lexsort((ids[near], -exact))[:k]
                     found += zip([name] * len(order), ids[near][order].tolist(), exact[order].tolist())
         cols = list(zip(*found)) if found else [[], [], []]
