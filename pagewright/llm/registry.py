@@ -9,6 +9,7 @@ from pagewright.llm.packing import op9_best_fit
 from pagewright.llm.quality_rules import op3_line_frequency
 from pagewright.llm.reply_trees import op10_reply_trees
 from pagewright.llm.secret_scan import op7_secret_spans
+from pagewright.llm.suffix_tree import op6_suffix_tree
 from pagewright.llm.token_blocks import op2_token_blocks
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_line_frequency": op3_line_frequency,
     "op4_anisotropic_search": op4_anisotropic_search,
     "op5_pivotal_mix": op5_pivotal_mix,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_secret_spans": op7_secret_spans,
     "op9_best_fit": op9_best_fit,
     "op10_reply_trees": op10_reply_trees,
