@@ -6,6 +6,7 @@ from pagewright.llm.anisotropic import op4_anisotropic_search
 from pagewright.llm.mixing import op5_pivotal_mix
 from pagewright.llm.ngram_join import op1_ngram_join
 from pagewright.llm.packing import op9_best_fit
+from pagewright.llm.quality_classifier import op8_random_indexing
 from pagewright.llm.quality_rules import op3_line_frequency
 from pagewright.llm.reply_trees import op10_reply_trees
 from pagewright.llm.secret_scan import op7_secret_spans
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_pivotal_mix": op5_pivotal_mix,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_secret_spans": op7_secret_spans,
+    "op8_random_indexing": op8_random_indexing,
     "op9_best_fit": op9_best_fit,
     "op10_reply_trees": op10_reply_trees,
 }
