@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pagewright.plans import text_queries  # noqa: F401
+from pagewright.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "txt_structure"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
