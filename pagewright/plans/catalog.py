@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.plans import geometry_queries, page_queries, table_queries, text_queries  # noqa: F401
+from pagewright.plans import geometry_queries, html_queries, lexicon_queries, page_queries, structure, table_queries, text_queries  # noqa: F401
 from pagewright.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "txt_structure"
