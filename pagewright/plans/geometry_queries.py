@@ -37,12 +37,12 @@ _ROW = f"(SELECT *, sum(nr) OVER (PARTITION BY doc_id ORDER BY band, x1, seq ROW
 
 
 def _rows(*cols):
-    return lambda spark, sf_dir: g.visual_rows(_lines(spark, sf_dir), ["doc_id"]).select("doc_id", "seq", *cols)
+    return lambda spark, sf_dir: g.visual_rows(_lines(spark, sf_dir), ["doc_id"]).selectExpr("doc_id", "seq", *cols)
 
 
 query("geo_bands", f"SELECT doc_id, seq, band::BIGINT AS band FROM {_BAND}")(_rows("band"))
-query("geo_clusters", f"SELECT doc_id, seq, band::BIGINT AS cluster FROM {_BAND}")(_rows(F.col("band").alias("cluster")))
-query("geo_columns", f"SELECT doc_id, seq, row_::BIGINT AS n FROM {_ROW}")(_rows(F.col("row").alias("n")))
+query("geo_clusters", f"SELECT doc_id, seq, band::BIGINT AS cluster FROM {_BAND}")(_rows("band AS cluster"))
+query("geo_columns", f"SELECT doc_id, seq, row_::BIGINT AS n FROM {_ROW}")(_rows("`row` AS n"))
 query("geo_rows", f"SELECT doc_id, seq, place FROM {_ROW}")(_rows("place"))
 
 _END, _START = g.SENTENCE_END.replace("'", "''"), g.BLOCK_START.replace("'", "''")

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from pagewright.operators import chapters as c
-from pagewright.plans.registry import query, table
+from pagewright.plans.registry import batch_udf, query, table
 
 
 def _books(spark, sf_dir):
@@ -40,7 +39,7 @@ query("srch_replace_pattern", "SELECT doc_id, '<p class=\"en\">' || regexp_repla
 query("srch_highlight", "SELECT doc_id, '<p>' || replace(text, 'e.', '<mark>e.</mark>') || '</p>' AS html FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", c.highlight(F.concat(F.lit("<p>"), "text", F.lit("</p>")), "e.").alias("html")))
 
 
-@arrow_udf("array<string>")
+@batch_udf("array<string>")
 def _parts(v):
     import pyarrow as pa
 

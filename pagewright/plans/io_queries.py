@@ -15,13 +15,17 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
-_content = F.encode(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("%PDF-1.7 ")).otherwise(F.lit("x")), "text"), "UTF-8")
-query("src_pdf_sniff", "SELECT doc_id, doc_id % 2 = 0 AS pdf FROM documents")(lambda s, d: _docs(s, d).select("doc_id", files.is_pdf(_content).alias("pdf")))
-query("src_pdf_sha256", "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN '%PDF-1.7 ' ELSE 'x' END || text) AS sha FROM documents")(lambda s, d: _docs(s, d).select("doc_id", files.sha256(_content).alias("sha")))
+def _content():
+    return F.encode(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("%PDF-1.7 ")).otherwise(F.lit("x")), "text"), "UTF-8")
+
+
+query("src_pdf_sniff", "SELECT doc_id, doc_id % 2 = 0 AS pdf FROM documents")(lambda s, d: _docs(s, d).select("doc_id", files.is_pdf(_content()).alias("pdf")))
+query("src_pdf_sha256", "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN '%PDF-1.7 ' ELSE 'x' END || text) AS sha FROM documents")(lambda s, d: _docs(s, d).select("doc_id", files.sha256(_content()).alias("sha")))
 _HEADS = [PNG, "FFD8FFE0", "474946383961", "524946460000000057454250", "424D00", "00"]
 query("src_image_mime", "SELECT doc_id, ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/bmp', 'image/jpeg'][doc_id % 6 + 1] AS mime FROM documents")(lambda s, d: _docs(s, d).select("doc_id", files.image_mime(F.unhex(F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (F.col("doc_id") % 6 + 1).cast("int")))).alias("mime")))
-_png = F.unhex(F.concat(F.lit(PNG), F.lpad(F.hex(F.col("doc_id") + 1), 8, "0"), F.lpad(F.hex(F.col("n_chars")), 8, "0")))
-query("src_image_dims", "SELECT doc_id, (doc_id + 1)::INT AS width, n_chars::INT AS height FROM documents")(lambda s, d: _docs(s, d).select("doc_id", files.png_size(_png).alias("p")).select("doc_id", "p.width", "p.height"))
+def _png():
+    return F.unhex(F.concat(F.lit(PNG), F.lpad(F.hex(F.col("doc_id") + 1), 8, "0"), F.lpad(F.hex(F.col("n_chars")), 8, "0")))
+query("src_image_dims", "SELECT doc_id, (doc_id + 1)::INT AS width, n_chars::INT AS height FROM documents")(lambda s, d: _docs(s, d).select("doc_id", files.png_size(_png()).alias("p")).select("doc_id", "p.width", "p.height"))
 query("src_image_b64", "SELECT doc_id, base64(encode(text)) AS data FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.regexp_replace(files.as_base64(F.encode("text", "UTF-8")), "[\r\n]", "").alias("data")))
 
 
@@ -39,8 +43,8 @@ query("src_bench_sources", "SELECT source, count(*) AS pages FROM documents GROU
 
 _INFER = "SELECT doc_id AS img, CASE WHEN doc_id % 2 = 0 THEN (strlen(text) + 9)::VARCHAR END AS result, CASE WHEN doc_id % 2 = 1 THEN 'ValueError: not a page' END AS error FROM documents"
 for _n in ("src_ocr_llama", "src_ocr_vllm", "src_ocr_paddle"):
-    query(_n, _INFER)(lambda s, d: files.infer_pages(_docs(s, d).select(F.col("doc_id").alias("img"), F.col("doc_id").alias("page"), _content.alias("content")), files.fake_backend).drop("page"))
-query("st_as_completed", "SELECT count(*) AS total, count(*) FILTER (doc_id % 2 = 1) AS failed FROM documents")(lambda s, d: files.infer_pages(_docs(s, d).select(F.col("doc_id").alias("img"), F.col("doc_id").alias("page"), _content.alias("content")), files.fake_backend).agg(F.count("*").alias("total"), F.count_if(F.col("error").isNotNull()).alias("failed")))
+    query(_n, _INFER)(lambda s, d: files.infer_pages(_docs(s, d).select(F.col("doc_id").alias("img"), F.col("doc_id").alias("page"), _content().alias("content")), files.fake_backend).drop("page"))
+query("st_as_completed", "SELECT count(*) AS total, count(*) FILTER (doc_id % 2 = 1) AS failed FROM documents")(lambda s, d: files.infer_pages(_docs(s, d).select(F.col("doc_id").alias("img"), F.col("doc_id").alias("page"), _content().alias("content")), files.fake_backend).agg(F.count("*").alias("total"), F.count_if(F.col("error").isNotNull()).alias("failed")))
 
 
 def _books(s, d):

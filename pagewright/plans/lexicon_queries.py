@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from pagewright.operators import lexicon as x
-from pagewright.plans.registry import query, table
+from pagewright.plans.registry import batch_udf, query, table
 
 _WORDS = "SELECT w AS word, count(*) AS freq FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 6 GROUP BY w HAVING count(*) >= 20"
 
@@ -56,7 +55,7 @@ query("join_homophone", "SELECT DISTINCT left(c_name, 1) || (c_custkey % 4) AS c
 query("join_ctx_word", "SELECT doc_id, CASE WHEN lang = 'en' OR source = 'src1' THEN 0.15 ELSE 0.0 END AS boost FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", x.context_boost(F.substring("lang", 2, 9), F.left("lang", F.lit(1)), F.lit(""), {"en"}).alias("a"), x.context_boost(F.substring("source", 1, 3), F.lit(""), F.substring("source", 4, 9), {"src1"}).alias("b"), "source").select("doc_id", F.greatest("a", F.when(F.col("source") == "src1", F.col("b")).otherwise(0.0)).alias("boost")))
 
 
-@arrow_udf("array<struct<word:string,start:int,end:int>>")
+@batch_udf("array<struct<word:string,start:int,end:int>>")
 def _tokens(v):
     import pyarrow as pa
 
@@ -67,7 +66,7 @@ def _tokens(v):
 query("pr_tokenize", "SELECT doc_id, unnest(['中国人', '民', '人民']) AS word, unnest([length(lang), length(lang) + 3, length(lang) + 5])::INT AS start FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.explode(_tokens(F.concat("lang", F.lit("中国人民，人民"), "source"))).alias("t")).select("doc_id", "t.word", "t.start"))
 
 
-@arrow_udf("array<struct<start:int,end:int,wrong:string,candidates:array<string>>>")
+@batch_udf("array<struct<start:int,end:int,wrong:string,candidates:array<string>>>")
 def _diff(a, b):
     import pyarrow as pa
 

@@ -20,3 +20,17 @@ def query(name: str, sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def batch_udf(kind: str):
+    """An Arrow function that is made when a query uses it, for a type needs a session."""
+
+    def wrap(f):
+        def call(*cols):
+            from pyspark.sql.functions import arrow_udf
+
+            return arrow_udf(f, kind)(*cols)
+
+        return call
+
+    return wrap

@@ -14,11 +14,12 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
-_HTML = F.concat(F.lit("<p>"), F.col("lang"), F.lit(" one</p><p>two "), F.col("source"), F.lit("</p>"))
+def _html():
+    return F.concat(F.lit("<p>"), F.col("lang"), F.lit(" one</p><p>two "), F.col("source"), F.lit("</p>"))
 
 
 def _formatted(rules):
-    return lambda s, d: r.format_pages(_docs(s, d).select("doc_id", _HTML.alias("html")), "html", rules).select("doc_id", "formatted.html")
+    return lambda s, d: r.format_pages(_docs(s, d).select("doc_id", _html().alias("html")), "html", rules).select("doc_id", "formatted.html")
 
 
 def _rule(**c):
@@ -35,7 +36,7 @@ query("rule_match", _X.format("'<p>' || lang || ' <span class=\"ptoe-note\">o</s
 query("rule_pattern", _X.format("'<p>' || lang || ' <span class=\"ptoe-underline\">o</span>ne</p><p>tw<span class=\"ptoe-underline\">o</span> ' || source || '</p>'"))(_formatted(_rule(type="regex", pattern="o(?=ne| )", formats=["underline"])))
 query("rule_entry", _X.format("'<p style=\"text-indent:2em\">' || lang || ' one</p><p style=\"text-indent:2em\">two ' || source || '</p>'"))(_formatted(_rule(formats=["first_indent", "indent"])))
 query("rule_apply", _X.format("'<p>' || lang || ' onetwo ' || source || '</p>'"))(_formatted([{"id": "1", "conditions": [{"type": "contains", "pattern": "absent", "formats": ["bold"]}, {"formats": ["merge"]}, {"formats": ["italic"]}]}]))
-query("rule_eval", "SELECT doc_id, lang = 'en' AS fires FROM documents")(lambda s, d: r.format_pages(_docs(s, d).select("doc_id", _HTML.alias("html")), "html", _rule(type="prefix", pattern="en", formats=["bold"])).select("doc_id", F.contains("formatted.html", F.lit("<strong>")).alias("fires")))
+query("rule_eval", "SELECT doc_id, lang = 'en' AS fires FROM documents")(lambda s, d: r.format_pages(_docs(s, d).select("doc_id", _html().alias("html")), "html", _rule(type="prefix", pattern="en", formats=["bold"])).select("doc_id", F.contains("formatted.html", F.lit("<strong>")).alias("fires")))
 query("rule_match_ranges", "SELECT doc_id, len([i for i in range(1, length(text)) if substr(text, i, 2) = 'ee'])::INT AS n FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.size(r.contains_ranges(F.col("text"), "ee")).alias("n")))
 _OPS = ["p", "heading1", "remove", "bold", "sup", "sub", "indent", "flush"]
 query("rule_conflict", f"SELECT a, b, a <> b AND (a = 'remove' OR b = 'remove' OR (a IN ('p', 'heading1') AND b IN ('p', 'heading1')) OR (a IN ('sup', 'sub') AND b IN ('sup', 'sub')) OR (a IN ('indent', 'flush') AND b IN ('indent', 'flush'))) AS yes FROM (SELECT unnest({_OPS}) AS a), (SELECT unnest({_OPS}) AS b)")(

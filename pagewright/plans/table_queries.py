@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from pagewright.operators import tables as tb
-from pagewright.plans.registry import query, table
+from pagewright.plans.registry import batch_udf, query, table
 
 _ROW = "'| ' || source || ' | a\\|b | ' || lang || ' || ' || doc_id || ' |'"
 
@@ -20,8 +19,9 @@ def _docs(spark, sf_dir):
 
 
 query("tbl_split_cells", "SELECT doc_id, source || '/a|b/' || lang || '//' || doc_id AS cells FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.array_join(tb.split_cells(_row()), "/").alias("cells")))
-_SEP = F.element_at(F.array(*[F.lit(x) for x in ("|---|:-:|", "| -- | x |", "---", "| :— |--:|")]), (F.col("doc_id") % 4 + 1).cast("int"))
-query("tbl_is_separator", "SELECT doc_id, doc_id % 4 IN (0, 3) AS yes FROM documents")(lambda s, d: _docs(s, d).select("doc_id", tb.is_separator(_SEP).alias("yes")))
+def _sep():
+    return F.element_at(F.array(*[F.lit(x) for x in ("|---|:-:|", "| -- | x |", "---", "| :— |--:|")]), (F.col("doc_id") % 4 + 1).cast("int"))
+query("tbl_is_separator", "SELECT doc_id, doc_id % 4 IN (0, 3) AS yes FROM documents")(lambda s, d: _docs(s, d).select("doc_id", tb.is_separator(_sep()).alias("yes")))
 query("tbl_align", "SELECT doc_id, ['ptoe-align-left', 'ptoe-align-center', 'ptoe-align-right', NULL][doc_id % 4 + 1] AS cls FROM documents")(lambda s, d: _docs(s, d).select("doc_id", tb.align_class(F.element_at(F.array(*[F.lit(x) for x in (":--", ":-:", "--:", "---")]), (F.col("doc_id") % 4 + 1).cast("int"))).alias("cls")))
 query("tbl_fit", "SELECT doc_id, array_to_string(CASE WHEN doc_id % 5 + 1 >= 4 THEN [source, 'a', lang, 'b'] || CASE WHEN doc_id % 5 + 1 = 5 THEN [''] ELSE [] END ELSE [source, 'a', lang, 'b'][1:doc_id % 5] || [array_to_string([source, 'a', lang, 'b'][doc_id % 5 + 1:], '')] END, '/') AS cells FROM documents")(
     lambda s, d: _docs(s, d).select("doc_id", F.array_join(tb.fit(F.array("source", F.lit("a"), "lang", F.lit("b")), (F.col("doc_id") % 5 + 1).cast("int")), "/").alias("cells"))
@@ -55,7 +55,7 @@ for _k in ("pipe", "box", "space", "glued"):
 query("tbl_convert")(lambda s, d: tb.convert_tables(_docs(s, d).select("doc_id", F.concat(*[x for k in ("pipe", "box", "glued") for x in (_page(k), F.lit("\n"))]).alias("page")), "page").select("doc_id", F.explode("converted.chunks").alias("c")).select("doc_id", "c.start", "c.end", "c.html"))
 
 
-@arrow_udf("string")
+@batch_udf("string")
 def _pipes(v):
     import pyarrow as pa
 
