@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagewright.llm import oracles
 from pagewright.llm.anisotropic import op4_anisotropic_search
 from pagewright.llm.mixing import op5_pivotal_mix
 from pagewright.llm.ngram_join import op1_ngram_join
@@ -26,4 +27,7 @@ QUERIES = {
     "op10_reply_trees": op10_reply_trees,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_frequency": oracles.LINE_FREQUENCY,
+    "op10_reply_trees": oracles.REPLY_TREES,
+}
