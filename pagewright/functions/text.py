@@ -14,6 +14,7 @@ HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
 
 # Line and bracket patterns of scanned pages.
 BBOX = r"(?i)^([a-z_]+)[WS]*\[[WS]*(-?[0-9]+)[WS]*,[WS]*(-?[0-9]+)[WS]*,[WS]*(-?[0-9]+)[WS]*,[WS]*(-?[0-9]+)[WS]*\][WS]*(.*)$".replace("WS", WS)
+BBOX_HINT = r"\[[^\]\n]{7,}\]"
 BBOX_DROPPED = ("page_number", "figure", "image")
 PAGE_NUMBER = r"^[WS]*(?:第[WS]*[0-9一二三四五六七八九十百千]+[WS]*页|[-—―·][WS]*[0-9]{1,3}[WS]*[-—―·]|[0-9]{1,3}[WS]*/[WS]*[0-9]{1,3}|[0-9]{1,3})[WS]*$".replace("WS", WS)
 SOUP = r"[\[\]{}()（）【】［］〔〕〈〉《》「」『』\\^~`|·" + WS + "]{0,8}"
@@ -32,6 +33,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def u_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
@@ -53,14 +59,13 @@ def strip_think(c: Column) -> Column:
 
 
 def _bbox(c: Column, shown) -> Column:
-    def one(line):
-        t = u_trim(line)
+    def shown_as(t, line):
         label, content = F.lower(F.regexp_extract(t, BBOX, 1)), u_trim(F.regexp_extract(t, BBOX, 6))
-        hidden = (content == "") | label.isin(*BBOX_DROPPED)
-        return F.when(~t.rlike(BBOX), line).when(hidden, F.lit(None)).otherwise(shown(label, content))
+        return F.when(~t.rlike(BBOX), line).when((content == "") | label.isin(*BBOX_DROPPED), F.lit(None)).otherwise(shown(label, content))
 
-    found = F.exists(lines(c), lambda x: u_trim(x).rlike(BBOX))
-    return F.when(found, join_lines(F.array_compact(F.transform(lines(c), one)))).otherwise(c)
+    converted = lambda x: join_lines(F.array_compact(F.transform(lines(x), lambda line: let(u_trim(line), lambda t: shown_as(t, line)))))
+    # A cheap test first: most pages hold no layout line at all.
+    return let(c, lambda x: F.when(x.rlike(BBOX_HINT) & F.exists(lines(x), lambda line: u_trim(line).rlike(BBOX)), converted(x)).otherwise(x))
 
 
 def bbox_to_html(c: Column) -> Column:
@@ -74,10 +79,11 @@ def bbox_to_plain(c: Column) -> Column:
 
 def strip_page_numbers(c: Column) -> Column:
     """Blank the first and the last line with content where it is a page number."""
-    text = text_or_empty(c)
-    found = F.array_compact(F.transform(lines(text), lambda x, i: F.when(u_trim(x) != "", i)))
-    first, last = F.array_min(found), F.array_max(found)
-    return join_lines(F.transform(lines(text), lambda x, i: F.when(((i == first) | (i == last)) & x.rlike(PAGE_NUMBER), "").otherwise(x)))
+    def numbered(a):
+        ends = F.array_compact(F.transform(a, lambda x, i: F.when(u_trim(x) != "", i)))
+        return let(F.struct(F.array_min(ends).alias("first"), F.array_max(ends).alias("last")), lambda e: join_lines(F.transform(a, lambda x, i: F.when(((i == e["first"]) | (i == e["last"])) & x.rlike(PAGE_NUMBER), "").otherwise(x))))
+
+    return let(lines(text_or_empty(c)), numbered)
 
 
 def unify_brackets(c: Column) -> Column:
@@ -87,18 +93,24 @@ def unify_brackets(c: Column) -> Column:
     return out
 
 
-def is_heading(line: Column) -> Column:
-    s = u_trim(line)
+def _heading(s: Column) -> Column:
     return (F.length(s) >= 1) & (F.length(s) <= 30) & ~s.rlike(HEADING_END) & s.rlike(rf"[{HAN}\p{{L}}]") & ~s.rlike(DIGITS_ONLY)
 
 
+def is_heading(line: Column) -> Column:
+    return let(u_trim(line), _heading)
+
+
 def detect_headings(c: Column) -> Column:
     """Short lines without an end mark as headings, the rest as paragraphs; pages without a heading stay."""
-    text = text_or_empty(c)
-    plain = lambda x: ~F.contains(x, F.lit("<")) & (u_trim(x) != "")
-    tag = lambda x: F.when(is_heading(x), F.concat(F.lit("<h1>"), escape_html(u_trim(x)), F.lit("</h1>"))).otherwise(F.concat(F.lit("<p>"), escape_html(u_trim(x)), F.lit("</p>")))
-    found = F.exists(lines(text), lambda x: plain(x) & is_heading(x))
-    return F.when(found, join_lines(F.transform(lines(text), lambda x: F.when(plain(x), tag(x)).otherwise(x)))).otherwise(text)
+
+    def tagged(line):
+        tag = lambda s, name: F.concat(F.lit(f"<{name}>"), escape_html(s), F.lit(f"</{name}>"))
+        shown = lambda s: F.struct(F.when(F.contains(s, F.lit("<")) | (s == ""), line).when(_heading(s), tag(s, "h1")).otherwise(tag(s, "p")).alias("t"), (~F.contains(s, F.lit("<")) & _heading(s)).alias("h"))
+        return let(u_trim(line), shown)
+
+    page = lambda text: let(F.transform(lines(text), tagged), lambda a: F.when(F.exists(a, lambda x: x["h"]), join_lines(F.transform(a, lambda x: x["t"]))).otherwise(text))
+    return let(text_or_empty(c), page)
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -122,9 +134,11 @@ def ellipsis(c: Column) -> Column:
 
 
 def _pairs(c: Column, pattern: str, quote: str, left: str, right: str) -> Column:
-    pieces = F.regexp_extract_all(c, F.lit(rf"(?s){pattern}|."), F.lit(0))
-    curly = F.transform(pieces, lambda p: F.when((F.length(p) > 1) & p.rlike(f"[{HAN}]"), F.concat(F.lit(left), F.substring(p, F.lit(2), F.length(p) - 2), F.lit(right))).otherwise(p))
-    return F.when(F.contains(c, F.lit(quote)), F.array_join(curly, "")).otherwise(c)
+    def curly(x):
+        pieces = F.regexp_extract_all(x, F.lit(rf"(?s){pattern}|[^{quote}]+|."), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda p: F.when((F.length(p) > 1) & F.startswith(p, F.lit(quote)) & p.rlike(f"[{HAN}]"), F.concat(F.lit(left), F.substring(p, F.lit(2), F.length(p) - 2), F.lit(right))).otherwise(p)), "")
+
+    return let(c, lambda x: F.when(F.contains(x, F.lit(quote)), curly(x)).otherwise(x))
 
 
 def quotes(c: Column) -> Column:
@@ -170,7 +184,10 @@ def _beside(out: Column, pairs, chinese: bool) -> Column:
 
 
 def punctuation_base(c: Column) -> Column:
-    text = text_or_empty(c)
+    return let(text_or_empty(c), _punctuation)
+
+
+def _punctuation(text: Column) -> Column:
     out = _beside(text, HALF_FULL, True)
     out = F.regexp_replace(F.regexp_replace(out, rf"(?<=[{HAN}])\.(?!\.)", "。"), rf"\.(?=[{HAN}])", "。")
     out = F.regexp_replace(_beside(out, [(f, h) for h, f in HALF_FULL], False), "(?<=[A-Za-z0-9])。(?=[A-Za-z0-9])", ".")
@@ -213,11 +230,14 @@ def digit_spaces(c: Column) -> Column:
 def alnum_spaces(c: Column) -> Column:
     """Spaced digits join; runs of three or more single letters join, and of two where both are A-Z."""
     one, gap = "[A-Za-zＡ-Ｚａ-ｚ]", r"[ \t\x{3000}]"
-    text = digit_spaces(c)
     run = rf"(?<=^|{gap}){one}(?:{gap}{one})+(?={gap}|$)"
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){run}|."), F.lit(0))
-    joined = F.transform(pieces, lambda p: F.when((F.length(p) >= 5) | p.rlike(rf"^[A-Z]{gap}[A-Z]$"), F.regexp_replace(p, gap, "")).otherwise(p))
-    return F.when(text.rlike(run), F.array_join(joined, "")).otherwise(text)
+
+    def merged(text):
+        pieces = F.regexp_extract_all(text, F.lit(rf"(?s){run}|."), F.lit(0))
+        joined = F.transform(pieces, lambda p: F.when((F.length(p) >= 5) | p.rlike(rf"^[A-Z]{gap}[A-Z]$"), F.regexp_replace(p, gap, "")).otherwise(p))
+        return F.when(text.rlike(run), F.array_join(joined, "")).otherwise(text)
+
+    return let(digit_spaces(c), merged)
 
 
 def inline_spaces(c: Column, keep_word_gap: bool = True, keep_newlines: bool = True) -> Column:
