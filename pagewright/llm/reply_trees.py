@@ -78,23 +78,26 @@ def tree_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = materialise(rows.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*"), "messages")
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     linked = nodes.select("tree", "node", "parent", "score").join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("p")), "left")
-    jumps = [materialise(linked.select("tree", "node", F.col("p").alias("to"), F.coalesce("score", F.lit(0.0)).alias("sum")), "jump")]
-    total = jumps[0].count()
-    for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
-        last = jumps[-1]
-        if not last.where("to is not null").limit(1).count():
+    first = materialise(linked.select("tree", "node", F.col("p").alias("to"), F.coalesce("score", F.lit(0.0)).alias("sum")), "jump")
+    # Messages that have reached their root leave the rounds, which only those of deeper threads go on with.
+    live, done = first.where("to is not null"), first.where("to is null")
+    jumps = []
+    for _ in range(math.ceil(math.log2(max(first.count(), 2))) + 1):
+        if not live.limit(1).count():
             break
-        far = last.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("to").alias("next"), F.col("sum").alias("more"))
-        both = last.join(far, (F.col("tree") == F.col("t")) & (F.col("to") == F.col("n")), "left")
-        jumps.append(materialise(both.select("tree", "node", F.col("next").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum")), "jump"))
-    replied = jumps[0].where("to is not null").select(F.col("tree").alias("t"), F.col("to").alias("p")).distinct()
+        jumps.append(live)
+        far = live.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("to").alias("next"), F.col("sum").alias("more"))
+        both = live.join(far, (F.col("tree") == F.col("t")) & (F.col("to") == F.col("n")))
+        step = materialise(both.select("tree", "node", F.col("next").alias("to"), (F.col("sum") + F.col("more")).alias("sum")), "jump")
+        live, done = step.where("to is not null"), done.unionByName(step.where("to is null"))
+    replied = first.where("to is not null").select(F.col("tree").alias("t"), F.col("to").alias("p")).distinct()
     # What still has an ancestor after all rounds hangs on a cycle.
-    leaves = jumps[-1].where("to is null").join(replied, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = done.join(replied, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("sum"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     paths = materialise(chosen, "paths")
-    for k in range(len(jumps) - 2, -1, -1):
-        jump = jumps[k].where("to is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
+    for k in range(len(jumps) - 1, -1, -1):
+        jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
         above = paths.join(jump, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = materialise(paths.unionByName(above), "paths")
     said = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
