@@ -157,14 +157,18 @@ def pooled(docs: DataFrame, vectors) -> DataFrame:
         table = shared.value
         tokens = Tokens()
         for batch in batches:
-            for some in slices(batch, 1 << 20):
+            for some in slices(batch, 4 << 20):
                 lexical, shape, sizes = tokens(some.column(2))
                 out = np.zeros((len(sizes), 2 * DIM), np.float32)
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    starts = (np.cumsum(sizes) - sizes)[full]
-                    for part, seq in enumerate((lexical, shape)):
-                        out[full, part * DIM : part * DIM + DIM] = np.add.reduceat(table[seq], starts, axis=0) / sizes[full, None]
+                owner, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+                for at in range(0, len(sizes), 256):
+                    last = min(at + 256, len(sizes))
+                    part = slice(ends[at] - sizes[at], ends[last - 1])
+                    row = (owner[part] - at) * BUCKETS
+                    counts = np.bincount(np.concatenate([row + lexical[part], row + shape[part]]), minlength=(last - at) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+                    words = BUCKETS - SHAPES
+                    both = np.hstack([counts[:, :words] @ table[:words], counts[:, words:] @ table[words:]])
+                    out[at:last] = both / np.maximum(sizes[at:last, None], 1)
                 flat = pa.array(out.ravel())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * DIM, dtype=np.int32)), flat)], names=["doc_id", "held_out", "vec"])
 
