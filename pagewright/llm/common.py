@@ -53,7 +53,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def word_array(text: Column) -> Column:
     """The words of a text as an array; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
 def word_count(text: Column) -> Column:

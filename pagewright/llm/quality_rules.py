@@ -21,19 +21,18 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import SPACE_CLASS, materialise, read_table, word_array
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _deleted(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def normalised_line(line: Column) -> Column:
     """The form in which lines are compared."""
-    return F.translate(F.lower(F.trim(F.regexp_replace(line, SPACE_CLASS + "+", " "))), "123456789", "000000000")
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, SPACE_CLASS + "+", " "))), "[1-9]", "0")
 
 
 def base_counts(df: DataFrame, text: str) -> DataFrame:
@@ -43,13 +42,13 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     compared by 64-bit hashes; only texts in which two agree have theirs sorted.
     """
     t = F.col(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: _deleted(x, SPACES) != "")
+    lines = F.filter(F.split(t, "\n"), _has_word)
     out = df.withColumns({"__w": word_array(t), "__l": lines})
     out = out.withColumns(
         {
             "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(_deleted(t, SPACES)).cast("long"),
-            "n_symbols": (F.length(t) - F.length(_deleted(t, SYMBOLS))).cast("long"),
+            "word_chars": (F.length(t) - F.regexp_count(t, F.lit(SPACE_CLASS))).cast("long"),
+            "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
             "__h": F.transform("__w", lambda w: F.xxhash64(w)),
         }
@@ -71,7 +70,7 @@ def base_failed() -> Column:
 
 def _lines(text: Column) -> Column:
     """The hash of each line of a text that holds a word; null for the others."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(_deleted(x, SPACES) != "", F.xxhash64(normalised_line(x))))
+    return F.transform(F.split(text, "\n"), lambda x: F.when(_has_word(x), F.xxhash64(normalised_line(x))))
 
 
 def frequent_lines(df: DataFrame, line_docs: int, line_share: float, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -110,7 +109,7 @@ def judge(
         hits = lines.join(frequent, (F.col("__line") == F.col("line")) & F.col("__host").eqNullSafe(F.col("host"))).where(~F.col("first").eqNullSafe(F.col("__id")))
         per = hits.groupBy(F.col("__k").alias("__a"), F.col("__j").alias("__b")).agg(F.collect_set("line").alias("__bad"))
         out = out.join(per, (F.col("__k") == F.col("__a")) & (F.col("__j") == F.col("__b")), "left").drop("__k", "__j", "__a", "__b")
-    kept_lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: (_deleted(x, SPACES) == "") | ~F.array_contains(F.col("__bad"), F.xxhash64(normalised_line(x))))
+    kept_lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: ~_has_word(x) | ~F.array_contains(F.col("__bad"), F.xxhash64(normalised_line(x))))
     out = out.withColumn("clean_text", F.when(F.size("__bad") > 0, F.array_join(kept_lines, "\n")).otherwise(F.col("__text")))
     out = base_counts(out, "__text")
     # A generator: no later filter on a count is moved below it, where the arrays would be made anew for each element.
