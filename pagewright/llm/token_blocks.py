@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -278,10 +277,6 @@ def read_token_blocks(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
-
-
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, written as patched frame-of-reference blocks and read back from the files."""
     import public_tokenizers
