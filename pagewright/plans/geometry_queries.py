@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import join_fragments  # noqa: F401
 from pagewright.operators import geometry as g
 from pagewright.plans.registry import query, table
 

@@ -13,8 +13,6 @@ def _books(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", h.alias("html"), F.lit("Preface").alias("fallback"), "text", "source", "lang")
 
 
-_ART = """SELECT doc_id, unnest([1, 2, 3, 4]) AS article, unnest(['Preface', 'One & ' || lang, 'Two ' || source, 'Preface']) AS title, unnest([10, 72, length(text) + 7, 40]) AS chars FROM documents"""
-
 
 @query("art_split", "SELECT doc_id, unnest([1, 2, 3, 4]) AS article, unnest(['Preface', 'One & ' || lang, 'Two ' || source, 'Preface']) AS title, unnest([10, length('<table><tr><td><h1>in</h1></td></tr></table><p>a</p>'), length(text) + 7, length('<h2>Sub</h2>end<br><img src=''a''>')]) AS chars FROM documents")
 def _split(spark, sf_dir):
@@ -28,7 +26,6 @@ query("html_fix", "SELECT page_id, regexp_replace(html || '<br><img src=\"a>b\">
 query("flt_img_page", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0")(lambda s, d: _books(s, d).withColumn("html", F.when(F.col("doc_id") % 3 == 0, "<p><img src='x1'/> — </p>").otherwise(F.col("html"))).where(c.image_page(F.col("html"))).select("doc_id"))
 query("html_cover", "SELECT doc_id, doc_id % 3 = 0 AS cover FROM documents")(lambda s, d: _books(s, d).select("doc_id", c.image_page(F.when(F.col("doc_id") % 3 == 0, "<img src='x'>").otherwise(F.col("html"))).alias("cover")))
 
-_HITS = "SELECT doc_id, len(regexp_extract_all(text, '{0}'))::BIGINT AS total FROM documents"
 query("srch_find", "SELECT doc_id, i AS match, length(array_to_string(p[1:i], '')) + coalesce(list_sum([length(h) for h in hs[1:i - 1]]), 0)::BIGINT AS start, hs[i] AS hit FROM (SELECT doc_id, regexp_split_to_array(text, 'th[aeiou]|en') AS p, regexp_extract_all(text, 'th[aeiou]|en') AS hs, unnest(range(1, len(regexp_extract_all(text, 'th[aeiou]|en')) + 1)) AS i FROM documents)")(lambda s, d: c.find(table(s, d, "documents"), "doc_id", "text", "th[aeiou]|en").select("doc_id", "match", "start", "hit"))
 query("srch_context", None)(lambda s, d: c.find(table(s, d, "documents"), "doc_id", "text", c.literal("e."), 40, 200))
 query("limit_search", "SELECT doc_id, least(10, len(regexp_extract_all(text, 'en')))::BIGINT AS shown, len(regexp_extract_all(text, 'en'))::BIGINT AS total FROM documents WHERE contains(text, 'en')")(
