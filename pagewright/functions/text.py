@@ -88,11 +88,16 @@ def strip_page_numbers(c: Column) -> Column:
 
 def unify_brackets(c: Column) -> Column:
     out = text_or_empty(c)
-    for pattern, to in BRACKETS:
-        out = F.regexp_replace(out, pattern, to.replace("{1}", "$1"))
+    # A look for the characters that a pattern needs spares most texts the pattern.
+    for (pattern, to), needs in zip(BRACKETS, (r"\$", r"\$", r"[\\^~`|·{}]", "【", r"\[", "［")):
+        out = let(out, _where(needs, pattern, to.replace("{1}", "$1")))
     return out
 
 
+def _where(needs: str, pattern: str, to: str):
+    return lambda x: F.when(x.rlike(needs), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+
 def _heading(s: Column) -> Column:
     return (F.length(s) >= 1) & (F.length(s) <= 30) & ~s.rlike(HEADING_END) & s.rlike(rf"[{HAN}\p{{L}}]") & ~s.rlike(DIGITS_ONLY)
 

@@ -14,6 +14,7 @@ from pagewright.functions.text import escape_html, u_trim
 # What stands for a pipe, the lines of box tables, cells of separator lines, classes of alignment.
 PIPES = "｜│┃"
 BORDER = re.compile(r"^\s*[┌┬┐├┼┤└┴┘─━═╔╗╚╝╠╣╦╩╬+\-=]{3,}\s*$")
+ANY_PIPE = re.compile(f"[|{PIPES}]")
 SEPARATOR_CELL = "^:?[-—－]+:?$"
 ALIGN = {"both": "ptoe-align-center", "left": "ptoe-align-left", "right": "ptoe-align-right"}
 
@@ -98,6 +99,8 @@ class TextTables:
         return rows, end
 
     def _pipe(self, lines, i):
+        if not ANY_PIPE.search(lines[i]):
+            return None
         head = self.plain(lines[i])
         if not self.piped(head) or self.separator(head):
             return None
@@ -153,6 +156,8 @@ class TextTables:
     @classmethod
     def glued(cls, line: str) -> list[str] | None:
         """The rows of a line in which ``||`` glues rows of the same number of cells, two at least."""
+        if not ANY_PIPE.search(line):
+            return None
         s = cls.plain(line).strip()
         if not s.startswith("|") or "||" not in s:
             return None
