@@ -1,15 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A state is a context, the last one to ``depth`` words. A context is a candidate when it makes up at least
-``context_share`` of the training tokens and its own suffix is a state; it becomes a state when a likelihood-ratio
-test finds that what follows it diverges from what its suffix predicts. A state keeps the next words that follow it
-in at least ``next_share`` of all tokens, and leaves the rest of its mass, smoothed by ``mu`` tokens, to its suffix in
-proportion; each state's distribution sums to one. The root is the add-one distribution over all training words, the
-end and one unknown word. A token is scored from the longest state that ends before it.
-
-Shares are of the corpus, so a tree has at most ``depth / context_share`` states and ``depth / next_share`` entries
-however large the corpus is; that is what is sent to the tasks. Words of at least ``common_share`` are sent too (2
-million at most), all others meet their counts in a shuffled join. Counts cover all training texts.
+A state is a context, the last one to ``depth`` words. A context is a candidate when it occurs at least
+``least_context`` times in the training texts, its own suffix is a state and so is what precedes its newest word; it
+becomes a state when a likelihood-ratio test finds that what follows it diverges from what its suffix predicts. A state
+keeps the next words that follow it at least ``least_next`` times, and leaves the rest of its mass, smoothed by ``mu``
+tokens, to its suffix in proportion; each state's distribution sums to one. The root is the add-one distribution over
+all training words, the end and one unknown word. A token is scored from the longest state that ends before it.
+
+The limits are numbers of occurrences, so states and entries grow with the corpus. They are rows of a work table that is
+joined when texts are scored (``fit_tables``, ``score_tables``); only the commonest, 2 million at most, and bit filters
+of fixed size are sent to the tasks, and both only spare the join work. ``fit`` and ``score`` are the same model in
+memory, with limits as shares of the corpus; tests hold the tables against it. Counts cover all training texts.
 
 Words are compared by 64-bit hashes of their bytes. Defined results: null and empty texts hold the end alone; a null
 doc_id is text to learn from; repeated rows count and are scored each; an empty table gives no rows. Columns other
@@ -392,8 +393,254 @@ def score(coded: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("of_known", F.lit(0))).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
 
+#: log2 of the bits of a filter: keys are looked up in it before they are shuffled, and however many there are it has this size.
+FILTER_BITS = 27
+FOUND = "ctx long, word long, n long"
+PLACED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double, cold array<bigint>"
+
+
+def mixed(a, b):
+    """Spark's xxhash64 of two arrays of longs."""
+    import numpy as np
+
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, n):
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    h = np.uint64(42)
+    with np.errstate(over="ignore"):
+        for x in (a, b):
+            h = (h + p5 + np.uint64(8)) ^ (turned(x.view(np.uint64) * p2, 31) * p1)
+            h = turned(h, 27) * p1 + p4
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def key_filter(df: DataFrame, key: str):
+    """A bit set of the keys. A key that is not in it is not in the table; how full it is only changes the cost."""
+    import numpy as np
+
+    place = F.col(key).bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = df.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+    return out
+
+
+def may_hold(bits, keys):
+    import numpy as np
+
+    return (bits[(keys & ((1 << FILTER_BITS) - 1)) >> 6] >> (keys & 63)) & 1 != 0 if len(keys) else np.zeros(0, bool)
+
+
+def _to_words(batches):
+    """doc_id, held_out and text to a row's number and its words' hashes with an end."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from pagewright.llm.encoding import slices
+
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for some in slices(batch):
+            words, codes, sizes = word_codes(some.column(2))
+            n, ends = len(sizes), np.cumsum(sizes + 1)
+            ids = np.zeros(int(ends[-1]) if n else 0, np.int64)
+            inner = np.ones(len(ids), bool)
+            inner[ends - 1] = False
+            ids[inner] = hashes(words)[codes]
+            bounds = np.concatenate([[0], ends]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), some.column(0), some.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))], names=["row", "doc_id", "held_out", "words"])
+            row += n
+
+
+def _sum_words(batches):
+    import numpy as np
+
+    from pagewright.llm.encoding import slices
+
+    tally = Tally()
+    for batch in batches:
+        for some in slices(batch):
+            out = tally.add(*np.unique(_laid_out(some.column(0))[0], return_counts=True))
+            if out:
+                yield from _rows(out)
+    yield from _rows(tally.take())
+
+
+def _count_next(d: int, contexts, nexts, most: int = 2_000_000):
+    """Arrow function: counts of contexts of d words, which may be candidates, with each next word.
+
+    ``nexts`` holds what can follow: the same n-gram without its oldest word.
+    """
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from pagewright.llm.encoding import slices
+
+        contexts_, nexts_ = contexts.value, nexts.value
+
+        def summed(parts):
+            c, w = (np.concatenate(x) for x in zip(*parts))
+            _, first, n = np.unique(mixed(c, w), return_index=True, return_counts=True)
+            for at in range(0, len(first), 200_000):
+                some = first[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(w[some]), pa.array(n[at : at + 200_000])], names=["ctx", "word", "n"])
+
+        parts, held = [], 0
+        for batch in batches:
+            for some in slices(batch):
+                words, starts, _ = _laid_out(some.column(0))
+                live = np.arange(len(words))
+                live = live[live - d >= starts]
+                key = words[live - d]
+                for k in range(d - 1, 0, -1):
+                    key = mixed(key, words[live - k])
+                hit = may_hold(contexts_, key)
+                live, key = live[hit], key[hit]
+                after = words[live - d + 1]
+                for k in range(d - 2, -1, -1):
+                    after = mixed(after, words[live - k])
+                hit = may_hold(nexts_, after)
+                parts.append((key[hit], words[live[hit]]))
+                held += int(hit.sum())
+                if held > most:
+                    yield from summed(parts)
+                    parts, held = [], 0
+        if held:
+            yield from summed(parts)
+
+    return count
+
+
+def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_next: int = 3, mu: float = 5.0) -> tuple[DataFrame, DataFrame, int, int]:
+    """The tree of the texts that are not held out, as a table of n-grams, with all rows' words, and the numbers of
+    training tokens and of their kinds.
+
+    An n-gram's key is its word's hash, or the xxhash64 of the key of all but its newest word and that word. ``base``
+    is what it adds to the base score, ``more`` what it adds to the difference of score and base score: a context
+    its state's rest, an entry the ratio of its chance to what its suffix and the rest would give. A token's score is
+    the sum over the n-grams that end in it (entries) or before it (contexts), as the suffixes of states are states
+    and those of entries are entries.
+    """
+    spark = docs.sparkSession
+    share = lambda x: spark.sparkContext.broadcast(x)
+    coded = materialise(docs.select("doc_id", "held_out", "text").mapInArrow(_to_words, "row long, doc_id long, held_out boolean, words array<bigint>"), "words")
+    train = coded.where("not held_out").select("words")
+    counts = materialise(train.mapInArrow(_sum_words, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n"), F.count("*")).first()
+    tokens, kinds = total[0] or 0, total[1]
+    unknown = -math.log10(tokens + kinds + 1)
+    # Of each length: the candidates (ctx, total, and the key without its oldest word) and the chances in their suffixes.
+    contexts = counts.where((F.col("n") >= least_context) & (F.col("word") != END_ID)).select(F.col("word").alias("ctx"), F.col("n").alias("total"), F.lit(None).cast("long").alias("older"))
+    below = counts.where(F.col("n") >= least_next).select(F.col("word").alias("suffix"), (F.log10(F.col("n") + 1.0) + unknown).alias("below"))
+    grams = counts.select(F.col("word").alias("key"), "n", F.log10(F.col("n") + 1.0).alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("delta"))
+    values = []
+    for d in range(1, depth + 1):
+        inner, after = share(key_filter(contexts, "ctx")), share(key_filter(below, "suffix"))
+        found = train.mapInArrow(_count_next(d, inner, after), FOUND).groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_next)
+        keys = {"key": F.xxhash64("ctx", "word"), "suffix": F.col("word") if d == 1 else F.xxhash64("older", "word")}
+        tested = materialise(found.join(contexts, "ctx").withColumns(keys).join(below, "suffix").drop("older"), "entries")
+        inner.destroy()
+        after.destroy()
+        p, chance = F.pow(F.lit(10.0), F.col("below")), F.col("n") / (F.col("total") + mu)
+        sums = tested.groupBy("ctx").agg(
+            F.sum(2 * F.col("n") * F.log(F.col("n") / (F.col("total") * p))).alias("g"), F.count("*").alias("kinds"), F.sum("n").alias("taken"),
+            F.sum(p).alias("p"), F.sum(chance).alias("given"), F.first("total").alias("all"),
+        )
+        left = F.col("all") - F.col("taken")
+        g = F.col("g") + F.when(left > 0, 2 * left * F.log(left / F.greatest(F.col("all") * (1 - F.col("p")), F.lit(1e-9)))).otherwise(0.0)
+        # Under the suffix's predictions g has about as many degrees of freedom as there are kinds.
+        diverging = sums.where(g > F.col("kinds") + 4 * F.sqrt(2.0 * F.col("kinds")))
+        rest = F.log10(F.greatest((1 - F.col("given")) / F.greatest(1 - F.col("p"), F.lit(1e-12)), F.lit(1e-300)))
+        states = materialise(diverging.select("ctx", rest.alias("rest")), "states")
+        values.append(grams.join(states.select(F.col("ctx").alias("key"), "rest"), "key", "left").select("key", "n", "base", "known", (F.col("delta") + F.coalesce("rest", F.lit(0.0))).alias("more")))
+        log = F.log10(chance)
+        entries = materialise(tested.join(states, "ctx").select("key", "suffix", "word", "n", log.alias("log"), (log - F.col("below") - F.col("rest")).alias("delta")), "kept-entries")
+        contexts = entries.where((F.col("n") >= least_context) & (F.col("word") != END_ID)).join(states.select(F.col("ctx").alias("suffix")), "suffix").select(F.col("key").alias("ctx"), F.col("n").alias("total"), F.col("suffix").alias("older"))
+        below = entries.select(F.col("key").alias("suffix"), F.col("log").alias("below"))
+        grams = entries.select("key", "n", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "delta")
+    values.append(grams.select("key", "n", "base", "known", F.col("delta").alias("more")))
+    table = values[0]
+    for more in values[1:]:
+        table = table.unionByName(more)
+    return materialise(table, "n-grams"), coded, tokens, kinds
+
+
+def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, depth: int = 3, common_share: float = 2e-6) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and score of each coded row.
+
+    N-grams of at least ``common_share`` of the tokens (at most 2 million) are sent to the tasks, which spares them the
+    join; all others meet their values in it.
+    """
+    import numpy as np
+
+    sc = coded.sparkSession.sparkContext
+    is_common = F.col("n") >= max(2, math.ceil(common_share * tokens))
+    common = table.where(is_common).select("key", "base", "known", "more").toArrow()
+    order = np.argsort(common["key"].to_numpy())
+    cold = table.where(~is_common)
+    shared = sc.broadcast((*(common[c].to_numpy()[order] for c in ("key", "base", "known", "more")), key_filter(table.where(is_common), "key"), key_filter(cold, "key")))
+
+    def place(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from pagewright.llm.encoding import slices
+
+        keys, base, known, more, hot_bits, cold_bits = shared.value
+        for batch in batches:
+            for some in slices(batch):
+                words, starts, sizes = _laid_out(some.column(3))
+                n = len(sizes)
+                owner = np.repeat(np.arange(n), sizes)
+                sums = np.zeros((3, n))
+                owners, colds = [], []
+                live, key = np.arange(len(words)), words
+                for length in range(1, depth + 2):
+                    if length > 1:
+                        # Both parts of an n-gram that has a value have one.
+                        had = np.zeros(len(words), bool)
+                        had[live] = ok
+                        full = np.zeros(len(words), np.int64)
+                        full[live] = key
+                        live = live[ok & (live - (length - 1) >= starts[live])]
+                        live = live[had[live - 1]]
+                        key = mixed(full[live - 1], words[live])
+                    hot, ok = may_hold(hot_bits, key), may_hold(cold_bits, key)
+                    asked = np.flatnonzero(hot)
+                    at = Tree.find(keys, key[asked])
+                    asked, at = asked[at >= 0], at[at >= 0]
+                    for i, column in enumerate((known, base, more)):
+                        sums[i] += np.bincount(owner[live[asked]], column[at], n)
+                    ok[asked] = False
+                    owners.append(owner[live[ok]])
+                    colds.append(key[ok])
+                    ok[asked] = True
+                of, key = np.concatenate(owners), np.concatenate(colds)
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[np.argsort(of, kind="stable")]))
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:3], pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), lists],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more", "cold"],
+                )
+
+    part = materialise(coded.mapInArrow(place, PLACED), "placed")
+    met = part.select(F.col("row").alias("r"), F.explode("cold").alias("key")).join(cold.select("key", "base", "known", "more"), "key")
+    sums = met.groupBy("r").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("more").alias("m"))
+    out = part.drop("cold").join(sums, F.col("row") == F.col("r"), "left")
+    base = F.col("base") + F.coalesce("b", F.lit(0.0)) - math.log10(tokens + kinds + 1) * F.col("n_tokens")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), base.alias("base_score"), (base + F.col("more") + F.coalesce("m", F.lit(0.0))).alias("score"))
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a tree of those that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    tree, counts, coded = fit(docs)
-    return score(coded, tree, counts).withColumn("train_tokens", F.lit(tree.tokens).cast("long"))
+    table, coded, tokens, kinds = fit_tables(docs)
+    return score_tables(coded, table, tokens, kinds).withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -82,3 +82,31 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, held_out boolean, text string")
     tree, counts, coded = s.fit(docs)
     assert s.score(coded, tree, counts).count() == 0
+
+
+def test_mixed_is_sparks_hash(spark):
+    a, b = np.array([1, -5, 0, 1 << 62]), np.array([7, 0, -(1 << 63), 3])
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    assert [x[0] for x in df.selectExpr("xxhash64(a, b)").collect()] == s.mixed(a, b).tolist()
+
+
+def test_tables_give_the_scores_of_the_tree(spark):
+    docs = spark.createDataFrame([(i, i is not None and i % 5 == 0, t) for i, t in corpus()], "doc_id long, held_out boolean, text string").repartition(3)
+    tree, counts, coded = s.fit(docs, context_share=0, next_share=0, common_share=0)
+    assert tree.depth == 3 and len(tree.parent) > 10
+    key = lambda x: (x.doc_id is not None, x.doc_id or 0, x.n_tokens, x.n_known, round(x.base_score, 5), round(x.score, 5))
+    want = sorted(map(key, s.score(coded, tree, counts).collect()))
+    table, coded, tokens, kinds = s.fit_tables(docs)
+    for share in (0, 1e-3, 1):
+        assert sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=share).collect())) == want
+    table, coded, tokens, kinds = s.fit_tables(docs.limit(0))
+    assert s.score_tables(coded, table, tokens, kinds).count() == 0
+
+
+def test_states_grow_with_the_corpus(spark, tmp_path):
+    # 1.2 million tokens in which 24 pairs of words come 30 times each: well below the 1/20,000 that a context once had to be.
+    rows = [(i, "filler " * 10_000) for i in range(120)]
+    rows += [(1000 + i, " ".join(f"left{k} right{k} x{i}k{k}" for k in range(24))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [x for x in s.op6_suffix_tree(spark, str(tmp_path)).collect() if x.doc_id >= 1000 and x.held_out]
+    assert got and all(x.score > x.base_score + 40 for x in got)
