@@ -3,8 +3,8 @@
 Each task packs the pieces that it has, longest first, into the fullest sequence that still has room. Sequences
 that are nearly full are final. The others are taken apart, and their pieces, each an underfull sequence of one
 item, go up a tree: groups of tasks repeat the best-fit round over what their members left, until the root closes
-all. A task hands up at most ``carry`` items; beyond that its fullest sequences are closed as they stand, so every
-piece is placed, and no task ever holds more than ``fan_in * carry`` items of the tree.
+all. Every piece of an underfull sequence goes up. A node of more than ``fan_in * carry`` items is dealt by hash into
+parts of about that size, which are mixed alike and packed one by one, so that memory is bounded.
 
 Only documents longer than a sequence are cut: their first piece takes the remainder, all others are full.
 
@@ -56,24 +56,13 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, fill
 
 
-def residual_round(lengths: list[int], capacity: int, slack: int, carry: int | None) -> tuple[list[int], list[int], list[bool]]:
+def residual_round(lengths: list[int], capacity: int, slack: int, last: bool) -> tuple[list[int], list[int], list[bool]]:
     """One round over items sorted longest first: bin, offset and whether the item stays open for the next round.
 
-    ``carry`` None closes everything.
+    The last round closes everything.
     """
     bins, offsets, fill = best_fit(lengths, capacity)
-    is_open = [False] * len(fill)
-    if carry is not None:
-        count = [0] * len(fill)
-        for b in bins:
-            count[b] += 1
-        left = carry
-        for b in sorted((b for b, f in enumerate(fill) if capacity - f > slack), key=lambda b: (fill[b], b)):
-            left -= count[b]
-            if left < 0:
-                break
-            is_open[b] = True
-    return bins, offsets, [is_open[b] for b in bins]
+    return bins, offsets, [not last and capacity - fill[b] > slack for b in bins]
 
 
 def pack_documents(
@@ -107,7 +96,7 @@ def pack_documents(
         def packed(held):
             nonlocal number
             held.sort(key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[4]))
-            bins, offsets, opens = residual_round([r[3] for r in held], capacity, slack, carry)
+            bins, offsets, opens = residual_round([r[3] for r in held], capacity, slack, False)
             rows = []
             for r, b, at, is_open in zip(held, bins, offsets, opens):
                 # An open item is numbered by itself, beyond the bins of this round.
@@ -147,7 +136,10 @@ def pack_documents(
     width = fan_in
     while True:
         root = width >= tasks
-        settled = materialise(items.withColumn("node", F.expr(f"item div {TASK_BINS * width}")).groupBy("node").applyInPandas(_settle(capacity, slack, None if root else carry), "item long, length long, bin long, at long, open boolean"), "settled")
+        nodes = items.withColumn("node", F.expr(f"item div {TASK_BINS * width}"))
+        parts = nodes.groupBy("node").agg(F.ceil(F.count("*") / (fan_in * carry)).alias("parts"))
+        dealt = nodes.join(F.broadcast(parts), "node").withColumn("part", F.pmod(F.xxhash64("item"), "parts"))
+        settled = materialise(dealt.select("node", "part", "item", "length").groupBy("node", "part").applyInPandas(_settle(capacity, slack, root), "item long, length long, bin long, at long, open boolean"), "settled")
         decided.append(settled.where("not open").select("item", "bin", "at"))
         if root:
             break
@@ -161,15 +153,15 @@ def pack_documents(
     return closed.unionByName(moved.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
 
 
-def _settle(capacity: int, slack: int, carry: int | None):
-    """A node of the tree: one best-fit round over the items of its members.
+def _settle(capacity: int, slack: int, last: bool):
+    """A node of the tree, or a part of it: one best-fit round over the items of its members.
 
     A bin takes the number of its first item, which no other bin holds.
     """
 
     def settle(pdf):
         pdf = pdf.sort_values(["length", "item"], ascending=[False, True], ignore_index=True)
-        bins, offsets, opens = residual_round(pdf["length"].tolist(), capacity, slack, carry)
+        bins, offsets, opens = residual_round(pdf["length"].tolist(), capacity, slack, last)
         items, first = pdf["item"].tolist(), {}
         for item, b in zip(items, bins):
             first.setdefault(b, item)

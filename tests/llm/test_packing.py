@@ -63,3 +63,17 @@ def test_documents(spark):
     check(few, 64)
     assert len(few) == len(got)
     assert p.pack_documents(df.limit(0), path).count() == 0
+
+
+def test_lengths_clustered_by_task(spark):
+    # Two tasks, each of lengths that do not fit together but fit the other's; far more pieces than carry.
+    r = random.Random(5)
+    texts = lambda a, b: [" ".join(["word"] * r.randint(a, b)) for _ in range(1500)]
+    rows = list(enumerate(texts(34, 38) + texts(22, 23)))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    # Parts of 300 items differ by chance in how many they have of each kind, larger ones hardly.
+    for carry, most in ((100, 1.12), (8192, 1.01)):
+        got = p.pack_documents(df, P.path("byte_bpe_50k.json"), capacity=64, fan_in=3, carry=carry).collect()
+        assert len(got) == 3000
+        _, _, fill = p.best_fit(sorted((x.length for x in got), reverse=True), 64)
+        assert check(got, 64) <= most * len(fill), (carry, len(fill))
