@@ -2,7 +2,7 @@
 
 Only DataFrame functions are used. The base patterns give spans of kinds ``assign``, ``access`` and ``hex``. The
 battery looks at every maximal run of 20 or more characters ``A-Za-z0-9+/_=-`` that no base span touches, infers its
-encoding from the characters it has (decimal, hexadecimal, base 32, else base 64) and asks:
+encoding from the characters it has (decimal, hexadecimal, base 32, base 36 in lower or upper case, else base 64) and asks:
 
 * is the alphabet used evenly (chi-squared, Wilson-Hilferty normal form),
 * do high and low symbols alternate as by chance (runs test about the middle of the alphabet),
@@ -39,6 +39,8 @@ ALPHABETS = {
     "decimal": ("[0-9]+", "0123456789"),
     "hex": ("[0-9a-fA-F]+", "0123456789abcdef"),
     "base32": ("[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base36lower": ("[a-z0-9]+", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    "base36upper": ("[A-Z0-9]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
     "base64": (".+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
 #: Highest |z| at which a test does not reject chance.
@@ -72,7 +74,7 @@ def _statistics(token: Column) -> Column:
     """encoding, n, the three z and the log e-value of a token (a struct)."""
     body = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
     which = F.lit("base64")
-    for name in ("base32", "hex", "decimal"):
+    for name in ("base36lower", "base36upper", "base32", "hex", "decimal"):
         which = F.when(body.rlike(f"^{ALPHABETS[name][0]}$"), F.lit(name)).otherwise(which)
     return F.struct(which.alias("enc"), body.alias("body"))
 

@@ -67,3 +67,17 @@ def test_query_and_stage(spark, tmp_path):
         assert not any(k == 2 for _, k, _ in base(x.text)) and (x.text is None or x.n_chars == len(x.text))
     by = {x.doc_id: x.text for x in out}
     assert by[3] == "[SECRET] after".replace("[SECRET]", "[SECRET]\"") and by[2] == "plain words only"
+
+
+def test_base36_keys(spark):
+    r = random.Random(36)
+    kinds = (string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits)
+    keys = [(k, n, "".join(r.choice(kinds[k]) for _ in range(n))) for k in (0, 1) for n in (24, 32, 40, 64, 96, 128) for _ in range(50)]
+    plain = ["chapter12section34paragraph56", "thequickbrownfoxjumpsoverthelazydog2024", "CHAPTER12SECTION34PARAGRAPH56", "internationalization2internationalization"]
+    df = spark.createDataFrame([(i, f"before {x} after") for i, x in enumerate([x for _, _, x in keys] + plain)], "doc_id long, text string")
+    found = {x.doc_id: [(y.start, y.end) for y in x.secret_spans] for x in s.scan(df).collect()}
+    for k in (0, 1):
+        for n in (24, 32, 40, 64, 96, 128):
+            hit = [found[i] == [(7, 7 + n)] for i, x in enumerate(keys) if x[:2] == (k, n)]
+            assert sum(hit) >= 0.9 * len(hit), (k, n, sum(hit))
+    assert not any(found[i] for i in range(len(keys), len(keys) + len(plain)))
