@@ -8,11 +8,11 @@ from pagewright.llm.common import materialise, read_table
 from pagewright.llm.mixing import mixing_stage
 from pagewright.llm.ngram_join import near_duplicates_stage
 from pagewright.llm.packing import packing_stage
-from pagewright.llm.quality_rules import quality_stage
+from pagewright.llm.quality_rules import pipeline_quality_stage
 from pagewright.llm.secret_scan import secrets_stage
 
 STAGES = [
-    ("quality_rules", quality_stage),
+    ("quality_rules", pipeline_quality_stage),
     ("ngram_jaccard_join", near_duplicates_stage),
     ("secret_scans", secrets_stage),
     ("mixing_sources", mixing_stage),

@@ -3,7 +3,9 @@
 Only DataFrame functions are used. Lines are normalised (ASCII white space to one space, ends trimmed, lower case,
 digits to 0) and hashed. A line is frequent in a host (column ``host_col``) when more distinct texts of that host
 hold it than both ``line_docs`` and ``line_share`` of the host's rows; exact copies of a text count once. Frequent
-lines are removed from all documents but the first (smallest id) that holds one. A document is depleted, and
+lines are removed from all documents but the first (smallest id) that holds one. With ``line_floor`` (the pipeline) the
+limit is ``line_share`` of the host's distinct texts, but at least ``line_floor`` and at most ``line_docs``, so that hosts
+of any size and with any number of copies can reach it. A document is depleted, and
 rejected, when lines were removed and fewer than ``left_words`` words or ``left_share`` of its words remain.
 
 The frequent lines are a work table. Up to ``most_listed`` of them, each host's are listed and looked up in each
@@ -73,25 +75,29 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(_has_word(x), F.xxhash64(normalised_line(x))))
 
 
-def frequent_lines(df: DataFrame, line_docs: int, line_share: float, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def frequent_lines(df: DataFrame, line_docs: int, line_share: float, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_floor: int | None = None) -> DataFrame:
     """host, line and the first document of each line above its host's limit."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), text.alias("text"))
     rows = docs.select("id", "host", F.xxhash64("text").alias("copy"), F.explode(F.array_compact(F.array_distinct(_lines(F.col("text"))))).alias("line"))
-    held = rows.groupBy("host", "line").agg(F.count_distinct("copy").alias("n"), F.min("id").alias("first")).where(F.col("n") > line_docs)
-    hosts = docs.groupBy("host").agg(F.count("*").alias("rows")).select(F.col("host").alias("of"), "rows")
-    return held.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("rows") * line_share).select("host", "line", "first")
+    held = rows.groupBy("host", "line").agg(F.count_distinct("copy").alias("n"), F.min("id").alias("first")).where(F.col("n") > (line_docs if line_floor is None else line_floor))
+    size = F.count("*") if line_floor is None else F.count_distinct(F.xxhash64("text"))
+    hosts = docs.groupBy("host").agg(size.alias("rows")).select(F.col("host").alias("of"), "rows")
+    limit = F.col("rows") * line_share
+    if line_floor is not None:
+        limit = F.least(F.greatest(limit, F.lit(float(line_floor))), F.lit(float(line_docs)))
+    return held.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > limit).select("host", "line", "first")
 
 
 def judge(
     df: DataFrame, line_docs: int = 100, line_share: float = 0.01, left_words: int = 20, left_share: float = 0.3, most_listed: int = 20_000,
-    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_floor: int | None = None,
 ) -> DataFrame:
     """All columns of ``df`` with the base counts, base_failed, n_removed_lines, left_words, kept and clean_text.
 
     ``df`` must not have columns of these names.
     """
-    frequent = materialise(frequent_lines(df, line_docs, line_share, id_col, text_col, host_col), "frequent-lines")
+    frequent = materialise(frequent_lines(df, line_docs, line_share, id_col, text_col, host_col, line_floor), "frequent-lines")
     n = frequent.count()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = df.withColumns({"__text": text, "__host": F.col(host_col).cast("string"), "__id": F.col(id_col).cast("long")})
@@ -127,10 +133,15 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "n_removed_lines", "left_words")
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, line_floor: int | None = None) -> DataFrame:
     """Documents that pass, without frequent lines; n_chars follows the text."""
     names = docs.columns
-    out = judge(docs).where("kept").withColumn("text", F.col("clean_text"))
+    out = judge(docs, line_floor=line_floor).where("kept").withColumn("text", F.col("clean_text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
+
+
+def pipeline_quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage with limits that small and large hosts can reach: above 5 texts at least, and never more than above 100."""
+    return quality_stage(spark, docs, sf_dir, line_floor=5)

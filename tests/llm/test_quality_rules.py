@@ -86,3 +86,19 @@ def test_query_and_stage(spark, tmp_path):
     assert got.count() == df.count() and "Python" not in got._jdf.queryExecution().toString()
     out = q.quality_stage(spark, df, "")
     assert out.columns == df.columns and out.count() == got.where("kept").count() and out.where("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_removes_planted_boilerplate(spark):
+    import corpus_pipeline
+
+    boiler = "Subscribe to our newsletter for more"
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are all alike in a line
+    body = lambda k: " ".join(f"w{k}x{j}".translate(letters) for j in range(30))
+    rows = [(i, boiler + "\n" + body(i), "small") for i in range(40)]
+    rows += [(1000 + i, body(i) + ("\n" + boiler if i % 10 == 0 else ""), "middle") for i in range(500)]
+    rows += [(10_000 + i, body(i) + ("\n" + boiler if i % 130 == 0 else ""), "large") for i in range(20_000)]
+    rows += [(40_000 + i, body(7), "copies") for i in range(3000)] + [(50_000 + i, body(i) + "\n" + boiler, "copies") for i in range(30)]
+    rows += [(60_000 + i, body(i) + ("\nSeen in three" if i < 3 else ""), "rare") for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.STAGES[0][1](spark, df, "").where("text like '%newsletter%' or text like '%three%'").groupBy("source").agg({"doc_id": "min", "*": "count"}).collect()
+    assert {x["source"]: (x["min(doc_id)"], x["count(1)"]) for x in out} == {"small": (0, 1), "middle": (1000, 1), "large": (10_000, 1), "copies": (50_000, 1), "rare": (60_000, 3)}
