@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -11,20 +13,20 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only characters that part words here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is made and remembered.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is made and remembered.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pagewright-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        found = kept
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pagewright-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -33,24 +35,63 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of what is written inside go when it is complete; nothing reads them again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a work table to the shared folder and read it back, which cuts the lineage.
 
-    A lost executor costs a re-read of files, not a rerun of what made them.
+    A lost executor costs a re-read of files, not a rerun of what made them. ``discard`` deletes the table.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that nothing reads any more. Tables that are not work tables stay."""
+    for table in tables:
+        path = vars(table).pop("_work_path", None)
+        if path:
+            remove(table.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a work table that nothing reads any more."""
+    """Delete a folder of the shared store."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named ``in0``, ``in1``, ... and these names by the old ones.
+
+    Inside an operator no column of the caller can then clash with one of its own, whatever the caller's are called.
+    """
+    names = [f"in{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+def restored(df: DataFrame, names: dict[str, str], **instead: Column) -> DataFrame:
+    """The caller's columns again, those in ``instead`` replaced."""
+    return df.select(*[instead.get(old, F.col(new)).alias(old) for old, new in names.items()])
+
+
 def word_array(text: Column) -> Column:
     """The words of a text as an array; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

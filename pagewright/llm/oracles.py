@@ -15,8 +15,8 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
 lines AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS x FROM d),
 norm AS (SELECT *, CASE WHEN regexp_matches(x, '[^\x20\x09-\x0D]') THEN translate(lower(trim(regexp_replace(x, '{_WORD}', ' ', 'g'))), '123456789', '000000000') END AS k FROM lines),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-freq AS (SELECT a.host, a.k, min(a.doc_id) AS first FROM norm a JOIN hosts h ON a.host IS NOT DISTINCT FROM h.host WHERE a.k IS NOT NULL GROUP BY a.host, a.k, h.n HAVING count(DISTINCT a.t) > 100 AND count(DISTINCT a.t) > 0.01 * h.n),
+hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
+freq AS (SELECT a.host, a.k, min(a.doc_id) AS first FROM norm a JOIN hosts h ON a.host IS NOT DISTINCT FROM h.host WHERE a.k IS NOT NULL GROUP BY a.host, a.k, h.n HAVING count(DISTINCT a.t) > least(greatest(0.01 * h.n, 5), 100)),
 cut AS (SELECT a.doc_id, count(*) FILTER (f.k IS NOT NULL AND a.doc_id IS DISTINCT FROM f.first) AS removed, sum(CASE WHEN f.k IS NOT NULL AND a.doc_id IS DISTINCT FROM f.first THEN 0 ELSE len({_words('a.x')}) END)::BIGINT AS left_words FROM norm a LEFT JOIN freq f ON a.k = f.k AND a.host IS NOT DISTINCT FROM f.host GROUP BY a.doc_id),
 b AS (SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '{_WORD}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
  (SELECT len(l) - len(list_distinct(l)) FROM (SELECT [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, cut.removed, cut.left_words

@@ -24,14 +24,14 @@ def norm(x):
     return re.sub("[1-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower())
 
 
-def brute(rows, line_docs, share, left_words=20, left_share=0.3):
-    held, first, size = defaultdict(set), {}, Counter(s for _, _, s in rows)
+def brute(rows, line_docs, share, floor, left_words=20, left_share=0.3):
+    held, first, size = defaultdict(set), {}, Counter(s for s, _ in {(s, t or "") for _, t, s in rows})
     for i, t, s in rows:
         for x in {norm(x) for x in (t or "").split("\n") if W.search(x)}:
             held[s, x].add(t or "")
             if i is not None:
                 first[s, x] = min(i, first.get((s, x), i))
-    bad = {k for k, v in held.items() if len(v) > line_docs and len(v) > share * size[k[0]]}
+    bad = {k for k, v in held.items() if len(v) > min(line_docs, max(floor, share * size[k[0]]))}
     out = []
     for i, t, s in rows:
         c = counts(t)
@@ -69,10 +69,11 @@ def fixture():
 def test_against_brute_force_both_ways(spark):
     rows = fixture()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as line", "1 as host", "2L as n_chars").repartition(5)
-    want = sorted(map(repr, brute(rows, 20, 0.1)))
-    assert sum(not x[7] and not x[6] for x in brute(rows, 20, 0.1)) > 5
+    limits = {"line_docs": 30, "line_share": 0.1, "line_floor": 4}
+    want = sorted(map(repr, brute(rows, 30, 0.1, 4)))
+    assert sum(not x[7] and not x[6] for x in brute(rows, 30, 0.1, 4)) > 5
     for listed in (20_000, 0):
-        got = q.judge(df, line_docs=20, line_share=0.1, most_listed=listed).collect()
+        got = q.judge(df, **limits, most_listed=listed).collect()
         have = [(x.doc_id, *(x[c] for c in q.COUNTS), x.base_failed, x.kept, x.n_removed_lines, x.left_words, x.clean_text) for x in got]
         wrong = [(a[:300], b[:300]) for a, b in zip(sorted(map(repr, have)), want) if a != b]
         assert not wrong[:3] and len(have) == len(want)
