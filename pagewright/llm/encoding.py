@@ -7,6 +7,7 @@ piece is encoded by the library once for a worker. Any other text is given to th
 
 from __future__ import annotations
 
+import contextlib
 from array import array
 from itertools import repeat
 
@@ -134,6 +135,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Free the worker's encoders, which operators that do not encode have no use for."""
+    import ctypes
+
+    import pyarrow as pa
+
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # where the C library has it
+
+
 def slices(batch, most_bytes: int = 8 << 20):
     """Parts of an Arrow batch of about so many bytes, so that long texts do not pile up."""
     step = max(1, min(batch.num_rows or 1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1))))

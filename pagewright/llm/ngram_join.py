@@ -1,20 +1,24 @@
 """N-gram Jaccard join: pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Texts with the same words are copies; they share a class, whose representative is the smallest doc_id.
+1. Texts with the same words are copies; they share a class, whose representative is the smallest doc_id. Each
+   different text gets a number of its own, by which everything below tells texts apart.
 2. Each text's set of shingle hashes is sketched by MinHash. Band and row counts are chosen for a target recall at
    the threshold, and band hashes are shuffled.
 3. Each band's bucket ties its members to its smallest one. The components of these ties hold every pair that shares
    a band; no pair inside a bucket is written out.
-4. The texts of each component are compared on their full shingle sets, in square cells of ``block`` by ``block``
-   texts, so that a component of any size is spread over tasks. A cell counts links by products of incidence
-   matrices and returns a row for each text, not for each pair.
+4. The texts of a component of at most ``whole`` texts are compared on their full shingle sets. Larger components,
+   which chains of texts with common passages can make, are compared bucket by bucket, where a pair counts in the
+   first band that it shares and buckets of the same texts are compared once. Either way the comparison is cut into
+   square cells of ``block`` by ``block`` texts, so that a group of any size is spread over tasks. A cell counts links
+   by products of incidence matrices and returns a row for each text, not for each pair.
 5. Texts tied by verified links form near-duplicate classes.
 
 Words are separated by ASCII white space and compared as they are. A text of fewer than five words has one shingle,
 all its words. Defined results: null and empty texts have no shingles; they are copies of each other and similar to
 no other text. Rows with a null doc_id take part under a number drawn from their words and keep their null id; rows
-that repeat a doc_id with other words are members of either text's class. An empty table gives no rows. Columns
-other than the two named ones are not read.
+that repeat a doc_id with other words are texts of their own, which have links and classes like any other. A text of
+any length is shingled whole. An empty table gives no rows. The join reads the two named columns alone, and the stage
+hands on columns of any name.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import SPACE_CLASS, materialise, read_table
+from pagewright.llm.common import SPACE_CLASS, discard, materialise, numbered, read_table, restored
 from pagewright.llm.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9998
 BLOCK = 768
+WHOLE = 4096
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 192) -> tuple[int, int]:
@@ -92,8 +97,9 @@ def _sketch(bands: int, rows: int):
         import numpy as np
         import pyarrow as pa
 
-        from pagewright.llm.encoding import slices
+        from pagewright.llm.encoding import forget, slices
 
+        forget()
         r = np.random.default_rng(5)
         mul = r.integers(1, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
         add = r.integers(0, 1 << 63, bands * rows, np.uint64)
@@ -128,11 +134,12 @@ def _words_key(text):
     return F.xxhash64(words), F.xxhash64(F.lit(7), words)
 
 
-def link_counts(sets: list, sizes, copies, threshold: float, half: int | None):
+def link_counts(sets: list, sizes, copies, threshold: float, half: int | None, bands=None, band: int = -1):
     """Links between texts of one cell.
 
-    ``half`` None: all pairs of ``sets``; else the pairs of a text before ``half`` with one from there on. Gives for
-    each text its number of links, the copies of the texts that it links to, and the smallest place of its tied texts.
+    ``half`` None: all pairs of ``sets``; else the pairs of a text before ``half`` with one from there on. With ``bands``
+    (a row of band hashes for each text) only pairs whose first common band is ``band`` count. Gives for each text its
+    number of links, the copies of the texts that it links to, and the smallest place of its tied texts.
     """
     import numpy as np
 
@@ -171,6 +178,8 @@ def link_counts(sets: list, sizes, copies, threshold: float, half: int | None):
                     hit[half:] = False
             hit &= row > 0
             found = np.flatnonzero(hit)
+            if bands is not None and len(found):
+                found = found[(bands[found] == bands[i]).argmax(axis=1) == band]
             links[i], weight[i] = len(found), copies[found].sum()
             for j in found[found > i]:
                 a, b = top(i), top(int(j))
@@ -187,31 +196,52 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.withColumn("node", F.coalesce("id", -F.abs(F.shiftright("k1", 1)) - 1))
 
 
-def near_classes(keyed: DataFrame, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows (node, k1, k2), and a row for each distinct text: c1, c2, class_id, text_id and counts."""
+def near_classes(keyed: DataFrame, threshold: float, recall: float, block: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (node, k1, k2), and a row for each different text: c1, c2, class_id, text_id and counts.
+
+    ``first`` marks one text of each class, whose text_id is the class_id.
+    """
     bands, rows = bands_for(threshold, recall)
     schema = "node long, k1 long, k2 long, n int, bands array<bigint>"
     sketched = materialise(keyed.select("node", "k1", "k2", "text").mapInArrow(_sketch(bands, rows), schema), "sketch")
-    classes = materialise(sketched.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")), "classes")
-    one = sketched.where("n > 0").join(classes.select("rep", "copies", F.col("k1").alias("c1"), F.col("k2").alias("c2")), (F.col("node") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).dropDuplicates(["rep"])
-    keys = one.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = keys.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.count("*").alias("m")).where("m > 1").select(F.col("band").alias("b"), F.col("hash").alias("h"), "low")
-    ties = keys.join(buckets, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    near = materialise(connected_components(materialise(ties, "ties")), "near")
-    sizes = near.groupBy("component").agg(F.count("*").alias("m"))
-    found = _verified(keyed, classes, near, sizes, threshold, block)
-    groups = connected_components(found.where("rep <> tie").select(F.col("rep").alias("a"), F.col("tie").alias("b")))
-    per = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-    told = classes.join(per.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").join(groups, F.col("rep") == F.col("node"), "left")
-    told = told.select(
-        F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("text_id"), F.col("copies").alias("n_copies"),
-        (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"),
+    # Rows of the same words have the same sketch, so it does not matter whose is kept. The number of a text is that
+    # of its row in the table as it is written, and is read from there only.
+    texts = sketched.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = materialise(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+    keys = texts.where("n > 0").select("t", F.posexplode("bands").alias("band", "hash"))
+    sums = [F.min("t").alias("low"), F.count("*").alias("m"), F.sum(F.xxhash64("t").cast("decimal(20,0)")).alias("members")]
+    buckets = keys.groupBy("band", "hash").agg(*sums).where("m > 1")
+    buckets = materialise(buckets.select(F.col("band").alias("b"), F.col("hash").alias("h"), "low", "m", "members"), "buckets")
+    met = materialise(keys.join(buckets, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).select("t", "band", "hash", "low", "m", "members"), "met")
+    discard(buckets)
+    ties = materialise(met.where("t <> low").select(F.col("t").alias("a"), F.col("low").alias("b")).distinct(), "ties")
+    near = materialise(connected_components(ties), "near")
+    found = _verified(keyed, texts, met, near, threshold, block, whole)
+    discard(ties, met, near)
+    linked = materialise(found.where("t <> tie").select(F.col("t").alias("a"), F.col("tie").alias("b")).distinct(), "linked")
+    groups = connected_components(linked)
+    per = found.groupBy(F.col("t").alias("r")).agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
+    told = texts.drop("bands").join(per, F.col("t") == F.col("r"), "left").join(groups, F.col("t") == F.col("node"), "left")
+    told = materialise(
+        told.select(
+            F.col("k1").alias("c1"), F.col("k2").alias("c2"), "component", F.col("rep").alias("text_id"), F.col("copies").alias("n_copies"),
+            (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"),
+        ),
+        "told",
     )
-    return sketched.select("node", "k1", "k2"), told
+    # A class is named by its smallest id; one of its texts with that id, whose keys are least, is its first.
+    low = told.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min(F.struct("text_id", "c1", "c2")).alias("low"))
+    named = told.join(low, F.col("component") == F.col("c"), "left")
+    first = F.coalesce((F.col("low.c1") == F.col("c1")) & (F.col("low.c2") == F.col("c2")), F.lit(True))
+    named = named.select("c1", "c2", F.coalesce("low.text_id", "text_id").alias("class_id"), "text_id", "n_copies", "n_links", "n_text_links", first.alias("first"))
+    named = materialise(named, "named")
+    discard(found, linked, told, texts)
+    return sketched.select("node", "k1", "k2"), named
 
 
 def ngram_jaccard_join(
-    df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
+    df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, whole: int = WHOLE,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """A row for each row of ``df``.
 
@@ -219,9 +249,10 @@ def ngram_jaccard_join(
     n_copies: rows with its words; n_links: other rows whose similarity reaches the threshold, copies among them;
     n_text_links: different texts among these.
     """
-    rows, told = near_classes(_keyed(df, id_col, text_col), threshold, recall, block)
-    members = rows.join(told, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    return members.select(F.when(F.col("node") >= 0, F.col("node")).otherwise(_own(F.col("node"), F.col("k1"))).alias("doc_id"), "class_id", "text_id", "n_copies", "n_links", "n_text_links")
+    rows, named = near_classes(_keyed(df, id_col, text_col), threshold, recall, block, whole)
+    members = rows.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    own = F.when(F.col("node") >= 0, F.col("node")).otherwise(_own(F.col("node"), F.col("k1")))
+    return members.select(own.alias("doc_id"), "class_id", "text_id", "n_copies", "n_links", "n_text_links")
 
 
 def _own(node, k1):
@@ -229,12 +260,15 @@ def _own(node, k1):
     return F.when(node != -F.abs(F.shiftright(k1, 1)) - 1, node)
 
 
-def _verified(keyed: DataFrame, classes: DataFrame, near: DataFrame, sizes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """rep, links, weight and tie (the smallest text it is tied to) from every cell that a text is in."""
-    spread = sizes.withColumn("parts", F.ceil(F.col("m") / block).cast("long")).withColumnRenamed("component", "c")
-    placed = near.join(spread, F.col("component") == F.col("c")).join(classes.select("rep", "copies", F.col("k1").alias("c1"), F.col("k2").alias("c2")), F.col("node") == F.col("rep"))
-    placed = placed.select("rep", "copies", "c1", "c2", "component", "parts", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
-    texts = keyed.join(placed, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("node") == F.col("rep"))).dropDuplicates(["rep"])
+def _verified(keyed: DataFrame, texts: DataFrame, met: DataFrame, near: DataFrame, threshold: float, block: int, whole: int) -> DataFrame:
+    """t, links, weight and tie (the smallest text it is tied to) from every cell that a text is in."""
+    sizes = near.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m"))
+    placed = near.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("t"), "component", "m")
+    known = texts.select(F.col("t").alias("x"), "k1", "k2", "rep", "copies", "bands")
+    placed = materialise(placed.join(known, F.col("t") == F.col("x")).drop("x"), "placed")
+    # One row of each text: that of its smallest node, or any of those that share it.
+    mine = placed.select("t", F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
+    source = keyed.join(mine, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("node") == F.col("rep")))
 
     def pack(batches):
         import pyarrow as pa
@@ -244,15 +278,28 @@ def _verified(keyed: DataFrame, classes: DataFrame, near: DataFrame, sizes: Data
         shingles = Shingler()
         for batch in batches:
             for some in slices(batch):
-                sets = [shingles(t).tobytes() for t in some.column(5).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(sets, pa.binary())], names=["rep", "copies", "component", "parts", "part", "hashes"])
+                sets = [shingles(t).tobytes() for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["t", "hashes"])
 
-    packed = texts.select("rep", "copies", "component", "parts", "part", "text").mapInArrow(pack, "rep long, copies long, component long, parts long, part long, hashes binary")
+    packed = source.dropDuplicates(["t"]).select("t", "text").mapInArrow(pack, "t long, hashes binary")
     packed = materialise(packed, "sets")
+    # Components of moderate size are groups (band -1) themselves; of others, the buckets are, each set of texts once.
+    groups = placed.where(F.col("m") <= whole).select("t", "copies", F.lit(None).cast("array<bigint>").alias("bands"), F.lit(-1).alias("band"), F.col("component").alias("name"), "m")
+    wide = placed.where(F.col("m") > whole).select(F.col("t").alias("x"), "copies", "bands", "component")
+    inside = met.join(wide, F.col("t") == F.col("x")).drop("x")
+    once = inside.groupBy("component", "m", "members").agg(F.min(F.struct("band", "hash")).alias("of")).select("of.band", "of.hash")
+    once = materialise(once.select(F.col("band").alias("b"), F.col("hash").alias("h")), "once")
+    inside = inside.join(once, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h")))
+    groups = groups.unionByName(inside.select("t", "copies", "bands", "band", F.col("hash").alias("name"), "m"))
+    groups = groups.withColumn("parts", F.ceil(F.col("m") / block).cast("long")).withColumn("part", F.pmod(F.xxhash64("t"), "parts"))
     # A text of part p meets part q in the cell of both; cell (p, p) holds the pairs inside the part.
-    cells = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("rep", "copies", "component", "part", "hashes", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
-    schema = "rep long, links long, weight long, tie long"
-    return materialise(cells.groupBy("component", "row", "col").applyInArrow(_compare(threshold), schema), "links")
+    cells = groups.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select("t", "copies", "bands", "band", "name", "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
+    cells = cells.join(packed.withColumnRenamed("t", "x"), F.col("t") == F.col("x")).drop("x")
+    schema = "t long, links long, weight long, tie long"
+    found = materialise(cells.groupBy("band", "name", "row", "col").applyInArrow(_compare(threshold), schema), "links")
+    discard(placed, packed, once)
+    return found
 
 
 def _compare(threshold: float):
@@ -260,14 +307,15 @@ def _compare(threshold: float):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by([("part", "ascending"), ("rep", "ascending")])
+        table = table.sort_by([("part", "ascending"), ("t", "ascending")])
         sets = [np.frombuffer(b, np.uint64) for b in table["hashes"].to_pylist()]
         sizes = np.asarray([len(s) for s in sets], np.float64)
         parts = table["part"].to_numpy()
         half = None if parts[0] == parts[-1] else int(np.searchsorted(parts, parts[-1]))
-        reps = table["rep"].to_numpy()
-        links, weight, tops = link_counts(sets, sizes, table["copies"].to_numpy(), threshold, half)
-        return pa.table({"rep": reps, "links": links, "weight": weight, "tie": reps[tops]})
+        texts, band = table["t"].to_numpy(), table["band"][0].as_py()
+        bands = None if band < 0 else np.stack(table["bands"].to_pylist())
+        links, weight, tops = link_counts(sets, sizes, table["copies"].to_numpy(), threshold, half, bands, band)
+        return pa.table({"t": texts, "links": links, "weight": weight, "tie": texts[tops]})
 
     return compare
 
@@ -278,11 +326,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: a row of the text whose id the class has, one of them where several have both."""
-    names = docs.columns
-    _, told = near_classes(_keyed(docs, "doc_id", "text"), THRESHOLD, RECALL, BLOCK)
-    first = told.where("class_id = text_id").select("c1", "c2", F.col("text_id").alias("c3"))
-    k1, k2 = _words_key(F.col("text").cast("string"))
-    rows = docs.withColumns({"__1": k1, "__2": k2}).withColumn("__3", F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright("__1", 1)) - 1))
-    kept = rows.join(first, (F.col("__1") == F.col("c1")) & (F.col("__2") == F.col("c2")) & (F.col("__3") == F.col("c3")), "left_semi")
-    return kept.dropDuplicates(["__1", "__2", "__3"]).select(*names)
+    """One document of each class: a row of its first text, one of them where several rows have its words and id."""
+    inner, names = numbered(docs)
+    id_, text = F.col(names["doc_id"]).cast("long"), F.col(names["text"]).cast("string")
+    _, told = near_classes(_keyed(inner, names["doc_id"], names["text"]), THRESHOLD, RECALL, BLOCK, WHOLE)
+    first = told.where("first").select("c1", "c2", F.col("text_id").alias("c3"))
+    k1, k2 = _words_key(text)
+    rows = inner.withColumns({"k1": k1, "k2": k2}).withColumn("k3", F.coalesce(id_, -F.abs(F.shiftright("k1", 1)) - 1))
+    kept = rows.join(first, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("k3") == F.col("c3")), "left_semi")
+    return restored(kept.dropDuplicates(["k1", "k2", "k3"]), names)

@@ -86,8 +86,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(5)
     want = brute(rows)
     assert sum(x[5] > 0 for x in want) > 50
-    for block in (768, 20):
-        got = sorted(tuple(x) for x in j.ngram_jaccard_join(df, block=block).collect())
+    for block, whole in ((768, 4096), (20, 4096), (768, 1), (7, 3)):
+        got = sorted(tuple(x) for x in j.ngram_jaccard_join(df, block=block, whole=whole).collect())
         assert [x for x in zip(got, want) if x[0] != x[1]][:3] == [] and len(got) == len(want)
 
 
@@ -100,3 +100,15 @@ def test_nulls_and_stage(spark):
     kept = j.near_duplicates_stage(spark, df, "").collect()
     assert sorted(x.text for x in kept) == sorted(["p q r s t u", "other words here", long, "quite another", "p q r s t u v"])
     assert j.ngram_jaccard_join(df.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " tail"), (9, b + " tail"), (9, b + " other"), (5, a), (2, "alone"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for parts in (1, 3, 5):
+        got = sorted(tuple(x) for x in j.ngram_jaccard_join(df.repartition(parts)).collect())
+        assert got == want, parts
+    kept = j.near_duplicates_stage(spark, df.withColumns({c: df.doc_id for c in ("c1", "k1", "t", "rep", "__1", "in0")}), "").collect()
+    assert sorted((x.doc_id, x.rep, x.k1, (x.text or "")[:2]) for x in kept) == [(2, 2, 2, ""), (2, 2, 2, "al"), (5, 5, 5, "a0"), (5, 5, 5, "b0")]
