@@ -1,16 +1,21 @@
 """Best-fit packing of documents into sequences, by hierarchical residual packing.
 
-Each task packs the pieces that it has, longest first, into the fullest sequence that still has room. Sequences
-that are nearly full are final. The others are taken apart, and their pieces, each an underfull sequence of one
-item, go up a tree: groups of tasks repeat the best-fit round over what their members left, until the root closes
-all. Every piece of an underfull sequence goes up. A node of more than ``fan_in * carry`` items is dealt by hash into
-parts of about that size, which are mixed alike and packed one by one, so that memory is bounded.
+Each task packs the pieces that it has, longest first, into the fullest sequence that still has room; of more than
+``WINDOW`` pieces it packs so many at a time. Sequences that are nearly full are final. The others go up a tree as items
+of their fill: groups of tasks merge the underfull sequences of their members by further best-fit rounds, and what is
+nearly full by then is final. A node of more than ``fan_in * carry`` items is dealt by hash into parts of about that
+size, so that memory is bounded; all underfull sequences go up, whatever their number.
+
+What is still underfull at the root cannot be filled by whole sequences, as where one task held long pieces and another
+those that would fill the gaps. A last round deals these sequences by hash into parts, packs their pieces anew, and
+keeps the outcome of a part where it needs fewer sequences.
 
 Only documents longer than a sequence are cut: their first piece takes the remainder, all others are full.
 
-Defined results: a null or empty text is a document of the end id alone; rows with a null or repeated doc_id are
-documents like any other (rows alike in all columns give rows alike in doc_id and piece); an empty table gives no
-rows. Columns other than the two named ones are not read.
+Defined results: a null or empty text is a document of the end id alone; a text of any length is cut into pieces of one
+row each; rows with a null or repeated doc_id are documents like any other (rows alike in all columns give rows alike in
+doc_id and piece); an empty table gives no rows. Columns other than the two named ones, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, read_table
+from pagewright.llm.common import discard, materialise, read_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
 #: Bins that one task may number.
@@ -56,15 +61,6 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, fill
 
 
-def residual_round(lengths: list[int], capacity: int, slack: int, last: bool) -> tuple[list[int], list[int], list[bool]]:
-    """One round over items sorted longest first: bin, offset and whether the item stays open for the next round.
-
-    The last round closes everything.
-    """
-    bins, offsets, fill = best_fit(lengths, capacity)
-    return bins, offsets, [not last and capacity - fill[b] > slack for b in bins]
-
-
 def pack_documents(
     df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, slack: int = 4, carry: int = 8192, fan_in: int = 8,
     id_col: str = "doc_id", text_col: str = "text",
@@ -96,12 +92,9 @@ def pack_documents(
         def packed(held):
             nonlocal number
             held.sort(key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[4]))
-            bins, offsets, opens = residual_round([r[3] for r in held], capacity, slack, False)
-            rows = []
-            for r, b, at, is_open in zip(held, bins, offsets, opens):
-                # An open item is numbered by itself, beyond the bins of this round.
-                rows.append(r + ((number + len(held) + len(rows), 0, True) if is_open else (number + b, at, False)))
-            number += 2 * len(held)
+            bins, offsets, fill = best_fit([r[3] for r in held], capacity)
+            rows = [r + (number + b, at, capacity - fill[b] > slack) for r, b, at in zip(held, bins, offsets)]
+            number += len(fill)
             return [rows[i : i + 20_000] for i in range(0, len(rows), 20_000)]
 
         held: list[tuple] = []
@@ -130,44 +123,81 @@ def pack_documents(
 
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialise(plain.mapInArrow(cut, PIECES), "pieces")
-    items = pieces.where("open").select(F.col("sequence_id").alias("item"), "length")
-    tasks = (pieces.agg(F.max("sequence_id")).first()[0] or 0) // TASK_BINS + 1
-    decided = []
+    loose = pieces.where("open")
+    tasks = (loose.agg(F.max("sequence_id")).first()[0] or 0) // TASK_BINS + 1
+    # Where each underfull sequence of a task has gone so far: its sequence by now, and its place in that.
+    gone = materialise(loose.groupBy(F.col("sequence_id").alias("own")).agg(F.sum("length").alias("fill")).select("own", F.col("own").alias("now"), F.lit(0).cast("long").alias("shift"), F.col("fill"), F.lit(True).alias("open")), "underfull")
     width = fan_in
     while True:
-        root = width >= tasks
-        nodes = items.withColumn("node", F.expr(f"item div {TASK_BINS * width}"))
-        parts = nodes.groupBy("node").agg(F.ceil(F.count("*") / (fan_in * carry)).alias("parts"))
-        dealt = nodes.join(F.broadcast(parts), "node").withColumn("part", F.pmod(F.xxhash64("item"), "parts"))
-        settled = materialise(dealt.select("node", "part", "item", "length").groupBy("node", "part").applyInPandas(_settle(capacity, slack, root), "item long, length long, bin long, at long, open boolean"), "settled")
-        decided.append(settled.where("not open").select("item", "bin", "at"))
-        if root:
+        items = gone.where("open and shift = 0 and own = now").select(F.col("now").alias("item"), "fill")
+        dealt = _dealt(items.withColumn("node", F.expr(f"item div {TASK_BINS * width}")), fan_in * carry)
+        merged = materialise(dealt.groupBy("node", "part").applyInArrow(_merge(capacity, slack), "item long, bin long, at long, total long, still boolean"), "merged")
+        moved = gone.join(merged, F.col("now") == F.col("item"), "left")
+        after = moved.select(
+            "own", F.coalesce("bin", "now").alias("now"), (F.col("shift") + F.coalesce("at", F.lit(0))).alias("shift"),
+            F.coalesce("total", "fill").alias("fill"), F.coalesce("still", "open").alias("open"),
+        )
+        after = materialise(after, "underfull")
+        discard(gone, merged)
+        gone = after
+        if width >= tasks:
             break
-        items = settled.where("open").select("item", "length")
         width *= fan_in
-    placed = decided[0]
-    for more in decided[1:]:
-        placed = placed.unionByName(more)
-    closed = pieces.where("not open").drop("open")
-    moved = pieces.where("open").join(placed, F.col("sequence_id") == F.col("item"))
-    return closed.unionByName(moved.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
+    placed = loose.join(gone.withColumnRenamed("open", "still"), F.col("sequence_id") == F.col("own")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.col("now").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"), "still"
+    )
+    placed = materialise(placed, "placed")
+    left = _dealt(placed.where("still").withColumn("node", F.lit(0)), fan_in * carry, "sequence_id")
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    again = left.drop("node", "parts").groupBy("part").applyInArrow(_repack(capacity), columns)
+    names = [c.split()[0] for c in columns.split(", ")]
+    return pieces.where("not open").select(names).unionByName(placed.where("not still").select(names)).unionByName(again)
+
+
+def _dealt(items: DataFrame, most: int, key: str = "item") -> DataFrame:
+    """Items with the part of their node, of about ``most`` items, that a hash of the key deals them to."""
+    parts = items.groupBy(F.col("node").alias("of")).agg(F.ceil(F.count("*") / most).alias("parts"))
+    return items.join(F.broadcast(parts), F.col("node") == F.col("of")).drop("of").withColumn("part", F.pmod(F.xxhash64(key), "parts"))
 
 
-def _settle(capacity: int, slack: int, last: bool):
-    """A node of the tree, or a part of it: one best-fit round over the items of its members.
+def _merge(capacity: int, slack: int):
+    """A node of the tree, or a part of it: one best-fit round over underfull sequences, each as a whole.
 
-    A bin takes the number of its first item, which no other bin holds.
+    A sequence takes the number of the fullest that is merged into it, which stands at its start.
     """
 
-    def settle(pdf):
-        pdf = pdf.sort_values(["length", "item"], ascending=[False, True], ignore_index=True)
-        bins, offsets, opens = residual_round(pdf["length"].tolist(), capacity, slack, last)
-        items, first = pdf["item"].tolist(), {}
+    def merge(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("fill", "descending"), ("item", "ascending")])
+        items = table["item"].to_pylist()
+        bins, offsets, fill = best_fit(table["fill"].to_pylist(), capacity)
+        first: dict[int, int] = {}
         for item, b in zip(items, bins):
             first.setdefault(b, item)
-        return pdf.assign(bin=[first[b] for b in bins], at=offsets, open=opens)[["item", "length", "bin", "at", "open"]]
+        total = [fill[b] for b in bins]
+        return pa.table({"item": items, "bin": [first[b] for b in bins], "at": offsets, "total": total, "still": [capacity - n > slack for n in total]})
+
+    return merge
 
-    return settle
+
+def _repack(capacity: int):
+    """A part of what is underfull at the root: its pieces packed anew, if that takes fewer sequences."""
+
+    def repack(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        table = table.sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        bins, offsets, fill = best_fit(table["length"].to_pylist(), capacity)
+        names = pc.unique(table["sequence_id"]).to_pylist()
+        if len(fill) < len(names):
+            table = table.set_column(5, "sequence_id", pa.array([names[b] for b in bins], pa.int64()))
+            table = table.set_column(6, "offset", pa.array(offsets, pa.int64()))
+        return table
+
+    return repack
 
 
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
