@@ -4,31 +4,36 @@ A source's target over its size is the expected number of copies of each of its
 as it is; the fractions are rounded together. Two documents at a time, a random amount of mass, counted in words,
 moves from one to the other until one of them has a whole number of copies; each keeps its expectation, and the
 words of the two together do not change. Within a source, documents are dealt by a hash of their content into
-groups of about ``group_rows``, whose fractions are equal at first. There the largest document is paired with the
-bundle of all smaller ones, whose fractions move alike; it becomes whole, or else the bundle does and it is left.
-Then the next largest meets the rest. Each group's last document goes up a reduction tree, where documents are
-paired one with one, until one is left for the source, which gets the nearer whole number. It is small unless one document
-outweighs its group, so a source misses its target by a few words.
+groups of about ``group_rows``. A group takes its documents largest first: the one that is still open meets the next
+largest. If one that matters is open at the end, smaller ones that were rounded the other way make up for its rounding
+(``exchanged``), until a small one is open; this shifts the chances of single documents a little, in small sources most. Each group's last document goes up a reduction tree, where documents are
+paired alike, until one is left for the source, which gets the nearer whole number. So a source misses its target by at
+most half of that document's words; it is among the smallest unless one document outweighs the rest of its source.
+
+Rows alike in all columns are one item with as many copies to expect as they have together; the copies are then dealt
+evenly to the rows, so a row repeated any number of times is neither numbered nor listed.
 
 Choices follow from a seed and the documents alone, not from how Spark deals them, so reruns agree.
 
 Defined results: a null source is a source of its own, the last; a null or empty text has no words and keeps the
-whole part of its copies; rows with a null or repeated doc_id are documents like any other, and rows alike in all
-columns are told apart only by number; a table without words takes nothing (targets 0); an empty table gives no rows.
+whole part of its copies, the rest being drawn; a text of any length counts whole; rows with a null or repeated doc_id
+are documents like any other; a table without words takes nothing (targets 0); an empty table gives no rows. The stage
+hands on columns of any name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pagewright.llm.common import materialise, read_table, word_count
+from pagewright.llm.common import discard, materialise, numbered, read_table, restored, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
 #: Nearer to a whole number than this counts as whole.
 WHOLE = 1e-9
+#: Share of a group's words to take by which its last document may miss them without an exchange.
+NEAR = 1e-3
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -> list[float]:
@@ -85,36 +90,42 @@ def pivotal(sizes: list[int], parts: list[float], keys: list[int], seed: int) ->
     return up, parts, left
 
 
-def bundled(sizes: list[int], part: float, keys: list[int], seed: int) -> tuple[list[int], int, float]:
-    """Round equal fractions of items, largest first, each paired with the bundle of all that follow.
+def exchanged(sizes: list[int], given: list[float], up: list[int], part: float, left: int, keys: list[int], seed: int) -> tuple[list[int], float, int]:
+    """Move the open place from a large item to a small one of the same group.
 
-    Gives 0 or 1 for each settled item (-1: not settled), the place of the item that is left (-1: none) and its fraction.
+    The open item becomes whole, up with the chance of its fraction. The words that this takes or sets free are made up
+    for by items of at most its size that were rounded the other way, in the order of their hashes; the one that would
+    be too many stays open for the rest and is the next to become whole. Words are the same throughout, and in
+    expectation as many leave the items rounded up as reach those rounded down. Ends when no smaller item can make up
+    for it. Gives the items, the fraction of the one that is open by then, and its place.
     """
-    up = [-1] * len(sizes)
-    rest = sum(sizes)
-    for i, size in enumerate(sizes):
-        if part <= WHOLE or part >= 1 - WHOLE:
-            up[i:] = [int(part > 0.5)] * (len(sizes) - i)
-            return up, -1, 0.0
-        rest -= size
-        if size <= 0:
-            up[i] = int(_draw(keys[i], keys[i], seed) < part)
-            continue
-        if rest <= 0:
-            for k in range(i + 1, len(sizes)):
-                up[k] = int(_draw(keys[k], keys[k], seed) < part)
-            return up, i, part
-        to_item = min((1 - part) * size, part * rest)
-        to_rest = min(part * size, (1 - part) * rest)
-        if _draw(keys[i], i, seed) * (to_item + to_rest) < to_rest:
-            own, part = part + to_item / size, part - to_item / rest
+    up = list(up)
+    free = [i for i in range(len(sizes)) if sizes[i] > 0 and WHOLE < given[i] < 1 - WHOLE]
+    order = sorted(free, key=lambda i: _draw(keys[i], 17, seed))
+    while True:
+        size = sizes[left]
+        drawn = _draw(keys[left], size, seed + 1) < part
+        for rise in (drawn, not drawn):  # the other way only where smaller items do not have the words
+            rest = (1 - part if rise else part) * size
+            pool = [i for i in order if up[i] == int(rise) and sizes[i] < size]
+            swapped = []
+            for i in pool:
+                if sizes[i] <= rest + WHOLE:
+                    swapped.append(i)
+                    rest -= sizes[i]
+            taken = set(swapped)
+            opened = min((i for i in pool if i not in taken and sizes[i] > rest), key=lambda i: sizes[i], default=-1)
+            if rest <= WHOLE or opened >= 0:
+                break
         else:
-            own, part = part - to_rest / size, part + to_rest / rest
-        if WHOLE < own < 1 - WHOLE:
-            up[i + 1 :] = [int(part > 0.5)] * (len(sizes) - i - 1)
-            return up, i, own
-        up[i] = int(own > 0.5)
-    return up, -1, 0.0
+            return up, part, left
+        up[left] = int(rise)
+        for i in swapped:
+            up[i] = int(not rise)
+        if rest <= WHOLE:
+            return up, 0.0, -1
+        left, part = opened, 1 - rest / sizes[opened] if rise else rest / sizes[opened]
+        up[left] = -1
 
 
 def _draw(a: int, b: int, seed: int) -> float:
@@ -126,96 +137,117 @@ def _draw(a: int, b: int, seed: int) -> float:
 
 
 def source_targets(items: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target, rows of each source. A row per source of the mixture goes to the driver."""
-    rows = sorted(items.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+    """source, source_size, target and items of each source. A row per source of the mixture goes to the driver."""
+    sums = items.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.count("*").alias("n")).collect()
+    rows = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["s"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))])
-    return items.sparkSession.createDataFrame([(r["source"], r["s"], g, r["n"]) for r, g in zip(rows, goal)], "source string, source_size long, target double, n_rows long")
+    told = [(r["source"], r["s"], g, r["n"]) for r, g in zip(rows, goal)]
+    return items.sparkSession.createDataFrame(told, "of string, source_size long, target double, n_items long")
+
+
+KEPT = "source string, size long, n long, key long, key2 long, source_size long, target double, node long"
+SETTLED = KEPT + ", copies long, part double, is_open boolean"
 
 
 def mix(items: DataFrame, seed: int = 20, group_rows: int = 1024, fan_in: int = 16, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """Copies to take of each item.
+    """Copies to take of each item, all its rows together.
 
-    ``items``: doc_id, source, size and key, a long that tells items apart. Adds source_size, target and copies.
+    ``items``: source, size (words of a row), n (rows), key and key2, two longs that tell items apart.
+    Adds source_size, target and copies.
     """
     goal = source_targets(items, weights)
-    n_groups = F.ceil(F.col("n_rows") / group_rows)
-    dealt = items.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, items["source"].eqNullSafe(goal["source"])).select(
-        "doc_id", items["source"], "size", "key", "source_size", "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("part"),
-        F.pmod(F.xxhash64("key", F.lit(seed)), n_groups).cast("long").alias("node"), (n_groups > 1).alias("more"),
+    n_groups = F.ceil(F.col("n_items") / group_rows)
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    dealt = items.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, F.col("source").eqNullSafe(F.col("of"))).select(
+        "source", "size", "n", "key", "key2", "source_size", "target", F.lit(0).cast("long").alias("copies"), (share * F.col("n")).alias("part"),
+        F.pmod(F.xxhash64("key", "key2", F.lit(seed)), n_groups).cast("long").alias("node"), (n_groups > 1).alias("more"),
     )
-    kinds = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, k) for n, k in (("source", T.StringType()), ("size", T.LongType()), ("key", T.LongType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("node", T.LongType()), ("copies", T.LongType()), ("part", T.DoubleType()), ("is_open", T.BooleanType())))])
-    first = materialise(dealt.groupBy("source", "node").applyInArrow(_settle(seed, True), kinds), "mixed")
+    first = materialise(dealt.groupBy("source", "node").applyInArrow(_settle(seed), SETTLED), "mixed")
     done, rest = [first.where("not is_open")], first.where("is_open")
     nodes = first.agg(F.max("node")).first()[0]
     while nodes:
         nodes = nodes // fan_in
         up = rest.withColumn("node", F.expr(f"node div {fan_in}")).withColumn("more", F.lit(nodes > 0))
-        level = materialise(up.groupBy("source", "node").applyInArrow(_settle(seed, False), kinds), "mixed")
+        level = materialise(up.groupBy("source", "node").applyInArrow(_settle(seed), SETTLED), "mixed")
         done.append(level.where("not is_open"))
         rest = level.where("is_open")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "key", "source_size", "target", "copies")
+    return out.select("source", "size", "n", "key", "key2", "source_size", "target", "copies")
 
 
-def _settle(seed: int, leaf: bool):
+def _settle(seed: int):
     """One group: settles all items but one; the root of a source's tree settles that as well."""
 
     def settle(table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        table = table.sort_by([("size", "descending"), ("key", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("size", "descending"), ("key", "ascending"), ("key2", "ascending")])
         sizes, keys, part = table["size"].to_pylist(), table["key"].to_pylist(), table["part"].to_pylist()
-        if leaf:
-            whole = [int(p + WHOLE) for p in part]
-            up, left, own = bundled(sizes, max(0.0, part[0] - whole[0]), keys, seed)
-            part = [own] * len(sizes)
-        else:
-            whole = table["copies"].to_pylist()
-            up, part, left = pivotal(sizes, part, keys, seed)
+        whole = [int(p + WHOLE) for p in part]
+        given = [max(0.0, p - w) for p, w in zip(part, whole)]
+        up, part, left = pivotal(sizes, given, keys, seed)
+        if left >= 0 and sizes[left] * min(part[left], 1 - part[left]) > NEAR * sum(a * b for a, b in zip(given, sizes)):
+            up, own, left = exchanged(sizes, given, up, part[left], left, keys, seed)
+            part = [own] * len(part)
         if left >= 0 and not table["more"][0].as_py():
             up[left] = int(part[left] >= 0.5)  # the nearer number: one document a source is not left to chance
             left = -1
-        n = table.num_rows
-        copies = [w + max(u, 0) for w, u in zip(whole, up)]
-        cols = {c: table[c] for c in ("doc_id", "source", "size", "key", "source_size", "target", "node")}
-        return pa.table(cols | {"copies": pa.array(copies, pa.int64()), "part": pa.array(part, pa.float64()), "is_open": pc.equal(pa.array(range(n), pa.int64()), left)})
+        copies = [c + w + max(u, 0) for c, w, u in zip(table["copies"].to_pylist(), whole, up)]
+        kept = {c.split()[0]: table[c.split()[0]] for c in KEPT.split(", ")}
+        is_open = pc.equal(pa.array(range(table.num_rows), pa.int64()), left)
+        return pa.table(kept | {"copies": pa.array(copies, pa.int64()), "part": pa.array(part, pa.float64()), "is_open": is_open})
 
     return settle
 
 
+def _repeated(df: DataFrame, times, name: str = "nth") -> DataFrame:
+    """Each row ``times`` times, numbered from 0; no array holds more than 65,536 numbers."""
+    chunked = df.where(times > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / 65_536))))
+    last = F.least(times - 1, F.col("chunk") * 65_536 + 65_535)
+    return chunked.withColumn(name, F.explode(F.sequence(F.col("chunk") * 65_536, last))).drop("chunk")
+
+
+def _copies_of_row(nth):
+    """The share of its item's copies that the row of this number gets."""
+    return F.floor(F.col("copies") / F.col("n")) + (nth < F.col("copies") % F.col("n")).cast("long")
+
+
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = read_table(spark, sf_dir, "documents")
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
-    mixed = mix(items)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    id_ = F.col("doc_id").cast("long")
+    keys = _keys([id_, source, text])
+    rows = docs.select(id_.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), *keys)
+    items = rows.groupBy("key", "key2").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.count("*").alias("n"))
+    items = materialise(items, "items")
+    mixed = mix(items.drop("doc_id")).join(items.select(F.col("key").alias("a"), F.col("key2").alias("b"), "doc_id"), (F.col("key") == F.col("a")) & (F.col("key2") == F.col("b")))
+    each = _repeated(mixed, F.col("n")).withColumn("copies", _copies_of_row(F.col("nth")))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: none, once or up to three times.
+def _keys(columns: list) -> list:
+    """Two hashes that tell rows apart by some columns, their nulls included."""
+    seen = [x for c in columns for x in (c, c.isNull())]
+    return [F.xxhash64(*seen).alias("key"), F.xxhash64(F.lit(1), *seen[::-1]).alias("key2")]
 
-    Rows alike in id and content are numbered, so that each gets the copies of one item.
-    """
-    names = docs.columns
-    same = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("source", "text").alias("h")]
-    ids = docs.select(*same, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    # Items of one content are alike; only how many copies they take together matters.
-    counted = ids.groupBy("doc_id", "h").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("rows"))
-    items = counted.select("doc_id", "h", "source", "size", F.posexplode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth", "x")).select("doc_id", "source", "size", F.xxhash64("doc_id", "h", F.when(F.col("nth") > 0, F.col("nth"))).alias("key"), F.col("h"))
-    mixed = mix(items.select("doc_id", "source", "size", "key"))
-    taken = materialise(items.select("key", "h", "doc_id").withColumnRenamed("key", "k").join(mixed.select("key", "copies"), F.col("k") == F.col("key")).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("copies").alias("__c")), "taken")
-    keyed = docs.withColumns({"__e": F.col("doc_id").cast("long"), "__i": F.xxhash64("source", "text")})
-    several = taken.where(F.size("__c") > 1).limit(1).count() > 0
-    if several:
-        from pyspark.sql import Window
-
-        keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__e", "__i").orderBy(F.lit(1))))
-    else:
-        keyed = keyed.withColumn("__n", F.lit(1))
-    joined = keyed.join(taken, F.col("__e").eqNullSafe(F.col("__d")) & (F.col("__i") == F.col("__h")))
-    times = F.get(F.sort_array("__c"), F.col("__n") - 1)
-    return joined.withColumn("__t", times).where("__t > 0").withColumn("__x", F.explode(F.array_repeat(F.lit(0), F.col("__t").cast("int")))).select(*names)
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none, once or up to three times."""
+    inner, names = numbered(docs)
+    # Other than strings and numbers, columns are compared as JSON, as maps have no hash.
+    plain = ("string", "bigint", "int", "double", "float", "boolean", "smallint", "tinyint", "date", "timestamp", "binary")
+    compared = [F.col(c) if kind in plain or kind.startswith("decimal") else F.to_json(F.struct(c)) for c, kind in inner.dtypes]
+    source, text = F.col(names["source"]).cast("string"), F.col(names["text"]).cast("string")
+    keyed = inner.withColumns(dict(zip(("key", "key2"), _keys(compared))))
+    rows = keyed.select("key", "key2", source.alias("source"), word_count(text).alias("size"))
+    items = materialise(rows.groupBy("key", "key2").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("n")), "items")
+    mixed = mix(items)
+    taken = materialise(mixed.where("copies > 0").select(F.col("key").alias("a"), F.col("key2").alias("b"), "copies"), "taken")
+    discard(items)
+    one = keyed.dropDuplicates(["key", "key2"])
+    joined = one.join(taken, (F.col("key") == F.col("a")) & (F.col("key2") == F.col("b")))
+    return restored(_repeated(joined, F.col("copies")), names)

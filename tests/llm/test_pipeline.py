@@ -36,7 +36,7 @@ def test_mixing_repeats_rows(spark):
     df = docs(spark)
     twice = df.union(df.where("doc_id < 5"))
     got = Counter(x.doc_id for x in m.mixing_stage(spark, twice, "").collect())
-    items = twice.selectExpr("doc_id", "source", "size(split(coalesce(text,''),' ')) as size", "1L as key")
+    items = twice.selectExpr("doc_id", "source", "size(split(coalesce(text,''),' ')) as size", "1L as n")
     assert max(v for k, v in got.items() if k >= 5) <= 3 and max(got.values()) <= 6
     for source, size, goal, _ in m.source_targets(items).collect():
         taken = sum(n * len((x.text or "").split()) for x in df.where(f"source <=> {'null' if source is None else repr(source)}").collect() for n in [got[x.doc_id]])
