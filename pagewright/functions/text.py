@@ -38,6 +38,30 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: Items of a block of a running aggregate.
+BLOCK = 128
+
+
+def blocks(items: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` items."""
+    firsts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(firsts, lambda i: F.slice(items, i, F.lit(BLOCK)))
+
+
+def running(items: Column, zero: Column, step) -> Column:
+    """What an aggregate holds after each item: out[i] = step(out[i - 1], items[i]).
+
+    Appending to an array copies it; blocks keep what is copied short, so the work grows as the array.
+    """
+
+    def block(done, some):
+        start = F.array(F.element_at(F.element_at(done, -1), -1))
+        return F.concat(done, F.array(F.aggregate(some, start, lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))))
+
+    done = F.aggregate(blocks(items), F.array(F.array(zero)), block)
+    return F.flatten(F.transform(done, lambda a: F.slice(a, F.lit(2), F.size(a))))
+
+
 def u_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
@@ -321,9 +345,10 @@ def page_of(name: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A key that sorts numbers inside names by value."""
+    """A key that sorts numbers inside names by value: each has its number of digits, in ten places, before it."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p)), "")
+    digits = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.regexp_replace(p, "^0+(?=[0-9])", "")).otherwise(p))
+    return F.array_join(F.transform(digits, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(p).cast("string"), 10, "0"), p)).otherwise(p)), "")
 
 
 def sanitize_filename(c: Column) -> Column:

@@ -140,7 +140,7 @@ on_documents("txt_format_clock", lambda: F.col("n_chars") * 1000 - 100000, t.for
 on_documents("txt_resolve_dpi", lambda: F.when(F.col("doc_id") % 7 == 0, " 3").when(F.col("doc_id") % 7 == 1, "x").otherwise((F.col("doc_id") % 1400 - 20).cast("string")), t.resolve_dpi, "CASE doc_id % 7 WHEN 0 THEN ' 3' WHEN 1 THEN 'x' ELSE (doc_id % 1400 - 20)::VARCHAR END", "CASE WHEN regexp_full_match(trim(x), '[0-4]') THEN [100, 150, 200, 300, 600][trim(x)::INT + 1] WHEN try_cast(trim(x) AS INT) BETWEEN 36 AND 1200 THEN trim(x)::INT ELSE 200 END")
 on_documents("txt_parse_bool", lambda: F.element_at(F.array(*[F.lit(x) for x in ("On", " no", "1", "maybe", "FALSE")]), (F.col("doc_id") % 5 + 1).cast("int")), t.parse_bool, "['On', ' no', '1', 'maybe', 'FALSE'][doc_id % 5 + 1]", "CASE WHEN lower(trim(x)) IN ('true', '1', 'on', 'yes') THEN true WHEN lower(trim(x)) IN ('false', '0', 'off', 'no') THEN false END")
 on_documents("txt_page_of", cat("p2_", id_, ".png"), t.page_of, "'p2_' || doc_id || '.png'", "regexp_extract(x, '([0-9]+)(?:\\.[^.]*)?$', 1)::BIGINT")
-on_documents("txt_natural_key", cat("Img", id_, "b007"), t.natural_key, "'Img' || doc_id || 'b007'", "'img' || lpad(doc_id::VARCHAR, 20, '0') || 'b' || lpad('7', 20, '0')")
+on_documents("txt_natural_key", cat("Img", id_, "b007"), t.natural_key, "'Img' || doc_id || 'b007'", "'img' || lpad(length(doc_id::VARCHAR)::VARCHAR, 10, '0') || doc_id || 'b' || lpad('1', 10, '0') || '7'")
 on_documents("txt_sanitize_filename", cat("a b*~", lambda: F.col("lang"), "é/_", id_), t.sanitize_filename, "'a b*~' || lang || 'é/_' || doc_id", "'a%20b%2A%7E' || regexp_extract(x, '~(.*)é', 1) || '%C3%A9%2F_' || doc_id")
 on_documents("txt_uuid5", cat(lambda: F.col("lang"), "|", id_), t.uuid5, "", None)
 on_documents("ut_display_width", cat("中→ｱ", text), lambda x: t.display_width(x).cast("long"), "'中→ｱ' || text", "length(x) + 2")
