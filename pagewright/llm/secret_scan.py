@@ -14,9 +14,13 @@ between lower case, upper case, digits and signs. This ratio is an e-value, so i
 form of the Benjamini-Hochberg rule over a text's candidates bounds the share of false finds by ``alpha``: short
 strings and texts full of candidates need more evidence. Accepted runs are spans of kind ``random``.
 
-Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; rows with null or
-repeated ids are scanned like any other; ties in start follow the order assign, access, hex, random; an empty table
-gives no rows; other columns pass through.
+What runs along a text's spans is a running aggregate built in blocks (``running``), so the work grows as the text and
+the number of its spans.
+
+Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; texts of any length are
+scanned whole; rows with null or repeated ids are scanned like any other; ties in start follow the order assign, access,
+hex, random; an empty table gives no rows; other columns pass through, whatever their names, but ``secret_spans`` takes
+the place of a column of that name. The stage keeps such a column.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import read_table
+from pagewright.functions.text import blocks, let, running
+from pagewright.llm.common import numbered, read_table, restored
 
 # The base patterns.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -52,18 +57,46 @@ CLASS_SIZES = {"l": 26, "u": 26, "d": 10, "s": 4}
 
 def _spans(text: Column, pattern: str) -> Column:
     """start, end and match of each leftmost non-overlapping match, from the pieces between the matches."""
-    pieces = F.split(text, pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def step(a, x):
-        begin = a["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+    def step(last, x):
+        begin = last["end"] + F.length(x["piece"])
+        return F.struct(begin.alias("start"), (begin + F.length(x["match"])).alias("end"), x["match"].alias("match"))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("match"))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), let(pairs, lambda p: running(p, zero, step))).otherwise(none)
+
+
+def _untouched(candidates: Column, base: Column) -> Column:
+    """The candidates, which are in order and apart, that no base span overlaps.
+
+    In order of their starts, a base span that overlaps a candidate is one before it that ends beyond its start, or the
+    next one, which starts before its end.
+    """
+    mark = lambda s, kind, match: F.struct(s["start"].alias("start"), kind.alias("of"), s["end"].alias("end"), match.alias("match"))
+    both = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: mark(b, F.lit(0), F.lit(None).cast("string"))),
+            F.transform(candidates, lambda c: mark(c, F.lit(1), c["match"])),
+        )
+    )
+
+    def chosen(all_):
+        reach = running(all_, F.lit(0), lambda most, x: F.greatest(most, F.when(x["of"] == 0, x["end"]).otherwise(F.lit(0))))
+        met = F.zip_with(all_, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach")))
+
+        def free(m):
+            return F.filter(
+                m,
+                lambda y, i: (y["x"]["of"] == 1) & (y["reach"] <= y["x"]["start"])
+                & ~F.coalesce((F.get(m, i + 1)["x"]["of"] == 0) & (F.get(m, i + 1)["x"]["start"] < y["x"]["end"]), F.lit(False)),
+            )
+
+        return F.transform(let(met, free), lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["match"].alias("match")))
+
+    return F.when((F.size(base) == 0) | (F.size(candidates) == 0), candidates).otherwise(let(both, chosen))
 
 
 def _kind(spans: Column, order: int) -> Column:
@@ -115,6 +148,13 @@ def _battery(x: Column) -> Column:
 
 def scan(df: DataFrame, alpha: float = 1e-3, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and ``secret_spans``, an array of structs start, kind (name) and end, sorted."""
+    inner, names = numbered(df)
+    out = _scanned_rows(inner, names[text_col], alpha)
+    return out.select(*[F.col(new).alias(old) for old, new in names.items() if old != "secret_spans"], "secret_spans")
+
+
+def _scanned_rows(df: DataFrame, text_col: str, alpha: float = 1e-3) -> DataFrame:
+    """The columns of ``df``, whose names must not be used here, with ``secret_spans``."""
     out = df.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     out = out.withColumns(
         {
@@ -125,8 +165,8 @@ def scan(df: DataFrame, alpha: float = 1e-3, text_col: str = "text") -> DataFram
         }
     )
     out = out.withColumn("__b", F.concat(_kind(F.col("__a"), 0), _kind(F.col("__k"), 1), _kind(F.col("__h"), 2)))
-    free = F.filter("__c", lambda c: ~F.exists("__b", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    out = out.withColumn("__f", F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _statistics(c["match"]).alias("x"))))
+    out = out.withColumn("__u", _untouched(F.col("__c"), F.col("__b")))
+    out = out.withColumn("__f", F.transform("__u", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _statistics(c["match"]).alias("x"))))
     out = out.withColumn("__g", F.transform("__f", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["x"]["enc"].alias("enc"), c["x"]["body"].alias("body"), _codes(c["x"]["enc"], c["x"]["body"]).alias("codes"))))
     tested = F.when(F.size("__g") > 0, F.transform(F.filter("__g", lambda c: F.size(c["codes"]) > 2), _battery))
     out = out.withColumn("__r", tested)
@@ -142,7 +182,7 @@ def scan(df: DataFrame, alpha: float = 1e-3, text_col: str = "text") -> DataFram
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.transform(both, lambda s: F.struct(s["start"].alias("start"), F.get(names, s["kind"]).alias("kind"), s["end"].alias("end")))
     # A generator keeps later filters from being moved below the arrays.
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(spans.alias("secret_spans")))))
+    return out.select(*df.columns, F.inline(F.array(F.struct(spans.alias("secret_spans")))))
 
 
 def listing(spans: Column, base_only: bool = False) -> Column:
@@ -152,16 +192,28 @@ def listing(spans: Column, base_only: bool = False) -> Column:
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by a mask."""
+    """The text with each span, or run of overlapping spans, replaced by a mask.
+
+    A stretch of the text is cut out for each block of spans, and pieces out of that, so that no piece is looked for
+    from the start of a long text.
+    """
     t = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a, s):
-        fresh = s["start"] >= a["at"]
-        gap = F.when(fresh, F.concat(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap).alias("out"))
+    def pieces(placed):
+        return F.transform(blocks(placed), lambda some: let(_stretch(some), lambda s: F.array_join(F.transform(some, lambda x: piece(s, x)), "")))
+
+    def _stretch(some):
+        begin, end = F.element_at(some, 1)["at"], F.element_at(some, -1)["to"]
+        return F.struct(begin.alias("begin"), F.substring(t, begin + 1, end - begin).alias("text"))
+
+    def piece(s, x):
+        gap = F.substring(s["text"], x["at"] - s["begin"] + 1, x["start"] - x["at"])
+        return F.when(x["start"] >= x["at"], F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
 
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    # Up to where spans have reached before (at) and with each span (to); one that starts before that adds no mask.
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("to"))
+    step = lambda a, s: F.struct(a["to"].alias("at"), s["start"].alias("start"), F.greatest(a["to"], s["end"]).alias("to"))
+    done = let(running(spans, zero, step), lambda p: F.concat(F.array_join(pieces(p), ""), F.substring(t, F.element_at(p, -1)["to"] + 1, F.length(t))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
@@ -175,8 +227,10 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; n_chars follows the text."""
-    names = docs.columns
-    out = scan(docs).withColumn("text", redact(F.col("text"), F.col("secret_spans")))
+    inner, names = numbered(docs)
+    out = _scanned_rows(inner, names["text"]).withColumn("masked", redact(F.col(names["text"]).cast("string"), F.col("secret_spans")))
+    instead = {"text": F.col("masked")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        kind = docs.schema["n_chars"].dataType
+        instead["n_chars"] = F.when(F.size("secret_spans") > 0, F.length("masked").cast(kind)).otherwise(F.col(names["n_chars"]))
+    return restored(out, names, **instead)

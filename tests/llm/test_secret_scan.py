@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import string
+import time
 
 from pagewright.llm import secret_scan as s
 
@@ -81,3 +83,71 @@ def test_base36_keys(spark):
             hit = [found[i] == [(7, 7 + n)] for i, x in enumerate(keys) if x[:2] == (k, n)]
             assert sum(hit) >= 0.9 * len(hit), (k, n, sum(hit))
     assert not any(found[i] for i in range(len(keys), len(keys) + len(plain)))
+
+
+def plain_random(text, alpha=1e-3):
+    """The random spans of a text by the definitions of the module, without Spark."""
+    t, free = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        if not any(a < m.end() and m.start() < b for a, _, b in base(t)):
+            free.append(m)
+    tested = []
+    for m in free:
+        body = m[0].replace("-", "+").replace("_", "/").rstrip("=")
+        enc = next(n for n in ("decimal", "hex", "base32", "base36upper", "base36lower", "base64") if re.fullmatch(s.ALPHABETS[n][0], body) or n == "base64")
+        alphabet = s.ALPHABETS[enc][1]
+        codes = [alphabet.find(c) for c in (body.lower() if enc == "hex" else body)]
+        n, k = len(codes), len(alphabet)
+        if n <= 2:
+            continue
+        chi = sum((codes.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+        df = k - 1
+        z = [((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))]
+        high = [c >= k / 2 for c in codes]
+        ones = sum(high)
+        mean = 1 + 2 * ones * (n - ones) / n
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        z.append(abs(runs - mean) / math.sqrt(var) if var > 0 else 99.0)
+        mid, spread = (k - 1) / 2, (k * k - 1) / 12
+        z.append(abs(sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:])) / spread / math.sqrt(n - 1)))
+        kind = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in body]
+        log = math.log(0.25) - sum(math.log(s.CLASS_SIZES[c]) for c in kind)
+        log += sum(math.log(s.STAY) if a == b else math.log((1 - s.STAY) / 3) for a, b in zip(kind, kind[1:]))
+        tested.append((m, max(z) <= s.MOST_Z, -n * math.log(k) - log))
+    ranked = sorted((e for _, ok, e in tested if ok), reverse=True)
+    passed = [e for i, e in enumerate(ranked) if e + math.log((i + 1) / len(tested)) >= -math.log(alpha)]
+    return [(m.start(), m.end()) for m, ok, e in tested if ok and passed and e >= min(passed)]
+
+
+def test_random_spans_against_plain(spark):
+    r = random.Random(77)
+    alphabets = [s.ALPHABETS[n][1] for n in s.ALPHABETS]
+    token = lambda: "".join(r.choice(r.choice([alphabets[-1], a])) for a in [r.choice(alphabets)] for _ in range(r.randint(18, 70)))
+    parts = ["plain", "token = ", "api_key:", "wordsthatrunalongwithoutend", "/usr/local/lib/python/site-packages/", "=" * 24, "é", "\n", "AKIA" + "Q7" * 10, ".", "-"]
+    texts = [" ".join(r.choice([token(), r.choice(parts)]) for _ in range(r.randint(1, 25))) for _ in range(150)]
+    texts += [r.choice(["", " ", "."]).join(r.choice([token(), r.choice(parts)]) for _ in range(r.randint(1, 12))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: [(y.start, y.end) for y in x.secret_spans if y.kind == "random"] for x in s.scan(df).collect()}
+    want = {i: plain_random(t) for i, t in enumerate(texts)}
+    assert {i: (got[i], want[i], texts[i]) for i in want if got[i] != want[i]} == {} and sum(map(len, want.values())) > 50
+
+
+def test_work_grows_as_the_text(spark):
+    took = {}
+    for n in (2000, 32_000, 32_000):
+        text = " ".join(f"token=abcdef{i:06d}" for i in range(n)) + " tail"
+        df = spark.createDataFrame([(1, text, 0, "x")], "doc_id long, text string, n_chars int, secret_spans string")
+        began = time.time()
+        (out,) = s.secrets_stage(spark, df, "").collect()
+        took[n] = time.time() - began
+        assert out.text == " ".join(["[SECRET]"] * n) + " tail" and out.n_chars == len(out.text) and out.secret_spans == "x"
+    assert took[32_000] < 16, took
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg", "a")], "doc_id long, text string, lang string")
+    df = df.withColumns({c: df.lang for c in ("__t", "__a", "masked", "in0", "start")})
+    (out,) = s.secrets_stage(spark, df, "").collect()
+    assert out.asDict() == {"doc_id": 1, "text": "[SECRET]", "lang": "a", "__t": "a", "__a": "a", "masked": "a", "in0": "a", "start": "a"}
+    assert s.scan(df).columns == [*df.columns, "secret_spans"]
