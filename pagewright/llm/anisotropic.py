@@ -8,15 +8,18 @@ tables by the codes, and reranks the best by exact inner products in double prec
 and all that come within the codes' usual error of its k-th best, so that many rows that are nearly alike are told
 apart by their vectors.
 
-The index is fitted on a sample of about ``sample_rows`` vectors (by hash of the id), and so is the number of cells
-a query visits: the fewest that hold ``cell_recall`` of the sample's exact neighbours. Every row is indexed. Cells
-are cut into blocks of about ``block_rows`` rows by a hash, so that a large cell is searched by many tasks. A query
-that finds too few rows in its cells is searched again in all of them.
-
-Defined results: rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite components
-take no part, nor do those of another length than most; of rows that repeat an id the one with the least vector is
-taken; equal scores rank by id, and all copies of a vector have the same code; fewer than k candidates give them
-all; an empty table gives no rows. Columns other than the two named ones are not read.
+The index has about a third of the square root of the number of rows as cells, ``MOST_CELLS`` at most. It is fitted on a
+sample of at least ``sample_rows`` vectors and twelve a cell (by hash), and so is the number of cells that a query
+visits: the fewest that hold ``cell_recall`` of the sample's exact neighbours. Every row is indexed. Cells are cut into
+blocks of about ``block_rows`` rows, so that a large cell is searched by many tasks. A query that finds too few rows in
+its cells is searched again in all of them.
+
+Defined results: rows are told apart by a number of their own, so rows that share an id, or have none, are candidates
+and queries like any other (a query is never its own candidate, but rows with its id are); vectors that are null, empty,
+zero, or hold null or non-finite components take no part, nor do those of another length than most, with which there is
+no inner product; equal scores rank by id, null last, and all copies of a vector have the same code; fewer than k
+candidates give them all; an empty table gives no rows. Columns other than the two named ones, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -26,10 +29,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, read_table
+from pagewright.llm.common import discard, materialise, read_table
 
 SUB = 2
 WORDS = 16
+#: Most cells of an index, whose centres are fitted on the driver. Beyond, cells have more blocks.
+MOST_CELLS = 16_384
+#: Vectors of the sample on which codewords are fitted.
+CODED = 12_000
 
 
 def k_means(x, k: int, seed: int, rounds: int = 12):
@@ -49,7 +56,10 @@ def k_means(x, k: int, seed: int, rounds: int = 12):
 
 
 def nearest(x, centres):
-    return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(axis=1)
+    import numpy as np
+
+    square, step = (centres**2).sum(1), max(1, (1 << 22) // len(centres))
+    return np.concatenate([(square - 2 * (x[at : at + step] @ centres.T)).argmin(axis=1) for at in range(0, max(len(x), 1), step)])
 
 
 class Index:
@@ -62,6 +72,7 @@ class Index:
         self.pad = -self.dim % (2 * SUB)
         self.eta = eta
         self.centres = k_means(x, cells, seed)
+        x = x[:CODED]
         own = nearest(x, self.centres)
         rest, unit = self._split(x, own)
         subs = rest.shape[1] // SUB
@@ -150,36 +161,36 @@ class Index:
 
 
 def _valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and vec (doubles): one row for each id that takes part."""
+    """row (a number), id and vec (doubles) of each row that takes part."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine & F.exists("vec", lambda v: v != 0))
-    rows = materialise(rows.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
-    usual = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (usual["n"] if usual else 0))
+    rows = rows.where(F.col("vec").isNotNull() & fine & F.exists("vec", lambda v: v != 0))
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vec"), "vectors")
 
 
 def fit(vectors: DataFrame, total: int, k: int, sample_rows: int = 12_000, cell_recall: float = 0.99, threshold: float = 0.2) -> Index:
     """Fit an index on a hash sample; sets ``visits``, the number of cells that a query visits."""
     import numpy as np
 
-    share = min(1.0, sample_rows / max(total, 1))
-    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).orderBy("id").toPandas()
-    if not len(chosen):
-        chosen = vectors.orderBy("id").limit(min(total, sample_rows)).toPandas()
+    n_cells = max(1, min(MOST_CELLS, round(math.sqrt(total) / 3)))
+    share = min(1.0, max(sample_rows, 12 * n_cells) / max(total, 1))
+    hashed = vectors.select("vec", F.pmod(F.xxhash64("id", "vec"), F.lit(1_000_003)).alias("h"))
+    chosen = hashed.where(F.col("h") < share * 1_000_003).select("vec").toArrow()
+    if not chosen.num_rows:
+        chosen = hashed.orderBy("h", "vec").limit(min(total, sample_rows)).select("vec").toArrow()
+    x = chosen["vec"].combine_chunks().flatten().to_numpy().reshape(chosen.num_rows, -1)
     # Copies would make a few directions count for more than all others.
-    x = np.unique(np.stack(chosen["vec"].to_numpy()).astype(np.float64), axis=0)
+    x = np.unique(x, axis=0)
     x = x[np.random.default_rng(3).permutation(len(x))]
     d = x.shape[1]
     # Parallel errors count more by (d - 1) t**2 / (1 - t**2) for queries whose score is at least t of the largest.
-    index = Index(x, max(1, min(1024, round(math.sqrt(total) / 3))), max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
+    index = Index(x, n_cells, max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
     q = x[:: max(1, len(x) // 256)]
     cells = nearest(x, index.centres)
-    scores = q @ x.T
-    best = np.argsort(-scores, axis=1, kind="stable")[:, : min(k + 1, len(x))]
+    best = np.concatenate([np.argsort(-(q[at : at + 32] @ x.T), axis=1, kind="stable")[:, : min(k + 1, len(x))] for at in range(0, len(q), 32)])
     rank = np.argsort(np.argsort(-(q @ index.centres.T), axis=1, kind="stable"), axis=1)
     # By how much codes mistake the scores of neighbours, for a query of length 1.
-    gap = x - index.decode(*index.encode(x))
+    gap = np.concatenate([x[at : at + 2048] - index.decode(*index.encode(x[at : at + 2048])) for at in range(0, len(x), 2048)])
     error = np.einsum("qkd,qd->qk", gap[best], q) / np.linalg.norm(q, axis=1, keepdims=True)
     index.margin = 2.5 * float(np.sqrt((error**2).mean()))
     needed = np.sort(np.take_along_axis(rank, cells[best], 1).ravel())
@@ -191,7 +202,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20, keep: int = 96, block_ro
     """query_id, rank, vec_id and score of the k nearest rows found for each row whose id ``every`` divides."""
     spark = df.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    vectors = _valid(df, id_col, vec_col)
+    valid = _valid(df, id_col, vec_col)
+    usual = valid.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    vectors = valid.where(F.size("vec") == (usual["n"] if usual else 0))
     total = vectors.count()
     if total < 2:
         return spark.createDataFrame([], out)
@@ -206,15 +219,21 @@ def search(df: DataFrame, k: int = 20, every: int = 20, keep: int = 96, block_ro
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
-                x = np.frombuffer(some.column(1).flatten().to_numpy(), np.float64).reshape(some.num_rows, ix.dim)
+                x = np.frombuffer(some.column(2).flatten().to_numpy(), np.float64).reshape(some.num_rows, ix.dim)
                 cells, codes = ix.encode(x)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(cells, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "cell", "code"])
-
-    coded = materialise(vectors.mapInArrow(encode, "id long, vec array<double>, cell long, code binary"), "codes")
-    # A row for each cell, of which there are 1024 at most.
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:3], pa.array(cells, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary())],
+                    names=["row", "id", "vec", "cell", "code"],
+                )
+
+    coded = materialise(vectors.mapInArrow(encode, "row long, id long, vec array<double>, cell long, code binary"), "codes")
+    discard(valid)
+    # A row for each cell, of which there are MOST_CELLS at most.
     blocks = {r["cell"]: max(1, math.ceil(r["count"] / block_rows)) for r in coded.groupBy("cell").count().collect()}
     counts = spark.createDataFrame(list(blocks.items()), "c long, n_blocks long")
-    dealt = coded.join(F.broadcast(counts), F.col("cell") == F.col("c")).select("id", "vec", "code", "cell", F.pmod(F.xxhash64("id"), "n_blocks").alias("block"))
+    dealt = coded.join(F.broadcast(counts), F.col("cell") == F.col("c")).select(
+        "row", "id", "vec", "code", "cell", F.pmod(F.xxhash64("row"), "n_blocks").alias("block")
+    )
 
     def visit(all_cells: bool):
         def cells_of(batches):
@@ -226,12 +245,16 @@ def search(df: DataFrame, k: int = 20, every: int = 20, keep: int = 96, block_ro
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                q = np.frombuffer(batch.column(1).flatten().to_numpy(), np.float64).reshape(batch.num_rows, ix.dim)
+                q = np.frombuffer(batch.column(2).flatten().to_numpy(), np.float64).reshape(batch.num_rows, ix.dim)
                 n = len(held) if all_cells else min(ix.visits, len(held))
                 cells = held[np.argsort(-(q @ ix.centres[held].T), axis=1, kind="stable")[:, :n]]
                 rows = [(i, c, b) for i, own in enumerate(cells.tolist()) for c in own for b in range(blocks[c])]
                 take, cell, block = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(cell, pa.int64()), pa.array(block, pa.int64())], names=["query_id", "q", "cell", "block"])
+                take = pa.array(take)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(take) for c in batch.columns), pa.array(cell, pa.int64()), pa.array(block, pa.int64())],
+                    names=["query", "query_id", "q", "cell", "block"],
+                )
 
         return cells_of
 
@@ -242,12 +265,12 @@ def search(df: DataFrame, k: int = 20, every: int = 20, keep: int = 96, block_ro
         ix = shared.value
         found: list[tuple] = []
         if rows.num_rows and queries.num_rows:
-            rows = rows.sort_by("id")
-            ids = rows["id"].to_numpy()
+            rows = rows.sort_by([("id", "ascending"), ("row", "ascending")])  # null ids last
+            ids, numbers = rows["id"].to_pylist(), rows["row"].to_numpy()
             x = rows["vec"].combine_chunks().flatten().to_numpy().reshape(len(ids), ix.dim)
             codes = np.ascontiguousarray(np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1).T)
             qs = queries["q"].combine_chunks().flatten().to_numpy().reshape(queries.num_rows, ix.dim)
-            names = queries["query_id"].to_numpy()
+            names, own = queries["query"].to_pylist(), queries["query_id"].to_pylist()
             for at in range(0, len(names), 128):
                 q = qs[at : at + 128]
                 tables = ix.tables(q)
@@ -262,28 +285,28 @@ def search(df: DataFrame, k: int = 20, every: int = 20, keep: int = 96, block_ro
                         near = np.flatnonzero(row >= least)
                     else:
                         near = np.arange(len(ids))
-                    near = near[ids[near] != name]
+                    near = near[numbers[near] != name]
                     exact = (x[near] * q[i]).sum(axis=1)  # unlike a matrix product, the same for copies wherever they stand
-                    order = np.lexsort((ids[near], -exact))[:k]
-                    found += zip([name] * len(order), ids[near][order].tolist(), exact[order].tolist())
-        cols = list(zip(*found)) if found else [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+                    order = np.argsort(-exact, kind="stable")[:k]  # rows are in order of their ids
+                    found += [(name, own[at + i], ids[j], e) for j, e in zip(near[order].tolist(), exact[order].tolist())]
+        kinds = {"query": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds.items(), zip(*found) if found else [[]] * 4)})
 
     def nearest_of(queries: DataFrame, all_cells: bool) -> DataFrame:
         from pyspark.sql import Window
 
-        sent = queries.mapInArrow(visit(all_cells), "query_id long, q array<double>, cell long, block long")
-        hits = dealt.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        sent = queries.mapInArrow(visit(all_cells), "query long, query_id long, q array<double>, cell long, block long")
+        hits = dealt.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block")).applyInArrow(scan, "query long, query_id long, vec_id long, score double")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
         return materialise(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
 
-    queries = coded.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    queries = coded.where(F.col("id") % every == 0).select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("vec").alias("q"))
     first = nearest_of(queries, False)
-    enough = first.where(F.col("rank") == min(k, total - 1)).select("query_id")
-    short = queries.join(enough, "query_id", "left_anti")
+    enough = first.where(F.col("rank") == min(k, total - 1)).select("query")
+    short = queries.join(enough, "query", "left_anti")
     if short.limit(1).count():
         again = nearest_of(short, True)
-        first = first.join(enough, "query_id", "left_semi").unionByName(again)
+        first = first.join(enough, "query", "left_semi").unionByName(again)
     return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
