@@ -13,8 +13,8 @@ of fixed size are sent to the tasks, and both only spare the join work. ``fit``
 memory, with limits as shares of the corpus; tests hold the tables against it. Counts cover all training texts.
 
 Words are compared by 64-bit hashes of their bytes. Defined results: null and empty texts hold the end alone; a null
-doc_id is text to learn from; repeated rows count and are scored each; an empty table gives no rows. Columns other
-than the two named ones are not read.
+doc_id is text to learn from; repeated rows count and are scored each; a text of any length is scored whole; an empty
+table gives no rows. Columns other than the two named ones, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, read_table
+from pagewright.llm.common import discard, materialise, read_table
 
 END_ID = 0
 COUNTS = "word long, n long"
@@ -541,7 +541,7 @@ def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_n
     contexts = counts.where((F.col("n") >= least_context) & (F.col("word") != END_ID)).select(F.col("word").alias("ctx"), F.col("n").alias("total"), F.lit(None).cast("long").alias("older"))
     below = counts.where(F.col("n") >= least_next).select(F.col("word").alias("suffix"), (F.log10(F.col("n") + 1.0) + unknown).alias("below"))
     grams = counts.select(F.col("word").alias("key"), "n", F.log10(F.col("n") + 1.0).alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("delta"))
-    values = []
+    values, used = [], [counts]
     for d in range(1, depth + 1):
         inner, after = share(key_filter(contexts, "ctx")), share(key_filter(below, "suffix"))
         found = train.mapInArrow(_count_next(d, inner, after), FOUND).groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_next)
@@ -563,6 +563,8 @@ def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_n
         values.append(grams.join(states.select(F.col("ctx").alias("key"), "rest"), "key", "left").select("key", "n", "base", "known", (F.col("delta") + F.coalesce("rest", F.lit(0.0))).alias("more")))
         log = F.log10(chance)
         entries = materialise(tested.join(states, "ctx").select("key", "suffix", "word", "n", log.alias("log"), (log - F.col("below") - F.col("rest")).alias("delta")), "kept-entries")
+        discard(tested)
+        used += [states, entries]
         contexts = entries.where((F.col("n") >= least_context) & (F.col("word") != END_ID)).join(states.select(F.col("ctx").alias("suffix")), "suffix").select(F.col("key").alias("ctx"), F.col("n").alias("total"), F.col("suffix").alias("older"))
         below = entries.select(F.col("key").alias("suffix"), F.col("log").alias("below"))
         grams = entries.select("key", "n", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "delta")
@@ -570,7 +572,9 @@ def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_n
     table = values[0]
     for more in values[1:]:
         table = table.unionByName(more)
-    return materialise(table, "n-grams"), coded, tokens, kinds
+    table = materialise(table, "n-grams")
+    discard(*used)
+    return table, coded, tokens, kinds
 
 
 def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, depth: int = 3, common_share: float = 2e-6) -> DataFrame:
@@ -643,4 +647,6 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a tree of those that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     table, coded, tokens, kinds = fit_tables(docs)
-    return score_tables(coded, table, tokens, kinds).withColumn("train_tokens", F.lit(tokens).cast("long"))
+    scored = score_tables(coded, table, tokens, kinds)
+    discard(coded)  # the words are placed by then
+    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
