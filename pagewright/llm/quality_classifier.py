@@ -1,62 +1,84 @@
 """Quality scores from random-indexing word vectors and a two-layer network with calibrated probabilities.
 
 Each text gives two sequences of tokens: its words (lower case, without the marks that end them) and their shapes
-(case, digits, the marks; a word that repeats the one before it has a shape of its own). Tokens are hashed to
-``BUCKETS`` buckets. A bucket has a sparse random index vector, and its word vector adds up the index vectors of its
-neighbours over all texts (random indexing). A text is the mean of its words' vectors beside that of its shapes'.
+(case, digits, the marks; a word that repeats the one before it has a shape of its own). Each word has a sparse random
+index vector, which its 64-bit hash gives. The word vector of a word adds up the index vectors of its neighbours over
+all texts (random indexing) and its own index vector. Words that are at least ``WORD_SHARE`` of all have a vector of
+their own, so there are at most ``1 / WORD_SHARE`` of these whatever the corpus; a rarer word is its index vector
+alone. Shapes are hashed to ``SHAPES`` kinds, which have vectors in the same way. A text is the mean of its words'
+vectors beside that of its shapes'.
 
 The network (numpy, one hidden layer) learns from at most about ``most_rows`` labelled rows, chosen by hash, and a
 temperature fitted on a fifth of these turns its outputs into probabilities. Labels, language, source and id are
-never inputs. Counts for the word vectors cover all texts.
+never inputs. Word counts and word vectors cover all texts.
 
-Defined results: null and empty texts have zero vectors and get the network's score for these; a null doc_id is not
-held out and has no label; several labels of one id are averaged, and rows whose mean is not 0 or 1 are not learnt
-from; repeated rows are scored each; without labels of both kinds all scores are 0.5; an empty table gives no rows.
+Defined results: null and empty texts have zero vectors and get the network's score for these; a text of any length
+counts whole; a null doc_id is not held out and has no label; several labels of one id are averaged, and rows whose
+mean is not 0 or 1 are not learnt from; repeated rows are scored each; without labels of both kinds all scores are 0.5;
+an empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, read_table
+from pagewright.llm.common import discard, materialise, read_table
 
-BUCKETS = 1 << 14
 SHAPES = 1 << 10
+#: Share of all words from which on a word has a vector of its own.
+WORD_SHARE = 1e-5
 DIM = 64
 NONZERO = 4
 MARKS = ".,;:!?#$%&*|<>\"'()-_=+@/\\~^"
+COUNTS = "word long, n long"
+SUMS = "seq int, row int, n double, vec array<double>"
+#: Tokens whose vectors are in memory at a time.
+STRETCH = 1 << 16
+
+
+def index_vectors(h):
+    """Places and signs of the nonzero components of the index vectors of hashes, a row for each component."""
+    import numpy as np
+
+    places = np.stack([(h >> np.uint64(6 * k)) & np.uint64(DIM - 1) for k in range(NONZERO)]).astype(np.int64)
+    signs = np.stack([1.0 - 2.0 * ((h >> np.uint64(48 + k)) & np.uint64(1)).astype(np.float64) for k in range(NONZERO)])
+    return places, signs
 
 
-def index_vectors():
-    """Places and signs of the nonzero components of each bucket's index vector."""
+def shape_hashes():
+    """A hash for each kind of shape."""
     import numpy as np
+    import xxhash
 
-    r = np.random.default_rng(11)
-    return r.integers(0, DIM, (BUCKETS, NONZERO)), r.choice(np.array([-1.0, 1.0]), (BUCKETS, NONZERO))
+    return np.fromiter((xxhash.xxh64_intdigest(f"shape {i}") for i in range(SHAPES)), np.uint64, SHAPES)
 
 
 class Tokens:
-    """Buckets of words and shapes of texts, with a bounded table of words."""
+    """Hashes of words and kinds of shapes of texts, with a bounded table of words."""
 
     def __init__(self, most: int = 300_000):
-        self.known: dict[str, int] = {}
         self.most = most
+        self.known: dict[str, int] = {}
+        self.pairs: list[tuple[int, int]] = []
 
     @staticmethod
-    def _pair(word: str) -> int:
+    def _pair(word: str) -> tuple[int, int]:
         import zlib
 
+        import xxhash
+
         stem = word.rstrip(MARKS)
         marks = word[len(stem) :]
         case = "u" if stem.isupper() and len(stem) > 1 else "t" if stem[:1].isupper() else "l" if stem.islower() else "n"
         digits = "d" if any(c.isdigit() for c in stem) else ""
         shape = zlib.crc32(f"{case}{digits}{marks[:3]}".encode()) % (SHAPES - 1)
-        lexical = zlib.crc32(stem.lower().encode("utf-8", "surrogatepass")) % (BUCKETS - SHAPES)
-        return lexical * SHAPES + shape
+        return xxhash.xxh64_intdigest(stem.lower().encode("utf-8", "surrogatepass")), shape
 
     def __call__(self, texts):
-        """Word buckets, shape buckets and the number of words of each text."""
+        """Distinct words' hashes, each token's word and shape, and the number of tokens of each text."""
         import numpy as np
         import pyarrow.compute as pc
 
@@ -68,85 +90,160 @@ class Tokens:
         sizes = np.diff(before[bounds - bounds[0]])
         coded = flat.filter(full).dictionary_encode()
         if len(self.known) > self.most:
-            self.known = {}
-        known, words = self.known, coded.dictionary.to_pylist()
-        pairs = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(pairs < 0)
-        if len(new):
-            found = [self._pair(words[i]) for i in new.tolist()]
-            pairs[new] = found
-            known.update(zip([words[i] for i in new.tolist()], found))
-        both = pairs[coded.indices.to_numpy()]
-        lexical, shape = both // SHAPES, both % SHAPES
+            self.known, self.pairs = {}, []
+        known, pairs, words = self.known, self.pairs, coded.dictionary.to_pylist()
+        for w in words:
+            if w not in known:
+                known[w] = len(pairs)
+                pairs.append(self._pair(w))
+        found = [pairs[known[w]] for w in words]
+        each = np.fromiter((p[0] for p in found), np.uint64, len(found))
+        hashes, of = np.unique(each, return_inverse=True)
+        codes = coded.indices.to_numpy()
+        lexical = of[codes] if len(codes) else np.zeros(0, np.int64)
+        shape = np.fromiter((p[1] for p in found), np.int64, len(found))[codes] if len(codes) else np.zeros(0, np.int64)
         if len(lexical) > 1:
             again = np.flatnonzero(lexical[1:] == lexical[:-1]) + 1
             first = np.zeros(len(lexical) + 1, bool)
             first[np.cumsum(sizes) - sizes] = True
             shape[again[~first[again]]] = SHAPES - 1
-        return lexical, shape + (BUCKETS - SHAPES), sizes
+        return hashes, lexical, shape, sizes
 
 
-def _neighbours(batches):
-    """Sums of neighbours' index vectors by bucket, and how many neighbours there were."""
+def _count(batches):
+    """How often each word stands in the texts."""
     import numpy as np
     import pyarrow as pa
 
-    from pagewright.llm.encoding import slices
+    from pagewright.llm.encoding import forget, slices
 
-    places, signs = index_vectors()
+    forget()
     tokens = Tokens()
-    total, count = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS)
+    parts, held = [], 0
+
+    def rows():
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["word", "n"])
+
     for batch in batches:
         for some in slices(batch):
-            lexical, shape, sizes = tokens(some.column(0))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            inner = owner[1:] == owner[:-1]
-            for seq in (lexical, shape):
-                left, right = seq[:-1][inner], seq[1:][inner]
-                for a, b in ((left, right), (right, left)):
-                    count += np.bincount(a, minlength=BUCKETS)
-                    for k in range(NONZERO):
-                        total += np.bincount(a * DIM + places[b, k], signs[b, k], BUCKETS * DIM)
-    used = np.flatnonzero(count)
-    table = total.reshape(BUCKETS, DIM)[used].astype(np.float32)
-    for at in range(0, len(used), 4096):
-        part = slice(at, at + 4096)
-        flat = pa.array(table[part].ravel())
-        vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIM, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used[part]), pa.array(count[used[part]]), vec], names=["bucket", "n", "vec"])
+            hashes, lexical, _, _ = tokens(some.column(0))
+            parts.append((hashes, np.bincount(lexical, minlength=len(hashes))))
+            held += len(hashes)
+            if held > 1_000_000:
+                yield from rows()
+                parts, held = [], 0
+    if parts:
+        yield from rows()
+
+
+def vocabulary(texts: DataFrame, word_share: float = WORD_SHARE):
+    """Hashes, in order, of the words that have a vector of their own."""
+    import numpy as np
 
+    counts = materialise(texts.mapInArrow(_count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    chosen = counts.where(F.col("n") >= max(2, math.ceil(word_share * total))).select("word").toArrow()
+    discard(counts)
+    return np.sort(chosen["word"].to_numpy().view(np.uint64))
 
-def _summed(table):
+
+def _rows_of(words, hashes):
+    """Places of hashes among the words; ``len(words)`` stands for those that are not there."""
+    import numpy as np
+
+    at = np.searchsorted(words, hashes)
+    at[at == len(words)] = 0
+    return np.where(words[at] == hashes, at, len(words)) if len(words) else np.zeros(len(hashes), np.int64)
+
+
+def _neighbours(shared):
+    """Arrow function: sums of neighbours' index vectors by word (seq 0) and shape (seq 1), and how many there were."""
+
+    def neighbours(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from pagewright.llm.encoding import slices
+
+        words = shared.value
+        tokens = Tokens()
+        kinds = (len(words), SHAPES)
+        total, count = [np.zeros(k * DIM) for k in kinds], [np.zeros(k) for k in kinds]
+        shape_places, shape_signs = index_vectors(shape_hashes())
+        for batch in batches:
+            for some in slices(batch):
+                hashes, lexical, shape, sizes = tokens(some.column(0))
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                inner = owner[1:] == owner[:-1]
+                of_word = _rows_of(words, hashes)[lexical] if len(lexical) else lexical
+                for seq, rows, ids, (places, signs) in ((0, of_word, lexical, index_vectors(hashes)), (1, shape, shape, (shape_places, shape_signs))):
+                    for side in (0, 1):
+                        a, b = (rows[:-1], ids[1:]) if side else (rows[1:], ids[:-1])
+                        chosen = inner & (a < kinds[seq])
+                        a, b = a[chosen], b[chosen]
+                        count[seq] += np.bincount(a, minlength=kinds[seq])
+                        for k in range(NONZERO):
+                            total[seq] += np.bincount(a * DIM + places[k][b], signs[k][b], kinds[seq] * DIM)
+        for seq in (0, 1):
+            used = np.flatnonzero(count[seq])
+            table = total[seq].reshape(kinds[seq], DIM)
+            for at in range(0, len(used), 4096):
+                part = used[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), seq, np.int32)), pa.array(part.astype(np.int32)), pa.array(count[seq][part]), _lists(table[part])], names=["seq", "row", "n", "vec"])
+
+    return neighbours
+
+
+def _lists(table):
     import numpy as np
     import pyarrow as pa
 
-    buckets, at = np.unique(table["bucket"].to_numpy(), return_inverse=True)
-    vec = table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, DIM).astype(np.float64)
-    total = np.zeros((len(buckets), DIM))
-    np.add.at(total, at, vec)
-    flat = pa.array(total.ravel())
-    return pa.table({"bucket": buckets, "n": np.bincount(at, table["n"].to_numpy(), len(buckets)), "vec": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIM, dtype=np.int32)), flat)})
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, table.shape[1], dtype=np.int32)), pa.array(table.ravel()))
 
 
-def word_vectors(texts: DataFrame):
-    """The table of word vectors, a row for each bucket, from all texts (column text)."""
+def _summed(table):
     import numpy as np
+    import pyarrow as pa
+
+    keys, at = np.unique(table["seq"].to_numpy().astype(np.int64) << 32 | table["row"].to_numpy(), return_inverse=True)
+    vec = table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+    total = np.zeros((len(keys), DIM))
+    np.add.at(total, at, vec)
+    n = np.bincount(at, table["n"].to_numpy(), len(keys))
+    return pa.table({"seq": (keys >> 32).astype(np.int32), "row": (keys & 0xFFFFFFFF).astype(np.int32), "n": n, "vec": _lists(total)})
 
-    sums = texts.mapInArrow(_neighbours, "bucket long, n double, vec array<float>").groupBy(F.col("bucket") % 256).applyInArrow(lambda t: _summed(t), "bucket long, n double, vec array<double>")
-    rows = sums.toPandas()  # at most a row for each bucket
-    places, signs = index_vectors()
-    table = np.zeros((BUCKETS, DIM))
-    for k in range(NONZERO):
-        np.add.at(table, (np.arange(BUCKETS), places[:, k]), signs[:, k])
-    if len(rows):
-        at = rows["bucket"].to_numpy()
-        table[at] += np.stack(rows["vec"].to_numpy()) / rows["n"].to_numpy()[:, None] * 2
-    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
+def word_vectors(texts: DataFrame, words):
+    """Vectors of the words and of the shapes, from all texts (column text): two tables with a row for each.
 
-def pooled(docs: DataFrame, vectors) -> DataFrame:
+    That of the words has a row of zeros at its end, for words that have none.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    sums = texts.mapInArrow(_neighbours(shared), SUMS).groupBy((F.col("row") % 256).alias("g")).applyInArrow(lambda t: _summed(t), SUMS)
+    found = sums.toArrow()  # at most a row for each word of the vocabulary and each shape
+    out = []
+    for seq, hashes in enumerate((words, shape_hashes())):
+        places, signs = index_vectors(hashes)
+        table = np.zeros((len(hashes), DIM))
+        for k in range(NONZERO):
+            np.add.at(table, (np.arange(len(hashes)), places[k]), signs[k])
+        mine = found.filter(pc.equal(found["seq"], seq))
+        if mine.num_rows:
+            vec = mine["vec"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+            table[mine["row"].to_numpy()] += vec / mine["n"].to_numpy()[:, None] * 2
+        out.append((table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+    return np.vstack([out[0], np.zeros((1, DIM), np.float32)]), out[1]
+
+
+def pooled(docs: DataFrame, words, vectors) -> DataFrame:
     """doc_id, held_out and the pooled vector (2 * DIM floats) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    shared = docs.sparkSession.sparkContext.broadcast((words, *vectors))
 
     def pool(batches):
         import numpy as np
@@ -154,23 +251,30 @@ def pooled(docs: DataFrame, vectors) -> DataFrame:
 
         from pagewright.llm.encoding import slices
 
-        table = shared.value
+        words, of_words, of_shapes = shared.value
         tokens = Tokens()
         for batch in batches:
             for some in slices(batch, 4 << 20):
-                lexical, shape, sizes = tokens(some.column(2))
+                hashes, lexical, shape, sizes = tokens(some.column(2))
                 out = np.zeros((len(sizes), 2 * DIM), np.float32)
-                owner, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
-                for at in range(0, len(sizes), 256):
-                    last = min(at + 256, len(sizes))
-                    part = slice(ends[at] - sizes[at], ends[last - 1])
-                    row = (owner[part] - at) * BUCKETS
-                    counts = np.bincount(np.concatenate([row + lexical[part], row + shape[part]]), minlength=(last - at) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
-                    words = BUCKETS - SHAPES
-                    both = np.hstack([counts[:, :words] @ table[:words], counts[:, words:] @ table[words:]])
-                    out[at:last] = both / np.maximum(sizes[at:last, None], 1)
-                flat = pa.array(out.ravel())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * DIM, dtype=np.int32)), flat)], names=["doc_id", "held_out", "vec"])
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                row = _rows_of(words, hashes)
+                rows = row[lexical] if len(lexical) else lexical
+                for at in range(0, len(rows), STRETCH):
+                    part = slice(at, at + STRETCH)
+                    own = owner[part]
+                    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    out[own[starts], :DIM] += np.add.reduceat(of_words[rows[part]], starts, axis=0)
+                    out[own[starts], DIM:] += np.add.reduceat(of_shapes[shape[part]], starts, axis=0)
+                rare = rows == len(words)
+                if rare.any():
+                    places, signs = index_vectors(hashes)
+                    own, which = owner[rare] * DIM, lexical[rare]
+                    for k in range(NONZERO):
+                        more = np.bincount(own + places[k][which], signs[k][which] / NONZERO**0.5, len(sizes) * DIM)
+                        out[:, :DIM] += more.reshape(-1, DIM).astype(np.float32)
+                out /= np.maximum(sizes[:, None], 1)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _lists(out)], names=["doc_id", "held_out", "vec"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(pool, "doc_id long, held_out boolean, vec array<float>")
 
@@ -236,14 +340,14 @@ def classify(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Dat
     import numpy as np
 
     spark = docs.sparkSession
-    vectors = word_vectors(docs.select("text"))
-    rows = materialise(pooled(docs, vectors), "pooled")
+    words = vocabulary(docs.select("text"))
+    rows = materialise(pooled(docs, words, word_vectors(docs.select("text"), words)), "pooled")
     marks = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("double").alias("quality")).where("of is not null and quality is not null").groupBy("of").agg(F.avg("quality").alias("y")).where("y in (0, 1)")
     known = rows.where("not held_out").join(marks, F.col("doc_id") == F.col("of")).select("doc_id", "vec", "y")
     total = known.count()
     share = min(1.0, most_rows / max(total, 1))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).orderBy("doc_id", "vec").toPandas()
-    x = np.stack(sample["vec"].to_numpy()).astype(np.float64) if len(sample) else np.zeros((0, 2 * DIM))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).orderBy("doc_id", "vec").toArrow()
+    x = sample["vec"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * DIM).astype(np.float64)
     network = spark.sparkContext.broadcast(Network(x, sample["y"].to_numpy()))
 
     def rate(batches):

@@ -1,8 +1,10 @@
 import os
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 from pagewright.llm import quality_classifier as q
 
@@ -40,6 +42,43 @@ def test_rows(spark, tmp_path):
     assert q.classify(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_vectors_against_plain(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["The", "cat,", "cat", "sat!", "DOG", "é", f"rare{r.randint(0, 500)}"]) for _ in range(r.randint(0, 40))) for _ in range(60)] + [None, "", "the " * 9000]
+    df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").repartition(4)
+    hashed = lambda w: xxhash.xxh64_intdigest(w.rstrip(q.MARKS).lower().encode())
+
+    def index(w):
+        h, out = hashed(w), np.zeros(q.DIM)
+        for k in range(q.NONZERO):
+            out[h >> (6 * k) & 63] += 1 - 2 * (h >> (48 + k) & 1)
+        return out
+
+    seqs = [(t or "").split() for t in texts]
+    n = Counter(hashed(w) for s in seqs for w in s)
+    total = sum(n.values())
+    words = sorted(h for h, c in n.items() if c >= 0.003 * total)
+    got = q.vocabulary(df.select("text"), 0.003)
+    assert got.tolist() == words and 3 < len(words) < len(n)
+    around, met, own = defaultdict(lambda: np.zeros(q.DIM)), Counter(), {}
+    for s in seqs:
+        for i, w in enumerate(s):
+            own[hashed(w)] = index(w)
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(s):
+                    around[hashed(w)] += index(s[j])
+                    met[hashed(w)] += 1
+    full = lambda v: v / np.linalg.norm(v)
+    want = {h: full(own[h] + 2 * around[h] / max(met[h], 1)) for h in words}
+    vectors = q.word_vectors(df.select("text"), got)
+    assert np.allclose(vectors[0][:-1], np.stack([want[h] for h in words]), atol=1e-5) and not vectors[0][-1].any()
+    assert vectors[1].shape == (q.SHAPES, q.DIM)
+    for x in q.pooled(df, got, vectors).collect():
+        s = seqs[x.doc_id]
+        mean = sum((want.get(hashed(w), index(w) / 2) for w in s), np.zeros(q.DIM)) / max(len(s), 1)
+        assert np.allclose(x.vec[: q.DIM], mean, atol=1e-4), x.doc_id
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     if not os.path.isdir("/root/testdata/sf0.01"):
         return
