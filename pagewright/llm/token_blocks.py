@@ -9,9 +9,10 @@ Layout (little-endian): magic ``PWTB0001``; blocks, each ``count u16, width u8,
 packed 64-bit words, exception places u16 and values u32; block starts u64; document ids i64, null flags u8 and
 lengths u64; then ``blocks u64, documents u64, ids u64, index start u64, documents start u64`` and the magic again.
 
-Defined results: null or empty texts hold the end id alone; rows with a null doc_id come first; rows that repeat a
-doc_id follow each other in order of their texts; an empty table gives no file with documents and no rows. Columns
-other than the two named ones are not read.
+Defined results: null or empty texts hold the end id alone; a text of any length is one document of any number of blocks;
+rows with a null doc_id come first; rows that repeat a doc_id follow each other in order of a hash of their texts; an
+empty table gives no file with documents and no rows. Columns other than the two named ones, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -237,7 +238,9 @@ def write_token_blocks(df: DataFrame, path: str, tokenizer: str, end_id: int = 0
             store.move(held, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{path}/{name}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    ordered = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # By the text's hash as well, so that the rows of one id, or those without, need not be in one file.
+    ordered = ordered.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
     files = ordered.mapInArrow(write, FILES).collect()  # a row for each task
     rows, before = [], 0
     for f in sorted(files, key=lambda f: f["part"]):
