@@ -262,7 +262,7 @@ def _own(node, k1):
 
 def _verified(keyed: DataFrame, texts: DataFrame, met: DataFrame, near: DataFrame, threshold: float, block: int, whole: int) -> DataFrame:
     """t, links, weight and tie (the smallest text it is tied to) from every cell that a text is in."""
-    sizes = near.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m"))
+    sizes = materialise(near.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m")), "sizes")
     placed = near.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("t"), "component", "m")
     known = texts.select(F.col("t").alias("x"), "k1", "k2", "rep", "copies", "bands")
     placed = materialise(placed.join(known, F.col("t") == F.col("x")).drop("x"), "placed")
@@ -298,7 +298,7 @@ def _verified(keyed: DataFrame, texts: DataFrame, met: DataFrame, near: DataFram
     cells = cells.join(packed.withColumnRenamed("t", "x"), F.col("t") == F.col("x")).drop("x")
     schema = "t long, links long, weight long, tie long"
     found = materialise(cells.groupBy("band", "name", "row", "col").applyInArrow(_compare(threshold), schema), "links")
-    discard(placed, packed, once)
+    discard(sizes, placed, packed, once)
     return found
 
 
