@@ -147,17 +147,19 @@ def pack_documents(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("now").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"), "still"
     )
     placed = materialise(placed, "placed")
-    left = _dealt(placed.where("still").withColumn("node", F.lit(0)), fan_in * carry, "sequence_id")
+    left = placed.where("still")
+    parts = max(1, -(-left.count() // (fan_in * carry)))
+    left = left.withColumn("part", F.pmod(F.xxhash64("sequence_id"), F.lit(parts)))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    again = left.drop("node", "parts").groupBy("part").applyInArrow(_repack(capacity), columns)
+    again = left.groupBy("part").applyInArrow(_repack(capacity), columns)
     names = [c.split()[0] for c in columns.split(", ")]
     return pieces.where("not open").select(names).unionByName(placed.where("not still").select(names)).unionByName(again)
 
 
-def _dealt(items: DataFrame, most: int, key: str = "item") -> DataFrame:
-    """Items with the part of their node, of about ``most`` items, that a hash of the key deals them to."""
+def _dealt(items: DataFrame, most: int) -> DataFrame:
+    """Items with the part of their node, of about ``most`` items, that a hash deals them to."""
     parts = items.groupBy(F.col("node").alias("of")).agg(F.ceil(F.count("*") / most).alias("parts"))
-    return items.join(F.broadcast(parts), F.col("node") == F.col("of")).drop("of").withColumn("part", F.pmod(F.xxhash64(key), "parts"))
+    return items.join(F.broadcast(parts), F.col("node") == F.col("of")).drop("of").withColumn("part", F.pmod(F.xxhash64("item"), "parts"))
 
 
 def _merge(capacity: int, slack: int):
