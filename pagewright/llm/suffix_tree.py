@@ -8,8 +8,9 @@ tokens, to its suffix in proportion; each state's distribution sums to one. The
 all training words, the end and one unknown word. A token is scored from the longest state that ends before it.
 
 The limits are numbers of occurrences, so states and entries grow with the corpus. They are rows of a work table that is
-joined when texts are scored (``fit_tables``, ``score_tables``); only the commonest, 2 million at most, and bit filters
-of fixed size are sent to the tasks, and both only spare the join work. ``fit`` and ``score`` are the same model in
+looked up when texts are scored (``fit_tables``, ``score_tables``); only the commonest, 2 million at most, and bit
+filters of fixed size are sent to the tasks, and both only spare the shuffle work. N-grams are shuffled as packed arrays,
+one for each task and bucket; there are as many buckets as the number of tokens needs, so that each fits in memory. ``fit`` and ``score`` are the same model in
 memory, with limits as shares of the corpus; tests hold the tables against it. Counts cover all training texts.
 
 Words are compared by 64-bit hashes of their bytes. Defined results: null and empty texts hold the end alone; a null
@@ -22,7 +23,7 @@ from __future__ import annotations
 import math
 from itertools import repeat
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import discard, materialise, read_table
@@ -396,7 +397,13 @@ def score(coded: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 #: log2 of the bits of a filter: keys are looked up in it before they are shuffled, and however many there are it has this size.
 FILTER_BITS = 27
 FOUND = "ctx long, word long, n long"
-PLACED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double, cold array<bigint>"
+#: Tokens for each bucket of n-grams: a bucket is counted, or looked up, by one call.
+BUCKET_TOKENS = 1 << 19
+COUNTED = "bucket int, ctx binary, word binary, n binary"
+DOCS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double"
+#: Rows of documents, and rows of the n-grams of a chunk of documents that are to be looked up in one bucket.
+PLACED = f"chunk long, {DOCS}, bucket int, at binary, keys binary"
+LOOKED_UP = "chunk long, at binary, known binary, base binary, more binary"
 
 
 def mixed(a, b):
@@ -472,8 +479,31 @@ def _sum_words(batches):
     yield from _rows(tally.take())
 
 
-def _count_next(d: int, contexts, nexts, most: int = 2_000_000):
-    """Arrow function: counts of contexts of d words, which may be candidates, with each next word.
+def bucket_count(tokens: int) -> int:
+    return max(1, -(-tokens // BUCKET_TOKENS))
+
+
+def bucket_of(key, buckets: int):
+    """A key's bucket; the same for a column and for an array."""
+    if isinstance(key, Column):
+        return F.pmod(F.shiftright(key, 20), F.lit(buckets)).cast("int")
+    return (key >> 20) % buckets
+
+
+def _split(bucket, *columns):
+    """Each bucket in order with its parts of the columns, as bytes; what is in a bucket stays in order."""
+    import numpy as np
+
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(firsts[1:], len(bucket))
+    sorted_ = [c[order] for c in columns]
+    return bucket[firsts].astype(np.int32), [[c[a:b].tobytes() for a, b in zip(firsts.tolist(), ends.tolist())] for c in sorted_]
+
+
+def _count_next(d: int, contexts, nexts, buckets: int, most: int = 2_000_000):
+    """Arrow function: counts of contexts of d words, which may be candidates, with each next word, by bucket.
 
     ``nexts`` holds what can follow: the same n-gram without its oldest word.
     """
@@ -488,14 +518,18 @@ def _count_next(d: int, contexts, nexts, most: int = 2_000_000):
 
         def summed(parts):
             c, w = (np.concatenate(x) for x in zip(*parts))
-            _, first, n = np.unique(mixed(c, w), return_index=True, return_counts=True)
-            for at in range(0, len(first), 200_000):
-                some = first[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(w[some]), pa.array(n[at : at + 200_000])], names=["ctx", "word", "n"])
+            key, first, n = np.unique(mixed(c, w), return_index=True, return_counts=True)
+            c, w = c[first], w[first]
+            # In order of contexts, so that the many n-grams of one are packed well.
+            order = np.argsort(c)
+            names, parts = _split(bucket_of(key, buckets)[order], c[order], w[order], n[order].astype(np.int32))
+            for at in range(0, len(names), 64):
+                some = slice(at, at + 64)
+                yield pa.RecordBatch.from_arrays([pa.array(names[some]), *(pa.array(x[some], pa.binary()) for x in parts)], names=["bucket", "ctx", "word", "n"])
 
         parts, held = [], 0
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, 4 << 20):
                 words, starts, _ = _laid_out(some.column(0))
                 live = np.arange(len(words))
                 live = live[live - d >= starts]
@@ -519,6 +553,28 @@ def _count_next(d: int, contexts, nexts, most: int = 2_000_000):
     return count
 
 
+def _joined(column, kind):
+    import numpy as np
+
+    return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()] or [np.zeros(0, kind)])
+
+
+def _total(least: int):
+    """A bucket's n-grams (ctx, word) with their counts of all tasks, those below ``least`` left out."""
+
+    def total(table):
+        import numpy as np
+        import pyarrow as pa
+
+        c, w, n = _joined(table["ctx"], np.int64), _joined(table["word"], np.int64), _joined(table["n"], np.int32)
+        _, first, at = np.unique(mixed(c, w), return_index=True, return_inverse=True)
+        sums = np.bincount(at, n, len(first)).astype(np.int64)
+        first, sums = first[sums >= least], sums[sums >= least]
+        return pa.table({"ctx": c[first], "word": w[first], "n": sums})
+
+    return total
+
+
 def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_next: int = 3, mu: float = 5.0) -> tuple[DataFrame, DataFrame, int, int]:
     """The tree of the texts that are not held out, as a table of n-grams, with all rows' words, and the numbers of
     training tokens and of their kinds.
@@ -541,10 +597,11 @@ def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_n
     contexts = counts.where((F.col("n") >= least_context) & (F.col("word") != END_ID)).select(F.col("word").alias("ctx"), F.col("n").alias("total"), F.lit(None).cast("long").alias("older"))
     below = counts.where(F.col("n") >= least_next).select(F.col("word").alias("suffix"), (F.log10(F.col("n") + 1.0) + unknown).alias("below"))
     grams = counts.select(F.col("word").alias("key"), "n", F.log10(F.col("n") + 1.0).alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("delta"))
-    values, used = [], [counts]
+    values, used, buckets = [], [counts], bucket_count(tokens)
     for d in range(1, depth + 1):
         inner, after = share(key_filter(contexts, "ctx")), share(key_filter(below, "suffix"))
-        found = train.mapInArrow(_count_next(d, inner, after), FOUND).groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_next)
+        counted = train.mapInArrow(_count_next(d, inner, after, buckets), COUNTED)
+        found = counted.groupBy("bucket").applyInArrow(_total(least_next), FOUND)
         keys = {"key": F.xxhash64("ctx", "word"), "suffix": F.col("word") if d == 1 else F.xxhash64("older", "word")}
         tested = materialise(found.join(contexts, "ctx").withColumns(keys).join(below, "suffix").drop("older"), "entries")
         inner.destroy()
@@ -581,7 +638,7 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
     """doc_id, held_out, n_tokens, n_known, base_score and score of each coded row.
 
     N-grams of at least ``common_share`` of the tokens (at most 2 million) are sent to the tasks, which spares them the
-    join; all others meet their values in it.
+    shuffle; all others meet their values in their bucket.
     """
     import numpy as np
 
@@ -592,6 +649,8 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
     cold = table.where(~is_common)
     shared = sc.broadcast((*(common[c].to_numpy()[order] for c in ("key", "base", "known", "more")), key_filter(table.where(is_common), "key"), key_filter(cold, "key")))
 
+    buckets = bucket_count(tokens)
+
     def place(batches):
         import numpy as np
         import pyarrow as pa
@@ -599,10 +658,13 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
         from pagewright.llm.encoding import slices
 
         keys, base, known, more, hot_bits, cold_bits = shared.value
+        schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in PLACED.split(", "))])
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, 4 << 20):
                 words, starts, sizes = _laid_out(some.column(3))
                 n = len(sizes)
+                if not n:
+                    continue
                 owner = np.repeat(np.arange(n), sizes)
                 sums = np.zeros((3, n))
                 owners, colds = [], []
@@ -627,20 +689,58 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
                     owners.append(owner[live[ok]])
                     colds.append(key[ok])
                     ok[asked] = True
-                of, key = np.concatenate(owners), np.concatenate(colds)
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[np.argsort(of, kind="stable")]))
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:3], pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), lists],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more", "cold"],
-                )
+                of, key = np.concatenate(owners).astype(np.int32), np.concatenate(colds)
+                names, (places, asked) = _split(bucket_of(key, buckets), of, key)
+                chunk = pa.array(np.full(n + len(names), some.column(0)[0].as_py()))
+                told = [*some.columns[:3], pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+                none = lambda count, kind: pa.nulls(count, kind)
+                docs = [*told, none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary())]
+                packed = [*(none(len(names), x.type) for x in told), pa.array(names, pa.int32()), pa.array(places, pa.binary()), pa.array(asked, pa.binary())]
+                both = [chunk, *(pa.concat_arrays([x, y]) for x, y in zip(docs, packed))]
+                yield pa.RecordBatch.from_arrays(both, schema=schema)
+
+    placed = materialise(coded.mapInArrow(place, PLACED), "placed")
+    asked = placed.where("bucket is not null").select("bucket", "chunk", "at", "keys")
+    named = cold.select(bucket_of(F.col("key"), buckets).alias("bucket"), "key", "base", "known", "more")
+    found = asked.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_look_up, LOOKED_UP)
+    docs = placed.where("bucket is null").select("chunk", *[c.split()[0] for c in DOCS.split(", ")])
+    out = docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_add_up, DOCS)
+    base = F.col("base") - math.log10(tokens + kinds + 1) * F.col("n_tokens")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", base.alias("base_score"), (base + F.col("more")).alias("score"))
+
+
+def _look_up(asked, named):
+    """What the n-grams of a bucket give the documents of each chunk, summed for each document."""
+    import numpy as np
+    import pyarrow as pa
+
+    named = named.sort_by("key")
+    keys = named["key"].to_numpy()
+    columns = [named[c].to_numpy() for c in ("known", "base", "more")]
+    rows = []
+    for chunk, at, key in zip(asked["chunk"].to_pylist(), asked["at"].to_pylist(), asked["keys"].to_pylist()):
+        place = Tree.find(keys, np.frombuffer(key, np.int64))
+        owner, mine = np.unique(np.frombuffer(at, np.int32)[place >= 0], return_inverse=True)
+        sums = [np.bincount(mine, c[place[place >= 0]], len(owner)) for c in columns]
+        rows.append((chunk, owner.tobytes(), *(x.tobytes() for x in sums)))
+    kinds = {"chunk": pa.int64(), "at": pa.binary(), "known": pa.binary(), "base": pa.binary(), "more": pa.binary()}
+    return pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds.items(), zip(*rows) if rows else [[]] * 5)})
+
+
+def _add_up(docs, found):
+    """The documents of a chunk with what their n-grams of all buckets give them."""
+    import numpy as np
+    import pyarrow as pa
 
-    part = materialise(coded.mapInArrow(place, PLACED), "placed")
-    met = part.select(F.col("row").alias("r"), F.explode("cold").alias("key")).join(cold.select("key", "base", "known", "more"), "key")
-    sums = met.groupBy("r").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("more").alias("m"))
-    out = part.drop("cold").join(sums, F.col("row") == F.col("r"), "left")
-    base = F.col("base") + F.coalesce("b", F.lit(0.0)) - math.log10(tokens + kinds + 1) * F.col("n_tokens")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), base.alias("base_score"), (base + F.col("more") + F.coalesce("m", F.lit(0.0))).alias("score"))
+    docs = docs.sort_by("row")
+    n = docs.num_rows
+    owner = _joined(found["at"], np.int32)
+    more = {c: np.bincount(owner, _joined(found[c], np.float64), n) for c in ("known", "base", "more")} if n else {}
+    out = {c.split()[0]: docs[c.split()[0]] for c in DOCS.split(", ")}
+    if n:
+        out["n_known"] = pa.array(docs["n_known"].to_numpy() + more["known"].astype(np.int64))
+        out["base"], out["more"] = pa.array(docs["base"].to_numpy() + more["base"]), pa.array(docs["more"].to_numpy() + more["more"])
+    return pa.table(out)
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagewright.llm import suffix_tree as s
 
@@ -90,7 +91,7 @@ def test_mixed_is_sparks_hash(spark):
     assert [x[0] for x in df.selectExpr("xxhash64(a, b)").collect()] == s.mixed(a, b).tolist()
 
 
-def test_tables_give_the_scores_of_the_tree(spark):
+def test_tables_give_the_scores_of_the_tree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, i is not None and i % 5 == 0, t) for i, t in corpus()], "doc_id long, held_out boolean, text string").repartition(3)
     tree, counts, coded = s.fit(docs, context_share=0, next_share=0, common_share=0)
     assert tree.depth == 3 and len(tree.parent) > 10
@@ -99,6 +100,9 @@ def test_tables_give_the_scores_of_the_tree(spark):
     table, coded, tokens, kinds = s.fit_tables(docs)
     for share in (0, 1e-3, 1):
         assert sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=share).collect())) == want
+    monkeypatch.setattr(s, "BUCKET_TOKENS", 1000)
+    table, coded, tokens, kinds = s.fit_tables(docs)
+    assert s.bucket_count(tokens) > 20 and sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=1e-3).collect())) == want
     table, coded, tokens, kinds = s.fit_tables(docs.limit(0))
     assert s.score_tables(coded, table, tokens, kinds).count() == 0
 
@@ -110,3 +114,61 @@ def test_states_grow_with_the_corpus(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [x for x in s.op6_suffix_tree(spark, str(tmp_path)).collect() if x.doc_id >= 1000 and x.held_out]
     assert got and all(x.score > x.base_score + 40 for x in got)
+
+
+def test_buckets_of_arrays_and_columns(spark):
+    keys = [5, -5, 1 << 62, -(1 << 62), (1 << 20) - 1, -1, 0]
+    got = spark.createDataFrame([(k,) for k in keys], "key long").select(s.bucket_of(F.col("key"), 7)).collect()
+    assert [x[0] for x in got] == s.bucket_of(np.array(keys), 7).tolist()
+
+
+def test_states_against_plain_counts(spark):
+    """Which contexts become states, and their entries, from counts and likelihood ratios in plain Python."""
+    rows = corpus(200)
+    docs = spark.createDataFrame([(i, False, t) for i, t in rows], "doc_id long, held_out boolean, text string").repartition(3)
+    seqs = [[*words(t), None] for _, t in rows]
+    c1 = Counter(w for q in seqs for w in q)
+    total, kinds, mu = sum(c1.values()), len(c1), 5.0
+    grams = {d: Counter(tuple(q[i : i + d + 1]) for q in seqs for i in range(len(q) - d)) for d in (1, 2, 3)}
+    root = lambda w: (c1[w] + 1) / (total + kinds + 1)
+    chance = {(w,): root(w) for w, n in c1.items() if n >= 3}
+    states, held = {(): 1.0}, {}
+    contexts = {(w,): n for w, n in c1.items() if n >= 20 and w is not None}
+    for d in (1, 2, 3):
+        new, kept = {}, {}
+        nexts = {}
+        for g, n in grams[d].items():
+            if n >= 3 and g[:-1] in contexts and g[1:] in chance:
+                nexts.setdefault(g[:-1], {})[g[-1]] = n
+        for ctx, found in nexts.items():
+            all_ = contexts[ctx]
+            below = {w: chance[(*ctx[1:], w)] for w in found}
+            g = sum(2 * n * math.log(n / (all_ * below[w])) for w, n in found.items())
+            left, left_below = all_ - sum(found.values()), max(all_ * (1 - sum(below.values())), 1e-9)
+            g += 2 * left * math.log(left / left_below) if left > 0 else 0.0
+            if g > len(found) + 4 * math.sqrt(2 * len(found)):
+                new[ctx] = (1 - sum(n / (all_ + mu) for n in found.values())) / max(1 - sum(below.values()), 1e-12)
+                kept |= {(*ctx, w): n / (all_ + mu) for w, n in found.items()}
+        states |= new
+        held |= kept
+        counted = {g: grams[d][g] for g in kept}
+        contexts = {g: n for g, n in counted.items() if n >= 20 and g[-1] is not None and g[1:] in new}
+        contexts = {g: n for g, n in contexts.items() if g[1:] in states}
+        chance = kept
+    def score(q):
+        out = 0.0
+        for i, w in enumerate(q):
+            d = 0
+            while d < 3 and i - d - 1 >= 0 and tuple(q[i - d - 1 : i]) in states:
+                d += 1
+            p = 1.0
+            while d and (*q[i - d : i], w) not in held:
+                p *= states[tuple(q[i - d : i])]
+                d -= 1
+            out += math.log10(p * (held[(*q[i - d : i], w)] if d else root(w)))
+        return out
+
+    assert sum(len(k) == 2 for k in states) > 3
+    table, coded, tokens, n_kinds = s.fit_tables(docs)
+    got = sorted((x.doc_id is not None, x.doc_id or 0, round(x.score, 6)) for x in s.score_tables(coded, table, tokens, n_kinds).collect())
+    assert got == sorted((i is not None, i or 0, round(score(q), 6)) for (i, _), q in zip(rows, seqs))
