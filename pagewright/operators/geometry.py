@@ -5,6 +5,8 @@ Lines: page key columns, seq (input order), text and box (array<double>: 4 corne
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,10 @@ def visual_rows(lines: DataFrame, by: list[str]) -> DataFrame:
     b = lines.withColumn("box", normal_box(F.col("box")))
     for i, n in enumerate(("x1", "y1", "x2", "y2")):
         b = b.withColumn(n, F.get("box", F.lit(i)))
-    b = b.withColumn("h", upper_median(F.collect_list(F.col("y2") - F.col("y1")).over(Window.partitionBy(*by))))
+    pages = b.groupBy(*by).agg(upper_median(F.collect_list(F.col("y2") - F.col("y1"))).alias("h"))
+    pages = pages.toDF(*[f"page_{c}" for c in by], "h")
+    same = [F.col(c).eqNullSafe(F.col(f"page_{c}")) for c in by]
+    b = b.join(pages, functools.reduce(lambda x, y: x & y, same)).drop(*[f"page_{c}" for c in by])
     b = b.withColumns({"free": F.col("box").isNull(), "cy": (F.col("y1") + F.col("y2")) / 2})
     down = Window.partitionBy(*by, "free").orderBy("cy", "x1", "seq")
     gap = F.col("cy") - F.lag("cy").over(down)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import u_trim
+from pagewright.names import CLASS_PREFIX
 
 # Units of cell sizes with their bounds.
 LENGTHS = {"%": (1, 100), "px": (1, 2000), "em": (1, 50)}
@@ -51,7 +52,7 @@ def ruby(c: Column) -> Column:
 
 
 NOTE = "注释："
-NOTE_CLASS = "ptoe-note-label"
+NOTE_CLASS = f"{CLASS_PREFIX}note-label"
 
 
 def note_labels(html: Column) -> Column:

@@ -8,15 +8,17 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.text import escape_html, u_trim
+from pagewright.names import CLASS_PREFIX
 
 # What stands for a pipe, the lines of box tables, cells of separator lines, classes of alignment.
 PIPES = "｜│┃"
 BORDER = re.compile(r"^\s*[┌┬┐├┼┤└┴┘─━═╔╗╚╝╠╣╦╩╬+\-=]{3,}\s*$")
 ANY_PIPE = re.compile(f"[|{PIPES}]")
 SEPARATOR_CELL = "^:?[-—－]+:?$"
-ALIGN = {"both": "ptoe-align-center", "left": "ptoe-align-left", "right": "ptoe-align-right"}
+ALIGN = {"both": f"{CLASS_PREFIX}align-center", "left": f"{CLASS_PREFIX}align-left", "right": f"{CLASS_PREFIX}align-right"}
 
 
 def split_cells(line: Column) -> Column:
@@ -51,165 +53,133 @@ def render_table(header: Column, rows: Column, aligns: Column) -> Column:
     return F.concat(F.lit("<table><thead><tr>"), row(header, "th"), F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>"))
 
 
-class TextTables:
-    """Converts tables in a page's lines; the state machine behind ``convert_tables``."""
+#: Tables by the kinds of their lines: P row, S separator, B border, _ blank, t text with two columns, x other.
+MARKED = re.compile("P_*S(?:_*[PS])+")
+UNMARKED = re.compile("P(?:_*[PS])+")
+BOXED = re.compile("B[BPS]+")
+SPACED = re.compile("t{2,}")
+#: A page without any of these holds no table, unless columns may be parted by spaces.
+NEEDED = f"[|{PIPES}]"
+CONVERTED = "struct<text:string,chunks:array<struct<start:int,end:int,html:string>>>"
 
-    def __init__(self, spaced: bool = False, need_separator: bool = True):
-        self.spaced, self.need_separator = spaced, need_separator
 
-    @staticmethod
-    def cells(line: str) -> list[str]:
-        s = line.strip()
-        s = s[1:] if s.startswith("|") else s
-        s = s[:-1] if re.search(r"(?<!\\)\|$", s) else s
-        return [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", s)]
+def _cells(line: str) -> list[str]:
+    body = re.sub(r"^\s*\||(?<!\\)\|\s*$", "", line)
+    return [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", body.strip())]
 
-    @staticmethod
-    def piped(line: str) -> bool:
-        return bool(re.search(r"(?<!\\)\|", line))
 
-    @staticmethod
-    def plain(line: str) -> str:
-        return line.translate({ord(c): "|" for c in PIPES})
+def _columns(line: str) -> list[str]:
+    return [c for c in re.split(r"\t+| {2,}", line.strip()) if c]
 
-    def separator(self, line: str) -> bool:
-        return self.piped(line) and all(re.match(SEPARATOR_CELL, c) for c in self.cells(line))
 
-    @staticmethod
-    def fitted(cells: list[str], width: int) -> list[str]:
-        return cells + [""] * (width - len(cells)) if len(cells) <= width else [*cells[: width - 1], "".join(cells[width - 1 :])]
+def unglued(line: str) -> list[str] | None:
+    """The rows of a line in which ``||`` glues rows of the same number of cells, two at least."""
+    text = line.translate({ord(c): "|" for c in PIPES}).strip()
+    parts = [x.strip() for x in re.split(r"\|{2,}", text) if x.strip()] if text.startswith("|") else []
+    rows = ["| " * (k > 0) + x + " |" * (k < len(parts) - 1) for k, x in enumerate(parts)]
+    sizes = {len(_cells(r)) for r in rows}
+    return rows if len(rows) > 1 and len(sizes) == 1 and min(sizes) > 1 else None
 
-    @staticmethod
-    def markup(header, rows, aligns) -> str:
-        def row(cells, tag):
-            return "".join(f"<{tag}" + (f' class="{aligns[i]}"' if i < len(aligns) and aligns[i] else "") + f">{html.escape(c, quote=False)}</{tag}>" for i, c in enumerate(cells))
 
-        return f"<table><thead><tr>{row(header, 'th')}</tr></thead><tbody>" + "".join(f"<tr>{row(r, 'td')}</tr>" for r in rows) + "</tbody></table>"
+def _kind(line: str, spaced: bool) -> str:
+    """The kind of a line whose pipes are plain."""
+    if re.search(r"(?<!\\)\|", line):
+        return "S" if all(re.match(SEPARATOR_CELL, c) for c in _cells(line)) else "P"
+    if BORDER.match(line):
+        return "B"
+    if not line.strip():
+        return "_"
+    return "t" if spaced and "<" not in line and len(_columns(line)) > 1 else "x"
 
-    def _body(self, lines, at):
-        """Pipe rows from ``at`` on; blank lines may stand between rows."""
-        rows, end = [], at
-        while at < len(lines):
-            if self.piped(self.plain(lines[at])):
-                rows.append(self.plain(lines[at]))
-                end = at + 1
-            elif lines[at].strip():
-                break
-            at += 1
-        return rows, end
-
-    def _pipe(self, lines, i):
-        if not ANY_PIPE.search(lines[i]):
-            return None
-        head = self.plain(lines[i])
-        if not self.piped(head) or self.separator(head):
-            return None
-        j = next((k for k in range(i + 1, len(lines)) if lines[k].strip()), None)
-        marked = j is not None and self.separator(self.plain(lines[j]))
-        if not marked and self.need_separator:
-            return None
-        rows, end = self._body(lines, j + 1 if marked else i + 1)
-        if not rows:
-            return None
-        header, bodies = self.cells(head), [self.cells(r) for r in rows]
-        out, aligns = [], []
-        if marked:
-            marks = self.cells(self.plain(lines[j]))
-            width = len(marks)
-            aligns = [ALIGN["both"] if c[0] == ":" and c[-1] == ":" else ALIGN["left"] if c[0] == ":" else ALIGN["right"] if c[-1] == ":" else None for c in marks]
-            if not head.strip().startswith("|") and len(header) == width + 1:
-                out.append(f"<p>{html.escape(header[0], quote=False)}</p>")
-                header = header[1:]
-        else:
-            width = max(map(len, [header, *bodies]))
-        return [*out, self.markup(self.fitted(header, width), [self.fitted(b, width) for b in bodies], aligns)], end
-
-    def _box(self, lines, i):
-        if not BORDER.match(lines[i]):
-            return None
-        rows, at, closed = [], i + 1, None
-        while at < len(lines):
-            if BORDER.match(lines[at]):
-                closed = at
-            elif self.piped(self.plain(lines[at])):
-                rows.append(self.cells(self.plain(lines[at])))
-            else:
-                break
+
+def _markup(rows: list[list[str]], width: int, aligns: list) -> str:
+    """The first row as the header; short rows are padded, the overflow of long ones goes to the last cell."""
+
+    def shown(row, tag):
+        full = row + [""] * (width - len(row)) if len(row) <= width else [*row[: width - 1], "".join(row[width - 1 :])]
+        named = [f' class="{c}"' if c else "" for c in [*aligns, *[None] * width][:width]]
+        return "<tr>" + "".join(f"<{tag}{n}>{html.escape(c, quote=False)}</{tag}>" for n, c in zip(named, full)) + "</tr>"
+
+    return f"<table><thead>{shown(rows[0], 'th')}</thead><tbody>{''.join(shown(r, 'td') for r in rows[1:])}</tbody></table>"
+
+
+def _marks(cells: list[str]) -> list:
+    return [ALIGN["both"] if c[0] == ":" == c[-1] else ALIGN["left"] if c[0] == ":" else ALIGN["right"] if c[-1] == ":" else None for c in cells]
+
+
+def page_tables(text: str, spaced: bool = False, need_separator: bool = True) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with its tables as HTML, and for each its first and next source line and its HTML.
+
+    Lines are told by kind first; a table is then a pattern of kinds.
+    """
+    lines, origin, loose = [], [], not need_separator
+    source = text.split("\n")
+    for k, line in enumerate(source):
+        rows = unglued(line) if ANY_PIPE.search(line) else None
+        loose |= rows is not None
+        lines += rows or [line]
+        origin += [k] * len(rows or [line])
+    plain = [x.translate({ord(c): "|" for c in PIPES}) for x in lines]
+    kinds = "".join(_kind(x, spaced) for x in plain)
+    out, chunks, at = [], [], 0
+    while at < len(lines):
+        found = None if "<table" in lines[at] else _table_at(kinds, plain, at, loose)
+        if not found:
+            out.append(lines[at])
             at += 1
-        if len(rows) < 2 or closed != at - 1:
-            return None
-        width = max(map(len, rows))
-        return [self.markup(self.fitted(rows[0], width), [self.fitted(r, width) for r in rows[1:]], [])], at
-
-    def _space(self, lines, i):
-        rows = []
-        for line in lines[i:]:
-            cells = [c for c in re.split(r"\t+| {2,}", line.strip()) if c]
-            if len(cells) < 2 or "<" in line:
-                break
-            rows.append(cells)
-        if len(rows) < 2:
-            return None
-        width = max(map(len, rows))
-        return [self.markup(self.fitted(rows[0], width), [self.fitted(r, width) for r in rows[1:]], [])], i + len(rows)
-
-    @classmethod
-    def glued(cls, line: str) -> list[str] | None:
-        """The rows of a line in which ``||`` glues rows of the same number of cells, two at least."""
-        if not ANY_PIPE.search(line):
-            return None
-        s = cls.plain(line).strip()
-        if not s.startswith("|") or "||" not in s:
-            return None
-        rows = [r for r in (p.strip("| ") for p in s.split("||")) if r]
-        sizes = {len(cls.cells("|" + r + "|")) for r in rows}
-        return ["|" + r + "|" for r in rows] if len(rows) > 1 and len(sizes) == 1 and min(sizes) > 1 else None
-
-    def convert(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
-        """The text with its tables as HTML, and for each its first and next source line and its HTML."""
-        source = text.split("\n")
-        lines, origin, any_glued = [], [], False
-        for k, line in enumerate(source):
-            rows = self.glued(line)
-            any_glued |= rows is not None
-            for r in rows or [line]:
-                lines.append(r)
-                origin.append(k)
-        origin.append(len(source))
-        need, self.need_separator = self.need_separator, self.need_separator and not any_glued
-        out, chunks, i = [], [], 0
-        while i < len(lines):
-            found = None if "<table" in lines[i] else self._box(lines, i) or self._pipe(lines, i) or (self._space(lines, i) if self.spaced else None)
-            if found:
-                out += found[0]
-                chunks.append((origin[i], origin[found[1] - 1] + 1, "\n".join(found[0])))
-                i = found[1]
-            else:
-                out.append(lines[i])
-                i += 1
-        self.need_separator = need
-        return ("\n".join(out), chunks) if chunks else (text, [])
+            continue
+        parts, end = found
+        out += parts
+        chunks.append((origin[at], origin[end - 1] + 1, "\n".join(parts)))
+        at = end
+    return ("\n".join(out), chunks) if chunks else (text, [])
+
+
+def _table_at(kinds: str, lines: list[str], at: int, loose: bool) -> tuple[list[str], int] | None:
+    """The HTML of a table that begins at a line, and the line after it."""
+    if m := BOXED.match(kinds, at):
+        rows = [_cells(lines[i]) for i in range(*m.span()) if kinds[i] in "PS"]
+        if m[0].endswith("B") and len(rows) > 1:
+            return [_markup(rows, max(map(len, rows)), [])], m.end()
+    if m := MARKED.match(kinds, at) or (UNMARKED.match(kinds, at) if loose else None):
+        places = [i for i in range(*m.span()) if kinds[i] in "PS"]
+        rows = [_cells(lines[i]) for i in places]
+        if not MARKED.match(kinds, at):
+            return [_markup(rows, max(map(len, rows)), [])], m.end()
+        marks = rows.pop(1)
+        caption = not lines[at].strip().startswith("|") and len(rows[0]) == len(marks) + 1
+        before = [f"<p>{html.escape(rows[0].pop(0), quote=False)}</p>"] if caption else []
+        return [*before, _markup(rows, len(marks), _marks(marks))], m.end()
+    if m := SPACED.match(kinds, at):
+        rows = [_columns(lines[i]) for i in range(*m.span())]
+        return [_markup(rows, max(map(len, rows)), [])], m.end()
+    return None
 
 
 def convert_tables(df: DataFrame, text: str, spaced: bool = False, need_separator: bool = True) -> DataFrame:
-    """Adds converted, a struct of the text with tables as HTML and the converted chunks, in Arrow batches."""
-    from pyspark.sql.functions import arrow_udf
+    """Adds converted, a struct of the text with tables as HTML and the converted chunks.
 
-    kind = "struct<text:string,chunks:array<struct<start:int,end:int,html:string>>>"
+    An operator on Arrow batches, not an expression, so that columns before and after it may be of any kind. Only pages
+    that hold something table-like are parsed.
+    """
+    at = df.columns.index(text)
 
-    @arrow_udf(kind)
-    def run(v):
+    def run(batches):
         import pyarrow as pa
-
-        machine = TextTables(spaced, need_separator)
-        rows = []
-        for x in v.to_pylist():
-            t, chunks = machine.convert(x or "")
-            rows.append({"text": t, "chunks": [{"start": a, "end": b, "html": h} for a, b, h in chunks]})
-        return pa.array(rows, pa.struct([("text", pa.string()), ("chunks", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("html", pa.string())])))]))
-
-    # Pages without anything table-like do not go through Python's parser.
-    return df.withColumn("converted", run(F.col(text)))
+        import pyarrow.compute as pc
+
+        chunk = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("html", pa.string())])
+        kind = pa.struct([("text", pa.string()), ("chunks", pa.list_(chunk))])
+        for batch in batches:
+            texts = pc.fill_null(batch.column(at), "")
+            likely = pc.match_substring_regex(texts, NEEDED).to_pylist() if not spaced else [True] * len(texts)
+            rows = []
+            for x, parsed in zip(texts.to_pylist(), likely):
+                out, chunks = page_tables(x, spaced, need_separator) if parsed else (x, [])
+                rows.append({"text": out, "chunks": [{"start": a, "end": b, "html": h} for a, b, h in chunks]})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "converted"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("converted", T._parse_datatype_string(CONVERTED))]))
 
 
 class _FirstTable(HTMLParser):

@@ -22,7 +22,7 @@ query("tbl_split_cells", "SELECT doc_id, source || '/a|b/' || lang || '//' || do
 def _sep():
     return F.element_at(F.array(*[F.lit(x) for x in ("|---|:-:|", "| -- | x |", "---", "| :— |--:|")]), (F.col("doc_id") % 4 + 1).cast("int"))
 query("tbl_is_separator", "SELECT doc_id, doc_id % 4 IN (0, 3) AS yes FROM documents")(lambda s, d: _docs(s, d).select("doc_id", tb.is_separator(_sep()).alias("yes")))
-query("tbl_align", "SELECT doc_id, ['ptoe-align-left', 'ptoe-align-center', 'ptoe-align-right', NULL][doc_id % 4 + 1] AS cls FROM documents")(lambda s, d: _docs(s, d).select("doc_id", tb.align_class(F.element_at(F.array(*[F.lit(x) for x in (":--", ":-:", "--:", "---")]), (F.col("doc_id") % 4 + 1).cast("int"))).alias("cls")))
+query("tbl_align", "SELECT doc_id, ['page-align-left', 'page-align-center', 'page-align-right', NULL][doc_id % 4 + 1] AS cls FROM documents")(lambda s, d: _docs(s, d).select("doc_id", tb.align_class(F.element_at(F.array(*[F.lit(x) for x in (":--", ":-:", "--:", "---")]), (F.col("doc_id") % 4 + 1).cast("int"))).alias("cls")))
 query("tbl_fit", "SELECT doc_id, array_to_string(CASE WHEN doc_id % 5 + 1 >= 4 THEN [source, 'a', lang, 'b'] || CASE WHEN doc_id % 5 + 1 = 5 THEN [''] ELSE [] END ELSE [source, 'a', lang, 'b'][1:doc_id % 5] || [array_to_string([source, 'a', lang, 'b'][doc_id % 5 + 1:], '')] END, '/') AS cells FROM documents")(
     lambda s, d: _docs(s, d).select("doc_id", F.array_join(tb.fit(F.array("source", F.lit("a"), "lang", F.lit("b")), (F.col("doc_id") % 5 + 1).cast("int")), "/").alias("cells"))
 )
@@ -63,5 +63,5 @@ def _pipes(v):
 
 
 query("tbl_to_pipe", "SELECT doc_id, '| ' || source || ' | b |' || chr(10) || '| :-: | --- |' || chr(10) || '| x\\|y z | ' || lang || ' |' AS pipes FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", _pipes(F.concat(F.lit('<p>t</p><table><tr><th class="ptoe-align-center">'), "source", F.lit("</th><th>b</th></tr><tr><td>x|y<br/>z</td><td>"), "lang", F.lit("</td></tr></table>"))).alias("pipes"))
+    lambda s, d: _docs(s, d).select("doc_id", _pipes(F.concat(F.lit('<p>t</p><table><tr><th class="page-align-center">'), "source", F.lit("</th><th>b</th></tr><tr><td>x|y<br/>z</td><td>"), "lang", F.lit("</td></tr></table>"))).alias("pipes"))
 )

@@ -7,10 +7,12 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.names import PROGRESS_MARKER
+
 # The stages in order with their shares of the whole, and how fast the rate follows.
 WEIGHTS = {"split": 0.05, "ocr": 0.75, "structure": 0.05, "render": 0.05}
 ALPHA, LEAST_ITEMS, LEAST_SECONDS = 0.3, 2, 1.0
-MARKER = "__PTOE_PROGRESS__ "
+MARKER = PROGRESS_MARKER
 OUT = "job string, seq long, stage string, done long, total long, eta_sec double, eta_total_sec double, rate double"
 
 
@@ -92,16 +94,19 @@ def streaming_estimates(events: DataFrame) -> DataFrame:
 def markers(lines: DataFrame, value: str = "value") -> DataFrame:
     """stage, done and total of the marker lines of a text stream."""
     c: Column = F.col(value)
-    body = F.from_json(F.substring(c, len(MARKER) + 1, 1 << 20), "stage string, done long, total long")
+    body = F.from_json(F.substring(c, F.lit(len(MARKER) + 1), F.length(c)), "stage string, done long, total long")
     return lines.where(F.startswith(c, F.lit(MARKER))).select(body.alias("m")).select("m.*")
 
 
-def follow_pages(spark, folder: str, schema: str, sink, checkpoint: str, seconds: int = 2):
-    """Follow a folder of per-page result files: each micro-batch's newest row of a page goes to ``sink(df, batch_id)``."""
+def follow_pages(spark, folder: str, schema: str, sink, checkpoint: str, seconds: int | None = 2):
+    """Follow a folder of per-page result files: each micro-batch's newest row of a page goes to ``sink(df, batch_id)``.
+
+    A batch every so many seconds at most; with none, what is there is read and the stream ends.
+    """
 
     def upsert(df, batch_id):
         newest = df.groupBy("book", "page").agg(F.max_by(F.struct("text", "version"), "version").alias("r"))
         sink(newest.select("book", "page", "r.text", "r.version"), batch_id)
 
     stream = spark.readStream.schema(schema).json(folder)
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**({"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True})).start()
