@@ -55,23 +55,74 @@ def candidates(wrong: DataFrame, words: DataFrame, homophones: DataFrame, fixes:
     open_ = asked.join(fixed, "wrong", "left_anti")
     long = open_.where(F.length("wrong") > 1).withColumn("first", F.left("wrong", F.lit(1)))
     alike = long.select("wrong", "first").union(long.join(homophones, F.col("first") == F.col("ch")).select("wrong", F.col("alt").alias("first")))
-    by_first = words.withColumn("first", F.left("word", F.lit(1)))
-    close = alike.join(by_first, "first").where((F.abs(F.length("word") - F.length("wrong")) <= 1) & (F.col("word") != F.col("wrong"))).withColumn("sim", similarity(F.col("wrong"), F.col("word"))).where(F.col("sim") >= near)
+    # Blocks of one first character and one length; the distance is not worked out beyond what is near enough.
+    sized = alike.withColumn("size", F.explode(F.sequence(F.length("wrong") - 1, F.length("wrong") + 1)))
+    blocks = words.select("word", "freq", F.left("word", F.lit(1)).alias("first"), F.length("word").alias("size"))
+    most = F.greatest(F.length("wrong"), F.length("word"))
+    apart = F.call_function("levenshtein", F.col("wrong"), F.col("word"), F.floor((1 - near) * most + 1e-9).cast("int"))
+    close = sized.join(blocks, ["first", "size"]).where(F.col("word") != F.col("wrong")).withColumn("apart", apart).where("apart >= 0")
+    close = close.withColumn("sim", 1 - F.col("apart") / most).where(F.col("sim") >= near)
     close = close.select("wrong", "word", (0.2 * F.col("sim") + frequency_boost(F.col("freq"))).alias("score"), "freq")
     one = open_.where(F.length("wrong") == 1)
-    same = one.join(homophones, F.col("wrong") == F.col("ch")).join(words, F.col("alt") == F.col("word")).select("wrong", "word", F.lit(0.3).alias("score"), "freq")
-    frequent = words.where(F.length("word") == 1).orderBy(F.desc("freq"), "word").limit(singles)
+    same = homophones_of(one, homophones, "wrong").join(words, F.col("alt") == F.col("word")).select("wrong", "word", F.lit(0.3).alias("score"), "freq")
+    frequent = frequent_characters(words, singles)
     often = one.crossJoin(F.broadcast(frequent)).where("wrong <> word").select("wrong", "word", (0.2 + frequency_boost(F.col("freq"))).alias("score"), "freq")
     best = close.union(same).union(often).groupBy("wrong", "word").agg(F.least(F.lit(1.2), F.max("score")).alias("score"), F.max("freq").alias("freq")).where(F.col("score") >= least)
     order = Window.partitionBy("wrong").orderBy(F.desc("score"), F.desc("freq"), "word")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("wrong", "word", "score", "rank").union(fixed)
 
 
-def context_boost(candidate: Column, before: Column, after: Column, lexicon: set[str]) -> Column:
-    """0.15 where the candidate makes a word with the character before it or after it."""
-    held = F.array(*[F.lit(w) for w in sorted(lexicon)]) if lexicon else F.array().cast("array<string>")
-    a, b = F.concat(F.right(before, F.lit(1)), candidate), F.concat(candidate, F.left(after, F.lit(1)))
-    return F.when((before != "") & F.array_contains(held, a), 0.15).when((after != "") & F.array_contains(held, b), 0.15).otherwise(0.0)
+def context_boost(rows: DataFrame, words: DataFrame, candidate: str = "candidate", before: str = "before", after: str = "after") -> DataFrame:
+    """Adds boost: 0.15 where the candidate makes a word of the lexicon with the character before it or after it."""
+    lexicon = words.select("word").distinct()
+    ahead = lexicon.select(F.col("word").alias("ahead"), F.lit(True).alias("is_ahead"))
+    behind = lexicon.select(F.col("word").alias("behind"), F.lit(True).alias("is_behind"))
+    joined = rows.withColumns(
+        {
+            "with_before": F.when(F.col(before) != "", F.concat(F.right(before, F.lit(1)), F.col(candidate))),
+            "with_after": F.when(F.col(after) != "", F.concat(F.col(candidate), F.left(after, F.lit(1)))),
+        }
+    )
+    joined = joined.join(ahead, F.col("with_before") == F.col("ahead"), "left").join(behind, F.col("with_after") == F.col("behind"), "left")
+    boost = F.when(F.col("is_ahead") | F.col("is_behind"), 0.15).otherwise(0.0)
+    return joined.select(*[rows[c] for c in rows.columns], boost.alias("boost"))
+
+
+def homophones_of(rows: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """Rows with each character that sounds like the one in ``column`` (alt), by a join with the pairs ch and alt."""
+    sounds = pairs.select(F.col("ch").alias("sound"), "alt").distinct()
+    return rows.join(sounds, F.col(column) == F.col("sound")).drop("sound")
+
+
+def marked_ignored(rows: DataFrame, ignored: DataFrame, column: str) -> DataFrame:
+    """Adds ignored: whether a row's word is in the list of words to ignore."""
+    listed = ignored.select(F.col("word").alias("listed")).distinct()
+    return rows.join(listed, F.col(column) == F.col("listed"), "left").withColumn("ignored", F.col("listed").isNotNull()).drop("listed")
+
+
+def frequent_characters(words: DataFrame, top: int = 200) -> DataFrame:
+    """The most frequent words of one character."""
+    return words.where(F.length("word") == 1).orderBy(F.desc("freq"), "word").limit(top).select("word", "freq")
+
+
+def auto_fixed(texts: DataFrame, spans: DataFrame, best: DataFrame, least: float = 0.85) -> DataFrame:
+    """id, text, n_fixed: texts with the spans replaced whose best candidate reaches ``least``.
+
+    ``texts``: id and text. ``spans``: id, start, end (code points) and wrong. ``best``: wrong, word, score and rank. A
+    span that overlaps one that starts before it stays.
+    """
+    sure = best.where((F.col("rank") == 1) & (F.col("score") >= least)).select("wrong", F.col("word").alias("fixed"))
+    edits = spans.join(sure, "wrong").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "fixed"))).alias("edits"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, e):
+        gap = F.substring(F.col("text"), a["at"] + 1, e["start"] - a["at"])
+        done = F.struct(e["end"].cast("int").alias("at"), (a["n"] + 1).alias("n"), F.concat(a["out"], F.array(gap, e["fixed"])).alias("out"))
+        return F.when(e["start"] >= a["at"], done).otherwise(a)
+
+    end = lambda a: F.struct(F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))).alias("text"), a["n"].alias("n"))
+    rows = texts.join(edits, "id", "left").withColumn("r", F.when(F.col("edits").isNotNull(), F.aggregate("edits", zero, step, end)))
+    return rows.select("id", F.coalesce("r.text", "text").alias("text"), F.coalesce("r.n", F.lit(0)).cast("long").alias("n_fixed"))
 
 
 def differences(original: str, corrected: str) -> list[dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import WS, u_trim
+from pagewright.functions.text import WS, running, u_trim
 
 
 def page_numbers(spec: Column) -> Column:
@@ -92,3 +92,42 @@ def ema_rate(events: DataFrame, by: str, time: str, done: str, alpha: float = 0.
         return F.struct(F.coalesce(r, a["r"]).alias("r"), x["t"].alias("t"), x["d"].alias("d"))
 
     return events.groupBy(by).agg(F.aggregate(ordered, start, step, lambda a: a["r"]).alias("rate"))
+
+
+def worker_count(explicit: Column, of_model: Column, default: int = 3) -> Column:
+    """How many pages to recognise at a time: what was asked for, else the model's number, both from 1 to 64."""
+    asked = lambda c: F.when(c.between(1, 64), c.cast("int"))
+    return F.coalesce(asked(explicit), asked(of_model), F.lit(default))
+
+
+def truncation_cause(completion: Column, prompt: Column, most: Column, context: Column) -> Column:
+    """Why an answer was cut, told by counts of tokens: ``limit``, ``context`` or null."""
+    return F.when(completion >= most, "limit").when(prompt + completion >= context, "context")
+
+
+def newest_of_open(opened: DataFrame, live: DataFrame) -> DataFrame:
+    """The pages that are open (book, page, version) with the newest live row that is newer than what they show."""
+    newest = live.groupBy(F.col("book").alias("b"), F.col("page").alias("p")).agg(F.max_by(F.struct("version", "text"), "version").alias("r"))
+    joined = opened.join(newest, F.col("book").eqNullSafe(F.col("b")) & (F.col("page") == F.col("p")))
+    return joined.where("version is null or r.version > version").select("book", "page", "r.version", "r.text")
+
+
+def pruned_log(rows: DataFrame, by: str, order: str, keep: int = 30) -> DataFrame:
+    """The newest rows of each group; no group is held in memory whole."""
+    w = Window.partitionBy(by).orderBy(F.desc(order))
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep).drop("place")
+
+
+def throttled(writes: DataFrame, seconds: float = 2.0) -> DataFrame:
+    """Of the state writes of each job (job, seq, now) those that are made: the first, then one when at least so many
+    seconds have gone since the one before, and the last."""
+    seen = F.array_sort(F.collect_list(F.struct("seq", "now")))
+    zero = lambda a: F.struct(F.lit(None).cast("double").alias("at"), F.lit(False).alias("made"), F.lit(None).cast("long").alias("seq"))
+
+    def step(last, x):
+        due = last["at"].isNull() | (x["now"] - last["at"] >= seconds)
+        return F.struct(F.when(due, x["now"]).otherwise(last["at"]).alias("at"), due.alias("made"), x["seq"].cast("long").alias("seq"))
+
+    folded = writes.groupBy("job").agg(seen.alias("w")).withColumn("r", running(F.col("w"), zero(None), step))
+    made = F.filter("r", lambda x, i: x["made"] | (i == F.size("r") - 1))
+    return folded.select("job", F.explode(made).alias("x")).select("job", "x.seq")

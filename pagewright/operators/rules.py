@@ -7,6 +7,7 @@ that a range covers; block formats change the blocks that it touches. Conditions
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -14,6 +15,9 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import cer_form, let, running
+from pagewright.names import CLASS_PREFIX
+
 # Operations, what excludes what, and how inline ones are written.
 GROUPS = {
     "block_tag": ("p", "heading1", "heading2", "heading3", "heading4", "heading5", "heading6"),
@@ -22,13 +26,13 @@ GROUPS = {
     "indent_mode": ("flush", "indent", "first_indent", "hang_indent"),
     "sup_sub": ("sup", "sub"),
 }
-INLINE = {"bold": "strong", "italic": "em", "sup": "sup", "sub": "sub"} | {n: f"span class=ptoe-{n}" for n in ("note", "citation", "underline", "strike", "charbox", "shade", "highlight", "wavy", "double", "overline", "emphasis")}
+INLINE = {"bold": "strong", "italic": "em", "sup": "sup", "sub": "sub"} | {n: f"span class={CLASS_PREFIX}{n}" for n in ("note", "citation", "underline", "strike", "charbox", "shade", "highlight", "wavy", "double", "overline", "emphasis")}
 INDENT = {"flush": "text-indent:0", "indent": "margin-left:2em", "first_indent": "text-indent:2em", "hang_indent": "margin-left:2em;text-indent:-2em"}
 OPS = {"remove", "none", "no_bold", "strip_ws", *INLINE, *[o for g in GROUPS.values() for o in g]}
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "blockquote", "li", "td", "th")
 KEPT = (*BLOCKS, "strong", "em", "b", "i", "span", "sup", "sub", "u", "s", "a", "img", "br", "hr", "ul", "ol", "table", "thead", "tbody", "tr", "mark", "ruby", "rt")
 VOID = ("img", "br", "hr")
-PROTECTED = ("ptoe-divider", "ptoe-caption")
+PROTECTED = (f"{CLASS_PREFIX}divider", f"{CLASS_PREFIX}caption")
 
 
 def group_of(op: Column) -> Column:
@@ -41,8 +45,27 @@ def conflict(a: Column, b: Column) -> Column:
 
 
 def regex_is_safe(pattern: str, most: int = 512) -> bool:
-    """Neither too long nor with a repeated group that itself repeats without end."""
-    return len(pattern) <= most and not re.search(r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,)", pattern)
+    """Neither too long nor with a group that is repeated by + or * and repeats something definite inside itself.
+
+    Something definite is a character, an escape, a group, or a class without white space; a dot is not.
+    """
+    if len(pattern) > most:
+        return False
+    parts = re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|.", pattern, re.S)
+    repeats: list[bool] = []  # for each open group: does it repeat something so far
+    for i, (x, after) in enumerate(zip(parts, [*parts[1:], ""])):
+        if x == "(":
+            repeats.append(False)
+        elif x == ")":
+            if repeats and repeats.pop() and after in ("+", "*"):
+                return False
+        elif x in ("+", "*", "?") and i:
+            before = parts[i - 1]
+            definite = not re.search(r"\\[sS]", before) if before[0] == "[" else before not in (".", "+", "*", "?")
+            if definite:
+                opened = before == "("  # the mark of a special group, which says nothing of that group itself
+                repeats = [True] * (len(repeats) - opened) + repeats[len(repeats) - opened :]
+    return True
 
 
 def translate_regex(text: str) -> str:
@@ -172,16 +195,26 @@ class Formatter:
                 found.append(stack[-1])
         return found
 
-    def inline(self, op: str, a: int, b: int) -> None:
-        name, _, rest = INLINE[op].partition(" ")
-        attrs = {"class": rest.split("=")[1]} if rest else {}
-        out = []
-        for (i, s, t), e in zip(list(self._spans()), list(self.events)):
-            if e[0] != "text" or t <= a or b <= s or not e[1]:
+    def inline(self, wraps: list[tuple[str, int, int]]) -> None:
+        """Wrap the parts of texts that some ranges cover, each in its operation's element; ranges are in order and apart."""
+        out, at, k = [], 0, 0
+        for e in self.events:
+            if e[0] != "text" or not e[1]:
                 out.append(e)
                 continue
-            x, y = max(a - s, 0), min(b, t) - s
-            out += [["text", e[1][:x], {}]] * (x > 0) + [["open", name, dict(attrs)], ["text", e[1][x:y], {}], ["close", name, {}]] + [["text", e[1][y:], {}]] * (y < t - s)
+            start, at, done = at, at + len(e[1]), 0
+            while k < len(wraps) and wraps[k][2] <= start:
+                k += 1
+            for op, a, b in itertools.islice(wraps, k, None):
+                if a >= at:
+                    break
+                name, _, rest = INLINE[op].partition(" ")
+                x, y = max(a - start, 0), min(b, at) - start
+                out += [["text", e[1][done:x], {}]] * (x > done)
+                out += [["open", name, {"class": rest.split("=")[1]} if rest else {}], ["text", e[1][x:y], {}], ["close", name, {}]]
+                done = y
+            if done < len(e[1]):
+                out.append(["text", e[1][done:], {}])
         self.events = out
 
     def unwrap(self, tags: tuple[str, ...], classes: bool) -> None:
@@ -189,7 +222,7 @@ class Formatter:
         out, stack = [], []
         for e in self.events:
             if e[0] == "open":
-                drop = e[1] in tags or (classes and e[1] == "span" and e[2].get("class", "").startswith("ptoe-"))
+                drop = e[1] in tags or (classes and e[1] == "span" and e[2].get("class", "").startswith(CLASS_PREFIX))
                 stack.append(drop)
                 if not drop:
                     out.append(e)
@@ -256,11 +289,24 @@ class Formatter:
         elif op in INLINE:
             if op in GROUPS["sup_sub"]:
                 self.unwrap(("sub" if op == "sup" else "sup",), False)
-            self.inline(op, a, b)
+            self.inline([(op, a, b)])
         else:
             self.block(op, a, b)
 
 
+    def apply_all(self, steps: list[tuple[str, int, int]]) -> None:
+        """Steps in order; a run of inline ones that lie apart is one pass over the page."""
+        single = GROUPS["sup_sub"]
+        for wraps, run in itertools.groupby(steps, lambda x: x[0] in INLINE and x[0] not in single):
+            some = list(run)
+            inline = sorted((x for x in some if x[1] < x[2]), key=lambda x: x[1:]) if wraps else []
+            if wraps and all(x[2] <= y[1] for x, y in itertools.pairwise(inline)):
+                self.inline(inline)
+            else:
+                for op, a, b in some:
+                    self.apply(op, a, b)
+
+
 def plan(rule: Rule, text: str, selection: tuple[int, int] | None = None) -> list[tuple[str, int, int]]:
     """(operation, start, end) of a rule on a page, in the order target, group, match, pattern, entry."""
     steps: dict[str, list] = {k: [] for k in ("target", "group", "match", "pattern", "entry")}
@@ -313,8 +359,7 @@ def apply_rules(markup: str, rules: list[dict], rule_id: str | None = None, sele
             return markup, "unsafe pattern"
         page = Formatter(markup)
         for rule in chosen:
-            for op, a, b in plan(rule, page.text, selection):
-                page.apply(op, a, b)
+            page.apply_all(plan(rule, page.text, selection))
         return serialize(page.events), None
     except (re.error, ValueError, IndexError) as e:
         return markup, f"{type(e).__name__}: {e}"
@@ -347,8 +392,16 @@ def replace_rules(c: Column, rules: list[dict]) -> Column:
 
 def contains_ranges(text: Column, term: str) -> Column:
     """Starts (from 0) of all occurrences of a term, overlapping ones too."""
-    n = len(term)
-    return F.when(F.contains(text, F.lit(term)), F.transform(F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)) == term), lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+
+    def starts(pieces):
+        ends = running(pieces, F.lit(0), lambda a, x: a + F.length(x))
+        return F.zip_with(pieces, ends, lambda x, e: e - F.length(x))
+
+    # The text is cut before each occurrence; where one begins inside another, its piece is shorter than the term.
+    cut = let(F.split(text, f"(?=\\Q{term}\\E)"), starts)
+    first = F.when(F.startswith(text, F.lit(term)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    later = let(cut, lambda c: F.slice(c, F.lit(2), F.size(c)))
+    return F.when(F.contains(text, F.lit(term)), F.concat(first, later)).otherwise(F.array().cast("array<int>"))
 
 
 def char_style(style: Column) -> Column:
@@ -380,3 +433,93 @@ def page_errors(text: Column) -> Column:
     found = [F.when(text.rlike(p), k) for k, p in kinds.items()]
     odd = F.when(F.regexp_count(text, F.lit('"')) % 2 == 1, "quotes")
     return F.array_compact(F.array(*found, odd))
+
+
+def outside_tables(markup: Column) -> Column:
+    """A page without its tables; one that is not closed goes on to the end."""
+    return F.regexp_replace(markup, r"(?is)<table\b.*?(?:</table\s*>|\z)", "")
+
+
+def nonoverlapping(suggestions: Column, taken: Column) -> Column:
+    """The suggestions (structs with start and end, in the order given) that overlap neither a span taken before nor one
+    another that was kept; empty ones go."""
+    meets = lambda spans, x: F.exists(spans, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+    fine = F.filter(suggestions, lambda x: (x["start"] < x["end"]) & ~meets(taken, x))
+    return F.aggregate(fine, F.slice(fine, 1, 0), lambda kept, x: F.when(meets(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def reads_differently(page: Column, again: Column) -> Column:
+    """Whether a second recognition of a page differs in more than white space."""
+    return cer_form(page) != cer_form(again)
+
+
+def _element(op: str) -> tuple[str, str | None]:
+    """Tag and class by which an inline format is written."""
+    name, _, rest = INLINE[op].partition(" ")
+    return name, rest.split("=")[1] if rest else None
+
+
+def _has_format(e: list, op: str) -> bool:
+    tag, cls = _element(op)
+    return e[0] == "open" and e[1] == tag and (cls is None or cls in e[2].get("class", "").split())
+
+
+def texts_with_format(markup: str, op: str) -> list[tuple[int, int, str]]:
+    """Start, end and text of each stretch of a page that has an inline format."""
+    found, inside, stack, at = [], 0, [], 0
+    for e in parse_events(markup):
+        if e[0] == "open":
+            stack.append(_has_format(e, op))
+            inside += stack[-1]
+        elif e[0] == "close":
+            inside -= stack.pop()
+        elif e[0] == "text" and e[1]:
+            if inside and found and found[-1][1] == at:
+                found[-1] = (found[-1][0], at + len(e[1]), found[-1][2] + e[1])
+            elif inside:
+                found.append((at, at + len(e[1]), e[1]))
+            at += len(e[1])
+    return found
+
+
+def replace_format(markup: str, op: str, to: str) -> str:
+    """A page whose texts with one inline format have another instead; other classes and attributes stay."""
+    tag, cls = _element(to)
+    out, stack = [], []
+    for e in parse_events(markup):
+        if e[0] == "open":
+            closing = [e[1]]
+            if _has_format(e, op):
+                kept = [c for c in e[2].get("class", "").split() if c != _element(op)[1]]
+                attrs = {k: v for k, v in e[2].items() if k != "class"}
+                if cls is not None:
+                    out.append(["open", tag, attrs | {"class": " ".join([*kept, cls])}])
+                    closing = [tag]
+                elif kept or (attrs and e[1] == "span"):
+                    out += [["open", "span", attrs | ({"class": " ".join(kept)} if kept else {})], ["open", tag, {}]]
+                    closing = [tag, "span"]
+                else:
+                    out.append(["open", tag, attrs])
+                    closing = [tag]
+            else:
+                out.append(e)
+            stack.append(closing)
+        elif e[0] == "close":
+            out += [["close", t, {}] for t in stack.pop()]
+        else:
+            out.append(e)
+    return serialize(out)
+
+
+def normal_rules(raw: list[dict]) -> list[dict]:
+    """Rules as they are stored: known operations, targets and kinds only, an id and a name for each."""
+    out = []
+    for n, r in enumerate(raw, 1):
+        rule = Rule.of(r)
+        conditions = []
+        for c in rule.conditions:
+            target = c.target if c.target in ("match", "before", "after", "between") else "match"
+            kind = c.type if c.type in ("contains", "regex", "prefix", "suffix") else "contains"
+            conditions.append({"type": kind, "pattern": c.pattern, "scope": c.scope, "formats": c.formats, "target": target})
+        out.append({"id": rule.id if r.get("id") is not None else str(n), "name": str(r.get("name") or f"rule {n}"), "mode": rule.mode if rule.mode in ("first", "all") else "first", "conditions": conditions})
+    return out

@@ -38,7 +38,6 @@ def _cache(s, d):
     return files.reusable_splits(wanted, cached, there).select("doc_id", "split")
 
 
-query("src_bench_sources", "SELECT source, count(*) AS pages FROM documents GROUP BY source HAVING count(*) >= 2")(lambda s, d: _docs(s, d).groupBy("source").agg(F.count("*").alias("pages")).where("pages >= 2"))
 
 
 _INFER = "SELECT doc_id AS img, CASE WHEN doc_id % 2 = 0 THEN (strlen(text) + 9)::VARCHAR END AS result, CASE WHEN doc_id % 2 = 1 THEN 'ValueError: not a page' END AS error FROM documents"
@@ -69,9 +68,3 @@ query("st_eta")(lambda s, d: progress.estimates(_events(s, d)))
 query("st_progress_marker", "SELECT 'ocr' AS stage, doc_id AS done, 9 AS total FROM documents WHERE doc_id % 2 = 0")(
     lambda s, d: progress.markers(_docs(s, d).select(F.concat(F.when(F.col("doc_id") % 2 == 0, progress.MARKER).otherwise("log "), F.lit('{"stage":"ocr","done":'), F.col("doc_id").cast("string"), F.lit(',"total":9}')).alias("value")))
 )
-query("st_checkpoint_resume", "SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type <> 'error' GROUP BY user_id")(lambda s, d: table(s, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.max_by("event_id", "event_id").alias("event_id")))
-query("sink_txt", "SELECT conv_id AS book, string_agg(CASE WHEN turn = 1 THEN '[图片]' ELSE '　　' || text END, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")(
-    lambda s, d: table(s, d, "conversations").groupBy(F.col("conv_id").alias("book")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.when(x["turn"] == 1, "[图片]").otherwise(F.concat(F.lit("　　"), x["text"]))), "\n\n").alias("body"))
-)
-query("sink_bench_report", "SELECT lang, '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang")(lambda s, d: _docs(s, d).groupBy("lang").agg(F.concat(F.lit("| "), F.col("lang"), F.lit(" | "), F.count("*").cast("string"), F.lit(" |")).alias("line")))
-query("sink_checkpoint", "SELECT conv_id AS book, turn AS page, '{\"status\":\"done\",\"n\":' || length(text) || '}' AS json FROM conversations")(lambda s, d: table(s, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), F.to_json(F.struct(F.lit("done").alias("status"), F.length("text").alias("n"))).alias("json")))

@@ -27,11 +27,7 @@ query("src_dict_user", "SELECT doc_id, unnest(['a', 'b']) AS wrong, unnest([lang
 query("flt_is_word", f"SELECT word FROM ({_WORDS}) WHERE word NOT IN ('the', 'la') UNION SELECT 'zzz'")(
     lambda s, d: x.known_words(_words(s, d).select("word").union(s.createDataFrame([("zzz",), ("qqq",)], "word string")), _words(s, d), s.createDataFrame([("q", "zzz")], "wrong string, fixed string"), s.createDataFrame([("the",), ("la",)], "word string"))
 )
-query("flt_is_ignored", "SELECT doc_id, source IN ('src1', 'src2') AS ignored FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.col("source").isin("src1", "src2").alias("ignored")))
 query("agg_dict_stats", f"SELECT count(*) AS words, sum(freq)::BIGINT AS total FROM ({_WORDS})")(lambda s, d: _words(s, d).agg(F.count("*").alias("words"), F.sum("freq").cast("long").alias("total")))
-query("topk_single_chars", "SELECT c FROM (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE regexp_matches(c, '[a-z]') GROUP BY c) WHERE n <= 10")(
-    lambda s, d: table(s, d, "documents").select(F.explode(F.split("text", "")).alias("c")).where(F.col("c").rlike("^[a-z]$")).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(10).select("c")
-)
 
 
 def _wrong(s, d):
@@ -49,21 +45,6 @@ def _candidates(s, d):
 query("topk_candidates", f"SELECT wrong, word, score FROM (SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY score DESC, freq DESC, word) AS n FROM ({_CAND} WHERE round(least(1.2, 0.2 * (1 - levenshtein(a.w, b.word) / greatest(length(a.w), length(b.word))::DOUBLE) + least(0.15, log10(b.freq + 1) / 40)), 9) >= 0.2)) WHERE n <= 5")(lambda s, d: _candidates(s, d).select("wrong", "word", F.round("score", 6).alias("score")))
 query("join_candidates", f"SELECT wrong, word FROM ({_CAND})")(lambda s, d: x.candidates(_wrong(s, d), _words(s, d), s.createDataFrame([], "ch string, alt string"), s.createDataFrame([], "wrong string, fixed string"), least=0.0, near=0.5, top=10**6).select("wrong", "word"))
 query("pr_candidates")(_candidates)
-query("join_homophone", "SELECT DISTINCT left(c_name, 1) || (c_custkey % 4) AS ch, 'x' || (c_custkey % 3) AS alt FROM customer")(
-    lambda s, d: table(s, d, "customer").select(F.concat(F.left("c_name", F.lit(1)), (F.col("c_custkey") % 4).cast("string")).alias("ch"), F.col("c_custkey")).join(table(s, d, "customer").select("c_custkey", F.concat(F.lit("x"), (F.col("c_custkey") % 3).cast("string")).alias("alt")), "c_custkey").select("ch", "alt").distinct()
-)
-query("join_ctx_word", "SELECT doc_id, CASE WHEN lang = 'en' OR source = 'src1' THEN 0.15 ELSE 0.0 END AS boost FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", x.context_boost(F.substring("lang", 2, 9), F.left("lang", F.lit(1)), F.lit(""), {"en"}).alias("a"), x.context_boost(F.substring("source", 1, 3), F.lit(""), F.substring("source", 4, 9), {"src1"}).alias("b"), "source").select("doc_id", F.greatest("a", F.when(F.col("source") == "src1", F.col("b")).otherwise(0.0)).alias("boost")))
-
-
-@batch_udf("array<struct<word:string,start:int,end:int>>")
-def _tokens(v):
-    import pyarrow as pa
-
-    known = {"中国", "中国人", "人民"}
-    return pa.array([[{"word": w, "start": a, "end": b} for w, a, b in x.greedy_tokens(t or "", known)] for t in v.to_pylist()], pa.list_(pa.struct([("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
-
-
-query("pr_tokenize", "SELECT doc_id, unnest(['中国人', '民', '人民']) AS word, unnest([length(lang), length(lang) + 3, length(lang) + 5])::INT AS start FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.explode(_tokens(F.concat("lang", F.lit("中国人民，人民"), "source"))).alias("t")).select("doc_id", "t.word", "t.start"))
 
 
 @batch_udf("array<struct<start:int,end:int,wrong:string,candidates:array<string>>>")
@@ -75,5 +56,3 @@ def _diff(a, b):
 
 
 query("pr_diff", "SELECT c_custkey, 0 AS start, 1 AS end_, 'C' AS wrong, 'K' AS fixed FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.explode(_diff("c_name", F.concat(F.lit("K"), F.substring("c_name", 2, 99)))).alias("t")).select("c_custkey", "t.start", F.col("t.end").alias("end_"), "t.wrong", F.get("t.candidates", F.lit(0)).alias("fixed")))
-query("pr_auto_fix", "SELECT doc_id, n_chars / 5000.0 >= 0.85 AS fix FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", (F.col("n_chars") / 5000.0 >= 0.85).alias("fix")))
-query("sink_user_dict", "SELECT DISTINCT source AS word FROM documents")(lambda s, d: table(s, d, "documents").select(F.col("source").alias("word")).union(table(s, d, "documents").select("source")).dropDuplicates())

@@ -207,7 +207,6 @@ query("set_dedupe_sources", "SELECT source, min(doc_id) AS doc_id FROM documents
 query("join_toc_href", "SELECT d.doc_id, m.id FROM (SELECT doc_id, 'c' || (doc_id % 120) || '.xhtml' AS f FROM documents) d LEFT JOIN (SELECT 'c' || (page_id % 100) || '.xhtml' AS f, min(page_id) AS id FROM pages GROUP BY 1) m USING (f)")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("t/c"), (F.col("doc_id") % 120).cast("string"), F.lit(".xhtml#h1")).alias("href")).select("doc_id", F.substring_index(F.substring_index("href", "#", 1), "/", -1).alias("f")).join(table(spark, sf_dir, "pages").groupBy(F.concat(F.lit("c"), (F.col("page_id") % 100).cast("string"), F.lit(".xhtml")).alias("f")).agg(F.min("page_id").alias("id")), "f", "left").select("doc_id", "id")
 )
-query("join_live_pages", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")(lambda spark, sf_dir: table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id")))
 query("join_span_nodes", "SELECT a.conv_id AS book, r.lo AS lo, a.turn AS page FROM (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations) a JOIN (SELECT unnest([100, 700]) AS lo, unnest([300, 1500]) AS hi) r ON a.e > r.lo AND a.e - a.n < r.hi")(
     lambda spark, sf_dir: _books(spark, sf_dir).select("book", "page", F.length("text").alias("n"), F.sum(F.length("text")).over(Window.partitionBy("book").orderBy("page")).alias("e")).crossJoin(F.broadcast(spark.createDataFrame([(100, 300), (700, 1500)], "lo int, hi int"))).where("e > lo and e - n < hi").select("book", "lo", "page")
 )
@@ -220,8 +219,6 @@ query("ut_model_match", "SELECT c_custkey, lower(replace('M' || chr(92) || c_nam
 query("ut_model_key", "SELECT lower(source) AS k, CASE WHEN count(DISTINCT source) = 1 THEN min(source) END AS model FROM (SELECT CASE WHEN doc_id % 2 = 0 AND source = 'src1' THEN upper(source) ELSE source END AS source FROM documents) GROUP BY 1")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select(F.when((F.col("doc_id") % 2 == 0) & (F.col("source") == "src1"), F.upper("source")).otherwise(F.col("source")).alias("source")).groupBy(F.lower("source").alias("k")).agg(F.when(F.count_distinct("source") == 1, F.min("source")).alias("model"))
 )
-query("ut_workers", "SELECT doc_id, CASE WHEN doc_id % 90 BETWEEN 1 AND 64 THEN doc_id % 90 ELSE 3 END AS n FROM documents")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.when((F.col("doc_id") % 90).between(1, 64), F.col("doc_id") % 90), F.lit(3)).alias("n")))
-query("ut_truncation", "SELECT doc_id, CASE WHEN n_chars >= 3000 THEN 'limit' WHEN n_chars + doc_id >= 2000 THEN 'context' END AS cause FROM documents")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") >= 3000, "limit").when(F.col("n_chars") + F.col("doc_id") >= 2000, "context").alias("cause")))
 query("ut_bench_matrix", "SELECT DISTINCT d.dpi, m.preset FROM (SELECT unnest([100, 150, 200, 300, 600, 200]) AS dpi) d, (SELECT DISTINCT lang AS preset FROM documents) m WHERE d.dpi <= 300")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select(F.col("lang").alias("preset")).distinct().withColumn("dpi", F.explode(F.array(*[F.lit(x) for x in (100, 150, 200, 300, 600, 200)]))).where("dpi <= 300").dropDuplicates()
 )

@@ -1,51 +1,118 @@
-"""Queries of the rule language and of cleaning rules that are known from documentation only."""
+"""Queries of the rule language, of marks and commands, and of cleaning rules that are known from documentation only.
+
+Rules format whole documents: a document's text is one paragraph of a page.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
+from pagewright.operators import commands, markers
 from pagewright.operators import rules as r
-from pagewright.plans.registry import query, table
+from pagewright.plans.registry import batch_udf, query, table
+from pagewright.plans.text_queries import sql_html, sql_trim
+
+_E = sql_html("coalesce(text, '')")
 
 
 def _docs(s, d):
     return table(s, d, "documents")
 
 
-def _html():
-    return F.concat(F.lit("<p>"), F.col("lang"), F.lit(" one</p><p>two "), F.col("source"), F.lit("</p>"))
-
-
-def _formatted(rules):
-    return lambda s, d: r.format_pages(_docs(s, d).select("doc_id", _html().alias("html")), "html", rules).select("doc_id", "formatted.html")
+def _page(text: str = "text"):
+    return F.concat(F.lit("<p>"), t.escape_html(t.text_or_empty(F.col(text))), F.lit("</p>"))
 
 
 def _rule(**c):
     return [{"id": "1", "mode": "all", "conditions": [c]}]
 
 
-_X = "SELECT doc_id, {} AS html FROM documents"
-query("html_parse", _X.format("'<p>' || lang || ' one</p><p>two ' || source || '</p>'"))(_formatted(_rule(type="contains", pattern="", formats=["none"])))
-query("rule_inline_ops", _X.format("'<p>' || lang || ' <strong>one</strong></p><p>two ' || source || '</p>'"))(_formatted(_rule(type="contains", pattern="one", formats=["bold"])))
-query("rule_block_ops", _X.format("'<h2 style=\"text-align:center\">' || lang || ' one</h2><p>two ' || source || '</p>'"))(_formatted(_rule(type="regex", pattern="one", formats=["heading2", "heading3", "align_center"])))
-query("rule_target", _X.format("'<p>' || lang || ' one</p><p>two <em>' || source || '</em></p>'"))(_formatted(_rule(type="regex", pattern="two ", target="after", formats=["italic"])))
-query("rule_group", _X.format("'<p>' || lang || ' o<em>n</em><strong>e</strong></p><p>two ' || source || '</p>'"))(_formatted(_rule(type="regex", pattern="o(n)(e)", group_formats=[["italic"], ["bold"]])))
-query("rule_match", _X.format("'<p>' || lang || ' <span class=\"ptoe-note\">o</span>ne</p><p>tw<sup>o</sup> ' || source || '</p>'"))(_formatted(_rule(type="regex", pattern="o(?=ne|\\s)", match_formats=[["note"], ["sup"]])))
-query("rule_pattern", _X.format("'<p>' || lang || ' <span class=\"ptoe-underline\">o</span>ne</p><p>tw<span class=\"ptoe-underline\">o</span> ' || source || '</p>'"))(_formatted(_rule(type="regex", pattern="o(?=ne| )", formats=["underline"])))
-query("rule_entry", _X.format("'<p style=\"text-indent:2em\">' || lang || ' one</p><p style=\"text-indent:2em\">two ' || source || '</p>'"))(_formatted(_rule(formats=["first_indent", "indent"])))
-query("rule_apply", _X.format("'<p>' || lang || ' onetwo ' || source || '</p>'"))(_formatted([{"id": "1", "conditions": [{"type": "contains", "pattern": "absent", "formats": ["bold"]}, {"formats": ["merge"]}, {"formats": ["italic"]}]}]))
-query("rule_eval", "SELECT doc_id, lang = 'en' AS fires FROM documents")(lambda s, d: r.format_pages(_docs(s, d).select("doc_id", _html().alias("html")), "html", _rule(type="prefix", pattern="en", formats=["bold"])).select("doc_id", F.contains("formatted.html", F.lit("<strong>")).alias("fires")))
-query("rule_match_ranges", "SELECT doc_id, len([i for i in range(1, length(text)) if substr(text, i, 2) = 'ee'])::INT AS n FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.size(r.contains_ranges(F.col("text"), "ee")).alias("n")))
+def _formats(name: str, html_sql: str, rules: list[dict], page=_page):
+    """A query of the documents' pages after some rules, and the SQL of the HTML."""
+
+    def run(s, d):
+        pages = _docs(s, d).select("doc_id", page().alias("html"))
+        return r.format_pages(pages, "html", rules).select("doc_id", "formatted.html")
+
+    query(name, f"SELECT doc_id, {html_sql} AS html FROM documents")(run)
+
+
+_formats("html_parse", f"'<p>' || {_E} || '</p>'", _rule(type="contains", pattern="", formats=["none"]))
+_formats("rule_inline_ops", f"'<p>' || replace({_E}, 'en', '<strong>en</strong>') || '</p>'", _rule(type="contains", pattern="en", formats=["bold"]))
+_formats(
+    "rule_block_ops",
+    f"CASE WHEN contains(text, 'en') THEN '<h2 style=\"text-align:center\">' || {_E} || '</h2>' ELSE '<p>' || {_E} || '</p>' END",
+    _rule(type="regex", pattern="en", formats=["heading2", "heading3", "align_center"]),
+)
+_FIRST = "regexp_extract(coalesce(text, ''), '^[^ \\n]+')"
+_formats(
+    "rule_target",
+    f"(SELECT '<p>' || {sql_html('a')} || CASE WHEN b = '' THEN '' WHEN a = '' THEN {sql_html('b')} ELSE '<em>' || {sql_html('b')} || '</em>' END || '</p>' "
+    f"FROM (SELECT {_FIRST} AS a, substr(coalesce(text, ''), length({_FIRST}) + 1) AS b))",
+    _rule(type="regex", pattern=r"^[^ \n]+", target="after", formats=["italic"]),
+)
+_formats(
+    "rule_group",
+    f"'<p>' || regexp_replace({_E}, '([aeiou])(n)', '<em>\\1</em><strong>\\2</strong>', 'g') || '</p>'",
+    _rule(type="regex", pattern="([aeiou])(n)", group_formats=[["italic"], ["bold"]]),
+)
+_formats(
+    "rule_match",
+    f"""(SELECT '<p>' || CASE WHEN p = 0 THEN x ELSE substr(x, 1, p - 1) || '<span class="page-note">en</span>' || CASE WHEN q = 0 THEN rest ELSE substr(rest, 1, q - 1) || '<sup>en</sup>' || substr(rest, q + 2) END END || '</p>'
+ FROM (SELECT x, p, rest, strpos(rest, 'en') AS q FROM (SELECT x, strpos(x, 'en') AS p, substr(x, strpos(x, 'en') + 2) AS rest FROM (SELECT {_E} AS x))))""",
+    _rule(type="regex", pattern="en", match_formats=[["note"], ["sup"]]),
+)
+_formats(
+    "rule_pattern",
+    f"'<p>' || replace({_E}, 'er', '<span class=\"page-underline\">er</span>') || '</p>'",
+    _rule(type="regex", pattern="e(?:r)", formats=["underline"]),
+)
+_formats(
+    "rule_entry",
+    f"CASE WHEN coalesce(text, '') = '' THEN '<p></p>' ELSE '<p style=\"text-indent:2em\">' || {_E} || '</p>' END",
+    _rule(formats=["first_indent", "indent"]),
+)
+_formats(
+    "rule_apply",
+    f"CASE WHEN coalesce(text, '') = '' THEN '<p></p><p>two ' || source || '</p>' ELSE '<p>' || {_E} || 'two ' || source || '</p>' END",
+    [{"id": "1", "conditions": [{"type": "contains", "pattern": "\u4e00", "formats": ["bold"]}, {"formats": ["merge"]}, {"formats": ["italic"]}]}],
+    lambda: F.concat(_page(), F.lit("<p>two "), F.col("source"), F.lit("</p>")),
+)
+
+
+@query("rule_eval", "SELECT doc_id, starts_with(coalesce(text, ''), 'S') AS fires FROM documents")
+def _fires(s, d):
+    pages = r.format_pages(_docs(s, d).select("doc_id", _page().alias("html")), "html", _rule(type="prefix", pattern="S", formats=["bold"]))
+    return pages.select("doc_id", F.contains("formatted.html", F.lit("<strong>")).alias("fires"))
+
+
+query("rule_match_ranges", "SELECT doc_id, len([i for i in range(1, length(text)) if substr(text, i, 2) = 'ee'])::INT AS n FROM documents")(
+    lambda s, d: _docs(s, d).select("doc_id", F.size(r.contains_ranges(F.col("text"), "ee")).alias("n"))
+)
 _OPS = ["p", "heading1", "remove", "bold", "sup", "sub", "indent", "flush"]
 query("rule_conflict", f"SELECT a, b, a <> b AND (a = 'remove' OR b = 'remove' OR (a IN ('p', 'heading1') AND b IN ('p', 'heading1')) OR (a IN ('sup', 'sub') AND b IN ('sup', 'sub')) OR (a IN ('indent', 'flush') AND b IN ('indent', 'flush'))) AS yes FROM (SELECT unnest({_OPS}) AS a), (SELECT unnest({_OPS}) AS b)")(
     lambda s, d: s.range(1).select(F.explode(F.array(*[F.lit(o) for o in _OPS])).alias("a")).withColumn("b", F.explode(F.array(*[F.lit(o) for o in _OPS]))).withColumn("yes", r.conflict(F.col("a"), F.col("b")))
 )
 query("rule_replace", "SELECT doc_id, regexp_replace(regexp_replace(text, '([a-z])\\.', '\\1', 'g'), '(?i)the', '$', 'g') AS text FROM documents")(lambda s, d: _docs(s, d).select("doc_id", r.replace_rules(F.col("text"), [{"pattern": r"([a-z])\.", "keep_groups": [1]}, {"pattern": "the", "flags": "gi", "replacement": "$"}, {"pattern": "x", "enabled": False}]).alias("text")))
 query("html_char_style", "SELECT doc_id, 'text-align:center;font-size:' || greatest(8, least(72, doc_id % 100)) || 'px;color:red' AS style FROM documents")(lambda s, d: _docs(s, d).select("doc_id", r.char_style(F.concat(F.lit("COLOR: red; position:fixed; font-size:9px; text-align : center;font-size:"), (F.col("doc_id") % 100).cast("string"), F.lit("px"))).alias("style")))
-query("flt_protected_block", "SELECT doc_id, doc_id % 2 = 1 AS changed FROM documents")(lambda s, d: r.format_pages(_docs(s, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, '<p class="ptoe-caption">a</p>').otherwise("<p>a</p>").alias("html")), "html", _rule(formats=["heading1"])).select("doc_id", F.contains("formatted.html", F.lit("<h1")).alias("changed")))
-query("flt_outside_tables", "SELECT doc_id, 2 AS hits FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.regexp_count(F.regexp_replace(F.concat(F.lit("<h1>a</h1><table><tr><td><h1>x</h1>"), F.lit("</table><h1>b</h1><table><h1>"), "text"), r"(?is)<table\b.*?(?:</table\s*>|\z)", ""), F.lit("<h1")).alias("hits")))
+
+
+@query("flt_protected_block", "SELECT doc_id, doc_id % 2 = 1 AND coalesce(text, '') <> '' AS changed FROM documents")
+def _protected(s, d):
+    pages = _docs(s, d).select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, F.replace(_page(), F.lit("<p>"), F.lit('<p class="page-caption">'))).otherwise(_page()).alias("html")
+    )
+    return r.format_pages(pages, "html", _rule(formats=["heading1"])).select("doc_id", F.contains("formatted.html", F.lit("<h1")).alias("changed"))
+
+
+_NO_TABLES = "regexp_replace(html, '(?is)<table\\b.*?(?:</table\\s*>|\\z)', '', 'g')"
+
+
+@query("flt_outside_tables", f"SELECT page_id, len(regexp_extract_all({_NO_TABLES}, '(?i)<p\\b'))::INT AS hits, length({_NO_TABLES})::INT AS chars FROM pages")
+def _outside(s, d):
+    pages = table(s, d, "pages").select("page_id", r.outside_tables(F.col("html")).alias("html"))
+    return pages.select("page_id", F.regexp_count("html", F.lit(r"(?i)<p\b")).alias("hits"), F.length("html").alias("chars"))
 
 
 @query("cl_merge_paras", None)
@@ -61,20 +128,113 @@ query("cl_page", None)(lambda s, d: _docs(s, d).select("doc_id", t.inline_spaces
 query("cl_correction_format", "SELECT doc_id, regexp_replace(regexp_replace('# ' || source || ' **b** $x$', '^#+ *', ''), '\\*\\*|\\$', '', 'g') AS out FROM documents")(lambda s, d: _docs(s, d).select("doc_id", r.replace_rules(F.concat(F.lit("# "), "source", F.lit(" **b** $x$")), [{"pattern": "^#+ *", "replacement": ""}, {"pattern": r"\*\*|\$", "replacement": ""}]).alias("out")))
 
 
-@query("mk_apply", "SELECT conv_id AS book, n AS article, string_agg(text, chr(10) ORDER BY turn) AS body FROM (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1, 2")
+
+_MARKED = """SELECT book, article, string_agg(x, chr(10) ORDER BY turn) AS body, NULL::VARCHAR AS error FROM (
+ SELECT conv_id AS book, turn, coalesce(text, '') AS x, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS article FROM conversations) WHERE trim(x) <> '' GROUP BY 1, 2"""
+
+
+@query("mk_apply", _MARKED)
 def _markers(s, d):
-    rows = table(s, d, "conversations").withColumn("article", F.count_if(F.col("role") == "user").over(Window.partitionBy("conv_id").orderBy("turn")))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return rows.groupBy(F.col("conv_id").alias("book"), "article").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("body"))
+    """Each user's turn begins an article."""
+    html = F.concat(F.when(F.col("role") == "user", markers.ARTICLE).otherwise(""), t.text_or_empty(F.col("text")))
+    rows = table(s, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), F.lit(1).alias("n"), html.alias("html"))
+    return markers.apply_markers(rows)
 
 
-@query("join_nonoverlap", "SELECT doc_id, 3 AS kept FROM documents")
+@query("join_nonoverlap", "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), 'ren|ner'))::INT AS kept FROM documents")
 def _nonoverlap(s, d):
-    """Suggestions in order; one is kept if it overlaps none that was kept before."""
-    given = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 4), (3, 6), (4, 7), (6, 9), (9, 9), (10, 12))])
-    start = F.array().cast("array<struct<a:int,b:int>>")
-    kept = F.aggregate(F.filter(given, lambda x: x["a"] < x["b"]), start, lambda acc, x: F.when(F.exists(acc, lambda k: (k["a"] < x["b"]) & (x["a"] < k["b"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return _docs(s, d).select("doc_id", F.size(kept).alias("kept"))
+    """Places of two words in order of their starts; one is kept if it overlaps none that was kept before."""
+    places = lambda w: F.transform(r.contains_ranges(F.col("text"), w), lambda i: F.struct(i.alias("start"), (i + 3).alias("end")))
+    given = _docs(s, d).select("doc_id", F.coalesce(F.array_sort(F.concat(places("ren"), places("ner"))), F.array().cast("array<struct<start:int,end:int>>")).alias("given"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return given.select("doc_id", F.size(r.nonoverlapping(F.col("given"), none)).alias("kept"))
+
+
+@query("pr_reocr_diff", "SELECT doc_id, doc_id % 2 = 1 AND contains(coalesce(text, ''), 'e') AS differs FROM documents")
+def _reocr(s, d):
+    """Half of the documents are read again with other white space, half with another letter."""
+    again = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("\n")))).otherwise(F.replace("text", F.lit("e"), F.lit("c")))
+    return _docs(s, d).select("doc_id", r.reads_differently(F.col("text"), again).alias("differs"))
+
+
+_FIRST_TWO = f"{sql_trim('l[1]')} || {sql_trim('l[2]')}"
+
+
+@query(
+    "cmd_lang",
+    f"""SELECT doc_id, CASE WHEN len(l) < 2 THEN coalesce(text, '') ELSE array_to_string(['<strong>' || {_FIRST_TWO} || '</strong>'] || l[3:], chr(10)) END AS text,
+ CASE WHEN len(l) < 2 THEN 'no lines 1 to 2' END AS error FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)""",
+)
+def _commands(s, d):
+    pages = _docs(s, d).select("doc_id", t.text_or_empty(F.col("text")).alias("text"), F.lit("（1,2合并）加粗").alias("script"))
+    return commands.run_scripts(pages, "text", "script").select("doc_id", "edited.text", "edited.error")
+
+
+@query("cmd_substitute", "SELECT conv_id AS book, turn AS page, CASE WHEN turn BETWEEN 1 AND 3 THEN replace(text, 'en', 'EN') ELSE text END AS text FROM conversations")
+def _substitute(s, d):
+    pages = table(s, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")
+    return commands.substituted(pages, ":1,3s/en/EN/g")
+
+
+@query("cmd_page_range", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 5 END AS first, CASE doc_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 8 WHEN 2 THEN 9 ELSE 5 END AS last FROM documents")
+def _page_range(s, d):
+    spec = F.element_at(F.array(*[F.lit(x) for x in ("+3", "8-2", "全部", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _docs(s, d).select("doc_id", commands.page_range(spec, F.lit(5), F.lit(9)).alias("p")).select("doc_id", "p.first", "p.last")
+
+
+@batch_udf("string")
+def _other_format(v):
+    import pyarrow as pa
+
+    return pa.array([r.replace_format(x or "", "bold", "italic") for x in v.to_pylist()], pa.string())
+
+
+query("fmt_find_replace", f"SELECT doc_id, '<p>' || replace({_E}, 'en', '<em>en</em>') || '</p>' AS html FROM documents")(
+    lambda s, d: _docs(s, d).select("doc_id", _other_format(F.replace(_page(), F.lit("en"), F.lit("<strong>en</strong>"))).alias("html"))
+)
+
+
+@batch_udf("string")
+def _translated(v):
+    import pyarrow as pa
+
+    return pa.array([r.translate_regex(x) for x in v.to_pylist()], pa.string())
+
+
+@batch_udf("boolean")
+def _safe(v):
+    import pyarrow as pa
+
+    return pa.array([r.regex_is_safe(x) for x in v.to_pylist()], pa.bool_())
+
+
+def _form(forms):
+    """A pattern for each document, made of its source."""
+    n = len(forms)
+    return F.element_at(F.array(*[F.concat(F.lit(a), F.col("source"), F.lit(b)) for a, b in forms]), (F.col("doc_id") % n + 1).cast("int"))
+
+
+query("rule_parse_regex", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(?i)' || source WHEN 1 THEN '(?P<n>' || source || ')(?P=n)' ELSE source || '\\Z' END AS p FROM documents")(
+    lambda s, d: _docs(s, d).select("doc_id", _translated(_form([("/", "/gi"), ("(?<n>", ")\\k<n>"), ("", "\\z")])).alias("p"))
+)
+query("flt_regex_safe", "SELECT doc_id, doc_id % 6 IN (0, 3, 5) AS ok FROM documents")(
+    lambda s, d: _docs(s, d).select("doc_id", _safe(_form([("", "+"), ("((", "+))+"), ("((a+)", "?)*"), ("(", ")+c"), ("(a|", "*)*"), ("(.*)+", "")])).alias("ok"))
+)
+
+
+@batch_udf("string")
+def _stored(v):
+    import json
+
+    import pyarrow as pa
+
+    return pa.array([json.dumps(r.normal_rules(json.loads(x)), sort_keys=True) for x in v.to_pylist()], pa.string())
 
 
-query("pr_reocr_diff", "SELECT doc_id, false AS differs FROM documents")(lambda s, d: _docs(s, d).select("doc_id", (t.cer_form(F.col("text")) != t.cer_form(F.concat("text", F.lit(" \n")))).alias("differs")))
+@query("ut_format_rules_store", "SELECT doc_id, 'rule 1' AS name, source AS pattern, 'match' AS target, 1 AS kept FROM documents")
+def _rules_store(s, d):
+    raw = F.concat(F.lit('[{"id":3,"conditions":[{"pattern":"'), F.col("source"), F.lit('","target":"x","formats":["bold","h1"]}]}]'))
+    rule = "array<struct<name:string,conditions:array<struct<pattern:string,target:string,formats:array<string>>>>>"
+    stored = _docs(s, d).select("doc_id", F.from_json(_stored(raw), rule).alias("j")).select("doc_id", F.get("j", F.lit(0)).alias("j"))
+    c = F.get("j.conditions", F.lit(0))
+    return stored.select("doc_id", "j.name", c["pattern"].alias("pattern"), c["target"].alias("target"), F.size(c["formats"]).alias("kept"))

@@ -24,7 +24,7 @@ query("html_cell_style", "SELECT doc_id, CASE WHEN doc_id % 60 BETWEEN 1 AND 50
 )
 query("html_table_style", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'table-layout:fixed' ELSE '' END AS style FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.table_style(F.when(F.col("doc_id") % 2 == 0, "color:red; Table-Layout: FIXED").otherwise("table-layout:fixed;table-layout:auto")).alias("style")))
 query("html_ruby", "SELECT doc_id, '<ruby>' || lang || '<rt>x</rt></ruby>' AS html FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.ruby(F.concat(F.lit('<ruby class="a">'), "lang", F.lit("<rp>(</rp><rt id='q'>x</rt><rp>)</rp></ruby>"))).alias("html")))
-query("html_note_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<p id=\"a\" class=\"ptoe-note-label\">' || lang || '<strong>注释：</strong>x</p><p>y</p>' ELSE '<div class=\"ptoe-note-label\"> 注释:</div><p>' || lang || '</p>' END AS html FROM documents")(
+query("html_note_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<p id=\"a\" class=\"page-note-label\">' || lang || '<strong>注释：</strong>x</p><p>y</p>' ELSE '<div class=\"page-note-label\"> 注释:</div><p>' || lang || '</p>' END AS html FROM documents")(
     lambda s, d: _docs(s, d).select("doc_id", styles.note_labels(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<p id="a">'), "lang", F.lit("<b> 注释 </b>：x</p><p>y</p>"))).otherwise(F.concat(F.lit("<div> 注释:</div><p>"), "lang", F.lit("</p>")))).alias("html"))
 )
 query("html_indent_style", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'margin-left:' || (doc_id % 9 + 2) || 'em;text-indent:-2em' ELSE 'margin-left:' || (doc_id % 9) || 'em;text-indent:2em;margin-top:1.5em;line-height:1.25' END AS style FROM documents")(
@@ -47,9 +47,6 @@ query("srch_replace_current", "SELECT doc_id, CASE WHEN contains(text, 'en') THE
 )
 query("txt_t2s", "SELECT doc_id, '这个' || text AS text FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.convert_script(F.concat(F.lit("這個"), "text"), styles.SIMPLIFIED).alias("text")))
 query("txt_s2t", "SELECT doc_id, '這個' || text AS text FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.convert_script(F.concat(F.lit("这个"), "text"), styles.TRADITIONAL).alias("text")))
-query("flt_regex_safe", "SELECT p, ok FROM (SELECT unnest(['a+', '(a+)+', '(ab)+c', '(a|b*)*']) AS p, unnest([true, false, true, false]) AS ok)")(lambda s, d: s.createDataFrame([(p, rules.regex_is_safe(p)) for p in ("a+", "(a+)+", "(ab)+c", "(a|b*)*")], "p string, ok boolean"))
-query("rule_parse_regex", "SELECT unnest(['(?i)a', '(?P<n>x)(?P=n)', 'a\\Z']) AS p")(lambda s, d: s.createDataFrame([(rules.translate_regex(p),) for p in ("/a/gi", "(?<n>x)\\k<n>", "a\\z")], "p string"))
-query("ut_format_rules_store", "SELECT 'match' AS target, 1 AS kept")(lambda s, d: s.createDataFrame([(r.conditions[0].target, len(r.conditions[0].formats)) for r in [rules.Rule.of({"id": 1, "conditions": [{"formats": ["bold", "h1"]}]})]], "target string, kept int"))
 
 
 def _grey(s, d):
@@ -92,9 +89,6 @@ def _part(content, name):
 query("sink_opf", "SELECT conv_id::VARCHAR AS path, count(*)::INT AS refs FROM conversations GROUP BY conv_id")(lambda s, d: _books(s, d).select("path", F.regexp_count(_part("content", F.lit("OEBPS/content.opf")), F.lit("<itemref ")).alias("refs")))
 query("sink_ncx", "SELECT conv_id::VARCHAR AS path, count(*)::INT AS points FROM conversations GROUP BY conv_id")(lambda s, d: _books(s, d).select("path", F.regexp_count(_part("content", F.lit("OEBPS/toc.ncx")), F.lit("<navPoint ")).alias("points")))
 query("sink_epub_pack", "SELECT conv_id::VARCHAR AS path, 'application/epub+zip' AS kind FROM conversations GROUP BY conv_id")(lambda s, d: _books(s, d).select("path", _part("content", F.lit("mimetype")).alias("kind")))
-query("sink_md", "SELECT doc_id, '# ' || source || chr(10) || chr(10) || text AS md FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("md")))
-query("sink_task_log", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents) WHERE n <= 30")(lambda s, d: _docs(s, d).groupBy("source").agg(F.slice(F.sort_array(F.collect_list("doc_id"), False), 1, 30).alias("ids")).select("source", F.explode("ids").alias("doc_id")))
-query("fmt_find_replace", "SELECT doc_id, '<p><em>' || lang || '</em></p>' AS html FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.regexp_replace(F.concat(F.lit("<p><strong>"), "lang", F.lit("</strong></p>")), "<(/?)strong>", "<$1em>").alias("html")))
 query("win_gaps_islands", "SELECT user_id, count(*) AS islands FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS cut FROM events) WHERE cut = 1 GROUP BY user_id")(lambda s, d: _islands(s, d))
 
 
@@ -106,7 +100,4 @@ def _islands(s, d):
     return e.withColumn("cut", F.when(gap <= 3_600_000_000, 0).otherwise(1)).where("cut = 1").groupBy("user_id").agg(F.count("*").alias("islands"))
 
 
-query("cmd_lang", "SELECT doc_id, least(doc_id % 9, 5) AS lo, greatest(doc_id % 9, 5) AS hi FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", F.regexp_extract(F.concat(F.lit(":"), _n(9), F.lit(",5s/a/b/")), r"^:([0-9]+),([0-9]+)s", 1).cast("long").alias("a")).select("doc_id", F.least("a", F.lit(5)).cast("long").alias("lo"), F.greatest("a", F.lit(5)).cast("long").alias("hi"))
-)
 query("html_toc_nested", None)(lambda s, d: chapters.toc(table(s, d, "pages"), "page_id", "html"))

@@ -93,3 +93,9 @@ def fake_backend(data: bytes) -> str:
     if data[:1] == b"x":
         raise ValueError("not a page")
     return str(len(data))
+
+
+def bench_sources(pages: DataFrame, least: int = 2) -> DataFrame:
+    """dir, dpi and pages of the folders of split pages (dir, dpi, name) with at least two PNGs, finest first."""
+    images = pages.where(F.lower("name").endswith(".png") & (F.col("dpi") > 0))
+    return images.groupBy("dir", "dpi").agg(F.count("*").alias("pages")).where(F.col("pages") >= least).sort(F.desc("dpi"), F.desc("pages"), "dir")

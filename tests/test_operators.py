@@ -2,13 +2,16 @@
 
 import io
 import os
+import random
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import chapters, geometry, lexicon, pages, rules, tables
-from pagewright.sources import epub, files
+from pagewright.functions import text as t
+from pagewright.operators import chapters, commands, geometry, lexicon, markers, pages, rules, tables
+from pagewright.sources import epub, files, sinks
 from pagewright.streaming import progress
 
 
@@ -23,12 +26,12 @@ def apply(markup, **c):
         ("<p>aaa</p>", {"pattern": "aa", "formats": ["italic"]}, "<p><em>a<em>a</em></em><em>a</em></p>"),
         ("<p>a</p><p>b</p>", {"type": "regex", "pattern": "^a", "formats": ["heading1", "heading2"]}, "<h1>a</h1><p>b</p>"),
         ("<p><b>a</b><i>b</i></p>", {"formats": ["no_bold"]}, "<p>a<em>b</em></p>"),
-        ("<p><b>a</b><span class='ptoe-note'>b</span></p>", {"formats": ["remove"]}, "<p>ab</p>"),
+        ("<p><b>a</b><span class='page-note'>b</span></p>", {"formats": ["remove"]}, "<p>ab</p>"),
         ("<p>a b</p>", {"formats": ["strip_ws"]}, "<p>ab</p>"),
         ("<p>x: y; z</p>", {"type": "regex", "pattern": ":", "target": "between", "between_end_pattern": ";", "formats": ["bold"]}, "<p>x:<strong> y</strong>; z</p>"),
         ("<p>a</p>", {"pattern": "q", "formats": ["bold"]}, "<p>a</p>"),
         ("<p>a<script>x</script></p>", {"formats": ["h1"]}, "<p>ax</p>"),
-        ("<p class='ptoe-divider'>a</p>", {"formats": ["heading1"]}, '<p class="ptoe-divider">a</p>'),
+        ("<p class='page-divider'>a</p>", {"formats": ["heading1"]}, '<p class="page-divider">a</p>'),
     ],
 )
 def test_rules(markup, cond, want):
@@ -64,20 +67,22 @@ TABLE = "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td
         ("+---+---+\n| A | B |\n+---+---+\n| 1 | 2 |\n+---+---+", {}, TABLE),
         ("A  B\n1\t2\nend", {"spaced": True}, TABLE + "\nend"),
         ("| A | B || 1 | 2 |", {}, TABLE),
+        ("| | B || 1 | 2 |", {}, TABLE.replace(">A<", "><")),
+        ("| a || b |", {}, "| a || b |"),
+        ("a | b || c | d", {}, "a | b || c | d"),
         ("| A | B |\n|---|---|\nno rows", {}, "| A | B |\n|---|---|\nno rows"),
         ("| A | B |\n|---|---|\n| 1 | 2 | 3 |", {}, TABLE.replace("<td>2<", "<td>23<")),
     ],
 )
 def test_tables(text, kw, want):
-    machine = tables.TextTables(**kw)
-    out, chunks = machine.convert(text)
-    assert out == want and machine.convert(out)[0] == out
+    out, chunks = tables.page_tables(text, **kw)
+    assert out == want and tables.page_tables(out, **kw)[0] == out
     assert all(0 <= a < b <= len(text.split("\n")) for a, b, _ in chunks)
 
 
 def test_table_round_trip():
     pipes = tables.table_to_pipes("<p/>" + TABLE)
-    assert pipes == "| A | B |\n| --- | --- |\n| 1 | 2 |" and tables.TextTables().convert(pipes)[0] == TABLE and tables.table_to_pipes("<p>x</p>") is None
+    assert pipes == "| A | B |\n| --- | --- |\n| 1 | 2 |" and tables.page_tables(pipes)[0] == TABLE and tables.table_to_pipes("<p>x</p>") is None
 
 
 def test_tokens_and_differences():
@@ -158,3 +163,117 @@ def test_follow_pages(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [(1, 1, "new", 2), (1, 2, "b", 1)]
+
+
+def test_regex_safety():
+    unsafe = ["(a+)+", "(a|b*)*", "((a+))+", "((a+)b?)*", r"(\d+)*x", "([abc]+)+", "(a?)+", "(?:x(?:ab)+y)*", "a" * 513]
+    safe = ["a+", "(ab)+c", "(.*)+", r"([\s\S]+)+", "(?:ab)+", "(a+)?", "(a+){2}", r"\(a+\)+", "[(a+)]+", "a" * 512]
+    assert [p for p in unsafe if rules.regex_is_safe(p)] == [] and [p for p in safe if not rules.regex_is_safe(p)] == []
+
+
+def test_find_and_replace_formats():
+    page = '<p>x<strong>ab</strong><strong>c</strong>d<span class="page-note page-shade" style="x">e</span></p>'
+    assert rules.texts_with_format(page, "bold") == [(1, 4, "abc")] and rules.texts_with_format(page, "shade") == [(5, 6, "e")]
+    assert rules.replace_format("<p><b>a</b></p>", "bold", "italic") == "<p><em>a</em></p>"
+    assert rules.replace_format("<p><b>a</b></p>", "bold", "note") == '<p><span class="page-note">a</span></p>'
+    assert rules.replace_format(page, "note", "italic").endswith('d<span class="page-shade" style="x"><em>e</em></span></p>')
+    assert rules.replace_format(page, "shade", "highlight").endswith('d<span class="page-note page-highlight" style="x">e</span></p>')
+    assert rules.replace_format("<p>a</p>", "bold", "sup") == "<p>a</p>"
+
+
+def test_many_ranges_in_one_pass():
+    markup = "<p>" + "ab " * 3000 + "</p>"
+    began = time.time()
+    out, error = rules.apply_rules(markup, [{"id": 1, "mode": "all", "conditions": [{"type": "regex", "pattern": "(a)(b)", "group_formats": [["italic"], ["bold"]]}]}])
+    assert error is None and out == "<p>" + "<em>a</em><strong>b</strong> " * 3000 + "</p>" and time.time() - began < 5
+
+
+@pytest.mark.parametrize(
+    "script,want",
+    [
+        ("1,2合并", ["ab", "c", "d"]), ("（1,2合并）加粗", ["<strong>ab</strong>", "c", "d"]), ("3删除；1替换 x y", ["x y", "b", "d"]), ("2-3 clear", ["a", "", "", "d"]),
+        ("4,2 标题2", ["a", "<h2>b</h2>", "<h2>c</h2>", "<h2>d</h2>"]), ("选 3; 包围 书名号", ["a", "b", "《c》", "d"]), ("2,3包围 【】", ["a", "【b", "c】", "d"]),
+        ("fmt 斜体", [f"<em>{x}</em>" for x in "abcd"]), ("((1,2mg)(2,3mg))b", ["ab", "<strong>cd</strong>"]), ("", ["a", "b", "c", "d"]), ("1rp (x)", ["(x)", "b", "c", "d"]),
+    ],
+)
+def test_commands(script, want):
+    assert commands.run(["a", "b", "c", "d"], script) == want
+
+
+@pytest.mark.parametrize("script", ["5删除", "1,1合并", "无此", "（1删除", "1包围 abc", "1 fmt 无", "0删除"])
+def test_commands_that_do_not_fit(script):
+    with pytest.raises(ValueError):
+        commands.run(["a", "b", "c", "d"], script)
+
+
+def test_substitution_and_scripts(spark):
+    df = spark.createDataFrame([(1, "a/b a/b"), (2, "a/b"), (9, "A/B"), (10, None)], "page int, text string")
+    got = lambda c: {x.page: x.text for x in commands.substituted(df, c).collect()}
+    assert got(r"%s/a\/b/$1/gi") == {1: "$1 $1", 2: "$1", 9: "$1", 10: None}
+    assert got(r":2,1s/a\/b/x/") == {1: "x a/b", 2: "x", 9: "A/B", 10: None} and got("s/zz/x/")[1] == "a/b a/b"
+    rows = spark.createDataFrame([("a\nb", "1,2合并"), ("a", "1,2合并"), (None, "1删除")], "t string, s string")
+    assert [tuple(x.edited) for x in commands.run_scripts(rows, "t", "s").collect()] == [("ab", None), ("a", "no lines 1 to 2"), ("", None)]
+
+
+def test_markers(spark):
+    a, p, n, c = markers.ARTICLE, markers.PARAGRAPH, markers.NOTE, 'class="page-note"'
+    rows = [
+        (1, 1, 1, f"<p>one{n}"), (1, 1, 2, f"two{p}"), (1, 2, 1, f" and three{a}new {n} x{n}"), (1, 2, 2, f"<p {c}>(first) note</p>"), (1, 2, 3, f"<p {c}>（second）</p>"),
+        (1, 3, 1, f"<p {c}>thi"), (1, 4, 1, f"{p}rd</p>"), (2, 1, 1, f"x{n}{n}"), (2, 1, 2, f"<p {c}>only</p>"), (3, 1, 1, "plain"), (3, 1, 2, f"<p {c}>stays</p>"), (3, 2, 1, None), (4, 1, 1, f"{a}a{a}"),
+    ]
+    got = {(x.book, x.article): (x.body, x.error) for x in markers.apply_markers(spark.createDataFrame(rows, "book int, page int, n int, html string").repartition(3)).collect()}
+    note = lambda x: f'<span class="page-note-inline">{x}</span>'
+    assert got == {
+        (1, 0): (f"<p>one{note('（（first） note）')}\ntwo and three", None), (1, 1): (f"new {note('（second）')} x{note('（third）')}", None),
+        (2, None): (None, "2 note marks, 1 notes"), (3, 0): (f"plain\n<p {c}>stays</p>", None), (4, 1): ("a", None),
+    }
+
+
+def test_throttled(spark):
+    r = random.Random(3)
+    rows = [(j, i, float(t)) for j in "ab" for i, t in enumerate(sorted(r.uniform(0, 40) for _ in range(300)))] + [("c", 7, 1.0)]
+    want = set()
+    for j in "abc":
+        last, mine = None, [x for x in rows if x[0] == j]
+        for _, i, now in mine:
+            if last is None or now - last >= 2.0:
+                last = now
+                want.add((j, i))
+        want.add((j, mine[-1][1]))
+    df = spark.createDataFrame(rows, "job string, seq long, now double").repartition(3)
+    assert {tuple(x) for x in pages.throttled(df).collect()} == want and pages.throttled(df.limit(0)).count() == 0
+
+
+def test_stores_keep_the_last_complete_state(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    page = lambda n, status, seq: spark.createDataFrame([("b", n, status, f"r{seq}", None, seq)], sinks.CHECKPOINT)
+    assert sinks.read_store(spark, path, sinks.CHECKPOINT).count() == 0
+    for n, status, seq in ((1, "done", 1), (2, "error", 2), (2, "done", 3), (1, "error", 0)):
+        sinks.save_pages(spark, path, page(n, status, seq))
+    os.makedirs(f"{path}/snapshot-9")  # a write that did not end
+    got = {(x.page, x.status, x.result) for x in sinks.read_store(spark, path, sinks.CHECKPOINT).collect()}
+    assert got == {(1, "done", "r1"), (2, "done", "r3")} and len([x for x in os.listdir(path) if x.startswith("snapshot-")]) == 4
+    wanted = spark.createDataFrame([("b", 1), ("b", 3)], "pdf string, page int")
+    done, todo = sinks.resume_pages(spark, path, wanted)
+    assert [x.page for x in done.collect()] == [1] and [x.page for x in todo.collect()] == [3]
+
+
+def test_running_and_ranges(spark):
+    df = spark.createDataFrame([(list(range(1000)),), ([],), ([5],)], "v array<int>")
+    got = [x[0] for x in df.select(t.running(F.col("v"), F.lit(0), lambda a, x: a + x)).collect()]
+    assert got == [[sum(range(i + 1)) for i in range(1000)], [], [5]]
+    texts = ["aaaa", "abab", "", None, "xaax", "é.aa\naa", "$a$a"]
+    for term in ("aa", "a", ".", "$a", "aba"):
+        want = [[i for i in range(len(x)) if x.startswith(term, i)] if x is not None else None for x in texts]
+        rows = spark.createDataFrame([(x,) for x in texts], "x string").select(rules.contains_ranges(F.col("x"), term)).collect()
+        assert [x[0] or [] for x in rows] == [w or [] for w in want], term
+
+
+def test_context_and_fixes(spark):
+    words = spark.createDataFrame([("ab",), ("bc",)], "word string")
+    rows = spark.createDataFrame([(1, "xa", "b", "z"), (2, "", "b", "cd"), (3, "b", "a", "c"), (4, None, "b", None)], "id int, before string, candidate string, after string")
+    assert {x.id: x.boost for x in lexicon.context_boost(rows, words).collect()} == {1: 0.15, 2: 0.15, 3: 0.0, 4: 0.0}
+    texts = spark.createDataFrame([(1, "xx yy xx"), (2, "zz"), (3, "")], "id int, text string")
+    spans = spark.createDataFrame([(1, 0, 2, "xx"), (1, 1, 3, "xx"), (1, 6, 8, "xx"), (1, 3, 5, "yy")], "id int, start int, end int, wrong string")
+    best = spark.createDataFrame([("xx", "Q", 0.85, 1), ("yy", "W", 0.84, 1)], "wrong string, word string, score double, rank int")
+    assert {x.id: (x.text, x.n_fixed) for x in lexicon.auto_fixed(texts, spans, best).collect()} == {1: ("Q yy Q", 2), 2: ("zz", 0), 3: ("", 0)}
