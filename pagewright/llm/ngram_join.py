@@ -4,14 +4,11 @@
    different text gets a number of its own, by which everything below tells texts apart.
 2. Each text's set of shingle hashes is sketched by MinHash. Band and row counts are chosen for a target recall at
    the threshold, and band hashes are shuffled.
-3. Each band's bucket ties its members to its smallest one. The components of these ties hold every pair that shares
-   a band; no pair inside a bucket is written out.
-4. The texts of a component of at most ``whole`` texts are compared on their full shingle sets. Larger components,
-   which chains of texts with common passages can make, are compared bucket by bucket, where a pair counts in the
-   first band that it shares and buckets of the same texts are compared once. Either way the comparison is cut into
-   square cells of ``block`` by ``block`` texts, so that a group of any size is spread over tasks. A cell counts links
-   by products of incidence matrices and returns a row for each text, not for each pair.
-5. Texts tied by verified links form near-duplicate classes.
+3. The texts of a bucket are compared on their full shingle sets. Buckets of the same texts, which near copies fill in
+   most of the bands, are compared once, and a pair that shares several buckets counts in the first band that it shares.
+   No pair is written out: a bucket is cut into square cells of ``block`` by ``block`` texts, so that one of any size is
+   spread over tasks, and a cell counts links by products of incidence matrices and returns a row for each text.
+4. Texts tied by verified links form near-duplicate classes.
 
 Words are separated by ASCII white space and compared as they are. A text of fewer than five words has one shingle,
 all its words. Defined results: null and empty texts have no shingles; they are copies of each other and similar to
@@ -35,7 +32,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9998
 BLOCK = 768
-WHOLE = 4096
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 192) -> tuple[int, int]:
@@ -134,11 +130,11 @@ def _words_key(text):
     return F.xxhash64(words), F.xxhash64(F.lit(7), words)
 
 
-def link_counts(sets: list, sizes, copies, threshold: float, half: int | None, bands=None, band: int = -1):
+def link_counts(sets: list, sizes, copies, threshold: float, half: int | None, bands, band: int):
     """Links between texts of one cell.
 
-    ``half`` None: all pairs of ``sets``; else the pairs of a text before ``half`` with one from there on. With ``bands``
-    (a row of band hashes for each text) only pairs whose first common band is ``band`` count. Gives for each text its
+    ``half`` None: all pairs of ``sets``; else the pairs of a text before ``half`` with one from there on. Of the pairs
+    only those count whose first common band is ``band``; ``bands`` has a row of band hashes for each text. Gives for each text its
     number of links, the copies of the texts that it links to, and the smallest place of its tied texts.
     """
     import numpy as np
@@ -178,7 +174,7 @@ def link_counts(sets: list, sizes, copies, threshold: float, half: int | None, b
                     hit[half:] = False
             hit &= row > 0
             found = np.flatnonzero(hit)
-            if bands is not None and len(found):
+            if len(found):
                 found = found[(bands[found] == bands[i]).argmax(axis=1) == band]
             links[i], weight[i] = len(found), copies[found].sum()
             for j in found[found > i]:
@@ -196,7 +192,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.withColumn("node", F.coalesce("id", -F.abs(F.shiftright("k1", 1)) - 1))
 
 
-def near_classes(keyed: DataFrame, threshold: float, recall: float, block: int, whole: int) -> tuple[DataFrame, DataFrame]:
+def near_classes(keyed: DataFrame, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
     """The rows (node, k1, k2), and a row for each different text: c1, c2, class_id, text_id and counts.
 
     ``first`` marks one text of each class, whose text_id is the class_id.
@@ -209,17 +205,15 @@ def near_classes(keyed: DataFrame, threshold: float, recall: float, block: int,
     texts = sketched.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     texts = materialise(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
     keys = texts.where("n > 0").select("t", F.posexplode("bands").alias("band", "hash"))
-    sums = [F.min("t").alias("low"), F.count("*").alias("m"), F.sum(F.xxhash64("t").cast("decimal(20,0)")).alias("members")]
-    buckets = keys.groupBy("band", "hash").agg(*sums).where("m > 1")
-    buckets = materialise(buckets.select(F.col("band").alias("b"), F.col("hash").alias("h"), "low", "m", "members"), "buckets")
-    met = materialise(keys.join(buckets, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).select("t", "band", "hash", "low", "m", "members"), "met")
-    discard(buckets)
-    ties = materialise(met.where("t <> low").select(F.col("t").alias("a"), F.col("low").alias("b")).distinct(), "ties")
-    near = materialise(connected_components(ties), "near")
-    found = _verified(keyed, texts, met, near, threshold, block, whole)
-    discard(ties, met, near)
-    linked = materialise(found.where("t <> tie").select(F.col("t").alias("a"), F.col("tie").alias("b")).distinct(), "linked")
-    groups = connected_components(linked)
+    members = F.sum(F.xxhash64("t").cast("decimal(20,0)")).alias("members")
+    buckets = keys.groupBy("band", "hash").agg(F.count("*").alias("m"), members).where("m > 1")
+    once = buckets.groupBy("m", "members").agg(F.min(F.struct("band", "hash")).alias("of"))
+    once = materialise(once.select(F.col("of.band").alias("b"), F.col("of.hash").alias("h"), "m"), "buckets")
+    met = keys.join(once, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h"))).select("t", "band", "hash", "m")
+    met = materialise(met, "met")
+    found = _verified(keyed, texts, met, threshold, block)
+    discard(once, met)
+    groups = connected_components(found.where("t <> tie").select(F.col("t").alias("a"), F.col("tie").alias("b")))
     per = found.groupBy(F.col("t").alias("r")).agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
     told = texts.drop("bands").join(per, F.col("t") == F.col("r"), "left").join(groups, F.col("t") == F.col("node"), "left")
     told = materialise(
@@ -229,18 +223,17 @@ def near_classes(keyed: DataFrame, threshold: float, recall: float, block: int,
         ),
         "told",
     )
+    discard(found, texts)
     # A class is named by its smallest id; one of its texts with that id, whose keys are least, is its first.
     low = told.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min(F.struct("text_id", "c1", "c2")).alias("low"))
-    named = told.join(low, F.col("component") == F.col("c"), "left")
+    named = told.join(materialise(low, "names"), F.col("component") == F.col("c"), "left")
     first = F.coalesce((F.col("low.c1") == F.col("c1")) & (F.col("low.c2") == F.col("c2")), F.lit(True))
     named = named.select("c1", "c2", F.coalesce("low.text_id", "text_id").alias("class_id"), "text_id", "n_copies", "n_links", "n_text_links", first.alias("first"))
-    named = materialise(named, "named")
-    discard(found, linked, told, texts)
     return sketched.select("node", "k1", "k2"), named
 
 
 def ngram_jaccard_join(
-    df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, whole: int = WHOLE,
+    df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """A row for each row of ``df``.
@@ -249,7 +242,7 @@ def ngram_jaccard_join(
     n_copies: rows with its words; n_links: other rows whose similarity reaches the threshold, copies among them;
     n_text_links: different texts among these.
     """
-    rows, named = near_classes(_keyed(df, id_col, text_col), threshold, recall, block, whole)
+    rows, named = near_classes(_keyed(df, id_col, text_col), threshold, recall, block)
     members = rows.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
     own = F.when(F.col("node") >= 0, F.col("node")).otherwise(_own(F.col("node"), F.col("k1")))
     return members.select(own.alias("doc_id"), "class_id", "text_id", "n_copies", "n_links", "n_text_links")
@@ -260,15 +253,15 @@ def _own(node, k1):
     return F.when(node != -F.abs(F.shiftright(k1, 1)) - 1, node)
 
 
-def _verified(keyed: DataFrame, texts: DataFrame, met: DataFrame, near: DataFrame, threshold: float, block: int, whole: int) -> DataFrame:
-    """t, links, weight and tie (the smallest text it is tied to) from every cell that a text is in."""
-    sizes = materialise(near.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m")), "sizes")
-    placed = near.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("t"), "component", "m")
-    known = texts.select(F.col("t").alias("x"), "k1", "k2", "rep", "copies", "bands")
-    placed = materialise(placed.join(known, F.col("t") == F.col("x")).drop("x"), "placed")
+def _verified(keyed: DataFrame, texts: DataFrame, met: DataFrame, threshold: float, block: int) -> DataFrame:
+    """t, links, weight and tie (the smallest text it is tied to) from every cell that a text is in.
+
+    ``met``: texts by band, hash and m, the number of texts of the bucket.
+    """
+    chosen = texts.join(met.select("t").distinct(), "t", "left_semi")
+    chosen = chosen.select("t", "copies", "bands", F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
     # One row of each text: that of its smallest node, or any of those that share it.
-    mine = placed.select("t", F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
-    source = keyed.join(mine, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("node") == F.col("rep")))
+    source = keyed.join(chosen, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("node") == F.col("rep")))
 
     def pack(batches):
         import pyarrow as pa
@@ -278,27 +271,19 @@ def _verified(keyed: DataFrame, texts: DataFrame, met: DataFrame, near: DataFram
         shingles = Shingler()
         for batch in batches:
             for some in slices(batch):
-                sets = [shingles(t).tobytes() for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["t", "hashes"])
-
-    packed = source.dropDuplicates(["t"]).select("t", "text").mapInArrow(pack, "t long, hashes binary")
-    packed = materialise(packed, "sets")
-    # Components of moderate size are groups (band -1) themselves; of others, the buckets are, each set of texts once.
-    groups = placed.where(F.col("m") <= whole).select("t", "copies", F.lit(None).cast("array<bigint>").alias("bands"), F.lit(-1).alias("band"), F.col("component").alias("name"), "m")
-    wide = placed.where(F.col("m") > whole).select(F.col("t").alias("x"), "copies", "bands", "component")
-    inside = met.join(wide, F.col("t") == F.col("x")).drop("x")
-    once = inside.groupBy("component", "m", "members").agg(F.min(F.struct("band", "hash")).alias("of")).select("of.band", "of.hash")
-    once = materialise(once.select(F.col("band").alias("b"), F.col("hash").alias("h")), "once")
-    inside = inside.join(once, (F.col("band") == F.col("b")) & (F.col("hash") == F.col("h")))
-    groups = groups.unionByName(inside.select("t", "copies", "bands", "band", F.col("hash").alias("name"), "m"))
-    groups = groups.withColumn("parts", F.ceil(F.col("m") / block).cast("long")).withColumn("part", F.pmod(F.xxhash64("t"), "parts"))
+                sets = [shingles(t).tobytes() for t in some.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(sets, pa.binary())], names=["t", "copies", "bands", "hashes"])
+
+    packed = source.dropDuplicates(["t"]).select(F.col("t").alias("x"), "copies", "bands", "text")
+    packed = materialise(packed.mapInArrow(pack, "x long, copies long, bands array<bigint>, hashes binary"), "sets")
+    groups = met.withColumn("parts", F.ceil(F.col("m") / block).cast("long")).withColumn("part", F.pmod(F.xxhash64("t"), "parts"))
     # A text of part p meets part q in the cell of both; cell (p, p) holds the pairs inside the part.
     cells = groups.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = cells.select("t", "copies", "bands", "band", "name", "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
-    cells = cells.join(packed.withColumnRenamed("t", "x"), F.col("t") == F.col("x")).drop("x")
+    cells = cells.select("t", "band", "hash", "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
+    cells = cells.join(packed, F.col("t") == F.col("x")).drop("x")
     schema = "t long, links long, weight long, tie long"
-    found = materialise(cells.groupBy("band", "name", "row", "col").applyInArrow(_compare(threshold), schema), "links")
-    discard(sizes, placed, packed, once)
+    found = materialise(cells.groupBy("band", "hash", "row", "col").applyInArrow(_compare(threshold), schema), "links")
+    discard(packed)
     return found
 
 
@@ -313,7 +298,7 @@ def _compare(threshold: float):
         parts = table["part"].to_numpy()
         half = None if parts[0] == parts[-1] else int(np.searchsorted(parts, parts[-1]))
         texts, band = table["t"].to_numpy(), table["band"][0].as_py()
-        bands = None if band < 0 else np.stack(table["bands"].to_pylist())
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(sets), -1)
         links, weight, tops = link_counts(sets, sizes, table["copies"].to_numpy(), threshold, half, bands, band)
         return pa.table({"t": texts, "links": links, "weight": weight, "tie": texts[tops]})
 
@@ -329,7 +314,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each class: a row of its first text, one of them where several rows have its words and id."""
     inner, names = numbered(docs)
     id_, text = F.col(names["doc_id"]).cast("long"), F.col(names["text"]).cast("string")
-    _, told = near_classes(_keyed(inner, names["doc_id"], names["text"]), THRESHOLD, RECALL, BLOCK, WHOLE)
+    _, told = near_classes(_keyed(inner, names["doc_id"], names["text"]), THRESHOLD, RECALL, BLOCK)
     first = told.where("first").select("c1", "c2", F.col("text_id").alias("c3"))
     k1, k2 = _words_key(text)
     rows = inner.withColumns({"k1": k1, "k2": k2}).withColumn("k3", F.coalesce(id_, -F.abs(F.shiftright("k1", 1)) - 1))
