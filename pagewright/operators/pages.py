@@ -131,3 +131,26 @@ def throttled(writes: DataFrame, seconds: float = 2.0) -> DataFrame:
     folded = writes.groupBy("job").agg(seen.alias("w")).withColumn("r", running(F.col("w"), zero(None), step))
     made = F.filter("r", lambda x, i: x["made"] | (i == F.size("r") - 1))
     return folded.select("job", F.explode(made).alias("x")).select("job", "x.seq")
+
+
+def with_global_number(df: DataFrame, order: list[str], name: str, parts: int = 256, sampled: int = 20_000) -> DataFrame:
+    """Adds the place of each row, from 1, in the order of some columns, without one task that sees all rows.
+
+    A hash sample of about ``sampled`` keys gives the bounds of ranges; rows are numbered inside their range, and the
+    sizes of the ranges (``parts`` numbers at most, on the driver) give where each begins.
+    """
+    total = df.count()
+    keyed = df.withColumn("range_key", F.struct(*order))
+    some = keyed.where(F.pmod(F.xxhash64(*order), F.lit(max(1, total // sampled))) == 0).select("range_key").distinct().sort("range_key").toArrow()
+    n = some.num_rows
+    bounds = some.take(sorted({n * k // parts for k in range(1, parts)} - {0}))["range_key"].to_pylist() if n else []
+    kinds = dict(keyed.dtypes)["range_key"]
+    limits = F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in order]) for b in bounds]).cast(f"array<{kinds}>")
+    ranged = keyed.withColumn("range", F.size(F.filter(limits, lambda b: b <= F.col("range_key")))).drop("range_key")
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    starts, at = [], 0
+    for k in range(parts + 1):
+        starts.append(at)
+        at += sizes.get(k, 0)
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) + F.get(F.array(*[F.lit(x) for x in starts]), F.col("range"))
+    return ranged.withColumn(name, place.cast("long")).drop("range")

@@ -160,7 +160,7 @@ def _links(spark, sf_dir):
 @query("agg_img_dedup", "SELECT img, dense_rank() OVER (ORDER BY first_doc, img) AS n FROM (SELECT 'data:' || (doc_id % 50) AS img, min(doc_id) AS first_doc FROM documents GROUP BY 1)")
 def _images(spark, sf_dir):
     first = table(spark, sf_dir, "documents").select(F.concat(F.lit("data:"), (F.col("doc_id") % 50).cast("string")).alias("img"), "doc_id").groupBy("img").agg(F.min("doc_id").alias("f"))
-    return first.select("img", F.dense_rank().over(Window.orderBy("f", "img")).alias("n"))
+    return p.with_global_number(first, ["f", "img"], "n").select("img", "n")
 
 
 @query("win_version_no", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS version FROM events")
@@ -198,11 +198,20 @@ query("win_even_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, row
 query("win_ema_rate")(lambda spark, sf_dir: p.ema_rate(table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("event_id").alias("d")), "user_id", "t", "d"))
 
 query("sort_pages", "SELECT conv_id AS book, turn AS page FROM conversations ORDER BY 1, 2")(lambda spark, sf_dir: _books(spark, sf_dir).select("book", "page").orderBy("book", "page"))
-query("sort_natural", "SELECT name, row_number() OVER (ORDER BY n) AS place FROM (SELECT 'p' || c_custkey || '.png' AS name, c_custkey AS n FROM customer)")(lambda spark, sf_dir: table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("name")).select("name", F.row_number().over(Window.orderBy(t.natural_key(F.col("name")))).alias("place")))
+@query("sort_natural", "SELECT name, row_number() OVER (ORDER BY n) AS place FROM (SELECT 'p' || c_custkey || '.png' AS name, c_custkey AS n FROM customer)")
+def _natural(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("name"))
+    return p.with_global_number(names.withColumn("k", t.natural_key(F.col("name"))), ["k"], "place").select("name", "place")
+
+
 query("limit_preview", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 20")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("n")).where("n <= 20").drop("n"))
-query("set_union_pages", "SELECT row_number() OVER (ORDER BY b, k) AS page, text FROM (SELECT 1 AS b, item_id AS k, text FROM benchmark UNION ALL SELECT 2, r_regionkey, r_name FROM region)")(
-    lambda spark, sf_dir: table(spark, sf_dir, "benchmark").select(F.lit(1).alias("b"), F.col("item_id").cast("long").alias("k"), "text").unionByName(table(spark, sf_dir, "region").select(F.lit(2).alias("b"), F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("text"))).select(F.row_number().over(Window.orderBy("b", "k")).alias("page"), "text")
-)
+@query("set_union_pages", "SELECT row_number() OVER (ORDER BY b, k) AS page, text FROM (SELECT 1 AS b, item_id AS k, text FROM benchmark UNION ALL SELECT 2, r_regionkey, r_name FROM region)")
+def _union_pages(spark, sf_dir):
+    first = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("b"), F.col("item_id").cast("long").alias("k"), "text")
+    second = table(spark, sf_dir, "region").select(F.lit(2).alias("b"), F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("text"))
+    return p.with_global_number(first.unionByName(second), ["b", "k"], "page").select("page", "text")
+
+
 query("set_dedupe_sources", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")(lambda spark, sf_dir: table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id")))
 query("join_toc_href", "SELECT d.doc_id, m.id FROM (SELECT doc_id, 'c' || (doc_id % 120) || '.xhtml' AS f FROM documents) d LEFT JOIN (SELECT 'c' || (page_id % 100) || '.xhtml' AS f, min(page_id) AS id FROM pages GROUP BY 1) m USING (f)")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("t/c"), (F.col("doc_id") % 120).cast("string"), F.lit(".xhtml#h1")).alias("href")).select("doc_id", F.substring_index(F.substring_index("href", "#", 1), "/", -1).alias("f")).join(table(spark, sf_dir, "pages").groupBy(F.concat(F.lit("c"), (F.col("page_id") % 100).cast("string"), F.lit(".xhtml")).alias("f")).agg(F.min("page_id").alias("id")), "f", "left").select("doc_id", "id")

@@ -19,9 +19,17 @@ def _n(m):
 
 
 query("html_img_width", "SELECT doc_id, CASE WHEN doc_id % 130 BETWEEN 1 AND 100 THEN 'width:' || (doc_id % 130) || '%' ELSE '' END AS style FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.image_width(F.concat(F.lit("width:7px; color:red;WIDTH : "), _n(130), F.lit("%"))).alias("style")))
-query("html_cell_style", "SELECT doc_id, CASE WHEN doc_id % 60 BETWEEN 1 AND 50 THEN 'width:' || (doc_id % 60) || '.5em;' ELSE '' END || 'height:20px' || CASE WHEN doc_id % 2 = 0 THEN ';vertical-align:top' ELSE '' END AS style FROM documents WHERE doc_id % 60 <> 50")(
-    lambda s, d: _docs(s, d).where("doc_id % 60 <> 50").select("doc_id", styles.cell_style(F.concat(F.lit("height:20.0PX;position:fixed;width:"), F.when(F.col("doc_id") % 60 == 0, "9").otherwise(F.concat(_n(60), F.lit(".50em"))), F.when(F.col("doc_id") % 2 == 0, ";vertical-align: Top").otherwise(";vertical-align:x"))).alias("style"))
+@query(
+    "html_cell_style",
+    """SELECT doc_id, CASE WHEN doc_id % 60 BETWEEN 1 AND 49 THEN 'width:' || (doc_id % 60) || '.5em;' ELSE '' END || 'height:20px' || CASE WHEN doc_id % 2 = 0 THEN ';vertical-align:top' ELSE '' END AS style FROM documents""",
 )
+def _cell_style(s, d):
+    """Widths from 0.50em to 59.50em, of which those above 50em are out of bounds."""
+    width = F.when(F.col("doc_id") % 60 == 0, "9").otherwise(F.concat(_n(60), F.lit(".50em")))
+    align = F.when(F.col("doc_id") % 2 == 0, ";vertical-align: Top").otherwise(";vertical-align:x")
+    return _docs(s, d).select("doc_id", styles.cell_style(F.concat(F.lit("height:20.0PX;position:fixed;width:"), width, align)).alias("style"))
+
+
 query("html_table_style", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'table-layout:fixed' ELSE '' END AS style FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.table_style(F.when(F.col("doc_id") % 2 == 0, "color:red; Table-Layout: FIXED").otherwise("table-layout:fixed;table-layout:auto")).alias("style")))
 query("html_ruby", "SELECT doc_id, '<ruby>' || lang || '<rt>x</rt></ruby>' AS html FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.ruby(F.concat(F.lit('<ruby class="a">'), "lang", F.lit("<rp>(</rp><rt id='q'>x</rt><rp>)</rp></ruby>"))).alias("html")))
 query("html_note_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<p id=\"a\" class=\"page-note-label\">' || lang || '<strong>注释：</strong>x</p><p>y</p>' ELSE '<div class=\"page-note-label\"> 注释:</div><p>' || lang || '</p>' END AS html FROM documents")(
@@ -50,16 +58,24 @@ query("txt_s2t", "SELECT doc_id, '這個' || text AS text FROM documents")(lambd
 
 
 def _grey(s, d):
-    """20 by 30 pages: a dark block at a place by the document's number, and a white page."""
+    """A page of 20 by 30 for each document: a dark block, or nothing on every sixth."""
     dark = lambda i: (i % 20).between(3, 14) & F.floor(i / 20).between(4, 22)
-    rows = s.range(6).select(F.col("id").alias("page"), F.lit(30).alias("h"), F.lit(20).alias("w"))
-    byte = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.when(dark(i) & (F.col("page") > 0), "10").otherwise("FF"))
+    rows = _docs(s, d).select(F.col("doc_id").alias("page"), F.lit(30).alias("h"), F.lit(20).alias("w"))
+    byte = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.when(dark(i) & (F.col("page") % 6 > 0), "10").otherwise("FF"))
     return rows.withColumn("gray", F.unhex(F.array_join(byte, "")))
 
 
-query("flt_ink_bbox", "SELECT page::BIGINT AS page, CASE WHEN page > 0 THEN '3,4,15,23' END AS box FROM range(6) t(page)")(lambda s, d: styles.ink(_grey(s, d), "page").select("page", F.when(F.col("box").isNotNull(), F.array_join(F.col("box").cast("array<string>"), ",")).alias("box")))
-query("flt_ink_ratio", "SELECT page::BIGINT AS page, CASE WHEN page > 0 THEN round(12 * 19 / 600.0, 6) ELSE 0 END AS ink FROM range(6) t(page)")(lambda s, d: styles.ink(_grey(s, d), "page").select("page", F.round("ink", 6).alias("ink")))
-query("ut_bench_page", "SELECT page::BIGINT AS page, page = 0 AS blank FROM range(6) t(page)")(lambda s, d: styles.ink(_grey(s, d), "page").select("page", (F.col("ink") < 1e-4).alias("blank")))
+@query("flt_ink_bbox", "SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 THEN '3,4,15,23' END AS box FROM documents")
+def _ink_box(s, d):
+    return styles.ink(_grey(s, d), "page").select("page", F.when(F.col("box").isNotNull(), F.array_join(F.col("box").cast("array<string>"), ",")).alias("box"))
+
+
+query("flt_ink_ratio", "SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 THEN round(12 * 19 / 600.0, 6) ELSE 0 END AS ink FROM documents")(
+    lambda s, d: styles.ink(_grey(s, d), "page").select("page", F.round("ink", 6).alias("ink"))
+)
+query("ut_bench_page", "SELECT doc_id AS page, doc_id % 6 = 0 AS blank FROM documents")(
+    lambda s, d: styles.ink(_grey(s, d), "page").select("page", (F.col("ink") < 1e-4).alias("blank"))
+)
 query("src_pdf_pages", "SELECT doc_id::VARCHAR AS path, unnest([1, 2, 3]) AS page FROM documents")(lambda s, d: styles.render_pages(_docs(s, d).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit(3).alias("n_pages")), lambda data, page: data[:page]).select("path", "page"))
 query("src_img_preprocess", "SELECT doc_id, strlen(text)::INT AS n FROM documents")(lambda s, d: styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: x[::-1]).select("doc_id", F.length("image").alias("n")))
 query("pr_vlm", "SELECT doc_id, 'ok' AS said FROM documents")(lambda s, d: styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: b"ok").select("doc_id", F.decode("image", "UTF-8").alias("said")))

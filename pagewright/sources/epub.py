@@ -146,7 +146,6 @@ def pack_books(chapters: DataFrame, key: str) -> DataFrame:
 
 def merge_pages(spine_rows: DataFrame, order: list[str]) -> DataFrame:
     """Pages of several books one after another, numbered from 1 over all."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+    from pagewright.operators.pages import with_global_number
 
-    return spine_rows.withColumn("page", F.row_number().over(Window.orderBy(*order)))
+    return with_global_number(spine_rows, order, "page")
