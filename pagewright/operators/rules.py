@@ -421,9 +421,11 @@ def merged_paragraphs(rows: DataFrame, key: str, order: str, text: str) -> DataF
     """Paragraphs of each key with what goes on them joined."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(order)
-    r = rows.withColumn("n", F.sum(F.when(merge_barrier(F.lag(text).over(w), F.col(text)), 1).otherwise(0)).over(w))
-    return r.groupBy(key, "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "").alias("text"))
+    given = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("t"))
+    w = Window.partitionBy("k").orderBy("o")
+    grouped = given.withColumn("n", F.sum(F.when(merge_barrier(F.lag("t").over(w), F.col("t")), 1).otherwise(0)).over(w))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), "")
+    return grouped.groupBy(F.col("k").alias(key), "n").agg(whole.alias("text"))
 
 
 def page_errors(text: Column) -> Column:

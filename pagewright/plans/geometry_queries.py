@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import CJK_MARKS, WS
 from pagewright.operators import geometry as g
 from pagewright.plans.registry import query, table
 
@@ -54,10 +55,16 @@ def _should(spark, sf_dir):
     return g.paragraphs(_lines(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.max("paragraph").alias("paragraphs"))
 
 
-query("geo_paragraphs")(lambda spark, sf_dir: g.paragraphs(_lines(spark, sf_dir), ["doc_id"]))
+_RTRIM, _LTRIM = f"regexp_replace(a, '[{WS}]+$', '')", f"regexp_replace(b, '^[{WS}]+', '')"
+_JOINED = f"""list_reduce([''] || list(coalesce(text, '') ORDER BY place), lambda a, b: CASE WHEN {_RTRIM} = '' THEN {_LTRIM} WHEN {_LTRIM} = '' THEN {_RTRIM}
+ WHEN NOT (regexp_matches(right({_RTRIM}, 1), '{CJK_MARKS}') AND regexp_matches(left({_LTRIM}, 1), '{CJK_MARKS}')) AND (regexp_matches(right({_RTRIM}, 1), '[A-Za-z0-9]') OR regexp_matches(left({_LTRIM}, 1), '[A-Za-z0-9]'))
+ THEN {_RTRIM} || ' ' || {_LTRIM} ELSE {_RTRIM} || {_LTRIM} END)"""
+_PARAGRAPHS = f"""SELECT r.doc_id, paragraph::BIGINT AS paragraph, {_JOINED} AS text FROM {_ROW} r
+ JOIN (SELECT doc_id, row_, sum(CASE WHEN merge THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY row_) AS paragraph FROM {_MERGE}) m ON r.doc_id = m.doc_id AND r.row_ = m.row_ GROUP BY r.doc_id, paragraph"""
+query("geo_paragraphs", _PARAGRAPHS)(lambda spark, sf_dir: g.paragraphs(_lines(spark, sf_dir), ["doc_id"]))
 
 
-@query("geo_page_text")
+@query("geo_page_text", f"SELECT doc_id, string_agg(text, chr(10) ORDER BY paragraph) AS text FROM ({_PARAGRAPHS}) GROUP BY doc_id")
 def _page_text(spark, sf_dir):
     p = g.paragraphs(_lines(spark, sf_dir), ["doc_id"])
     return p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n").alias("text"))

@@ -44,7 +44,7 @@ def _candidates(s, d):
 
 query("topk_candidates", f"SELECT wrong, word, score FROM (SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY score DESC, freq DESC, word) AS n FROM ({_CAND} WHERE round(least(1.2, 0.2 * (1 - levenshtein(a.w, b.word) / greatest(length(a.w), length(b.word))::DOUBLE) + least(0.15, log10(b.freq + 1) / 40)), 9) >= 0.2)) WHERE n <= 5")(lambda s, d: _candidates(s, d).select("wrong", "word", F.round("score", 6).alias("score")))
 query("join_candidates", f"SELECT wrong, word FROM ({_CAND})")(lambda s, d: x.candidates(_wrong(s, d), _words(s, d), s.createDataFrame([], "ch string, alt string"), s.createDataFrame([], "wrong string, fixed string"), least=0.0, near=0.5, top=10**6).select("wrong", "word"))
-query("pr_candidates")(_candidates)
+query("pr_candidates", f"SELECT wrong, word, score, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY score DESC, freq DESC, word) AS n FROM ({_CAND} WHERE round(least(1.2, 0.2 * (1 - levenshtein(a.w, b.word) / greatest(length(a.w), length(b.word))::DOUBLE) + least(0.15, log10(b.freq + 1) / 40)), 9) >= 0.2)) WHERE n <= 5")(lambda s, d: _candidates(s, d).withColumn("score", F.round("score", 6)))
 
 
 @batch_udf("array<struct<start:int,end:int,wrong:string,candidates:array<string>>>")

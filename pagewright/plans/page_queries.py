@@ -195,7 +195,10 @@ query("win_waves", "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER
 query("win_even_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE n <= 5 OR floor(round(i / ((n - 1) / 4.0)) * ((n - 1) / 4.0)) = i")(
     lambda spark, sf_dir: p.even_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5)
 )
-query("win_ema_rate")(lambda spark, sf_dir: p.ema_rate(table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("event_id").alias("d")), "user_id", "t", "d"))
+_EMA = """SELECT user_id, list_reduce(list({'t': epoch_us(ts) / 1e6, 'd': event_id::DOUBLE, 'r': 0.0::DOUBLE} ORDER BY ts, event_id), lambda a, x:
+ {'t': x.t, 'd': x.d, 'r': CASE WHEN x.t > a.t AND x.d > a.d THEN CASE WHEN a.r <= 0 THEN (x.d - a.d) / (x.t - a.t) ELSE 0.3::DOUBLE * ((x.d - a.d) / (x.t - a.t)) + 0.7::DOUBLE * a.r END ELSE a.r END}).r AS rate
+ FROM events GROUP BY user_id"""
+query("win_ema_rate", _EMA)(lambda spark, sf_dir: p.ema_rate(table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("event_id").alias("d")), "user_id", "t", "d"))
 
 query("sort_pages", "SELECT conv_id AS book, turn AS page FROM conversations ORDER BY 1, 2")(lambda spark, sf_dir: _books(spark, sf_dir).select("book", "page").orderBy("book", "page"))
 @query("sort_natural", "SELECT name, row_number() OVER (ORDER BY n) AS place FROM (SELECT 'p' || c_custkey || '.png' AS name, c_custkey AS n FROM customer)")

@@ -115,7 +115,12 @@ def _outside(s, d):
     return pages.select("page_id", F.regexp_count("html", F.lit(r"(?i)<p\b")).alias("hits"), F.length("html").alias("chars"))
 
 
-@query("cl_merge_paras", None)
+_PARTS = f"""SELECT doc_id, i, p[i] AS x FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, [l for l in regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '\\. ', chr(10), 'g'), '^[ \\t\\x{{3000}}]+', ''), '\\n[ \\t\\x{{3000}}]*') if {sql_trim('l')} <> ''] AS p FROM documents))"""
+_MERGED = f"""SELECT doc_id, n::BIGINT AS n, string_agg(x, '' ORDER BY i) AS text FROM (SELECT *, sum(CASE WHEN prev IS NULL OR regexp_matches(prev, '[。！？!?.：:；;…]$') OR regexp_matches(x, '^([0-9]+[.、)）]|[-•·*]|[　 ]{{2}}|[“「『（(])') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n
+ FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM ({_PARTS}))) GROUP BY 1, 2"""
+
+
+@query("cl_merge_paras", _MERGED)
 def _merge(s, d):
     rows = _docs(s, d).select("doc_id", F.posexplode(t.split_paragraphs(F.regexp_replace("text", r"\. ", "\n"))).alias("n", "text"))
     return r.merged_paragraphs(rows, "doc_id", "n", "text")

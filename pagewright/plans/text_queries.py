@@ -142,5 +142,10 @@ on_documents("txt_parse_bool", lambda: F.element_at(F.array(*[F.lit(x) for x in
 on_documents("txt_page_of", cat("p2_", id_, ".png"), t.page_of, "'p2_' || doc_id || '.png'", "regexp_extract(x, '([0-9]+)(?:\\.[^.]*)?$', 1)::BIGINT")
 on_documents("txt_natural_key", cat("Img", id_, "b007"), t.natural_key, "'Img' || doc_id || 'b007'", "'img' || lpad(length(doc_id::VARCHAR)::VARCHAR, 10, '0') || doc_id || 'b' || lpad('1', 10, '0') || '7'")
 on_documents("txt_sanitize_filename", cat("a b*~", lambda: F.col("lang"), "é/_", id_), t.sanitize_filename, "'a b*~' || lang || 'é/_' || doc_id", "'a%20b%2A%7E' || regexp_extract(x, '~(.*)é', 1) || '%C3%A9%2F_' || doc_id")
-on_documents("txt_uuid5", cat(lambda: F.col("lang"), "|", id_), t.uuid5, "", None)
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(x))"
+on_documents(
+    "txt_uuid5", cat(lambda: F.col("lang"), "|", id_), t.uuid5, "lang || '|' || doc_id",
+    "(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+    f" FROM (SELECT {_SHA} AS h))",
+)
 on_documents("ut_display_width", cat("中→ｱ", text), lambda x: t.display_width(x).cast("long"), "'中→ｱ' || text", "length(x) + 2")
