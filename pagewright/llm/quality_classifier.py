@@ -21,6 +21,7 @@ an empty table gives no rows. Other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ NONZERO = 4
 MARKS = ".,;:!?#$%&*|<>\"'()-_=+@/\\~^"
 COUNTS = "word long, n long"
 SUMS = "seq int, row int, n double, vec array<double>"
-#: Tokens whose vectors are in memory at a time.
-STRETCH = 1 << 16
+#: Counts of words in texts that are in memory at a time.
+CELLS = 1 << 21
 
 
 def index_vectors(h):
@@ -60,9 +61,28 @@ class Tokens:
     """Hashes of words and kinds of shapes of texts, with a bounded table of words."""
 
     def __init__(self, most: int = 300_000):
+        import numpy as np
+
         self.most = most
         self.known: dict[str, int] = {}
-        self.pairs: list[tuple[int, int]] = []
+        self.hashes, self.shapes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]):
+        """Places of words in the table, which new ones are added to; it starts anew when it is too long."""
+        import numpy as np
+
+        if len(self.known) > self.most:
+            self.__init__(self.most)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            added = [words[i] for i in new.tolist()]
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(added, at[new].tolist()))
+            pairs = list(map(self._pair, added))
+            self.hashes = np.concatenate([self.hashes, np.fromiter((p[0] for p in pairs), np.uint64, len(pairs))])
+            self.shapes = np.concatenate([self.shapes, np.fromiter((p[1] for p in pairs), np.int64, len(pairs))])
+        return at
 
     @staticmethod
     def _pair(word: str) -> tuple[int, int]:
@@ -89,19 +109,10 @@ class Tokens:
         before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         sizes = np.diff(before[bounds - bounds[0]])
         coded = flat.filter(full).dictionary_encode()
-        if len(self.known) > self.most:
-            self.known, self.pairs = {}, []
-        known, pairs, words = self.known, self.pairs, coded.dictionary.to_pylist()
-        for w in words:
-            if w not in known:
-                known[w] = len(pairs)
-                pairs.append(self._pair(w))
-        found = [pairs[known[w]] for w in words]
-        each = np.fromiter((p[0] for p in found), np.uint64, len(found))
-        hashes, of = np.unique(each, return_inverse=True)
+        at = self._learn(coded.dictionary.to_pylist())
+        hashes, of = np.unique(self.hashes[at], return_inverse=True)
         codes = coded.indices.to_numpy()
-        lexical = of[codes] if len(codes) else np.zeros(0, np.int64)
-        shape = np.fromiter((p[1] for p in found), np.int64, len(found))[codes] if len(codes) else np.zeros(0, np.int64)
+        lexical, shape = of[codes], self.shapes[at][codes]
         if len(lexical) > 1:
             again = np.flatnonzero(lexical[1:] == lexical[:-1]) + 1
             first = np.zeros(len(lexical) + 1, bool)
@@ -132,7 +143,7 @@ def _count(batches):
             hashes, lexical, _, _ = tokens(some.column(0))
             parts.append((hashes, np.bincount(lexical, minlength=len(hashes))))
             held += len(hashes)
-            if held > 1_000_000:
+            if held > 2_000_000:
                 yield from rows()
                 parts, held = [], 0
     if parts:
@@ -178,7 +189,7 @@ def _neighbours(shared):
                 hashes, lexical, shape, sizes = tokens(some.column(0))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 inner = owner[1:] == owner[:-1]
-                of_word = _rows_of(words, hashes)[lexical] if len(lexical) else lexical
+                of_word = _rows_of(words, hashes)[lexical]
                 for seq, rows, ids, (places, signs) in ((0, of_word, lexical, index_vectors(hashes)), (1, shape, shape, (shape_places, shape_signs))):
                     for side in (0, 1):
                         a, b = (rows[:-1], ids[1:]) if side else (rows[1:], ids[:-1])
@@ -258,14 +269,16 @@ def pooled(docs: DataFrame, words, vectors) -> DataFrame:
                 hashes, lexical, shape, sizes = tokens(some.column(2))
                 out = np.zeros((len(sizes), 2 * DIM), np.float32)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                row = _rows_of(words, hashes)
-                rows = row[lexical] if len(lexical) else lexical
-                for at in range(0, len(rows), STRETCH):
-                    part = slice(at, at + STRETCH)
-                    own = owner[part]
-                    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    out[own[starts], :DIM] += np.add.reduceat(of_words[rows[part]], starts, axis=0)
-                    out[own[starts], DIM:] += np.add.reduceat(of_shapes[shape[part]], starts, axis=0)
+                rows = _rows_of(words, hashes)[lexical]
+                # Counts of each word in each of some texts, times the words' vectors.
+                ends, step = np.cumsum(sizes), max(1, CELLS // len(of_words))
+                for at in range(0, len(sizes), step):
+                    last = min(at + step, len(sizes))
+                    part = slice(ends[at] - sizes[at], ends[last - 1])
+                    for table, ids, to in ((of_words, rows, slice(0, DIM)), (of_shapes, shape, slice(DIM, 2 * DIM))):
+                        cells = (owner[part] - at) * len(table) + ids[part]
+                        counts = np.bincount(cells, minlength=(last - at) * len(table)).reshape(-1, len(table))
+                        out[at:last, to] = counts.astype(np.float32) @ table
                 rare = rows == len(words)
                 if rare.any():
                     places, signs = index_vectors(hashes)
