@@ -5,6 +5,8 @@ Texts are split on newlines only, white space is Unicode's unless said otherwise
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: Not a character; stands in texts only while they are worked on.
+STOP = "\ufdd0"
 #: Items of a block of a running aggregate.
 BLOCK = 128
 
@@ -193,22 +197,22 @@ def half_to_full(c: Column) -> Column:
         (r"!(?!==?)", "！"),
         (rf"(?<!\.)\.(?!\.)(?!(?<={d}\.){d})(?!(?<=[A-Za-z]\.)[A-Za-z0-9])(?!(?<=[A-Za-z0-9]\.)[ \t]+[A-Za-z0-9])(?<!\.[A-Za-z]{{1,4}}\.)(?!(?<=(?<![A-Za-z])[A-Z][a-z]{{0,2}}\.)[ \t])(?!(?<=(?<!\S)\.){d})", "。"),
     )
-    for pattern, to in steps:
-        out = F.regexp_replace(out, pattern, to)
+    # Texts without a mark are spared its pattern.
+    for mark, (pattern, to) in zip(",;:?!.", steps):
+        out = let(out, _holding(mark, pattern, to))
     return out
 
 
-def _beside(out: Column, pairs, chinese: bool) -> Column:
-    import re
+def _holding(mark: str, pattern: str, to: str):
+    return lambda x: F.when(F.contains(x, F.lit(mark)), F.regexp_replace(x, pattern, to)).otherwise(x)
 
+
+def _beside(out: Column, pairs, chinese: bool) -> Column:
     near = f"[{HAN}]" if chinese else "[A-Za-z0-9]"
     for src, dst in pairs:
-        s, t = re.escape(src), dst.replace("\\", "\\\\").replace("$", "\\$")
-        if chinese:
-            out = F.regexp_replace(F.regexp_replace(out, f"(?<={near}){s}", t), f"{s}(?={near})", t)
-        else:
-            for pattern in (f"(?<={near}){s}(?={near})", f"^{s}(?={near})", f"(?<={near}){s}$"):
-                out = F.regexp_replace(out, pattern, t)
+        q, t = re.escape(src), dst.replace("\\", "\\\\").replace("$", "\\$")
+        places = f"(?<={near}){q}|{q}(?={near})" if chinese else f"(?<={near}){q}(?={near})|^{q}(?={near})|(?<={near}){q}$"
+        out = let(out, _holding(src, places, t))
     return out
 
 
@@ -238,18 +242,24 @@ def punctuation_extended(c: Column) -> Column:
 
 def digit_punctuation(c: Column, pairs=DIGIT_MAP) -> Column:
     """Chinese marks between single letters or digits, or that end a number, in ASCII."""
-    import re
-
-    out = text_or_empty(c)
     alnum, letter, gap = "[0-9０-９A-Za-zＡ-Ｚａ-ｚ]", "[A-Za-zＡ-Ｚａ-ｚ]", r"[ \t\x{3000}]*"
     mapping: dict[str, str] = {}
     for src, dst in pairs:
         if len(src) == 1:
             mapping.setdefault(src, dst)
-    for pattern in (rf"(?<!{letter})({alnum}){gap}%s{gap}(?={alnum}(?!{letter}))", rf"([0-9０-９]){gap}%s{gap}(?=[{WS}]|$)"):
+    if not mapping:
+        return text_or_empty(c)
+    marks = "(" + "|".join(map(re.escape, mapping)) + ")"
+
+    # All marks of a place in one pass, which sets a stop before each; stops and marks are then told together.
+    def placed(x):
+        for pattern in (rf"(?<!{letter})({alnum}){gap}{marks}{gap}(?={alnum}(?!{letter}))", rf"([0-9０-９]){gap}{marks}{gap}(?=[{WS}]|$)"):
+            x = F.regexp_replace(x, pattern, f"$1{STOP}$2")
         for src, dst in mapping.items():
-            out = F.regexp_replace(out, pattern % re.escape(src), "$1" + dst.replace("\\", "\\\\").replace("$", "\\$"))
-    return out
+            x = F.replace(x, F.lit(STOP + src), F.lit(dst))
+        return x
+
+    return let(text_or_empty(c), lambda x: F.when(x.rlike(marks), placed(F.replace(x, F.lit(STOP), F.lit("")))).otherwise(x))
 
 
 def digit_spaces(c: Column) -> Column:
