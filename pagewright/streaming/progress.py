@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import let, running
 from pagewright.names import PROGRESS_MARKER
 
 # The stages in order with their shares of the whole, and how fast the rate follows.
@@ -61,17 +62,46 @@ class Estimator:
 
 
 def estimates(events: DataFrame) -> DataFrame:
-    """An estimate after each event (job, seq, stage, done, total, now), in order of seq."""
-
-    def fold(pdf):
-        import pandas as pd
-
-        e, rows = Estimator(), []
-        for r in pdf.sort_values("seq").itertuples():
-            rows.append((r.job, r.seq, r.stage, r.done, r.total, *e.update(r.stage, int(r.done), int(r.total), float(r.now))))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return events.groupBy("job").applyInPandas(fold, OUT)
+    """An estimate after each event (job, seq, stage, done, total, now), in order of seq, folded in native columns."""
+    names = list(WEIGHTS)
+    later = {n: sum(WEIGHTS[k] for k in names[i + 1 :]) / WEIGHTS[n] for i, n in enumerate(names)}
+
+    def rated(a, x):
+        new = a["stage"] != x["stage"]
+        kept = lambda field, fresh: F.when(new, fresh).otherwise(a[field])
+        return F.struct(
+            kept("begun", x["now"]).alias("begun"), kept("rate", F.lit(0.0)).alias("rate"),
+            (x["now"] - kept("now", x["now"])).alias("gone"), (x["done"] - kept("done", F.lit(0).cast("long"))).alias("made"),
+        )
+
+    def told(x, r):
+        inst = r["made"] / r["gone"]
+        rate = F.when((r["gone"] > 0) & (r["made"] > 0), F.when(r["rate"] <= 0, inst).otherwise(ALPHA * inst + (1 - ALPHA) * r["rate"])).otherwise(r["rate"])
+        return F.struct(r["begun"].alias("begun"), rate.alias("rate"), F.greatest(F.lit(0.0), x["now"] - r["begun"]).alias("spent"))
+
+    def eta(x, r):
+        left = x["total"] - x["done"]
+        few = (x["done"] < LEAST_ITEMS) | (r["spent"] < LEAST_SECONDS)
+        return (
+            F.when(x["total"] <= 0, F.lit(None).cast("double")).when(left <= 0, 0.0)
+            .when(r["rate"] > 0, left / r["rate"]).when(~few, left * r["spent"] / x["done"])
+        )
+
+    def whole(x, r, e):
+        share = F.coalesce(*[F.when(x["stage"] == n, v) for n, v in later.items()])
+        return F.when(x["stage"].isin("done", "error"), 0.0).when(e.isNotNull(), e + share * (r["spent"] + e))
+
+    def step(a, x):
+        rest = lambda r, e: F.struct(*[x[c].alias(c) for c in ("stage", "done", "now")], r["begun"].alias("begun"), r["rate"].alias("rate"), e.alias("eta"), whole(x, r, e).alias("all"))
+        return let(rated(a, x), lambda b: let(told(x, b), lambda r: let(eta(x, r), lambda e: rest(r, e))))
+
+    zero = "named_struct('stage', '', 'done', 0L, 'now', 0D, 'begun', 0D, 'rate', 0D, 'eta', cast(null as double), 'all', cast(null as double))"
+    e = F.struct("seq", F.coalesce("stage", F.lit("")).alias("stage"), F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total"), F.col("now").cast("double").alias("now"))
+    folded = events.groupBy("job").agg(F.array_sort(F.collect_list(e)).alias("e")).withColumn("s", running(F.col("e"), F.expr(zero), step))
+    rows = folded.select("job", F.explode(F.arrays_zip("e", "s")).alias("x"))
+    return rows.select(
+        "job", "x.e.seq", "x.e.stage", "x.e.done", "x.e.total", F.col("x.s.eta").alias("eta_sec"), F.col("x.s.all").alias("eta_total_sec"), F.col("x.s.rate").alias("rate")
+    )
 
 
 def streaming_estimates(events: DataFrame) -> DataFrame:
