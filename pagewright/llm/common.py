@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only characters that part words here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,27 +37,28 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """Shuffle files of what is written inside go when it is complete; nothing reads them again."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a work table to the shared folder and read it back, which cuts the lineage.
 
-    A lost executor costs a re-read of files, not a rerun of what made them. ``discard`` deletes the table.
+    A lost executor costs a re-read of files, not a rerun of what made them. Shuffle files go when the table is
+    complete, as nothing reads them again. ``batch_rows``: rows of a batch that goes to Python, where rows are wide.
+    ``discard`` deletes the table.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    with _shuffles_removed(spark):
+    with _settings(spark, {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path

@@ -399,6 +399,8 @@ FILTER_BITS = 27
 FOUND = "ctx long, word long, n long"
 #: Tokens for each bucket of n-grams: a bucket is counted, or looked up, by one call.
 BUCKET_TOKENS = 1 << 19
+#: Rows of a batch of lists of words.
+WORD_LISTS = 1000
 COUNTED = "bucket int, ctx binary, word binary, n binary"
 DOCS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double"
 #: Rows of documents, and rows of the n-grams of a chunk of documents that are to be looked up in one bucket.
@@ -502,7 +504,7 @@ def _split(bucket, *columns):
     return bucket[firsts].astype(np.int32), [[c[a:b].tobytes() for a, b in zip(firsts.tolist(), ends.tolist())] for c in sorted_]
 
 
-def _count_next(d: int, contexts, nexts, buckets: int, most: int = 2_000_000):
+def _count_next(d: int, contexts, nexts, buckets: int, most: int = 600_000):
     """Arrow function: counts of contexts of d words, which may be candidates, with each next word, by bucket.
 
     ``nexts`` holds what can follow: the same n-gram without its oldest word.
@@ -603,7 +605,7 @@ def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_n
         counted = train.mapInArrow(_count_next(d, inner, after, buckets), COUNTED)
         found = counted.groupBy("bucket").applyInArrow(_total(least_next), FOUND)
         keys = {"key": F.xxhash64("ctx", "word"), "suffix": F.col("word") if d == 1 else F.xxhash64("older", "word")}
-        tested = materialise(found.join(contexts, "ctx").withColumns(keys).join(below, "suffix").drop("older"), "entries")
+        tested = materialise(found.join(contexts, "ctx").withColumns(keys).join(below, "suffix").drop("older"), "entries", WORD_LISTS)
         inner.destroy()
         after.destroy()
         p, chance = F.pow(F.lit(10.0), F.col("below")), F.col("n") / (F.col("total") + mu)
@@ -699,7 +701,7 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
                 both = [chunk, *(pa.concat_arrays([x, y]) for x, y in zip(docs, packed))]
                 yield pa.RecordBatch.from_arrays(both, schema=schema)
 
-    placed = materialise(coded.mapInArrow(place, PLACED), "placed")
+    placed = materialise(coded.mapInArrow(place, PLACED), "placed", WORD_LISTS)
     asked = placed.where("bucket is not null").select("bucket", "chunk", "at", "keys")
     named = cold.select(bucket_of(F.col("key"), buckets).alias("bucket"), "key", "base", "known", "more")
     found = asked.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_look_up, LOOKED_UP)
