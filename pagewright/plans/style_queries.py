@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import chapters, rules, styles
+from pagewright.operators import chapters, images, rules, styles
 from pagewright.plans.io_queries import _books
 from pagewright.plans.registry import batch_udf, query, table
 from pagewright.sources import epub
@@ -38,7 +38,18 @@ query("html_note_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<p id=\
 query("html_indent_style", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'margin-left:' || (doc_id % 9 + 2) || 'em;text-indent:-2em' ELSE 'margin-left:' || (doc_id % 9) || 'em;text-indent:2em;margin-top:1.5em;line-height:1.25' END AS style FROM documents")(
     lambda s, d: _docs(s, d).select("doc_id", styles.indent_style(F.concat(F.lit(' data-pl="'), _n(9), F.when(F.col("doc_id") % 2 == 0, F.lit('" data-ind="hang"')).otherwise('" data-ind="first" data-spb="1" data-lh="1.25"'))).alias("style"))
 )
-query("html_img_inline", "SELECT doc_id, '<img class=\"left\" style=\"float:left\" src=\"' || doc_id || '\"/>' AS html FROM documents")(lambda s, d: _docs(s, d).select("doc_id", F.regexp_replace(F.concat(F.lit('<img class="left" src="'), F.col("doc_id").cast("string"), F.lit('"/>')), r'(<img\b[^>]*class="left")(?![^>]*style=)', '$1 style="float:left"').alias("html")))
+_IMG = "'<p class=\"page-img-' || ['full', 'left', 'x'][doc_id % 3 + 1] || '\"' || ['{full}', ' style=\"text-align:left\"', ''][doc_id % 3 + 1] || '><img class=\"page-img-w50\" src=\"' || doc_id || '\"{img} width=\"' || ['100%', '50%', '50%'][doc_id % 3 + 1] || '\"/></p>'"
+_FULL = ' style=\\"page-break-before:auto;page-break-after:always;text-align:center\\"'.replace("\\", "")
+_WIDTH = "' || [' style=\"display:inline-block;max-width:100%;width:100%;vertical-align:middle\"', ' style=\"display:block;max-width:100%;width:50%;height:auto\"', ' style=\"display:block;max-width:100%;width:50%;height:auto\"'][doc_id % 3 + 1] || '"
+
+
+@query("html_img_inline", f"SELECT doc_id, {_IMG.replace('{full}', _FULL).replace('{img}', _WIDTH)} || coalesce(text, '') AS html FROM documents")
+def _img_inline(s, d):
+    """An image in a paragraph of each kind, before the text of each document."""
+    kind = F.element_at(F.array(F.lit("full"), F.lit("left"), F.lit("x")), (F.col("doc_id") % 3 + 1).cast("int"))
+    head = F.concat(F.lit('<p class="page-img-'), kind, F.lit('"><img class="page-img-w50" src="'), F.col("doc_id").cast("string"), F.lit('"></p>'))
+    return _docs(s, d).select("doc_id", images.inline_images(F.concat(head, F.coalesce("text", F.lit("")))).alias("html"))
+
 query("html_fragment", "SELECT doc_id, '<h1>' || source || '</h1>' || chr(10) || '<p>a &amp; b.</p>' AS html FROM documents")(lambda s, d: _fragment(s, d))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
-from pagewright.operators import chapters, commands, geometry, lexicon, markers, pages, rules, tables
+from pagewright.operators import chapters, commands, geometry, images, lexicon, markers, pages, rules, tables
 from pagewright.sources import epub, files, sinks
 from pagewright.streaming import progress
 
@@ -277,3 +277,18 @@ def test_context_and_fixes(spark):
     spans = spark.createDataFrame([(1, 0, 2, "xx"), (1, 1, 3, "xx"), (1, 6, 8, "xx"), (1, 3, 5, "yy")], "id int, start int, end int, wrong string")
     best = spark.createDataFrame([("xx", "Q", 0.85, 1), ("yy", "W", 0.84, 1)], "wrong string, word string, score double, rank int")
     assert {x.id: (x.text, x.n_fixed) for x in lexicon.auto_fixed(texts, spans, best).collect()} == {1: ("Q yy Q", 2), 2: ("zz", 0), 3: ("", 0)}
+
+
+def test_image_styles():
+    out = images.inlined('<div><p class="page-img-full"><img src="a"></p><p class="page-img-full page-img-right"><img class="page-img-w25" src="b"/></p></div>')
+    both = "display:inline-block;max-width:100%;width:100%;vertical-align:middle"
+    assert out == (
+        '<div><p class="page-img-full" style="page-break-before:auto;page-break-after:always;text-align:center">' f'<img src="a" style="{both}" width="100%"></p>'
+        '<p class="page-img-full page-img-right" style="page-break-before:always;page-break-after:always;text-align:right">' f'<img class="page-img-w25" src="b" style="{both}" width="100%"/></p></div>'
+    )
+    assert images.inlined(out) == out
+    same = ['<p>no image</p>', '<p><img src="x"/></p>', '<p class="page-img-left" style="a:b"><img src="x" style="c:d" class="page-img-w50"/></p>', '<img class="other img-w50">']
+    assert [images.inlined(x) for x in same] == same
+    assert images.inlined('<img class="page-img-float-left page-img-w50" width="9">') == '<img class="page-img-float-left page-img-w50" width="9" style="display:inline-block;float:left;max-width:100%;width:50%;margin:0 0.5em 0.4em 0">'
+    assert images.inlined('<img class="page-img-inline page-img-vtop">').endswith('style="display:inline-block;max-width:100%;height:auto;vertical-align:top">')
+    assert images.self_closed("<img a><img b/>") == "<img a/><img b/>"
