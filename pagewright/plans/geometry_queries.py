@@ -50,7 +50,11 @@ _HEAD = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, row_
 _MERGE = f"(SELECT doc_id, row_, coalesce((y1 - lag(y2) OVER w) < 1.5 * h AND (abs(x1 - lag(x1) OVER w) <= 0.5 * h OR abs((x1 + x2) / 2.0 - (lag(x1) OVER w + lag(x2) OVER w) / 2.0) <= 0.5 * h) AND (least(x2, lag(x2) OVER w) - greatest(x1, lag(x1) OVER w)) / least(x2 - x1, lag(x2) OVER w - lag(x1) OVER w)::DOUBLE >= 0.3 AND trim(lag(text) OVER w) <> '' AND trim(text) <> '' AND NOT regexp_matches(trim(lag(text) OVER w), '{_END}') AND NOT regexp_matches(trim(text), '{_START}'), false) AS merge FROM {_HEAD} WINDOW w AS (PARTITION BY doc_id ORDER BY row_))"
 
 
-@query("geo_should_merge", f"SELECT doc_id, max(p)::BIGINT AS paragraphs FROM (SELECT doc_id, sum(CASE WHEN merge THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY row_) AS p FROM {_MERGE}) GROUP BY doc_id")
+@query(
+    "geo_should_merge",
+    f"SELECT doc_id, max(p)::BIGINT AS paragraphs FROM (SELECT doc_id, sum(CASE WHEN merge THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id "
+    f"ORDER BY row_) AS p FROM {_MERGE}) GROUP BY doc_id",
+)
 def _should(spark, sf_dir):
     return g.paragraphs(_lines(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.max("paragraph").alias("paragraphs"))
 

@@ -91,11 +91,42 @@ query("rule_match_ranges", "SELECT doc_id, len([i for i in range(1, length(text)
     lambda s, d: _docs(s, d).select("doc_id", F.size(r.contains_ranges(F.col("text"), "ee")).alias("n"))
 )
 _OPS = ["p", "heading1", "remove", "bold", "sup", "sub", "indent", "flush"]
-query("rule_conflict", f"SELECT a, b, a <> b AND (a = 'remove' OR b = 'remove' OR (a IN ('p', 'heading1') AND b IN ('p', 'heading1')) OR (a IN ('sup', 'sub') AND b IN ('sup', 'sub')) OR (a IN ('indent', 'flush') AND b IN ('indent', 'flush'))) AS yes FROM (SELECT unnest({_OPS}) AS a), (SELECT unnest({_OPS}) AS b)")(
-    lambda s, d: s.range(1).select(F.explode(F.array(*[F.lit(o) for o in _OPS])).alias("a")).withColumn("b", F.explode(F.array(*[F.lit(o) for o in _OPS]))).withColumn("yes", r.conflict(F.col("a"), F.col("b")))
+query(
+    "rule_conflict",
+    f"SELECT a, b, a <> b AND (a = 'remove' OR b = 'remove' OR (a IN ('p', 'heading1') AND b IN ('p', 'heading1')) OR (a IN ('sup', "
+    f"'sub') AND b IN ('sup', 'sub')) OR (a IN ('indent', 'flush') AND b IN ('indent', 'flush'))) AS yes FROM (SELECT unnest({_OPS}) AS "
+    f"a), (SELECT unnest({_OPS}) AS b)",
+)(
+    lambda s, d: (
+        s.range(1).select(F.explode(F.array(*[F.lit(o) for o in _OPS])).alias("a"))
+        .withColumn("b", F.explode(F.array(*[F.lit(o) for o in _OPS])))
+        .withColumn("yes", r.conflict(F.col("a"), F.col("b")))
+    )
+)
+query(
+    "rule_replace",
+    "SELECT doc_id, regexp_replace(regexp_replace(text, '([a-z])\\.', '\\1', 'g'), '(?i)the', '$', 'g') AS text FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            r.replace_rules(F.col("text"), [{"pattern": r"([a-z])\.", "keep_groups": [1]}, {"pattern": "the", "flags": "gi", "replacement": "$"}, {"pattern": "x", "enabled": False}]).alias("text"),
+        )
+    )
+)
+query(
+    "html_char_style",
+    "SELECT doc_id, 'text-align:center;font-size:' || greatest(8, least(72, doc_id % 100)) || 'px;color:red' AS style FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            r.char_style(F.concat(F.lit("COLOR: red; position:fixed; font-size:9px; text-align : center;font-size:"), (F.col("doc_id") % 100).cast("string"), F.lit("px"))).alias("style"),
+        )
+    )
 )
-query("rule_replace", "SELECT doc_id, regexp_replace(regexp_replace(text, '([a-z])\\.', '\\1', 'g'), '(?i)the', '$', 'g') AS text FROM documents")(lambda s, d: _docs(s, d).select("doc_id", r.replace_rules(F.col("text"), [{"pattern": r"([a-z])\.", "keep_groups": [1]}, {"pattern": "the", "flags": "gi", "replacement": "$"}, {"pattern": "x", "enabled": False}]).alias("text")))
-query("html_char_style", "SELECT doc_id, 'text-align:center;font-size:' || greatest(8, least(72, doc_id % 100)) || 'px;color:red' AS style FROM documents")(lambda s, d: _docs(s, d).select("doc_id", r.char_style(F.concat(F.lit("COLOR: red; position:fixed; font-size:9px; text-align : center;font-size:"), (F.col("doc_id") % 100).cast("string"), F.lit("px"))).alias("style")))
 
 
 @query("flt_protected_block", "SELECT doc_id, doc_id % 2 = 1 AND coalesce(text, '') <> '' AS changed FROM documents")
@@ -109,7 +140,10 @@ def _protected(s, d):
 _NO_TABLES = "regexp_replace(html, '(?is)<table\\b.*?(?:</table\\s*>|\\z)', '', 'g')"
 
 
-@query("flt_outside_tables", f"SELECT page_id, len(regexp_extract_all({_NO_TABLES}, '(?i)<p\\b'))::INT AS hits, length({_NO_TABLES})::INT AS chars FROM pages")
+@query(
+    "flt_outside_tables",
+    f"SELECT page_id, len(regexp_extract_all({_NO_TABLES}, '(?i)<p\\b'))::INT AS hits, length({_NO_TABLES})::INT AS chars FROM pages",
+)
 def _outside(s, d):
     pages = table(s, d, "pages").select("page_id", r.outside_tables(F.col("html")).alias("html"))
     return pages.select("page_id", F.regexp_count("html", F.lit(r"(?i)<p\b")).alias("hits"), F.length("html").alias("chars"))
@@ -126,11 +160,40 @@ def _merge(s, d):
     return r.merged_paragraphs(rows, "doc_id", "n", "text")
 
 
-query("pr_page_errors", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'half_width,repeat' ELSE 'mixed' END || CASE WHEN (length(text) - length(replace(text, '\"', ''))) % 2 = 1 THEN ',quotes' ELSE '' END AS kinds FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", F.array_join(r.page_errors(F.concat(F.when(F.col("lang") == "en", "中,国国国 ").otherwise("中ab文 "), "text")), ",").alias("kinds"))
+query(
+    "pr_page_errors",
+    "SELECT doc_id, CASE WHEN lang = 'en' THEN 'half_width,repeat' ELSE 'mixed' END || CASE WHEN (length(text) - length(replace(text, "
+    "'\"', ''))) % 2 = 1 THEN ',quotes' ELSE '' END AS kinds FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            F.array_join(r.page_errors(F.concat(F.when(F.col("lang") == "en", "中,国国国 ").otherwise("中ab文 "), "text")), ",").alias("kinds"),
+        )
+    )
+)
+query("cl_page", None)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            t.inline_spaces(t.digit_punctuation(t.punctuation_extended(F.concat(F.lit("中文, 1。2 “x” "), "text"))), True, True).alias("text"),
+        )
+    )
+)
+query(
+    "cl_correction_format",
+    "SELECT doc_id, regexp_replace(regexp_replace('# ' || source || ' **b** $x$', '^#+ *', ''), '\\*\\*|\\$', '', 'g') AS out FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            r.replace_rules(F.concat(F.lit("# "), "source", F.lit(" **b** $x$")), [{"pattern": "^#+ *", "replacement": ""}, {"pattern": r"\*\*|\$", "replacement": ""}]).alias("out"),
+        )
+    )
 )
-query("cl_page", None)(lambda s, d: _docs(s, d).select("doc_id", t.inline_spaces(t.digit_punctuation(t.punctuation_extended(F.concat(F.lit("中文, 1。2 “x” "), "text"))), True, True).alias("text")))
-query("cl_correction_format", "SELECT doc_id, regexp_replace(regexp_replace('# ' || source || ' **b** $x$', '^#+ *', ''), '\\*\\*|\\$', '', 'g') AS out FROM documents")(lambda s, d: _docs(s, d).select("doc_id", r.replace_rules(F.concat(F.lit("# "), "source", F.lit(" **b** $x$")), [{"pattern": "^#+ *", "replacement": ""}, {"pattern": r"\*\*|\$", "replacement": ""}]).alias("out")))
 
 
 
@@ -175,13 +238,21 @@ def _commands(s, d):
     return commands.run_scripts(pages, "text", "script").select("doc_id", "edited.text", "edited.error")
 
 
-@query("cmd_substitute", "SELECT conv_id AS book, turn AS page, CASE WHEN turn BETWEEN 1 AND 3 THEN replace(text, 'en', 'EN') ELSE text END AS text FROM conversations")
+@query(
+    "cmd_substitute",
+    "SELECT conv_id AS book, turn AS page, CASE WHEN turn BETWEEN 1 AND 3 THEN replace(text, 'en', 'EN') ELSE text END AS text FROM "
+    "conversations",
+)
 def _substitute(s, d):
     pages = table(s, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")
     return commands.substituted(pages, ":1,3s/en/EN/g")
 
 
-@query("cmd_page_range", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 5 END AS first, CASE doc_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 8 WHEN 2 THEN 9 ELSE 5 END AS last FROM documents")
+@query(
+    "cmd_page_range",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 5 END AS first, CASE doc_id % 4 WHEN 0 THEN 7 WHEN "
+    "1 THEN 8 WHEN 2 THEN 9 ELSE 5 END AS last FROM documents",
+)
 def _page_range(s, d):
     spec = F.element_at(F.array(*[F.lit(x) for x in ("+3", "8-2", "全部", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
     return _docs(s, d).select("doc_id", commands.page_range(spec, F.lit(5), F.lit(9)).alias("p")).select("doc_id", "p.first", "p.last")
@@ -219,11 +290,24 @@ def _form(forms):
     return F.element_at(F.array(*[F.concat(F.lit(a), F.col("source"), F.lit(b)) for a, b in forms]), (F.col("doc_id") % n + 1).cast("int"))
 
 
-query("rule_parse_regex", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(?i)' || source WHEN 1 THEN '(?P<n>' || source || ')(?P=n)' ELSE source || '\\Z' END AS p FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", _translated(_form([("/", "/gi"), ("(?<n>", ")\\k<n>"), ("", "\\z")])).alias("p"))
+query(
+    "rule_parse_regex",
+    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(?i)' || source WHEN 1 THEN '(?P<n>' || source || ')(?P=n)' ELSE source || '\\Z' END "
+    "AS p FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select("doc_id", _translated(_form([("/", "/gi"), ("(?<n>", ")\\k<n>"), ("", "\\z")])).alias("p"))
+    )
 )
 query("flt_regex_safe", "SELECT doc_id, doc_id % 6 IN (0, 3, 5) AS ok FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", _safe(_form([("", "+"), ("((", "+))+"), ("((a+)", "?)*"), ("(", ")+c"), ("(a|", "*)*"), ("(.*)+", "")])).alias("ok"))
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            _safe(_form([("", "+"), ("((", "+))+"), ("((a+)", "?)*"), ("(", ")+c"), ("(a|", "*)*"), ("(.*)+", "")])).alias("ok"),
+        )
+    )
 )
 
 

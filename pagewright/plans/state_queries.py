@@ -24,7 +24,10 @@ def _talks(s, d):
 _TXT = "CASE WHEN turn = 1 THEN '[图片]' ELSE repeat('　', CASE role WHEN 'user' THEN 2 ELSE 8 END) || coalesce(text, '') END"
 
 
-@query("sink_txt", f"SELECT conv_id::VARCHAR AS book, string_agg({_TXT}, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id")
+@query(
+    "sink_txt",
+    f"SELECT conv_id::VARCHAR AS book, string_agg({_TXT}, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id",
+)
 def _txt(s, d):
     blocks = _talks(s, d).withColumns({"kind": F.when(F.col("n") == 1, "image").otherwise("p"), "indent": F.when(F.col("role") == "user", 2).otherwise(9)})
     path = sinks.store_path(s, "texts")
@@ -35,7 +38,10 @@ def _txt(s, d):
 _MD = "CASE WHEN turn = 1 THEN '## ' || text WHEN role = 'user' THEN '> ' || replace(text, chr(10), chr(10) || '> ') ELSE text END"
 
 
-@query("sink_md", f"SELECT conv_id::VARCHAR AS book, string_agg({_MD}, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id")
+@query(
+    "sink_md",
+    f"SELECT conv_id::VARCHAR AS book, string_agg({_MD}, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id",
+)
 def _md(s, d):
     kind = F.when(F.col("n") == 1, "heading").when(F.col("role") == "user", "quote").otherwise("p")
     blocks = _talks(s, d).withColumn("kind", kind)
@@ -49,7 +55,11 @@ def _page_rows(s, d, status, seq):
     return rows.select("pdf", "page", status.alias("status"), F.col("text").alias("result"), F.lit(None).cast("string").alias("error"), F.lit(seq).cast("long").alias("seq"))
 
 
-@query("sink_checkpoint", "SELECT conv_id::VARCHAR AS pdf, turn::INT AS page, CASE WHEN turn % 3 = 0 THEN 'done' WHEN turn % 2 = 0 THEN 'error' ELSE 'done' END AS status, text AS result FROM conversations")
+@query(
+    "sink_checkpoint",
+    "SELECT conv_id::VARCHAR AS pdf, turn::INT AS page, CASE WHEN turn % 3 = 0 THEN 'done' WHEN turn % 2 = 0 THEN 'error' ELSE 'done' "
+    "END AS status, text AS result FROM conversations",
+)
 def _checkpoint(s, d):
     """Pages are saved, and a third of them again, after which they are done."""
     path = sinks.store_path(s, "pages")
@@ -58,7 +68,11 @@ def _checkpoint(s, d):
     return sinks.read_store(s, path, sinks.CHECKPOINT).select("pdf", "page", "status", "result")
 
 
-@query("st_checkpoint_resume", "SELECT conv_id::VARCHAR AS pdf, turn::INT AS page FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id::VARCHAR, 0 FROM conversations GROUP BY conv_id")
+@query(
+    "st_checkpoint_resume",
+    "SELECT conv_id::VARCHAR AS pdf, turn::INT AS page FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id::VARCHAR, 0 FROM "
+    "conversations GROUP BY conv_id",
+)
 def _resume(s, d):
     """Of the pages wanted, those still to do: pages with an error, and one that was never read."""
     path = sinks.store_path(s, "pages")
@@ -68,7 +82,11 @@ def _resume(s, d):
     return sinks.resume_pages(s, path, wanted)[1]
 
 
-@query("sink_user_dict", "SELECT 'fix' AS kind, 'w' || (doc_id % 50) AS wrong, arg_max(source, doc_id) AS fixed FROM documents GROUP BY 2 UNION ALL SELECT DISTINCT 'ignore', lang, NULL FROM documents")
+@query(
+    "sink_user_dict",
+    "SELECT 'fix' AS kind, 'w' || (doc_id % 50) AS wrong, arg_max(source, doc_id) AS fixed FROM documents GROUP BY 2 UNION ALL SELECT "
+    "DISTINCT 'ignore', lang, NULL FROM documents",
+)
 def _user_dict(s, d):
     """Fixes and words to ignore, saved twice, which changes nothing."""
     docs = _docs(s, d)
@@ -82,19 +100,31 @@ def _user_dict(s, d):
     return both[0].select(F.lit("fix").alias("kind"), "wrong", "fixed").union(words)
 
 
-@query("sink_bench_report", "SELECT '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang UNION ALL SELECT unnest(['| lang | pages |', '|---|---|'])")
+@query(
+    "sink_bench_report",
+    "SELECT '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang UNION ALL SELECT unnest(['| lang | pages "
+    "|', '|---|---|'])",
+)
 def _report(s, d):
     path = sinks.store_path(s, "report")
     sinks.write_report(_docs(s, d).groupBy("lang").agg(F.count("*").alias("pages")), path, ["lang"])
     return sinks.read_report(s, path).select(F.col("value").alias("line"))
 
 
-@query("sink_task_log", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents) WHERE n <= 30")
+@query(
+    "sink_task_log",
+    "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM "
+    "documents) WHERE n <= 30",
+)
 def _task_log(s, d):
     return pages.pruned_log(_docs(s, d).select("source", "doc_id"), "source", "doc_id")
 
 
-@query("src_bench_sources", "SELECT source AS dir, 200 AS dpi, count(*) FILTER (doc_id % 3 > 0) AS pages FROM documents GROUP BY source HAVING count(*) FILTER (doc_id % 3 > 0) >= 2")
+@query(
+    "src_bench_sources",
+    "SELECT source AS dir, 200 AS dpi, count(*) FILTER (doc_id % 3 > 0) AS pages FROM documents GROUP BY source HAVING count(*) FILTER "
+    "(doc_id % 3 > 0) >= 2",
+)
 def _bench_sources(s, d):
     name = F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".jpg").otherwise(".PNG"))
     return files.bench_sources(_docs(s, d).select(F.col("source").alias("dir"), F.lit(200).alias("dpi"), name.alias("name")))
@@ -131,11 +161,24 @@ def _throttle(s, d):
     return pages.throttled(e)
 
 
-query("ut_workers", "SELECT doc_id, CASE WHEN doc_id % 90 BETWEEN 1 AND 64 THEN doc_id % 90 WHEN n_chars % 100 BETWEEN 1 AND 64 THEN n_chars % 100 ELSE 3 END::INT AS n FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", pages.worker_count(F.col("doc_id") % 90, F.col("n_chars") % 100).alias("n"))
+query(
+    "ut_workers",
+    "SELECT doc_id, CASE WHEN doc_id % 90 BETWEEN 1 AND 64 THEN doc_id % 90 WHEN n_chars % 100 BETWEEN 1 AND 64 THEN n_chars % 100 "
+    "ELSE 3 END::INT AS n FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select("doc_id", pages.worker_count(F.col("doc_id") % 90, F.col("n_chars") % 100).alias("n"))
+    )
 )
-query("ut_truncation", "SELECT doc_id, CASE WHEN n_chars >= 3000 THEN 'limit' WHEN n_chars + doc_id >= 2000 THEN 'context' END AS cause FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", pages.truncation_cause(F.col("n_chars"), F.col("doc_id"), F.lit(3000), F.lit(2000)).alias("cause"))
+query(
+    "ut_truncation",
+    "SELECT doc_id, CASE WHEN n_chars >= 3000 THEN 'limit' WHEN n_chars + doc_id >= 2000 THEN 'context' END AS cause FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select("doc_id", pages.truncation_cause(F.col("n_chars"), F.col("doc_id"), F.lit(3000), F.lit(2000)).alias("cause"))
+    )
 )
 
 
@@ -145,7 +188,11 @@ def _ignored(s, d):
     return x.marked_ignored(_docs(s, d).select("doc_id", "source"), listed, "source").select("doc_id", "ignored")
 
 
-@query("topk_single_chars", "SELECT c AS word, n AS freq FROM (SELECT c, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c) AS k FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE regexp_matches(c, '[a-z]') GROUP BY c) WHERE k <= 10")
+@query(
+    "topk_single_chars",
+    "SELECT c AS word, n AS freq FROM (SELECT c, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c) AS k FROM (SELECT "
+    "unnest(string_split(text, '')) AS c FROM documents) WHERE regexp_matches(c, '[a-z]') GROUP BY c) WHERE k <= 10",
+)
 def _single_chars(s, d):
     chars = _docs(s, d).select(F.explode(F.split("text", "")).alias("word")).where(F.col("word").rlike("^[a-z]$"))
     return x.frequent_characters(chars.groupBy("word").agg(F.count("*").alias("freq")), 10)
@@ -163,7 +210,11 @@ def _homophones(s, d):
 _AT = "SELECT doc_id, substr(lower(text), 1, 1) AS a, substr(lower(text), 2, 1) AS c, substr(lower(text), 3, 1) AS b FROM documents WHERE text IS NOT NULL"
 
 
-@query("join_ctx_word", f"SELECT doc_id, CASE WHEN (a <> '' AND a || c IN (SELECT word FROM ({_WORDS}))) OR (b <> '' AND c || b IN (SELECT word FROM ({_WORDS}))) THEN 0.15 ELSE 0.0 END AS boost FROM ({_AT})")
+@query(
+    "join_ctx_word",
+    f"SELECT doc_id, CASE WHEN (a <> '' AND a || c IN (SELECT word FROM ({_WORDS}))) OR (b <> '' AND c || b IN (SELECT word FROM "
+    f"({_WORDS}))) THEN 0.15 ELSE 0.0 END AS boost FROM ({_AT})",
+)
 def _context(s, d):
     low = F.lower("text")
     one = lambda i: F.substring(low, i, 1)
@@ -180,13 +231,21 @@ def _tokens(v):
     return pa.array([[{"word": w, "start": a, "end": b} for w, a, b in x.greedy_tokens(p or "", known)] for p in v.to_pylist()], kind)
 
 
-@query("pr_tokenize", "SELECT doc_id, unnest(['中国人', '民', '人民']) AS word, unnest([length(text), length(text) + 3, length(text) + 5])::INT AS start FROM documents WHERE text IS NOT NULL")
+@query(
+    "pr_tokenize",
+    "SELECT doc_id, unnest(['中国人', '民', '人民']) AS word, unnest([length(text), length(text) + 3, length(text) + 5])::INT AS start FROM "
+    "documents WHERE text IS NOT NULL",
+)
 def _tokenize(s, d):
     pages_ = _docs(s, d).where("text is not null").select("doc_id", F.explode(_tokens(F.concat("text", F.lit("中国人民，人民")))).alias("t"))
     return pages_.select("doc_id", "t.word", "t.start")
 
 
-@query("pr_auto_fix", "SELECT doc_id AS id, replace(text, 'ren', 'RE') AS text, (length(text) - length(replace(text, 'ren', 'RE')))::BIGINT AS n_fixed FROM documents WHERE text IS NOT NULL")
+@query(
+    "pr_auto_fix",
+    "SELECT doc_id AS id, replace(text, 'ren', 'RE') AS text, (length(text) - length(replace(text, 'ren', 'RE')))::BIGINT AS n_fixed "
+    "FROM documents WHERE text IS NOT NULL",
+)
 def _auto_fix(s, d):
     """An adopted fix is sure enough to be applied, another candidate is not."""
     texts = _docs(s, d).where("text is not null").select(F.col("doc_id").alias("id"), "text")

@@ -65,4 +65,12 @@ def _with_tables(spark, sf_dir):
     return document_summary(structure(p, tables=True))
 
 
-query("txt_structure_body", None)(lambda spark, sf_dir: joined_text(structure(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")), "doc_id", "page", "text", "\n"))
+query("txt_structure_body", None)(
+    lambda spark, sf_dir: joined_text(
+        structure(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")),
+        "doc_id",
+        "page",
+        "text",
+        "\n",
+    )
+)

@@ -18,7 +18,15 @@ def _n(m):
     return (F.col("doc_id") % m).cast("string")
 
 
-query("html_img_width", "SELECT doc_id, CASE WHEN doc_id % 130 BETWEEN 1 AND 100 THEN 'width:' || (doc_id % 130) || '%' ELSE '' END AS style FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.image_width(F.concat(F.lit("width:7px; color:red;WIDTH : "), _n(130), F.lit("%"))).alias("style")))
+query(
+    "html_img_width",
+    "SELECT doc_id, CASE WHEN doc_id % 130 BETWEEN 1 AND 100 THEN 'width:' || (doc_id % 130) || '%' ELSE '' END AS style FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select("doc_id", styles.image_width(F.concat(F.lit("width:7px; color:red;WIDTH : "), _n(130), F.lit("%"))).alias("style"))
+    )
+)
 @query(
     "html_cell_style",
     """SELECT doc_id, CASE WHEN doc_id % 60 BETWEEN 1 AND 49 THEN 'width:' || (doc_id % 60) || '.5em;' ELSE '' END || 'height:20px' || CASE WHEN doc_id % 2 = 0 THEN ';vertical-align:top' ELSE '' END AS style FROM documents""",
@@ -30,13 +38,50 @@ def _cell_style(s, d):
     return _docs(s, d).select("doc_id", styles.cell_style(F.concat(F.lit("height:20.0PX;position:fixed;width:"), width, align)).alias("style"))
 
 
-query("html_table_style", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'table-layout:fixed' ELSE '' END AS style FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.table_style(F.when(F.col("doc_id") % 2 == 0, "color:red; Table-Layout: FIXED").otherwise("table-layout:fixed;table-layout:auto")).alias("style")))
-query("html_ruby", "SELECT doc_id, '<ruby>' || lang || '<rt>x</rt></ruby>' AS html FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.ruby(F.concat(F.lit('<ruby class="a">'), "lang", F.lit("<rp>(</rp><rt id='q'>x</rt><rp>)</rp></ruby>"))).alias("html")))
-query("html_note_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<p id=\"a\" class=\"page-note-label\">' || lang || '<strong>注释：</strong>x</p><p>y</p>' ELSE '<div class=\"page-note-label\"> 注释:</div><p>' || lang || '</p>' END AS html FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", styles.note_labels(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<p id="a">'), "lang", F.lit("<b> 注释 </b>：x</p><p>y</p>"))).otherwise(F.concat(F.lit("<div> 注释:</div><p>"), "lang", F.lit("</p>")))).alias("html"))
+query("html_table_style", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'table-layout:fixed' ELSE '' END AS style FROM documents")(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            styles.table_style(F.when(F.col("doc_id") % 2 == 0, "color:red; Table-Layout: FIXED").otherwise("table-layout:fixed;table-layout:auto")).alias("style"),
+        )
+    )
+)
+query("html_ruby", "SELECT doc_id, '<ruby>' || lang || '<rt>x</rt></ruby>' AS html FROM documents")(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            styles.ruby(F.concat(F.lit('<ruby class="a">'), "lang", F.lit("<rp>(</rp><rt id='q'>x</rt><rp>)</rp></ruby>"))).alias("html"),
+        )
+    )
 )
-query("html_indent_style", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'margin-left:' || (doc_id % 9 + 2) || 'em;text-indent:-2em' ELSE 'margin-left:' || (doc_id % 9) || 'em;text-indent:2em;margin-top:1.5em;line-height:1.25' END AS style FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", styles.indent_style(F.concat(F.lit(' data-pl="'), _n(9), F.when(F.col("doc_id") % 2 == 0, F.lit('" data-ind="hang"')).otherwise('" data-ind="first" data-spb="1" data-lh="1.25"'))).alias("style"))
+query(
+    "html_note_labels",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<p id=\"a\" class=\"page-note-label\">' || lang || "
+    "'<strong>注释：</strong>x</p><p>y</p>' ELSE '<div class=\"page-note-label\"> 注释:</div><p>' || lang || '</p>' END AS html FROM "
+    "documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            styles.note_labels(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<p id="a">'), "lang", F.lit("<b> 注释 </b>：x</p><p>y</p>"))).otherwise(F.concat(F.lit("<div> 注释:</div><p>"), "lang", F.lit("</p>")))).alias("html"),
+        )
+    )
+)
+query(
+    "html_indent_style",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'margin-left:' || (doc_id % 9 + 2) || 'em;text-indent:-2em' ELSE 'margin-left:' || "
+    "(doc_id % 9) || 'em;text-indent:2em;margin-top:1.5em;line-height:1.25' END AS style FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            styles.indent_style(F.concat(F.lit(' data-pl="'), _n(9), F.when(F.col("doc_id") % 2 == 0, F.lit('" data-ind="hang"')).otherwise('" data-ind="first" data-spb="1" data-lh="1.25"'))).alias("style"),
+        )
+    )
 )
 _IMG = "'<p class=\"page-img-' || ['full', 'left', 'x'][doc_id % 3 + 1] || '\"' || ['{full}', ' style=\"text-align:left\"', ''][doc_id % 3 + 1] || '><img class=\"page-img-w50\" src=\"' || doc_id || '\"{img} width=\"' || ['100%', '50%', '50%'][doc_id % 3 + 1] || '\"/></p>'"
 _FULL = ' style=\\"page-break-before:auto;page-break-after:always;text-align:center\\"'.replace("\\", "")
@@ -50,7 +95,9 @@ def _img_inline(s, d):
     head = F.concat(F.lit('<p class="page-img-'), kind, F.lit('"><img class="page-img-w50" src="'), F.col("doc_id").cast("string"), F.lit('"></p>'))
     return _docs(s, d).select("doc_id", images.inline_images(F.concat(head, F.coalesce("text", F.lit("")))).alias("html"))
 
-query("html_fragment", "SELECT doc_id, '<h1>' || source || '</h1>' || chr(10) || '<p>a &amp; b.</p>' AS html FROM documents")(lambda s, d: _fragment(s, d))
+query("html_fragment", "SELECT doc_id, '<h1>' || source || '</h1>' || chr(10) || '<p>a &amp; b.</p>' AS html FROM documents")(
+    lambda s, d: _fragment(s, d)
+)
 
 
 def _fragment(s, d):
@@ -60,12 +107,41 @@ def _fragment(s, d):
 
 
 query("html_css", "SELECT 'p{text-indent:2em}' AS css")(lambda s, d: s.range(1).select(F.lit("p{text-indent:2em}").alias("css")))
-query("html_serialize", "SELECT doc_id, '<p><strong>' || lang || '</strong> x</p>' AS html FROM documents")(lambda s, d: rules.format_pages(_docs(s, d).select("doc_id", F.concat(F.lit("<p><b>"), "lang", F.lit("</b> x<script></script></p></em>")).alias("html")), "html", [{"id": "1", "conditions": [{"formats": ["none"]}]}]).select("doc_id", "formatted.html"))
-query("srch_replace_current", "SELECT doc_id, CASE WHEN contains(text, 'en') THEN substr(text, 1, strpos(text, 'en') - 1) || 'X' || substr(text, strpos(text, 'en') + 2) ELSE text END AS text FROM documents")(
-    lambda s, d: _docs(s, d).select("doc_id", F.when(F.contains("text", F.lit("en")), F.concat(F.substring("text", F.lit(1), F.instr("text", "en") - 1), F.lit("X"), F.substring(F.col("text"), F.instr("text", "en") + 2, F.length("text")))).otherwise(F.col("text")).alias("text"))
+query("html_serialize", "SELECT doc_id, '<p><strong>' || lang || '</strong> x</p>' AS html FROM documents")(
+    lambda s, d: (
+        rules.format_pages(
+            _docs(s, d).select("doc_id", F.concat(F.lit("<p><b>"), "lang", F.lit("</b> x<script></script></p></em>")).alias("html")),
+            "html",
+            [{"id": "1", "conditions": [{"formats": ["none"]}]}],
+        )
+        .select("doc_id", "formatted.html")
+    )
+)
+query(
+    "srch_replace_current",
+    "SELECT doc_id, CASE WHEN contains(text, 'en') THEN substr(text, 1, strpos(text, 'en') - 1) || 'X' || substr(text, strpos(text, "
+    "'en') + 2) ELSE text END AS text FROM documents",
+)(
+    lambda s, d: (
+        _docs(s, d)
+        .select(
+            "doc_id",
+            F.when(F.contains("text", F.lit("en")), F.concat(F.substring("text", F.lit(1), F.instr("text", "en") - 1), F.lit("X"), F.substring(F.col("text"), F.instr("text", "en") + 2, F.length("text")))).otherwise(F.col("text")).alias("text"),
+        )
+    )
+)
+query("txt_t2s", "SELECT doc_id, '这个' || text AS text FROM documents")(
+    lambda s, d: (
+        _docs(s, d)
+        .select("doc_id", styles.convert_script(F.concat(F.lit("這個"), "text"), styles.SIMPLIFIED).alias("text"))
+    )
+)
+query("txt_s2t", "SELECT doc_id, '這個' || text AS text FROM documents")(
+    lambda s, d: (
+        _docs(s, d)
+        .select("doc_id", styles.convert_script(F.concat(F.lit("这个"), "text"), styles.TRADITIONAL).alias("text"))
+    )
 )
-query("txt_t2s", "SELECT doc_id, '这个' || text AS text FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.convert_script(F.concat(F.lit("這個"), "text"), styles.SIMPLIFIED).alias("text")))
-query("txt_s2t", "SELECT doc_id, '這個' || text AS text FROM documents")(lambda s, d: _docs(s, d).select("doc_id", styles.convert_script(F.concat(F.lit("这个"), "text"), styles.TRADITIONAL).alias("text")))
 
 
 def _grey(s, d):
@@ -87,9 +163,28 @@ query("flt_ink_ratio", "SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 THEN rou
 query("ut_bench_page", "SELECT doc_id AS page, doc_id % 6 = 0 AS blank FROM documents")(
     lambda s, d: styles.ink(_grey(s, d), "page").select("page", (F.col("ink") < 1e-4).alias("blank"))
 )
-query("src_pdf_pages", "SELECT doc_id::VARCHAR AS path, unnest([1, 2, 3]) AS page FROM documents")(lambda s, d: styles.render_pages(_docs(s, d).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit(3).alias("n_pages")), lambda data, page: data[:page]).select("path", "page"))
-query("src_img_preprocess", "SELECT doc_id, strlen(text)::INT AS n FROM documents")(lambda s, d: styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: x[::-1]).select("doc_id", F.length("image").alias("n")))
-query("pr_vlm", "SELECT doc_id, 'ok' AS said FROM documents")(lambda s, d: styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: b"ok").select("doc_id", F.decode("image", "UTF-8").alias("said")))
+query("src_pdf_pages", "SELECT doc_id::VARCHAR AS path, unnest([1, 2, 3]) AS page FROM documents")(
+    lambda s, d: (
+        styles.render_pages(
+            _docs(s, d).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit(3).alias("n_pages")),
+            lambda data,
+            page: data[:page],
+        )
+        .select("path", "page")
+    )
+)
+query("src_img_preprocess", "SELECT doc_id, strlen(text)::INT AS n FROM documents")(
+    lambda s, d: (
+        styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: x[::-1])
+        .select("doc_id", F.length("image").alias("n"))
+    )
+)
+query("pr_vlm", "SELECT doc_id, 'ok' AS said FROM documents")(
+    lambda s, d: (
+        styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: b"ok")
+        .select("doc_id", F.decode("image", "UTF-8").alias("said"))
+    )
+)
 
 
 @batch_udf("binary")
@@ -99,8 +194,20 @@ def _titled(content, title):
     return pa.array([epub.update_meta(c, title=t, description="d") for c, t in zip(content.to_pylist(), title.to_pylist())], pa.binary())
 
 
-query("sink_epub_meta", "SELECT DISTINCT conv_id::VARCHAR AS path, 'New ' || conv_id AS title, 'A & B' AS author, 'd' AS description FROM conversations")(lambda s, d: epub.books(_books(s, d).select("path", _titled("content", F.concat(F.lit("New "), "path")).alias("content"))).select("path", "meta.title", "meta.author", "meta.description"))
-query("sink_epub_edit", "SELECT DISTINCT conv_id::VARCHAR AS path FROM conversations")(lambda s, d: epub.books(_books(s, d)).where("error is null").select("path"))
+query(
+    "sink_epub_meta",
+    "SELECT DISTINCT conv_id::VARCHAR AS path, 'New ' || conv_id AS title, 'A & B' AS author, 'd' AS description FROM conversations",
+)(
+    lambda s, d: (
+        epub.books(_books(s, d).select("path", _titled("content", F.concat(F.lit("New "), "path")).alias("content")))
+        .select("path", "meta.title", "meta.author", "meta.description")
+    )
+)
+query("sink_epub_edit", "SELECT DISTINCT conv_id::VARCHAR AS path FROM conversations")(
+    lambda s, d: (
+        epub.books(_books(s, d)).where("error is null").select("path")
+    )
+)
 
 
 @batch_udf("string")
@@ -113,10 +220,30 @@ def _part(content, name):
     return pa.array([zipfile.ZipFile(io.BytesIO(c)).read(n).decode() for c, n in zip(content.to_pylist(), name.to_pylist())], pa.string())
 
 
-query("sink_opf", "SELECT conv_id::VARCHAR AS path, count(*)::INT AS refs FROM conversations GROUP BY conv_id")(lambda s, d: _books(s, d).select("path", F.regexp_count(_part("content", F.lit("OEBPS/content.opf")), F.lit("<itemref ")).alias("refs")))
-query("sink_ncx", "SELECT conv_id::VARCHAR AS path, count(*)::INT AS points FROM conversations GROUP BY conv_id")(lambda s, d: _books(s, d).select("path", F.regexp_count(_part("content", F.lit("OEBPS/toc.ncx")), F.lit("<navPoint ")).alias("points")))
-query("sink_epub_pack", "SELECT conv_id::VARCHAR AS path, 'application/epub+zip' AS kind FROM conversations GROUP BY conv_id")(lambda s, d: _books(s, d).select("path", _part("content", F.lit("mimetype")).alias("kind")))
-query("win_gaps_islands", "SELECT user_id, count(*) AS islands FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS cut FROM events) WHERE cut = 1 GROUP BY user_id")(lambda s, d: _islands(s, d))
+query("sink_opf", "SELECT conv_id::VARCHAR AS path, count(*)::INT AS refs FROM conversations GROUP BY conv_id")(
+    lambda s, d: (
+        _books(s, d)
+        .select("path", F.regexp_count(_part("content", F.lit("OEBPS/content.opf")), F.lit("<itemref ")).alias("refs"))
+    )
+)
+query("sink_ncx", "SELECT conv_id::VARCHAR AS path, count(*)::INT AS points FROM conversations GROUP BY conv_id")(
+    lambda s, d: (
+        _books(s, d)
+        .select("path", F.regexp_count(_part("content", F.lit("OEBPS/toc.ncx")), F.lit("<navPoint ")).alias("points"))
+    )
+)
+query("sink_epub_pack", "SELECT conv_id::VARCHAR AS path, 'application/epub+zip' AS kind FROM conversations GROUP BY conv_id")(
+    lambda s, d: (
+        _books(s, d).select("path", _part("content", F.lit("mimetype")).alias("kind"))
+    )
+)
+query(
+    "win_gaps_islands",
+    "SELECT user_id, count(*) AS islands FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, "
+    "event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS cut FROM events) WHERE cut = 1 GROUP BY user_id",
+)(
+    lambda s, d: _islands(s, d)
+)
 
 
 def _islands(s, d):
