@@ -59,7 +59,7 @@ def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     spark = df.sparkSession
     path = work_path(spark, name)
     with _settings(spark, {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

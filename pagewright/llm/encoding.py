@@ -136,16 +136,20 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Free the worker's encoders, which operators that do not encode have no use for."""
+    """Free the worker's encoders, which operators that do not encode have no use for, and what is unused of its memory."""
+    _ENCODERS.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is not in use back to the system; a worker would keep it for its later tasks."""
     import ctypes
 
     import pyarrow as pa
 
-    if _ENCODERS:
-        _ENCODERS.clear()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)  # where the C library has it
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # where the C library has it
 
 
 def slices(batch, most_bytes: int = 8 << 20):

@@ -400,7 +400,7 @@ FOUND = "ctx long, word long, n long"
 #: Tokens for each bucket of n-grams: a bucket is counted, or looked up, by one call.
 BUCKET_TOKENS = 1 << 19
 #: Rows of a batch of lists of words.
-WORD_LISTS = 1000
+WORD_LISTS = 500
 COUNTED = "bucket int, ctx binary, word binary, n binary"
 DOCS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double"
 #: Rows of documents, and rows of the n-grams of a chunk of documents that are to be looked up in one bucket.
@@ -514,8 +514,9 @@ def _count_next(d: int, contexts, nexts, buckets: int, most: int = 600_000):
         import numpy as np
         import pyarrow as pa
 
-        from pagewright.llm.encoding import slices
+        from pagewright.llm.encoding import forget, slices, trim
 
+        forget()
         contexts_, nexts_ = contexts.value, nexts.value
 
         def summed(parts):
@@ -531,7 +532,7 @@ def _count_next(d: int, contexts, nexts, buckets: int, most: int = 600_000):
 
         parts, held = [], 0
         for batch in batches:
-            for some in slices(batch, 4 << 20):
+            for some in slices(batch, 2 << 20):
                 words, starts, _ = _laid_out(some.column(0))
                 live = np.arange(len(words))
                 live = live[live - d >= starts]
@@ -549,6 +550,7 @@ def _count_next(d: int, contexts, nexts, buckets: int, most: int = 600_000):
                 if held > most:
                     yield from summed(parts)
                     parts, held = [], 0
+                    trim()
         if held:
             yield from summed(parts)
 
@@ -657,12 +659,13 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
         import numpy as np
         import pyarrow as pa
 
-        from pagewright.llm.encoding import slices
+        from pagewright.llm.encoding import forget, slices
 
+        forget()
         keys, base, known, more, hot_bits, cold_bits = shared.value
         schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in PLACED.split(", "))])
         for batch in batches:
-            for some in slices(batch, 4 << 20):
+            for some in slices(batch, 2 << 20):
                 words, starts, sizes = _laid_out(some.column(3))
                 n = len(sizes)
                 if not n:
