@@ -67,7 +67,13 @@ def running(items: Column, zero: Column, step) -> Column:
 
 
 def u_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    # A run is tried from its start alone, and as a whole.
+    return F.regexp_replace(c, f"^[{WS}]++|(?<![{WS}])[{WS}]++$", "")
+
+
+def has_content(c: Column) -> Column:
+    """Whether a text holds more than white space."""
+    return c.rlike(f"[^{WS}]")
 
 
 def escape_html(c: Column) -> Column:
@@ -108,7 +114,7 @@ def bbox_to_plain(c: Column) -> Column:
 def strip_page_numbers(c: Column) -> Column:
     """Blank the first and the last line with content where it is a page number."""
     def numbered(a):
-        ends = F.array_compact(F.transform(a, lambda x, i: F.when(u_trim(x) != "", i)))
+        ends = F.array_compact(F.transform(a, lambda x, i: F.when(has_content(x), i)))
         return let(F.struct(F.array_min(ends).alias("first"), F.array_max(ends).alias("last")), lambda e: join_lines(F.transform(a, lambda x, i: F.when(((i == e["first"]) | (i == e["last"])) & x.rlike(PAGE_NUMBER), "").otherwise(x))))
 
     return let(lines(text_or_empty(c)), numbered)
@@ -152,7 +158,7 @@ def normalize_whitespace(c: Column) -> Column:
 
 def split_paragraphs(c: Column) -> Column:
     parts = F.split(F.regexp_replace(text_or_empty(c), r"^[ \t\x{3000}]+", ""), r"\n[ \t\x{3000}]*")
-    return F.filter(parts, lambda p: u_trim(p) != "")
+    return F.filter(parts, has_content)
 
 
 def ellipsis(c: Column) -> Column:
