@@ -397,8 +397,12 @@ def score(coded: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 #: log2 of the bits of a filter: keys are looked up in it before they are shuffled, and however many there are it has this size.
 FILTER_BITS = 27
 FOUND = "ctx long, word long, n long"
-#: Tokens for each bucket of n-grams: a bucket is counted, or looked up, by one call.
+#: Tokens for each bucket of n-grams: a bucket is counted, or looked up, by one call. What a bucket looks up goes back
+#: to the documents, a row of sums for each that asks, so these buckets are larger.
 BUCKET_TOKENS = 1 << 19
+LOOKED_UP_TOKENS = 1 << 22
+#: Most documents of a chunk, whose places take two bytes.
+CHUNK = 60_000
 #: Rows of a batch of lists of words.
 WORD_LISTS = 500
 COUNTED = "bucket int, ctx binary, word binary, n binary"
@@ -481,8 +485,8 @@ def _sum_words(batches):
     yield from _rows(tally.take())
 
 
-def bucket_count(tokens: int) -> int:
-    return max(1, -(-tokens // BUCKET_TOKENS))
+def bucket_count(tokens: int, of_bucket: int | None = None) -> int:
+    return max(1, -(-tokens // (of_bucket or BUCKET_TOKENS)))
 
 
 def bucket_of(key, buckets: int):
@@ -638,11 +642,11 @@ def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_n
     return table, coded, tokens, kinds
 
 
-def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, depth: int = 3, common_share: float = 2e-6) -> DataFrame:
+def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, depth: int = 3, common_share: float = 2e-6, last: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and score of each coded row.
 
     N-grams of at least ``common_share`` of the tokens (at most 2 million) are sent to the tasks, which spares them the
-    shuffle; all others meet their values in their bucket.
+    shuffle; all others meet their values in their bucket. ``last``: the coded rows are not needed any more.
     """
     import numpy as np
 
@@ -653,7 +657,7 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
     cold = table.where(~is_common)
     shared = sc.broadcast((*(common[c].to_numpy()[order] for c in ("key", "base", "known", "more")), key_filter(table.where(is_common), "key"), key_filter(cold, "key")))
 
-    buckets = bucket_count(tokens)
+    buckets = bucket_count(tokens, LOOKED_UP_TOKENS)
 
     def place(batches):
         import numpy as np
@@ -665,7 +669,7 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
         keys, base, known, more, hot_bits, cold_bits = shared.value
         schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in PLACED.split(", "))])
         for batch in batches:
-            for some in slices(batch, 2 << 20):
+            for some in (x.slice(at, CHUNK) for x in slices(batch, 2 << 20) for at in range(0, x.num_rows, CHUNK)):
                 words, starts, sizes = _laid_out(some.column(3))
                 n = len(sizes)
                 if not n:
@@ -694,7 +698,7 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
                     owners.append(owner[live[ok]])
                     colds.append(key[ok])
                     ok[asked] = True
-                of, key = np.concatenate(owners).astype(np.int32), np.concatenate(colds)
+                of, key = np.concatenate(owners).astype(np.uint16), np.concatenate(colds)
                 names, (places, asked) = _split(bucket_of(key, buckets), of, key)
                 chunk = pa.array(np.full(n + len(names), some.column(0)[0].as_py()))
                 told = [*some.columns[:3], pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
@@ -705,10 +709,13 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
                 yield pa.RecordBatch.from_arrays(both, schema=schema)
 
     placed = materialise(coded.mapInArrow(place, PLACED), "placed", WORD_LISTS)
+    if last:
+        discard(coded)
     asked = placed.where("bucket is not null").select("bucket", "chunk", "at", "keys")
     named = cold.select(bucket_of(F.col("key"), buckets).alias("bucket"), "key", "base", "known", "more")
-    found = asked.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_look_up, LOOKED_UP)
-    docs = placed.where("bucket is null").select("chunk", *[c.split()[0] for c in DOCS.split(", ")])
+    found = materialise(asked.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_look_up, LOOKED_UP), "looked-up")
+    docs = materialise(placed.where("bucket is null").select("chunk", *[c.split()[0] for c in DOCS.split(", ")]), "scored")
+    discard(placed)
     out = docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_add_up, DOCS)
     base = F.col("base") - math.log10(tokens + kinds + 1) * F.col("n_tokens")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", base.alias("base_score"), (base + F.col("more")).alias("score"))
@@ -725,7 +732,7 @@ def _look_up(asked, named):
     rows = []
     for chunk, at, key in zip(asked["chunk"].to_pylist(), asked["at"].to_pylist(), asked["keys"].to_pylist()):
         place = Tree.find(keys, np.frombuffer(key, np.int64))
-        owner, mine = np.unique(np.frombuffer(at, np.int32)[place >= 0], return_inverse=True)
+        owner, mine = np.unique(np.frombuffer(at, np.uint16)[place >= 0], return_inverse=True)
         sums = [np.bincount(mine, c[place[place >= 0]], len(owner)) for c in columns]
         rows.append((chunk, owner.tobytes(), *(x.tobytes() for x in sums)))
     kinds = {"chunk": pa.int64(), "at": pa.binary(), "known": pa.binary(), "base": pa.binary(), "more": pa.binary()}
@@ -739,7 +746,7 @@ def _add_up(docs, found):
 
     docs = docs.sort_by("row")
     n = docs.num_rows
-    owner = _joined(found["at"], np.int32)
+    owner = _joined(found["at"], np.uint16).astype(np.int64)
     more = {c: np.bincount(owner, _joined(found[c], np.float64), n) for c in ("known", "base", "more")} if n else {}
     out = {c.split()[0]: docs[c.split()[0]] for c in DOCS.split(", ")}
     if n:
@@ -752,6 +759,6 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a tree of those that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     table, coded, tokens, kinds = fit_tables(docs)
-    scored = score_tables(coded, table, tokens, kinds)
-    discard(coded)  # the words are placed by then
+    scored = score_tables(coded, table, tokens, kinds, last=True)
+    discard(table)  # all is looked up by then
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

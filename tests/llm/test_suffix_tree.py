@@ -101,6 +101,8 @@ def test_tables_give_the_scores_of_the_tree(spark, monkeypatch):
     for share in (0, 1e-3, 1):
         assert sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=share).collect())) == want
     monkeypatch.setattr(s, "BUCKET_TOKENS", 1000)
+    monkeypatch.setattr(s, "LOOKED_UP_TOKENS", 700)
+    monkeypatch.setattr(s, "CHUNK", 7)
     table, coded, tokens, kinds = s.fit_tables(docs)
     assert s.bucket_count(tokens) > 20 and sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=1e-3).collect())) == want
     table, coded, tokens, kinds = s.fit_tables(docs.limit(0))
