@@ -49,7 +49,7 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None, codec: str = "snappy") -> DataFrame:
     """Write a work table to the shared folder and read it back, which cuts the lineage.
 
     A lost executor costs a re-read of files, not a rerun of what made them. Shuffle files go when the table is
@@ -59,7 +59,7 @@ def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     spark = df.sparkSession
     path = work_path(spark, name)
     with _settings(spark, {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

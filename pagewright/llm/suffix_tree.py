@@ -595,7 +595,7 @@ def fit_tables(docs: DataFrame, depth: int = 3, least_context: int = 20, least_n
     """
     spark = docs.sparkSession
     share = lambda x: spark.sparkContext.broadcast(x)
-    coded = materialise(docs.select("doc_id", "held_out", "text").mapInArrow(_to_words, "row long, doc_id long, held_out boolean, words array<bigint>"), "words")
+    coded = materialise(docs.select("doc_id", "held_out", "text").mapInArrow(_to_words, "row long, doc_id long, held_out boolean, words array<bigint>"), "words", codec="zstd")
     train = coded.where("not held_out").select("words")
     counts = materialise(train.mapInArrow(_sum_words, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counts.agg(F.sum("n"), F.count("*")).first()
@@ -708,12 +708,12 @@ def score_tables(coded: DataFrame, table: DataFrame, tokens: int, kinds: int, de
                 both = [chunk, *(pa.concat_arrays([x, y]) for x, y in zip(docs, packed))]
                 yield pa.RecordBatch.from_arrays(both, schema=schema)
 
-    placed = materialise(coded.mapInArrow(place, PLACED), "placed", WORD_LISTS)
+    placed = materialise(coded.mapInArrow(place, PLACED), "placed", WORD_LISTS, codec="zstd")
     if last:
         discard(coded)
     asked = placed.where("bucket is not null").select("bucket", "chunk", "at", "keys")
     named = cold.select(bucket_of(F.col("key"), buckets).alias("bucket"), "key", "base", "known", "more")
-    found = materialise(asked.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_look_up, LOOKED_UP), "looked-up")
+    found = materialise(asked.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(_look_up, LOOKED_UP), "looked-up", codec="zstd")
     docs = materialise(placed.where("bucket is null").select("chunk", *[c.split()[0] for c in DOCS.split(", ")]), "scored")
     discard(placed)
     out = docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_add_up, DOCS)
