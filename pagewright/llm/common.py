@@ -65,6 +65,12 @@ def materialise(df: DataFrame, name: str, batch_rows: int | None = None, codec:
     return out
 
 
+def collected(df: DataFrame):
+    """A bounded table on the driver, as Arrow; its shuffle files go at once."""
+    with _settings(df.sparkSession, {SHUFFLE_CLEANUP: "true"}):
+        return df.select("*").toArrow()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete work tables that nothing reads any more. Tables that are not work tables stay."""
     for table in tables:

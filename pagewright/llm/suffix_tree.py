@@ -26,7 +26,7 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import discard, materialise, read_table
+from pagewright.llm.common import collected, discard, materialise, read_table
 
 END_ID = 0
 COUNTS = "word long, n long"
@@ -437,7 +437,7 @@ def key_filter(df: DataFrame, key: str):
     import numpy as np
 
     place = F.col(key).bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = df.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = collected(df.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
     return out
