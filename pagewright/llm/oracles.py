@@ -42,3 +42,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+FILTER_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, {_words('t')} AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+ + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+ + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, (1 << (ascii(filter_order[step]) - 65)) AS bit,
+ list_sum([1 << (ascii(f) - 65) for f in string_split(filter_order[:step - 1], '') if f <> ''])::BIGINT AS b FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (coalesce(b, 0) | bit) = 0), 0)::BIGINT AS kept,
+ coalesce(sum(n) FILTER (mask & coalesce(b, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+ coalesce(sum(n) FILTER (mask & coalesce(b, 0) <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+ coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+ coalesce(sum(good) FILTER (mask & coalesce(b, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+ coalesce(sum(toxic) FILTER (mask & coalesce(b, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit, b)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagewright.llm import oracles
 from pagewright.llm.anisotropic import op4_anisotropic_search
+from pagewright.llm.filter_audit import op12_filter_audit
 from pagewright.llm.mixing import op5_pivotal_mix
 from pagewright.llm.ngram_join import op1_ngram_join
 from pagewright.llm.packing import op9_best_fit
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_random_indexing": op8_random_indexing,
     "op9_best_fit": op9_best_fit,
     "op10_reply_trees": op10_reply_trees,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": oracles.LINE_FREQUENCY,
     "op10_reply_trees": oracles.REPLY_TREES,
+    "op12_filter_audit": oracles.FILTER_AUDIT,
 }
