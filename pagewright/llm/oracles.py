@@ -64,3 +64,19 @@ r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (coal
  coalesce(sum(toxic) FILTER (mask & coalesce(b, 0) = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit, b)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
 """
+
+
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+WAND_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+q AS (SELECT item_id, text, t, count(*) AS qtf FROM (SELECT item_id, text, unnest({_TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, text, t),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s GROUP BY t, n_docs),
+i AS (SELECT p.r, p.t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * n_docs) // words))) AS impact FROM p JOIN f USING (t) JOIN d USING (r), s),
+x AS (SELECT item_id, text, r, sum(qtf * impact)::BIGINT AS score FROM q JOIN i USING (t) GROUP BY item_id, text, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM x JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 10
+"""

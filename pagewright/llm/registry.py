@@ -14,6 +14,7 @@ from pagewright.llm.reply_trees import op10_reply_trees
 from pagewright.llm.secret_scan import op7_secret_spans
 from pagewright.llm.suffix_tree import op6_suffix_tree
 from pagewright.llm.token_blocks import op2_token_blocks
+from pagewright.llm.wand_search import op13_wand_search
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_best_fit": op9_best_fit,
     "op10_reply_trees": op10_reply_trees,
     "op12_filter_audit": op12_filter_audit,
+    "op13_wand_search": op13_wand_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_frequency": oracles.LINE_FREQUENCY,
     "op10_reply_trees": oracles.REPLY_TREES,
     "op12_filter_audit": oracles.FILTER_AUDIT,
+    "op13_wand_search": oracles.WAND_SEARCH,
 }
