@@ -8,6 +8,7 @@ from pagewright.llm.filter_audit import op12_filter_audit
 from pagewright.llm.mixing import op5_pivotal_mix
 from pagewright.llm.ngram_join import op1_ngram_join
 from pagewright.llm.packing import op9_best_fit
+from pagewright.llm.private_data import op11_private_data
 from pagewright.llm.quality_classifier import op8_random_indexing
 from pagewright.llm.quality_rules import op3_line_frequency
 from pagewright.llm.reply_trees import op10_reply_trees
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_random_indexing": op8_random_indexing,
     "op9_best_fit": op9_best_fit,
     "op10_reply_trees": op10_reply_trees,
+    "op11_private_data": op11_private_data,
     "op12_filter_audit": op12_filter_audit,
     "op13_wand_search": op13_wand_search,
 }
