@@ -1,13 +1,12 @@
 """Declarative format rules over page HTML: conditions, plans, ranges and the formatter.
 
-A page is a flat list of events (open, close, text) with text offsets. Inline formats wrap the parts of text events
-that a range covers; block formats change the blocks that it touches. Conditions that need no positions are native.
+A page is a tree with text offsets (``tree``). Inline formats put the text of a range into elements, all of a run in one
+sweep; block formats change the blocks that a range touches. Conditions that need no positions are native.
 """
 
 from __future__ import annotations
 
 import html
-import itertools
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -15,8 +14,10 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import cer_form, let, running
+from pagewright.functions.text import cer_form, let, running, u_trim
 from pagewright.names import CLASS_PREFIX
+from pagewright.operators.tree import BLOCKS as TREE_BLOCKS
+from pagewright.operators.tree import CHARACTER_STYLES, FONTS, INLINE_CLASSES, Tree
 
 # Operations, what excludes what, and how inline ones are written.
 GROUPS = {
@@ -26,9 +27,11 @@ GROUPS = {
     "indent_mode": ("flush", "indent", "first_indent", "hang_indent"),
     "sup_sub": ("sup", "sub"),
 }
-INLINE = {"bold": "strong", "italic": "em", "sup": "sup", "sub": "sub"} | {n: f"span class={CLASS_PREFIX}{n}" for n in ("note", "citation", "underline", "strike", "charbox", "shade", "highlight", "wavy", "double", "overline", "emphasis")}
-INDENT = {"flush": "text-indent:0", "indent": "margin-left:2em", "first_indent": "text-indent:2em", "hang_indent": "margin-left:2em;text-indent:-2em"}
-OPS = {"remove", "none", "no_bold", "strip_ws", *INLINE, *[o for g in GROUPS.values() for o in g]}
+SPANS = ("note", "citation", "underline", "strike", "charbox", "shade", "highlight", "sup", "sub", "wavy", "double", "overline", "emphasis", "highlight_green", "highlight_blue", "highlight_pink", "highlight_orange", "highlight_purple")
+#: Tag and class by which an inline format is written.
+INLINE = {"bold": ("strong", None), "italic": ("em", None)} | {n: ("span", CLASS_PREFIX + n.replace("_", "-")) for n in SPANS}
+INDENTS = {"flush": "flush", "indent": "indent", "first_indent": "first", "hang_indent": "hang"}
+OPS = {"remove", "none", "no_bold", "strip_ws", *INDENTS, *INLINE, *[o for g in GROUPS.values() for o in g]}
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "blockquote", "li", "td", "th")
 KEPT = (*BLOCKS, "strong", "em", "b", "i", "span", "sup", "sub", "u", "s", "a", "img", "br", "hr", "ul", "ol", "table", "thead", "tbody", "tr", "mark", "ruby", "rt")
 VOID = ("img", "br", "hr")
@@ -169,198 +172,257 @@ def page_text(events: list[list]) -> str:
 
 
 class Formatter:
-    """Applies operations to ranges of a page's text; per block the first operation of a group wins."""
+    """Applies operations to ranges of a page's text; per block the first operation of a group wins.
+
+    Inline operations wait until something needs the elements that they make, and are then carried out in one sweep.
+    """
 
     def __init__(self, markup: str):
-        self.events = parse_events(markup)
-        self.text = page_text(self.events)
+        self.tree = Tree(markup)
+        self.text = self.tree.text()
         self.taken: dict[int, set[str]] = {}
-
-    def _spans(self):
-        at = 0
-        for i, e in enumerate(self.events):
-            n = len(e[1]) if e[0] == "text" else 0
-            yield i, at, at + n
-            at += n
-
-    def _blocks(self, a: int, b: int) -> list[list]:
-        """The innermost blocks whose text the range touches."""
-        stack, found = [], []
-        for (i, s, t), e in zip(self._spans(), self.events):
-            if e[0] == "open" and e[1] in BLOCKS:
-                stack.append(e)
-            elif e[0] == "close" and stack and e[1] in BLOCKS:
-                stack.pop()
-            elif e[0] == "text" and stack and s < b and a < t and all(x is not stack[-1] for x in found):
-                found.append(stack[-1])
+        self.waiting: list[tuple[int, int, str]] = []
+        self.siblings: dict[int, list[int]] = {}
+        self.order: dict[int, int] = {}
+        # Whether the page may hold superscripts and subscripts, which take each other's place.
+        self._other = dict.fromkeys(GROUPS["sup_sub"], True)
+
+    def settle(self) -> None:
+        if self.waiting:
+            self.tree.wrap([(a, b, INLINE[op][0], {"class": INLINE[op][1]} if INLINE[op][1] else {}) for a, b, op in self.waiting])
+            self.waiting = []
+
+    def unwrap(self, elements: list[tuple[str, str | None]]) -> None:
+        self.settle()
+        for tag, cls in elements:
+            self.tree.unwrap(lambda t, classes, tag=tag, cls=cls: t == tag and (cls is None or cls in classes))
+
+    def inline(self, op: str, a: int, b: int) -> None:
+        if a >= min(b, self.tree.length):
+            return
+        if op in GROUPS["sup_sub"]:
+            other = "sub" if op == "sup" else "sup"
+            if self._other[other]:
+                self.unwrap([INLINE[other]])
+                self._other[other] = False
+            self._other[op] = True
+        if op == "no_bold":
+            self.unwrap([INLINE["bold"]])
+        elif op == "remove":
+            self.unwrap([("strong", None), ("em", None), *[("span", CLASS_PREFIX + c) for c in ("note", "citation", *INLINE_CLASSES)]])
+            self._other = dict.fromkeys(GROUPS["sup_sub"], False)
+        else:
+            self.waiting.append((a, b, op))
+
+    def _protected(self, block: int) -> bool:
+        """Dividers and captions stay as they are."""
+        return any(c in PROTECTED or c.startswith(tuple(f"{x}-" for x in PROTECTED)) for c in self._classes(block))
+
+    def _classes(self, block: int) -> list[str]:
+        return self.tree.held[block].get("class", "").split()
+
+    def _next(self, block: int) -> int | None:
+        """The block after another one below the same element."""
+        t, up = self.tree, self.tree.parent[block]
+        if up not in self.siblings:
+            self.siblings[up] = [k for k in t.kids[up] if t.tag[k] in TREE_BLOCKS]
+            self.order |= {k: i for i, k in enumerate(self.siblings[up])}
+        after = self.order[block] + 1
+        return self.siblings[up][after] if after < len(self.siblings[up]) else None
+
+    def _ends(self, a: int, b: int) -> tuple[int | None, int | None]:
+        """The blocks in which a range begins and ends."""
+        t, places = self.tree, self.tree.covered(a, b)
+        if not places or b > t.length:
+            return None, None
+        return t.block_of(t.texts[places[0]]), t.block_of(t.texts[places[-1]])
+
+    def _blocks(self, first: int, last: int | None, stop_at_protected: bool = False) -> list[int]:
+        found, block = [], first
+        while block is not None and not (stop_at_protected and self._protected(block)):
+            found.append(block)
+            block = None if block == last else self._next(block)
         return found
 
-    def inline(self, wraps: list[tuple[str, int, int]]) -> None:
-        """Wrap the parts of texts that some ranges cover, each in its operation's element; ranges are in order and apart."""
-        out, at, k = [], 0, 0
-        for e in self.events:
-            if e[0] != "text" or not e[1]:
-                out.append(e)
-                continue
-            start, at, done = at, at + len(e[1]), 0
-            while k < len(wraps) and wraps[k][2] <= start:
-                k += 1
-            for op, a, b in itertools.islice(wraps, k, None):
-                if a >= at:
-                    break
-                name, _, rest = INLINE[op].partition(" ")
-                x, y = max(a - start, 0), min(b, at) - start
-                out += [["text", e[1][done:x], {}]] * (x > done)
-                out += [["open", name, {"class": rest.split("=")[1]} if rest else {}], ["text", e[1][x:y], {}], ["close", name, {}]]
-                done = y
-            if done < len(e[1]):
-                out.append(["text", e[1][done:], {}])
-        self.events = out
-
-    def unwrap(self, tags: tuple[str, ...], classes: bool) -> None:
-        """Drop inline elements of the whole page; what they hold stays."""
-        out, stack = [], []
-        for e in self.events:
-            if e[0] == "open":
-                drop = e[1] in tags or (classes and e[1] == "span" and e[2].get("class", "").startswith(CLASS_PREFIX))
-                stack.append(drop)
-                if not drop:
-                    out.append(e)
-            elif e[0] == "close":
-                if not stack.pop():
-                    out.append(e)
-            else:
-                out.append(e)
-        self.events = out
-
-    def _free(self, block: list, op: str) -> bool:
-        if block[2].get("class") in PROTECTED:
-            return False
-        group = next((g for g, ops in GROUPS.items() if op in ops), op)
-        held = self.taken.setdefault(id(block), set())
-        new = group not in held
-        held.add(group)
-        return new
-
-    def _rename(self, block: list, tag: str) -> None:
-        depth = 0
-        for e in self.events[next(i for i, e in enumerate(self.events) if e is block) :]:
-            if e[0] == "open" and e[1] == block[1]:
-                depth += 1
-            elif e[0] == "close" and e[1] == block[1]:
-                depth -= 1
-                if not depth:
-                    e[1] = tag
-                    break
-        block[1] = tag
-
-    def block(self, op: str, a: int, b: int) -> None:
-        touched = self._blocks(a, b)
+    def block(self, op: str, a: int, b: int, free: bool = False, selected: bool = False) -> None:
+        """``free``: the first operation of a group does not keep others away; ``selected``: the range is a selection."""
+        t = self.tree
+        first, last = self._ends(a, b)
+        if first is None or self._protected(first):
+            return
         if op == "merge":
-            for block in touched[1:]:
-                i = next(k for k, e in enumerate(self.events) if e is block)
-                if i and self.events[i - 1][0] == "close":
-                    self.events[i - 1 : i + 1] = []
+            self._merge(self._blocks(first, last, True))
+            return
+        group = next((g for g, ops in GROUPS.items() if op in ops), None)
+        blocks = [x for x in self._blocks(first, last) if not self._protected(x)]
+        if group and not free:
+            blocks = [x for x in blocks if group not in self.taken.get(x, ())]
+        if not blocks:
+            return
+        if op in ("note", "citation") and selected and self._partly(blocks, a, b):
+            self.inline(op, a, b)
             return
-        for block in touched:
-            if not self._free(block, op):
+        own = {f"{CLASS_PREFIX}{x}" for x in ("flush", "indent")}
+        for x in blocks:
+            classes = self._classes(x)
+            if op == "p" or op.startswith("heading"):
+                t.tag[x] = "p" if op == "p" else "h" + op[-1]
                 continue
-            style = block[2].get("style", "")
-            if op == "p":
-                self._rename(block, "p")
-            elif op.startswith("heading"):
-                self._rename(block, "h" + op[-1])
+            if op in ("note", "citation"):
+                classes += [f"{CLASS_PREFIX}{op}"] * (f"{CLASS_PREFIX}{op}" not in classes)
             elif op.startswith("align_"):
-                block[2]["style"] = ";".join(filter(None, [re.sub(r"text-align:[^;]*;?", "", style).rstrip(";"), f"text-align:{op[6:]}"]))
-            elif op in INDENT:
-                block[2]["style"] = ";".join(filter(None, [style.rstrip(";"), INDENT[op]]))
-
-    def apply(self, op: str, a: int, b: int) -> None:
-        if a >= b or op == "none":
+                classes = [c for c in classes if not c.startswith(f"{CLASS_PREFIX}align-")] + [f"{CLASS_PREFIX}align-{op[6:]}"]
+            elif op in ("flush", "indent"):
+                classes = [c for c in classes if c not in own] + [f"{CLASS_PREFIX}{op}"]
+            else:
+                classes = [c for c in classes if c not in own]
+                t.held[x] |= {"data-ind": INDENTS[op], "data-indv": "2"}
+            t.held[x]["class"] = " ".join(classes)
+        if group and not free:
+            for x in blocks:
+                self.taken.setdefault(x, set()).add(group)
+
+    def _partly(self, blocks: list[int], a: int, b: int) -> bool:
+        """Whether a range leaves out some of the text of blocks."""
+        t, inside = self.tree, set(blocks)
+        held = [k for k, node in enumerate(t.texts) if self._within(node, inside)]
+        return bool(held) and (a > t.starts[held[0]] or b < t.starts[held[-1]] + len(t.held[t.texts[held[-1]]]))
+
+    def _within(self, node: int, blocks: set[int]) -> bool:
+        while node > 0 and node not in blocks:
+            node = self.tree.parent[node]
+        return node > 0
+
+    def _merge(self, blocks: list[int]) -> None:
+        """One block of several, or of one and the next, a blank between what they hold."""
+        if len(blocks) < 2:
+            after = self._next(blocks[0])
+            if after is None or self._protected(after):
+                return
+            blocks = [blocks[0], after]
+        self.settle()
+        t, first, gone = self.tree, blocks[0], set(blocks[1:])
+        for x in blocks[1:]:
+            moved = ([t.add(None, " ", first)] if t.kids[first] and t.kids[x] else []) + t.kids[x]
+            for kid in t.kids[x]:
+                t.parent[kid] = first
+            t.kids[first] += moved
+            t.kids[x] = []
+        for up in {t.parent[x] for x in gone}:
+            t.kids[up] = [k for k in t.kids[up] if k not in gone]
+        self.siblings = {}
+        t.place()
+
+    def strip(self, a: int, b: int) -> None:
+        """Take the white space but newlines out of the blocks of a range."""
+        self.settle()
+        t = self.tree
+        first, last = self._ends(a, b)
+        if first is None or self._protected(first):
             return
-        if op == "remove":
-            self.unwrap(("strong", "em", "u", "s", "sup", "sub", "mark"), True)
-        elif op == "no_bold":
-            self.unwrap(("strong",), False)
-        elif op == "strip_ws":
-            for (i, s, t), e in zip(list(self._spans()), self.events):
-                if e[0] == "text" and s < b and a < t:
-                    e[1] = re.sub(r"[ \t\u3000]+", "", e[1])
-        elif op in INLINE:
-            if op in GROUPS["sup_sub"]:
-                self.unwrap(("sub" if op == "sup" else "sup",), False)
-            self.inline([(op, a, b)])
+        inside = {x for x in self._blocks(first, last) if not self._protected(x)}
+        for node in t.texts:
+            if self._within(node, inside):
+                t.held[node] = re.sub(r"[^\S\n]+", "", t.held[node])
+        t.place()
+
+    def apply(self, step: Step) -> None:
+        if step.op == "strip_ws":
+            self.strip(step.start, step.end)
+        elif step.op in ("remove", "no_bold") or (step.op in INLINE and (step.op != "note" or step.loose) and step.op != "citation"):
+            self.inline(step.op, step.start, step.end)
         else:
-            self.block(op, a, b)
+            self.block(step.op, step.start, step.end, step.loose and not step.op.startswith("align_"), step.selected)
 
 
-    def apply_all(self, steps: list[tuple[str, int, int]]) -> None:
-        """Steps in order; a run of inline ones that lie apart is one pass over the page."""
-        single = GROUPS["sup_sub"]
-        for wraps, run in itertools.groupby(steps, lambda x: x[0] in INLINE and x[0] not in single):
-            some = list(run)
-            inline = sorted((x for x in some if x[1] < x[2]), key=lambda x: x[1:]) if wraps else []
-            if wraps and all(x[2] <= y[1] for x, y in itertools.pairwise(inline)):
-                self.inline(inline)
-            else:
-                for op, a, b in some:
-                    self.apply(op, a, b)
+@dataclass
+class Step:
+    """An operation on a range. ``loose`` ones, of groups and single matches, do not keep others away and write notes inline."""
+
+    op: str
+    start: int
+    end: int
+    loose: bool = False
+    selected: bool = False
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A range without the line ends at its ends."""
+    part = text[a:b]
+    return a + len(part) - len(part.lstrip("\r\n")), b - len(part) + len(part.rstrip("\r\n"))
 
 
-def plan(rule: Rule, text: str, selection: tuple[int, int] | None = None) -> list[tuple[str, int, int]]:
-    """(operation, start, end) of a rule on a page, in the order target, group, match, pattern, entry."""
-    steps: dict[str, list] = {k: [] for k in ("target", "group", "match", "pattern", "entry")}
-    n = len(text)
+def plan(rule: Rule, text: str, selection: tuple[int, int] | None = None) -> list[Step]:
+    """The steps of a rule on a page, in the order target, group, match, pattern, entry; later places of a kind come first."""
+    steps: dict[str, list[Step]] = {k: [] for k in ("target", "group", "match", "pattern", "entry")}
+    clamped = tuple(max(0, min(x, len(text))) for x in selection) if selection else None
+    chosen = clamped if clamped and clamped[0] < clamped[1] else None
     for c in rule.conditions:
-        lo, hi = (max(0, min(selection[0], n)), max(0, min(selection[1], n))) if c.scope == "selection" and selection else (0, n)
-        part = text[lo:hi]
-        if not c.holds(part):
+        own = chosen if c.scope == "selection" else None
+        if not c.holds(text[slice(*own)] if own else text):
             continue
-        spans = [(m.span() if isinstance(m, re.Match) else m) for m in c.ranges(part)] if c.pattern else []
+        ops = [o for o in c.formats if o != "none"]
+        matches = c.ranges(text) if c.pattern else []
+        spans = [m.span() if isinstance(m, re.Match) else m for m in matches]
+        within = lambda span: own is None or (own[0] <= span[0] and span[1] <= own[1])  # noqa: B023, E731
         if c.target != "match":
-            if c.type == "regex" and spans:
-                a, b = spans[0]
-                if c.target == "between" and c.between_end_pattern:
-                    end = re.compile(translate_regex(c.between_end_pattern)).search(part, b)
-                    place = (b, end.start()) if end else None
-                else:
-                    place = {"before": (0, a), "after": (b, len(part))}.get(c.target)
-                if place:
-                    steps["target"] += [(op, lo + place[0], lo + place[1]) for op in c.formats]
+            a, b = next(filter(within, spans), (None, None)) if c.type == "regex" else (None, None)
+            if a is None:
+                continue
+            place = {"before": (0, a), "after": (b, len(text))}.get(c.target)
+            if c.target == "between" and c.between_end_pattern:
+                end = re.compile(translate_regex(c.between_end_pattern)).search(text, b)
+                place = (b, end.start()) if end else None
+            if place and own:
+                place = (max(place[0], own[0]), min(place[1], own[1]))
+            if place and place[0] < place[1]:
+                steps["target"] += [Step(op, *place) for op in ops]
             continue
+        single = c.type == "regex" and (c.group_formats or c.match_formats)
         if c.type == "regex" and c.group_formats:
-            for m in reversed(c.ranges(part)):
-                for k, ops in enumerate(c.group_formats, 1):
-                    if k <= (m.re.groups or 0) and m.start(k) >= 0:
-                        steps["group"] += [(op, lo + m.start(k), lo + m.end(k)) for op in ops]
+            for m in reversed([m for m in matches if within(m.span())]):
+                parts = [(*_trimmed(text, *m.span(k)), some) for k, some in enumerate(c.group_formats, 1) if k <= m.re.groups and m.start(k) >= 0]
+                for a, b, some in sorted(parts, key=lambda x: x[0], reverse=True):
+                    steps["group"] += [Step(op, a, b, loose=True) for op in some if op != "none" and a < b]
         if c.type == "regex" and c.match_formats:
-            for (a, b), ops in reversed(list(zip(spans, c.match_formats))):
-                steps["match"] += [(op, lo + a, lo + b) for op in ops]
-        if c.formats:
-            if c.pattern:
-                steps["pattern"] += [(op, lo + a, lo + b) for a, b in spans for op in c.formats]
-            elif c.scope == "selection" and not selection:
-                continue
-            else:
-                steps["entry"] += [(op, lo, hi) for op in c.formats]
+            parts = [(*_trimmed(text, *span), some) for span, some in zip(spans, c.match_formats) if within(span)]
+            for a, b, some in sorted(parts, key=lambda x: x[0], reverse=True):
+                steps["match"] += [Step(op, a, b, loose=True) for op in some if op != "none" and a < b]
+        if c.formats and c.pattern:
+            inline = [op for op in ops if op in ("remove", "no_bold") or (op in INLINE and op not in ("note", "citation"))]
+            steps["pattern"] += [Step(op, *span) for span in reversed(spans) if within(span) for op in inline]
+            places = [own] if own else list(reversed(spans))
+            steps["pattern"] += [Step(op, *span, selected=own is not None) for span in places for op in ops if op not in inline]
+        elif c.formats or not single:
+            if c.scope == "selection" and not selection:
+                continue  # a tool for selections does nothing without one
+            place = chosen if chosen and c.scope != "page" else (0, len(text))
+            steps["entry"] += [Step(op, *place, selected=place == chosen) for op in ops]
         if rule.mode == "first":
             break
     return [s for part in steps.values() for s in part]
 
 
 def apply_rules(markup: str, rules: list[dict], rule_id: str | None = None, selection: tuple[int, int] | None = None) -> tuple[str, str | None]:
-    """The formatted page and null, or the page as it was and what went wrong."""
+    """The formatted page and null, or the page as it was and what went wrong.
+
+    After ``remove`` only operations of groups and single matches go on, and it is left out where something was done before.
+    """
     try:
         chosen = [Rule.of(r) for r in rules if rule_id is None or str(r.get("id")) == rule_id]
         if not chosen:
             return markup, "no such rule"
-        bad = [c.pattern for r in chosen for c in r.conditions if c.type == "regex" and not regex_is_safe(c.pattern)]
-        if bad:
+        patterns = [p for r in chosen for c in r.conditions for p in (c.pattern * (c.type == "regex"), c.between_end_pattern) if p]
+        if not all(map(regex_is_safe, patterns)):
             return markup, "unsafe pattern"
-        page = Formatter(markup)
+        page, begun, removed = Formatter(markup), False, False
         for rule in chosen:
-            page.apply_all(plan(rule, page.text, selection))
-        return serialize(page.events), None
+            for step in plan(rule, page.text, selection):
+                if step.loose or not (removed or (step.op == "remove" and begun)):
+                    page.apply(step)
+                    begun, removed = True, removed or step.op == "remove"
+        page.settle()
+        return page.tree.html(), None
     except (re.error, ValueError, IndexError) as e:
         return markup, f"{type(e).__name__}: {e}"
 
@@ -405,11 +467,23 @@ def contains_ranges(text: Column, term: str) -> Column:
 
 
 def char_style(style: Column) -> Column:
-    """Allowed declarations in a fixed order, the last of each: alignment, size (8 to 72 px) and colour."""
-    s = F.lower(F.coalesce(style, F.lit("")))
-    size = F.greatest(F.lit(8), F.least(F.lit(72), F.try_element_at(F.regexp_extract_all(s, F.lit(r"(?:^|;)\s*font-size\s*:\s*([0-9]{1,4})px\s*(?=;|$)"), F.lit(1)), F.lit(-1)).cast("int")))
-    pick = lambda name, value: F.try_element_at(F.regexp_extract_all(s, F.lit(rf"(?:^|;)\s*{name}\s*:\s*({value})\s*(?=;|$)"), F.lit(1)), F.lit(-1))
-    return F.concat_ws(";", F.concat(F.lit("text-align:"), pick("text-align", "left|center|right|justify")), F.concat(F.lit("font-size:"), size.cast("string"), F.lit("px")), F.concat(F.lit("color:"), pick("color", "#[0-9a-f]{3,8}|[a-z]+")))
+    """The declarations for characters in a fixed order, of each the last that is valid; sizes are rounded, from 8 to 72 px."""
+    size = r"(?i)^([0-9]{1,4}(?:\.[0-9]+)?)\s*px$"
+    family = lambda v: u_trim(F.regexp_replace(F.translate(v, "\"'", ""), r"\s+", " "))
+    forms = {
+        "text-align": lambda v: F.when(F.lower(v).isin("left", "center", "right"), F.lower(v)),
+        "font-size": lambda v: F.when(v.rlike(size), F.concat(F.greatest(F.lit(8), F.least(F.lit(72), F.bround(F.regexp_extract(v, size, 1).try_cast("double")).cast("int"))).cast("string"), F.lit("px"))),
+        "font-family": lambda v: F.when(family(v).isin(*FONTS), family(v)),
+        "color": lambda v: F.when(v.rlike("^#[0-9a-fA-F]{3,8}$"), F.lower(v)).when(v.rlike("^[a-zA-Z]{3,20}$"), v),
+    }
+    said = F.filter(F.split(F.coalesce(style, F.lit("")), ";"), lambda d: F.contains(d, F.lit(":")))
+    pairs = F.transform(said, lambda d: F.struct(F.lower(u_trim(F.substring_index(d, ":", 1))).alias("name"), u_trim(F.substring(d, F.instr(d, ":") + 1, F.length(d))).alias("value")))
+
+    def written(given, name):
+        values = F.array_compact(F.transform(F.filter(given, lambda x: x["name"] == name), lambda x: forms[name](x["value"])))
+        return F.concat(F.lit(f"{name}:"), F.try_element_at(values, F.lit(-1)))
+
+    return let(pairs, lambda given: F.concat_ws(";", *[written(given, n) for n in CHARACTER_STYLES]))
 
 
 def merge_barrier(prev: Column, cur: Column) -> Column:
@@ -455,14 +529,8 @@ def reads_differently(page: Column, again: Column) -> Column:
     return cer_form(page) != cer_form(again)
 
 
-def _element(op: str) -> tuple[str, str | None]:
-    """Tag and class by which an inline format is written."""
-    name, _, rest = INLINE[op].partition(" ")
-    return name, rest.split("=")[1] if rest else None
-
-
 def _has_format(e: list, op: str) -> bool:
-    tag, cls = _element(op)
+    tag, cls = INLINE[op]
     return e[0] == "open" and e[1] == tag and (cls is None or cls in e[2].get("class", "").split())
 
 
@@ -486,13 +554,13 @@ def texts_with_format(markup: str, op: str) -> list[tuple[int, int, str]]:
 
 def replace_format(markup: str, op: str, to: str) -> str:
     """A page whose texts with one inline format have another instead; other classes and attributes stay."""
-    tag, cls = _element(to)
+    tag, cls = INLINE[to]
     out, stack = [], []
     for e in parse_events(markup):
         if e[0] == "open":
             closing = [e[1]]
             if _has_format(e, op):
-                kept = [c for c in e[2].get("class", "").split() if c != _element(op)[1]]
+                kept = [c for c in e[2].get("class", "").split() if c != INLINE[op][1]]
                 attrs = {k: v for k, v in e[2].items() if k != "class"}
                 if cls is not None:
                     out.append(["open", tag, attrs | {"class": " ".join([*kept, cls])}])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as t
 from pagewright.operators import commands, markers
 from pagewright.operators import rules as r
+from pagewright.operators.tree import cleaned
 from pagewright.plans.registry import batch_udf, query, table
 from pagewright.plans.text_queries import sql_html, sql_trim
 
@@ -38,11 +39,41 @@ def _formats(name: str, html_sql: str, rules: list[dict], page=_page):
     query(name, f"SELECT doc_id, {html_sql} AS html FROM documents")(run)
 
 
-_formats("html_parse", f"'<p>' || {_E} || '</p>'", _rule(type="contains", pattern="", formats=["none"]))
+def _dirty():
+    """A document's page with what does not belong on one: handlers, unknown classes, styles, scripts, links and bare text."""
+    head = F.concat(F.lit('<p onclick="x()" style="color:red" class="page-note other page-align-left">'), t.escape_html(t.text_or_empty(F.col("text"))))
+    head = F.concat(head, F.lit('<span style="position:fixed;COLOR:Red;font-size:7.5px" class="page-wavy none">s</span><br><img alt="no source"/></p>\n'))
+    return F.concat(
+        head, F.lit("<script>var a = '<p>b</p>';</script><style>p{}</style>bare &lt; "), F.col("lang"), F.lit('<a href="javascript:x()">gone<b>too</b></a><i>'), F.col("source"),
+        F.lit('</i><img src="a.png" style="width:50%;top:0" class="page-img-left x"><div data-ind="first" data-pl="x" data-lh="1.5">z</div>'),
+    )
+
+
+_CLEANED = (
+    f"'<p class=\"page-note page-align-left\">' || {_E} || '<span class=\"page-wavy\" style=\"font-size:8px;color:Red\">s</span><br/></p><p>' || chr(10) || 'bare &lt; ' || lang || '</p><p><em>' || source || "
+    "'</em></p><p><img class=\"page-img-left\" src=\"a.png\" style=\"width:50%\"/></p><div data-ind=\"first\" data-lh=\"1.5\">z</div>'"
+)
+_formats("html_parse", _CLEANED, _rule(type="contains", pattern="", formats=["none"]), _dirty)
+
+
+@query("html_parse_pages")
+def _parse_pages(s, d):
+    """What stands in the body of each raw page, cleaned."""
+    body = F.regexp_replace("html", r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$", "")
+    return table(s, d, "pages").select("page_id", _cleaned(F.coalesce(body, F.lit(""))).alias("html"))
+
+
+@batch_udf("string")
+def _cleaned(v):
+    import pyarrow as pa
+
+    return pa.array([cleaned(x) for x in v.to_pylist()], pa.string())
+
+
 _formats("rule_inline_ops", f"'<p>' || replace({_E}, 'en', '<strong>en</strong>') || '</p>'", _rule(type="contains", pattern="en", formats=["bold"]))
 _formats(
     "rule_block_ops",
-    f"CASE WHEN contains(text, 'en') THEN '<h2 style=\"text-align:center\">' || {_E} || '</h2>' ELSE '<p>' || {_E} || '</p>' END",
+    f"CASE WHEN contains(text, 'en') THEN '<h2 class=\"page-align-center\">' || {_E} || '</h2>' ELSE '<p>' || {_E} || '</p>' END",
     _rule(type="regex", pattern="en", formats=["heading2", "heading3", "align_center"]),
 )
 _FIRST = "regexp_extract(coalesce(text, ''), '^[^ \\n]+')"
@@ -59,7 +90,7 @@ _formats(
 )
 _formats(
     "rule_match",
-    f"""(SELECT '<p>' || CASE WHEN p = 0 THEN x ELSE substr(x, 1, p - 1) || '<span class="page-note">en</span>' || CASE WHEN q = 0 THEN rest ELSE substr(rest, 1, q - 1) || '<sup>en</sup>' || substr(rest, q + 2) END END || '</p>'
+    f"""(SELECT '<p>' || CASE WHEN p = 0 THEN x ELSE substr(x, 1, p - 1) || '<span class="page-note">en</span>' || CASE WHEN q = 0 THEN rest ELSE substr(rest, 1, q - 1) || '<span class="page-sup">en</span>' || substr(rest, q + 2) END END || '</p>'
  FROM (SELECT x, p, rest, strpos(rest, 'en') AS q FROM (SELECT x, strpos(x, 'en') AS p, substr(x, strpos(x, 'en') + 2) AS rest FROM (SELECT {_E} AS x))))""",
     _rule(type="regex", pattern="en", match_formats=[["note"], ["sup"]]),
 )
@@ -70,12 +101,12 @@ _formats(
 )
 _formats(
     "rule_entry",
-    f"CASE WHEN coalesce(text, '') = '' THEN '<p></p>' ELSE '<p style=\"text-indent:2em\">' || {_E} || '</p>' END",
+    f"CASE WHEN coalesce(text, '') = '' THEN '<p></p>' ELSE '<p class=\"\" data-ind=\"first\" data-indv=\"2\">' || {_E} || '</p>' END",
     _rule(formats=["first_indent", "indent"]),
 )
 _formats(
     "rule_apply",
-    f"CASE WHEN coalesce(text, '') = '' THEN '<p></p><p>two ' || source || '</p>' ELSE '<p>' || {_E} || 'two ' || source || '</p>' END",
+    f"CASE WHEN coalesce(text, '') = '' THEN '<p></p><p>two ' || source || '</p>' ELSE '<p>' || {_E} || ' two ' || source || '</p>' END",
     [{"id": "1", "conditions": [{"type": "contains", "pattern": "\u4e00", "formats": ["bold"]}, {"formats": ["merge"]}, {"formats": ["italic"]}]}],
     lambda: F.concat(_page(), F.lit("<p>two "), F.col("source"), F.lit("</p>")),
 )
@@ -115,18 +146,24 @@ query(
         )
     )
 )
-query(
-    "html_char_style",
-    "SELECT doc_id, 'text-align:center;font-size:' || greatest(8, least(72, doc_id % 100)) || 'px;color:red' AS style FROM documents",
-)(
-    lambda s, d: (
-        _docs(s, d)
-        .select(
-            "doc_id",
-            r.char_style(F.concat(F.lit("COLOR: red; position:fixed; font-size:9px; text-align : center;font-size:"), (F.col("doc_id") % 100).cast("string"), F.lit("px"))).alias("style"),
-        )
-    )
-)
+#: Styles of documents by doc_id, a number between the two parts, and what is left of them.
+_STYLES = [
+    ("COLOR: Red; position:fixed; font-size:9px; text-align : Center;font-size:", "px", "'text-align:center;font-size:' || greatest(8, least(72, doc_id % 100)) || 'px;color:Red'"),
+    ("color:#ABCDEF;font-size:", ".6 PX", "'font-size:' || greatest(8, least(72, doc_id % 100 + 1)) || 'px;color:#abcdef'"),
+    ("font-family: \"黑体\",  SimHei, sans-serif;top:", "px", "'font-family:黑体, SimHei, sans-serif'"),
+    ("text-align:justify;font-size:12pt;color:#12;width:", "", "''"),
+    ("color:red;font-family:Arial;color:#", "", "'color:red'"),
+    ("font-family:'serif';text-align:left;text-align:", "", "'text-align:left;font-family:serif'"),
+]
+_STYLED = " ".join(f"WHEN {i} THEN {sql}" for i, (*_, sql) in enumerate(_STYLES))
+
+
+@query("html_char_style", f"SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE CASE doc_id % {len(_STYLES)} {_STYLED} END END AS style FROM documents")
+def _char_style(s, d):
+    n = len(_STYLES)
+    part = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _STYLES]), (F.col("doc_id") % n + 1).cast("int"))
+    style = F.when(F.col("text").isNotNull(), F.concat(part(0), (F.col("doc_id") % 100).cast("string"), part(1)))
+    return _docs(s, d).select("doc_id", r.char_style(style).alias("style"))
 
 
 @query("flt_protected_block", "SELECT doc_id, doc_id % 2 = 1 AND coalesce(text, '') <> '' AS changed FROM documents")

@@ -23,14 +23,14 @@ def apply(markup, **c):
     "markup,cond,want",
     [
         ("<p>abc</p>", {"pattern": "b", "formats": ["bold"]}, "<p>a<strong>b</strong>c</p>"),
-        ("<p>aaa</p>", {"pattern": "aa", "formats": ["italic"]}, "<p><em>a<em>a</em></em><em>a</em></p>"),
+        ("<p>aaa</p>", {"pattern": "aa", "formats": ["italic"]}, "<p><em>a</em><em><em>a</em>a</em></p>"),
         ("<p>a</p><p>b</p>", {"type": "regex", "pattern": "^a", "formats": ["heading1", "heading2"]}, "<h1>a</h1><p>b</p>"),
         ("<p><b>a</b><i>b</i></p>", {"formats": ["no_bold"]}, "<p>a<em>b</em></p>"),
         ("<p><b>a</b><span class='page-note'>b</span></p>", {"formats": ["remove"]}, "<p>ab</p>"),
         ("<p>a b</p>", {"formats": ["strip_ws"]}, "<p>ab</p>"),
         ("<p>x: y; z</p>", {"type": "regex", "pattern": ":", "target": "between", "between_end_pattern": ";", "formats": ["bold"]}, "<p>x:<strong> y</strong>; z</p>"),
         ("<p>a</p>", {"pattern": "q", "formats": ["bold"]}, "<p>a</p>"),
-        ("<p>a<script>x</script></p>", {"formats": ["h1"]}, "<p>ax</p>"),
+        ("<p>a<script>x</script></p>", {"formats": ["h1"]}, "<p>a</p>"),
         ("<p class='page-divider'>a</p>", {"formats": ["heading1"]}, '<p class="page-divider">a</p>'),
     ],
 )
