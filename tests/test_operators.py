@@ -291,4 +291,5 @@ def test_image_styles():
     assert [images.inlined(x) for x in same] == same
     assert images.inlined('<img class="page-img-float-left page-img-w50" width="9">') == '<img class="page-img-float-left page-img-w50" width="9" style="display:inline-block;float:left;max-width:100%;width:50%;margin:0 0.5em 0.4em 0">'
     assert images.inlined('<img class="page-img-inline page-img-vtop">').endswith('style="display:inline-block;max-width:100%;height:auto;vertical-align:top">')
-    assert images.self_closed("<img a><img b/>") == "<img a/><img b/>"
+    page = '<td><p>a</p><ul><p class="page-img-full"><img src="<>"></p></ul>\n<section>t<p class="page-img-full">\n<IMG SRC="b">'
+    assert images.inlined(page).count("page-break-before:always") == 1 and images.inlined(page).count("page-break-before:auto") == 1
