@@ -60,38 +60,29 @@ def joined_text(rows: DataFrame, by: str, order: str, text: str, sep: str, skip_
 
 
 def newest(rows: DataFrame, by: str, updated: str, tie: str) -> DataFrame:
-    """Numbers a group's versions from the newest, 1, on; ties go by ``tie``."""
-    return rows.withColumn("version", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(updated), tie)))
+    """Numbers a group's versions from the newest, 1, on; those without a time come last, ties go by ``tie``."""
+    at = F.col(updated)
+    since = F.unix_micros(at.cast("timestamp")) if dict(rows.dtypes)[updated].startswith("timestamp") else at
+    keyed = rows.withColumns({"no_time": at.isNull(), "since": -since})
+    return with_group_number(keyed, by, ["no_time", "since", tie], "version").drop("no_time", "since")
 
 
 def even_sample(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """At most n rows of each group, evenly spaced in order, the first and the last among them."""
-    w = Window.partitionBy(by)
-    placed = rows.withColumn("at", F.row_number().over(w.orderBy(order)) - 1).withColumn("total", F.count("*").over(w))
-    step = (F.col("total") - 1) / max(n - 1, 1)
-    slot = F.round(F.col("at") / F.when(step > 0, step).otherwise(1.0))
-    chosen = (F.col("total") <= n) | (F.floor(slot * step) == F.col("at"))
-    return placed.where(chosen).drop("at", "total")
+    """At most n rows of each group: of m rows in order those at the places floor(i * (m / n)) from 0, in doubles."""
+    sizes = rows.groupBy(F.col(by).alias("of")).agg(F.count("*").alias("total"))
+    placed = with_group_number(rows, by, [order], "at").join(sizes, F.col(by).eqNullSafe(F.col("of")))
+    step = F.col("total") / F.lit(float(n))
+    near = F.ceil((F.col("at") - 1) / step)
+    hit = lambda i: (i >= 0) & (i < n) & (F.floor(i * step) == F.col("at") - 1)
+    return placed.where((F.col("total") <= n) | hit(near - 1) | hit(near) | hit(near + 1)).drop("at", "total", "of")
 
 
 def waves(rows: DataFrame, by: str, width: str, height: str, order: str, k: int) -> DataFrame:
-    """Pages of like size in waves of k: sorted by size, unknown sizes last, ties in input order."""
-    w = Window.partitionBy(by).orderBy(F.col(width).isNull(), (F.col(width) * F.col(height)).asc_nulls_last(), order)
-    return rows.withColumn("wave", F.floor((F.row_number().over(w) - 1) / k).cast("long"))
-
-
-def ema_rate(events: DataFrame, by: str, time: str, done: str, alpha: float = 0.3) -> DataFrame:
-    """Smoothed rate of progress of each group, folded over its events in order of time."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(done).cast("double").alias("d"))))
-    start = F.struct(F.lit(0.0).alias("r"), F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("d"))
-
-    def step(a, x):
-        dt, dd = x["t"] - a["t"], x["d"] - a["d"]
-        inst = dd / dt
-        r = F.when((dt > 0) & (dd > 0), F.when(a["r"] <= 0, inst).otherwise(alpha * inst + (1 - alpha) * a["r"])).otherwise(a["r"])
-        return F.struct(F.coalesce(r, a["r"]).alias("r"), x["t"].alias("t"), x["d"].alias("d"))
-
-    return events.groupBy(by).agg(F.aggregate(ordered, start, step, lambda a: a["r"]).alias("rate"))
+    """Pages of like size in waves of k: by width, then height, unknown sizes last, ties in input order."""
+    known = F.col(width).isNotNull() & F.col(height).isNotNull()
+    keyed = rows.withColumns({"no_size": ~known, "size_w": F.when(known, F.col(width)), "size_h": F.when(known, F.col(height))})
+    out = with_group_number(keyed, by, ["no_size", "size_w", "size_h", order], "wave")
+    return out.withColumn("wave", F.floor((F.col("wave") - 1) / max(k, 1)).cast("long")).drop("no_size", "size_w", "size_h")
 
 
 def worker_count(explicit: Column, of_model: Column, default: int = 3) -> Column:
@@ -133,12 +124,8 @@ def throttled(writes: DataFrame, seconds: float = 2.0) -> DataFrame:
     return folded.select("job", F.explode(made).alias("x")).select("job", "x.seq")
 
 
-def with_global_number(df: DataFrame, order: list[str], name: str, parts: int = 256, sampled: int = 20_000) -> DataFrame:
-    """Adds the place of each row, from 1, in the order of some columns, without one task that sees all rows.
-
-    A hash sample of about ``sampled`` keys gives the bounds of ranges; rows are numbered inside their range, and the
-    sizes of the ranges (``parts`` numbers at most, on the driver) give where each begins.
-    """
+def _ranged(df: DataFrame, order: list[str], parts: int, sampled: int) -> DataFrame:
+    """Adds ``range``, the number of a range of rows in the order of some columns, with bounds from a hash sample of keys."""
     total = df.count()
     keyed = df.withColumn("range_key", F.struct(*order))
     some = keyed.where(F.pmod(F.xxhash64(*order), F.lit(max(1, total // sampled))) == 0).select("range_key").distinct().sort("range_key").toArrow()
@@ -146,7 +133,29 @@ def with_global_number(df: DataFrame, order: list[str], name: str, parts: int =
     bounds = some.take(sorted({n * k // parts for k in range(1, parts)} - {0}))["range_key"].to_pylist() if n else []
     kinds = dict(keyed.dtypes)["range_key"]
     limits = F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in order]) for b in bounds]).cast(f"array<{kinds}>")
-    ranged = keyed.withColumn("range", F.size(F.filter(limits, lambda b: b <= F.col("range_key")))).drop("range_key")
+    return keyed.withColumn("range", F.size(F.filter(limits, lambda b: b <= F.col("range_key")))).drop("range_key")
+
+
+def with_group_number(df: DataFrame, by: str, order: list[str], name: str, parts: int = 256, sampled: int = 20_000) -> DataFrame:
+    """Adds the place of each row, from 1, within its group in the order of some columns; a task sees a range of a group.
+
+    How many rows of a group lie in earlier ranges is counted per group and range, and joined by both.
+    """
+    rows = _ranged(df, [by, *order], parts, sampled)
+    sizes = rows.groupBy(F.col(by).alias("range_of"), F.col("range").alias("range_at")).count()
+    earlier = Window.partitionBy("range_of").orderBy("range_at").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("range_of", "range_at", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("range_begins"))
+    met = rows.join(begins, F.col(by).eqNullSafe(F.col("range_of")) & (F.col("range") == F.col("range_at")))
+    place = F.row_number().over(Window.partitionBy(by, "range").orderBy(*order)) + F.col("range_begins")
+    return met.withColumn(name, place.cast("long")).drop("range", "range_of", "range_at", "range_begins")
+
+
+def with_global_number(df: DataFrame, order: list[str], name: str, parts: int = 256, sampled: int = 20_000) -> DataFrame:
+    """Adds the place of each row, from 1, in the order of some columns, without one task that sees all rows.
+
+    The sizes of the ranges (``parts`` numbers at most, on the driver) give where each begins.
+    """
+    ranged = _ranged(df, order, parts, sampled)
     sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
     starts, at = [], 0
     for k in range(parts + 1):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
 from pagewright.operators import pages as p
+from pagewright.operators import scans
 from pagewright.plans.registry import query, table
 from pagewright.plans.text_queries import _q, sql_trim
 
@@ -296,15 +297,15 @@ query(
 )
 query(
     "win_waves",
-    "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY w IS NULL, w * 3, doc_id) - 1) // 4 AS wave FROM (SELECT doc_id, "
-    "source, CASE WHEN doc_id % 5 > 0 THEN n_chars END AS w FROM documents)",
+    "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY w IS NULL, w, CASE WHEN w IS NOT NULL THEN n_chars END, doc_id) - 1) // 4 AS wave FROM (SELECT doc_id, "
+    "source, n_chars, CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 END AS w FROM documents)",
 )(
     lambda spark, sf_dir: (
         p.waves(
-            table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 5 > 0, F.col("n_chars")).alias("w"), F.lit(3).alias("h")),
+            table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7).alias("w")),
             "source",
             "w",
-            "h",
+            "n_chars",
             "doc_id",
             4,
         )
@@ -314,19 +315,20 @@ query(
 query(
     "win_even_sample",
     "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) "
-    "OVER (PARTITION BY source) AS n FROM documents) WHERE n <= 5 OR floor(round(i / ((n - 1) / 4.0)) * ((n - 1) / 4.0)) = i",
+    "OVER (PARTITION BY source) AS n FROM documents) WHERE n <= 7 OR list_contains([floor(k * (n / 7.0::DOUBLE))::BIGINT for k in range(7)], i)",
 )(
-    lambda spark, sf_dir: p.even_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5)
+    lambda spark, sf_dir: p.even_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 7)
 )
-_EMA = """SELECT user_id, list_reduce(list({'t': epoch_us(ts) / 1e6, 'd': event_id::DOUBLE, 'r': 0.0::DOUBLE} ORDER BY ts, event_id), lambda a, x:
- {'t': x.t, 'd': x.d, 'r': CASE WHEN x.t > a.t AND x.d > a.d THEN CASE WHEN a.r <= 0 THEN (x.d - a.d) / (x.t - a.t) ELSE 0.3::DOUBLE * ((x.d - a.d) / (x.t - a.t)) + 0.7::DOUBLE * a.r END ELSE a.r END}).r AS rate
+_EMA = """SELECT user_id, list_reduce(list({'s': event_type, 't': epoch_us(ts) / 1e6, 'd': event_id::DOUBLE, 'r': 0.0::DOUBLE} ORDER BY ts, event_id), lambda a, x:
+ {'s': x.s, 't': x.t, 'd': x.d, 'r': CASE WHEN x.s IS DISTINCT FROM a.s THEN 0 WHEN x.t > a.t AND x.d > a.d THEN CASE WHEN a.r <= 0 THEN (x.d - a.d) / (x.t - a.t) ELSE 0.3::DOUBLE * ((x.d - a.d) / (x.t - a.t)) + 0.7::DOUBLE * a.r END ELSE a.r END}).r AS rate
  FROM events GROUP BY user_id"""
 query("win_ema_rate", _EMA)(
-    lambda spark, sf_dir: p.ema_rate(
-        table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("event_id").alias("d")),
+    lambda spark, sf_dir: scans.final_rate(
+        table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("event_id").alias("d")),
         "user_id",
-        "t",
+        "event_type",
         "d",
+        "t",
     )
 )
 

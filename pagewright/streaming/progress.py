@@ -2,123 +2,74 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import let, running
 from pagewright.names import PROGRESS_MARKER
+from pagewright.operators.scans import ALPHA, rates
 
-# The stages in order with their shares of the whole, and how fast the rate follows.
+# The stages in order with their shares of the whole, and what is enough to go by.
 WEIGHTS = {"split": 0.05, "ocr": 0.75, "structure": 0.05, "render": 0.05}
-ALPHA, LEAST_ITEMS, LEAST_SECONDS = 0.3, 2, 1.0
+LEAST_ITEMS, LEAST_SECONDS = 2, 1.0
 MARKER = PROGRESS_MARKER
-OUT = "job string, seq long, stage string, done long, total long, eta_sec double, eta_total_sec double, rate double"
-
-
-def stage_eta(done: int, total: int, elapsed: float, rate: float = 0.0) -> float | None:
-    """Seconds left of a stage: by the rate where there is one, else in proportion once there is enough to go by."""
-    if total <= 0:
-        return None
-    if done >= total:
-        return 0.0
-    if rate > 0:
-        return (total - done) / rate
-    if done < LEAST_ITEMS or elapsed < LEAST_SECONDS:
-        return None
-    return (total - done) * elapsed / done
-
-
-@dataclass
-class Estimator:
-    """What is known of a job after its events so far."""
-
-    stage: str = ""
-    begun: float = 0.0
-    last_time: float = 0.0
-    last_done: int = 0
-    rate: float = 0.0
-
-    def update(self, stage: str, done: int, total: int, now: float) -> tuple[float | None, float | None, float]:
-        if stage != self.stage:
-            self.stage, self.begun, self.last_time, self.last_done, self.rate = stage, now, now, 0, 0.0
-        gone, made = now - self.last_time, done - self.last_done
-        if gone > 0 and made > 0:
-            self.rate = made / gone if self.rate <= 0 else ALPHA * made / gone + (1 - ALPHA) * self.rate
-        self.last_time, self.last_done = now, done
-        spent = max(0.0, now - self.begun)
-        eta = stage_eta(done, total, spent, self.rate)
-        return eta, self._whole(eta, spent), self.rate
-
-    def _whole(self, eta: float | None, spent: float) -> float | None:
-        if self.stage in ("done", "error"):
-            return 0.0
-        if eta is None or self.stage not in WEIGHTS:
-            return None
-        names = list(WEIGHTS)
-        later = sum(WEIGHTS[n] for n in names[names.index(self.stage) + 1 :])
-        return eta + later / WEIGHTS[self.stage] * (spent + eta)
+KNOWN = ["job", "seq", "stage", "done", "total", "now", "rate", "begun"]
 
 
-def estimates(events: DataFrame) -> DataFrame:
-    """An estimate after each event (job, seq, stage, done, total, now), in order of seq, folded in native columns."""
+def told(rows: DataFrame) -> DataFrame:
+    """Seconds left of the stage and of all stages, from what is done, the rate, and when the stage began.
+
+    By the rate where there is one, else in proportion once there is enough to go by; what comes after takes its share.
+    """
     names = list(WEIGHTS)
     later = {n: sum(WEIGHTS[k] for k in names[i + 1 :]) / WEIGHTS[n] for i, n in enumerate(names)}
+    c = F.col
+    left = c("total") - c("done")
+    rows = rows.withColumn("spent", F.greatest(F.lit(0.0), c("now") - c("begun")))
+    few = (c("done") < LEAST_ITEMS) | (c("spent") < LEAST_SECONDS)
+    eta = F.when(c("total") <= 0, F.lit(None).cast("double")).when(left <= 0, 0.0).when(c("rate") > 0, left / c("rate")).when(~few, left * c("spent") / c("done"))
+    rows = rows.withColumn("eta_sec", eta)
+    share = F.coalesce(*[F.when(c("stage") == n, v) for n, v in later.items()])
+    whole = F.when(c("stage").isin("done", "error"), 0.0).when(c("eta_sec").isNotNull(), c("eta_sec") + share * (c("spent") + c("eta_sec")))
+    return rows.select("job", "seq", "stage", "done", "total", "eta_sec", whole.alias("eta_total_sec"), "rate")
+
 
-    def rated(a, x):
-        new = a["stage"] != x["stage"]
-        kept = lambda field, fresh: F.when(new, fresh).otherwise(a[field])
-        return F.struct(
-            kept("begun", x["now"]).alias("begun"), kept("rate", F.lit(0.0)).alias("rate"),
-            (x["now"] - kept("now", x["now"])).alias("gone"), (x["done"] - kept("done", F.lit(0).cast("long"))).alias("made"),
-        )
-
-    def told(x, r):
-        inst = r["made"] / r["gone"]
-        rate = F.when((r["gone"] > 0) & (r["made"] > 0), F.when(r["rate"] <= 0, inst).otherwise(ALPHA * inst + (1 - ALPHA) * r["rate"])).otherwise(r["rate"])
-        return F.struct(r["begun"].alias("begun"), rate.alias("rate"), F.greatest(F.lit(0.0), x["now"] - r["begun"]).alias("spent"))
-
-    def eta(x, r):
-        left = x["total"] - x["done"]
-        few = (x["done"] < LEAST_ITEMS) | (r["spent"] < LEAST_SECONDS)
-        return (
-            F.when(x["total"] <= 0, F.lit(None).cast("double")).when(left <= 0, 0.0)
-            .when(r["rate"] > 0, left / r["rate"]).when(~few, left * r["spent"] / x["done"])
-        )
-
-    def whole(x, r, e):
-        share = F.coalesce(*[F.when(x["stage"] == n, v) for n, v in later.items()])
-        return F.when(x["stage"].isin("done", "error"), 0.0).when(e.isNotNull(), e + share * (r["spent"] + e))
-
-    def step(a, x):
-        rest = lambda r, e: F.struct(*[x[c].alias(c) for c in ("stage", "done", "now")], r["begun"].alias("begun"), r["rate"].alias("rate"), e.alias("eta"), whole(x, r, e).alias("all"))
-        return let(rated(a, x), lambda b: let(told(x, b), lambda r: let(eta(x, r), lambda e: rest(r, e))))
-
-    zero = "named_struct('stage', '', 'done', 0L, 'now', 0D, 'begun', 0D, 'rate', 0D, 'eta', cast(null as double), 'all', cast(null as double))"
-    e = F.struct("seq", F.coalesce("stage", F.lit("")).alias("stage"), F.col("done").cast("long").alias("done"), F.col("total").cast("long").alias("total"), F.col("now").cast("double").alias("now"))
-    folded = events.groupBy("job").agg(F.array_sort(F.collect_list(e)).alias("e")).withColumn("s", running(F.col("e"), F.expr(zero), step))
-    rows = folded.select("job", F.explode(F.arrays_zip("e", "s")).alias("x"))
-    return rows.select(
-        "job", "x.e.seq", "x.e.stage", "x.e.done", "x.e.total", F.col("x.s.eta").alias("eta_sec"), F.col("x.s.all").alias("eta_total_sec"), F.col("x.s.rate").alias("rate")
-    )
+def _events(events: DataFrame) -> DataFrame:
+    whole = lambda n: F.coalesce(F.col(n).cast("long"), F.lit(0)).alias(n)
+    return events.select("job", F.col("seq").cast("long").alias("seq"), F.coalesce("stage", F.lit("")).alias("stage"), whole("done"), whole("total"), F.col("now").cast("double").alias("now"))
+
+
+def estimates(events: DataFrame) -> DataFrame:
+    """An estimate after each event (job, seq, stage, done, total, now), in order of seq, however long a job is."""
+    return told(rates(_events(events), "job", "stage", "done", "now", ["seq"]))
 
 
 def streaming_estimates(events: DataFrame) -> DataFrame:
-    """The same from a stream; each job's estimator is the state, events of a batch are taken in order of seq."""
+    """The same from a stream; a job's state is its last event, when the stage began, and the rate. A batch's events are
+    taken in order of seq."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    def fold(key, batches, state):
+    def follow(key, batches, state):
         import pandas as pd
 
-        e = Estimator(*state.get) if state.exists else Estimator()
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            rows.append((key[0], r.seq, r.stage, r.done, r.total, *e.update(r.stage, int(r.done), int(r.total), float(r.now))))
-        state.update(tuple(asdict(e).values()))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return events.groupBy("job").applyInPandasWithState(fold, OUT, "stage string, begun double, last_time double, last_done long, rate double", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(batches)).sort_values("seq", ignore_index=True)
+        stage, done, now, begun, rate = state.get if state.exists else (None, 0, 0.0, 0.0, 0.0)
+        before = pd.concat([pd.DataFrame({"stage": [stage], "done": [done], "now": [now]}), rows[["stage", "done", "now"]]], ignore_index=True).iloc[:-1]
+        new = rows["stage"] != before["stage"]
+        gone, made = rows["now"] - before["now"], rows["done"] - before["done"]
+        speed = (made / gone).where((gone > 0) & (made > 0) & ~new)
+        smooth = []
+        for restart, s in zip(new, speed):
+            rate = 0.0 if restart else rate
+            rate = rate if pd.isna(s) else s if rate <= 0 else ALPHA * s + (1 - ALPHA) * rate
+            smooth.append(rate)
+        since = rows["now"].where(new).ffill().fillna(begun)
+        last = rows.iloc[-1]
+        state.update((last["stage"], int(last["done"]), float(last["now"]), float(since.iloc[-1]), float(rate)))
+        yield rows.assign(job=key[0], rate=smooth, begun=since)[KNOWN]
+
+    kinds = "job string, seq long, stage string, done long, total long, now double, rate double, begun double"
+    followed = _events(events).groupBy("job").applyInPandasWithState(follow, kinds, "stage string, done long, now double, begun double, rate double", "append", GroupStateTimeout.NoTimeout)
+    return told(followed)
 
 
 def markers(lines: DataFrame, value: str = "value") -> DataFrame:
