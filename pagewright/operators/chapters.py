@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import u_trim
+from pagewright.functions.text import let, running, u_trim
 
 TOKENS = "<[^>]+>|[^<]+|<"
 
@@ -55,17 +55,29 @@ def literal(term: str) -> str:
 
 
 def find(rows: DataFrame, key: str, text: str, pattern: str, context: int = 40, most: int | None = None) -> DataFrame:
-    """key, match (from 1), start, before, hit and after of all matches, numbered; ``most`` keeps the first ones of each."""
-    c = F.col(text)
-    pieces, hits = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("p"), F.length(h).alias("h")))
-    found = rows.where(c.rlike(pattern)).select(key, text, F.posexplode(F.arrays_zip(hits.alias("hit"), lengths.alias("n"))).alias("i", "m"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    at = found.withColumn("start", (F.coalesce(F.sum(F.col("m.n.p") + F.col("m.n.h")).over(w), F.lit(0)) + F.col("m.n.p")).cast("int"))
-    if most is not None:
-        at = at.where(F.col("i") < most)
-    end = F.col("start") + F.col("m.n.h")
-    return at.select(key, (F.col("i") + 1).alias("match"), "start", F.substring(c, F.greatest(F.lit(1), F.col("start") + 1 - context), F.least(F.lit(context), F.col("start"))).alias("before"), F.col("m.hit").alias("hit"), F.substring(c, end + 1, F.lit(context)).alias("after"))
+    """key, match (from 1), start, before, hit and after of all matches, numbered; ``most`` keeps the first ones of each.
+
+    What stands before a match is carried along the text from its beginning, what stands after it from its end, so no match
+    takes the text along and nothing is shuffled.
+    """
+    parts = F.struct(F.split(F.col(text), pattern).alias("gaps"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def found(p):
+        n = F.size(p["hits"])
+        ahead = F.zip_with(F.slice(p["gaps"], F.lit(1), n), p["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        back = F.reverse(F.zip_with(F.slice(p["gaps"], F.lit(2), n), F.concat(F.slice(p["hits"], F.lit(2), n), F.array(F.lit(""))), lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
+        zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("before"), F.lit("").alias("hit"), F.lit("").alias("tail"))
+
+        def step(a, x):
+            start, before = a["end"] + F.length(x["gap"]), F.right(F.concat(a["tail"], x["gap"]), F.lit(context))
+            return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), before.alias("before"), x["hit"].alias("hit"), F.right(F.concat(before, x["hit"]), F.lit(context)).alias("tail"))
+
+        after = F.reverse(running(back, F.lit(""), lambda a, x: F.left(F.concat(x["gap"], x["hit"], a), F.lit(context))))
+        both = F.zip_with(running(ahead, zero, step), after, lambda x, y: F.struct(x["start"].alias("start"), x["before"].alias("before"), x["hit"].alias("hit"), y.alias("after")))
+        return both if most is None else F.slice(both, F.lit(1), F.lit(most))
+
+    hits = rows.where(F.col(text).rlike(pattern)).select(key, F.posexplode(let(parts, found)).alias("found_at", "found"))
+    return hits.select(key, (F.col("found_at") + 1).alias("match"), "found.start", "found.before", "found.hit", "found.after")
 
 
 def replace_in_text(html: Column, term: str, to: str, pattern: bool = False) -> Column:

@@ -14,8 +14,9 @@ from pagewright.functions.text import escape_html, u_trim
 from pagewright.names import CLASS_PREFIX
 
 # What stands for a pipe, the lines of box tables, cells of separator lines, classes of alignment.
-PIPES = "｜│┃"
-BORDER = re.compile(r"^\s*[┌┬┐├┼┤└┴┘─━═╔╗╚╝╠╣╦╩╬+\-=]{3,}\s*$")
+PIPES = "｜︱│┃"
+#: A corner, lines and crossings, a corner.
+BORDER = re.compile(r"^\s*[┌├└┏┠┗+][─━\-┬┼┴┯┿┷+]*[┐┤┘┓┫┛+]\s*$")
 ANY_PIPE = re.compile(f"[|{PIPES}]")
 SEPARATOR_CELL = "^:?[-—－]+:?$"
 ALIGN = {"both": f"{CLASS_PREFIX}align-center", "left": f"{CLASS_PREFIX}align-left", "right": f"{CLASS_PREFIX}align-right"}
@@ -69,7 +70,7 @@ def _cells(line: str) -> list[str]:
 
 
 def _columns(line: str) -> list[str]:
-    return [c for c in re.split(r"\t+| {2,}", line.strip()) if c]
+    return [c for c in re.split(r"\t+|[ \u3000]{2,}", line.strip()) if c]
 
 
 def unglued(line: str) -> list[str] | None:

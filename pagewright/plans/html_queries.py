@@ -83,7 +83,12 @@ query(
         .select("doc_id", "match", "start", "hit")
     )
 )
-query("srch_context", None)(lambda s, d: c.find(table(s, d, "documents"), "doc_id", "text", c.literal("e."), 40, 200))
+query(
+    "srch_context",
+    "SELECT doc_id, i AS match, start, substr(text, greatest(1, start + 1 - 40), least(40, start)) AS before, hit, substr(text, start + length(hit) + 1, 40) AS after FROM ("
+    "SELECT doc_id, text, i, hs[i] AS hit, length(array_to_string(p[1:i], '')) + coalesce(list_sum([length(h) for h in hs[1:i - 1]]), 0)::BIGINT AS start FROM ("
+    "SELECT doc_id, text, regexp_split_to_array(text, 'e\\.') AS p, regexp_extract_all(text, 'e\\.') AS hs, unnest(range(1, least(200, len(regexp_extract_all(text, 'e\\.'))) + 1)) AS i FROM documents))",
+)(lambda s, d: c.find(table(s, d, "documents"), "doc_id", "text", c.literal("e."), 40, 200))
 query(
     "limit_search",
     "SELECT doc_id, least(10, len(regexp_extract_all(text, 'en')))::BIGINT AS shown, len(regexp_extract_all(text, 'en'))::BIGINT AS "

@@ -26,12 +26,15 @@ _TXT = "CASE WHEN turn = 1 THEN '[图片]' ELSE repeat('　', CASE role WHEN 'us
 
 @query(
     "sink_txt",
-    f"SELECT conv_id::VARCHAR AS book, string_agg({_TXT}, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id",
+    f"SELECT lpad(conv_id::VARCHAR, 9, '0') AS book, string_agg({_TXT}, chr(10) || chr(10) ORDER BY turn, text) || repeat(chr(10), (conv_id % 3)::INT) AS body FROM conversations GROUP BY conv_id",
 )
 def _txt(s, d):
+    """Books whose ids begin with zeros and whose texts end in none, one or two line ends."""
     blocks = _talks(s, d).withColumns({"kind": F.when(F.col("n") == 1, "image").otherwise("p"), "indent": F.when(F.col("role") == "user", 2).otherwise(9)})
     path = sinks.store_path(s, "texts")
-    sinks.write_texts(sinks.books_of(blocks, sinks.text_block(F.col("kind"), F.col("text"), F.col("indent"))), path)
+    books = sinks.books_of(blocks, sinks.text_block(F.col("kind"), F.col("text"), F.col("indent")))
+    books = books.select(F.lpad(F.col("book").cast("string"), 9, "0").alias("book"), F.concat("body", F.repeat(F.lit("\n"), (F.col("book") % 3).cast("int"))).alias("body"))
+    sinks.write_texts(books, path)
     return sinks.read_texts(s, path)
 
 
@@ -52,7 +55,7 @@ def _md(s, d):
 
 def _page_rows(s, d, status, seq):
     rows = _talks(s, d).select(F.col("book").cast("string").alias("pdf"), F.col("n").cast("int").alias("page"), "text")
-    return rows.select("pdf", "page", status.alias("status"), F.col("text").alias("result"), F.lit(None).cast("string").alias("error"), F.lit(seq).cast("long").alias("seq"))
+    return rows.select("pdf", "page", F.lit(9).alias("total"), status.alias("status"), F.col("text").alias("result"), F.lit(None).cast("string").alias("error"), F.lit(seq).cast("long").alias("seq"))
 
 
 @query(
@@ -65,21 +68,23 @@ def _checkpoint(s, d):
     path = sinks.store_path(s, "pages")
     sinks.save_pages(s, path, _page_rows(s, d, F.when(F.col("page") % 2 == 0, "error").otherwise("done"), 1))
     sinks.save_pages(s, path, _page_rows(s, d, F.lit("done"), 2).where("page % 3 = 0"))
-    return sinks.read_store(s, path, sinks.CHECKPOINT).select("pdf", "page", "status", "result")
+    return sinks.read_store(s, path, sinks.PAGES).select("pdf", "page", "status", "result")
 
 
 @query(
     "st_checkpoint_resume",
-    "SELECT conv_id::VARCHAR AS pdf, turn::INT AS page FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id::VARCHAR, 0 FROM "
-    "conversations GROUP BY conv_id",
+    "SELECT conv_id::VARCHAR AS pdf, turn::INT AS page FROM conversations WHERE turn % 2 = 0 OR conv_id % 5 = 0 OR coalesce(text, '') = '' "
+    "UNION ALL SELECT conv_id::VARCHAR, 0 FROM conversations GROUP BY conv_id",
 )
 def _resume(s, d):
     """Of the pages wanted, those still to do: pages with an error, and one that was never read."""
     path = sinks.store_path(s, "pages")
     rows = _page_rows(s, d, F.when(F.col("page") % 2 == 0, "error").otherwise("done"), 1)
     sinks.save_pages(s, path, rows)
-    wanted = rows.select("pdf", "page").union(rows.select("pdf", F.lit(0).alias("page")).distinct())
-    return sinks.resume_pages(s, path, wanted)[1]
+    wanted = rows.select("pdf", "page", "total").union(rows.select("pdf", F.lit(0).alias("page"), "total").distinct())
+    # Of a book that has another number of pages now, nothing counts as done.
+    wanted = wanted.withColumn("total", F.when(F.col("pdf").cast("long") % 5 == 0, 10).otherwise(F.col("total")))
+    return sinks.resume_pages(s, path, wanted)[1].select("pdf", "page")
 
 
 @query(
@@ -147,11 +152,11 @@ def _follow(s, d):
     rows.select("book", "page", F.concat("text", F.lit("!")).alias("text"), F.lit(2).alias("version")).write.mode("append").json(folder)
 
     def upsert(df, _):
-        kept = df.select(F.col("book").cast("string").alias("pdf"), F.col("page").cast("int").alias("page"), F.lit("done").alias("status"), F.col("text").alias("result"), F.lit(None).cast("string").alias("error"), F.col("version").cast("long").alias("seq"))
+        kept = df.select(F.col("book").cast("string").alias("pdf"), F.col("page").cast("int").alias("page"), F.lit(9).alias("total"), F.lit("done").alias("status"), F.col("text").alias("result"), F.lit(None).cast("string").alias("error"), F.col("version").cast("long").alias("seq"))
         sinks.save_pages(s, store, kept)
 
     progress.follow_pages(s, folder, "book long, page long, text string, version int", upsert, state, seconds=None).awaitTermination()
-    found = sinks.read_store(s, store, sinks.CHECKPOINT)
+    found = sinks.read_store(s, store, sinks.PAGES)
     return found.select(F.col("pdf").cast("long").alias("book"), F.col("page").cast("long").alias("page"), F.col("result").alias("text"), F.col("seq").cast("int").alias("version"))
 
 

@@ -1,23 +1,32 @@
 """Sinks that write and are read back: text files of books, page checkpoints, user dictionaries and reports.
 
-Stores that change are folders of snapshots. A change reads the newest complete one and writes the next; a reader takes
-the newest that is complete, so a job that dies half-way leaves the store as it was.
+A store that changes is a log. A change writes its own rows into a folder of its own and then claims the next number of the
+log, which only one writer can have; a writer that comes second takes the number after it, so both changes are kept. Readers
+see the folders of the numbers that are claimed, and of each key the newest row. When many changes have come since the last
+time, one writer also writes the store as a whole, which takes the place of the changes before it. A writer that dies
+leaves a folder that no number names.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE_LINE = "[图片]"
-IDENTIFIED = ["kind", "wrong"]
+BOOKS = "book string, body string"
 
 
 def store_path(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, below the warehouse."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or, on one machine, the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def text_block(kind: Column, text: Column, indent: Column) -> Column:
@@ -46,56 +55,141 @@ def books_of(blocks: DataFrame, shown: Column, book: str = "book", order: str =
 
 
 def write_texts(books: DataFrame, path: str) -> None:
-    """A folder for each book (columns book and body) with its text in a file."""
-    books.select(F.col("book").cast("string").alias("book"), "body").write.option("lineSep", "\n").partitionBy("book").text(path)
+    """Books (columns book and body) as text, a line of JSON each, as many files as there are partitions."""
+    books.select(F.col("book").cast("string").alias("book"), "body").write.option("ignoreNullFields", False).json(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """book and body of a folder that ``write_texts`` wrote."""
-    files = spark.read.format("text").option("wholetext", True).load(path)
-    return files.select(F.col("book").cast("string").alias("book"), F.regexp_replace("value", "\n$", "").alias("body"))
-
-
-def _snapshots(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete snapshots of a store, in order."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/snapshot-*/_SUCCESS")) if fs.exists(root) else None
-    return sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in found or [])
-
-
-def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    numbers = _snapshots(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/snapshot-{numbers[-1]}") if numbers else spark.createDataFrame([], schema)
-
-
-def _write_store(df: DataFrame, path: str, keep: int = 3) -> None:
-    spark = df.sparkSession
-    numbers = _snapshots(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}/snapshot-{(numbers[-1] if numbers else 0) + 1}")
-    for old in numbers[: max(0, len(numbers) + 1 - keep)]:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot-{old}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-CHECKPOINT = "pdf string, page int, status string, result string, error string, seq long"
+    """book and body of a folder that ``write_texts`` wrote, as they were: ids are strings, line ends and nulls stay."""
+    return spark.read.schema(BOOKS).json(path)
+
+
+@dataclass(frozen=True)
+class Store:
+    """What a store holds: its columns, those that name a row, and those by which the newest row is told."""
+
+    schema: str
+    keys: tuple[str, ...]
+    newest: tuple[str, ...]
+
+    @property
+    def names(self) -> list[str]:
+        return [c.split()[0] for c in self.schema.split(", ")]
+
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """Of each key the newest row."""
+        rest = [n for n in self.names if n not in self.keys]
+        found = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*self.newest)).alias("r"))
+        return found.select(*[F.col(n) if n in self.keys else F.col(f"r.{n}") for n in self.names])
+
+
+PAGES = Store("pdf string, page int, total int, status string, result string, error string, seq long", ("pdf", "page"), ("seq", "status", "result"))
+DICTIONARY = Store("kind string, wrong string, fixed string, seq long", ("kind", "wrong"), ("seq", "fixed"))
+#: Changes after which the store is written as a whole.
+MOST_CHANGES = 16
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _entries(spark: SparkSession, path: str) -> dict[int, tuple[str, int]]:
+    """The log: by number the folder and the last number that it takes the place of, or -1."""
+    log, fs = _files(spark, f"{path}/log")
+    found = fs.listStatus(log) if fs.exists(log) else []
+    texts = {int(f.getPath().getName()): _content(spark, f.getPath(), fs) for f in found if f.getPath().getName().isdigit()}
+    # A number whose writer died before it named a folder is as good as none.
+    return {n: (t.split()[0], int(t.split()[1])) for n, t in sorted(texts.items()) if t.endswith("\n")}
+
+
+def _content(spark: SparkSession, target, fs) -> str:
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _claim(spark: SparkSession, path: str, number: int, text: str) -> bool:
+    """Make a number of the log, unless it is there; only one of several writers can."""
+    target, fs = _files(spark, f"{path}/log/{number:012d}")
+    fs.mkdirs(target.getParent())
+    try:
+        if fs.getScheme() == "file":  # there making a file that must be new is no single step in Hadoop's layer
+            with open(target.toUri().getPath(), "x") as f:
+                f.write(text)
+            return True
+        stream = fs.create(target, False)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def _commit(spark: SparkSession, path: str, folder: str, upto: int = -1) -> int:
+    number = max(_entries(spark, path), default=-1) + 1
+    while not _claim(spark, path, number, f"{folder} {upto}\n"):
+        number += 1
+    return number
+
+
+def append(rows: DataFrame, path: str, store: Store) -> None:
+    """Add rows to a store; what is written is as large as they are."""
+    spark, folder = rows.sparkSession, f"rows-{uuid.uuid4().hex}"
+    rows.select(*store.names).write.parquet(f"{path}/{folder}")
+    _commit(spark, path, folder)
+    live = _live(_entries(spark, path))
+    if len(live) > MOST_CHANGES:
+        compact(spark, path, store)
+
+
+def _live(entries: dict[int, tuple[str, int]]) -> dict[int, str]:
+    """The numbers and folders that make up the store now."""
+    whole = max((n for n, (_, upto) in entries.items() if upto >= 0), default=None)
+    upto = entries[whole][1] if whole is not None else -1
+    return {n: f for n, (f, u) in entries.items() if n == whole or (n > upto and u < 0)}
+
+
+def compact(spark: SparkSession, path: str, store: Store) -> None:
+    """Write a store as a whole; folders that the whole before it had replaced are deleted, so readers have time to end."""
+    entries = _entries(spark, path)
+    live = _live(entries)
+    if not live:
+        return
+    folder = f"rows-{uuid.uuid4().hex}"
+    store.merged(spark.read.schema(store.schema).parquet(*[f"{path}/{f}" for f in live.values()])).write.parquet(f"{path}/{folder}")
+    _commit(spark, path, folder, max(live))
+    for n, (f, _) in entries.items():
+        if n < min(live):
+            target, fs = _files(spark, f"{path}/{f}")
+            fs.delete(target, True)
+
+
+def read_store(spark: SparkSession, path: str, store: Store) -> DataFrame:
+    """The newest row of each key."""
+    live = _live(_entries(spark, path))
+    folders = [f"{path}/{f}" for f in live.values()]
+    return store.merged(spark.read.schema(store.schema).parquet(*folders)) if folders else spark.createDataFrame([], store.schema)
 
 
 def save_pages(spark: SparkSession, path: str, pages: DataFrame) -> None:
-    """Upsert rows of a checkpoint: of each page of a book the row of the greatest seq stays."""
-    names = [c.split()[0] for c in CHECKPOINT.split(", ")]
-    both = read_store(spark, path, CHECKPOINT).unionByName(pages.select(names))
-    newest = both.groupBy("pdf", "page").agg(F.max_by(F.struct(*names[2:]), "seq").alias("r"))
-    _write_store(newest.select("pdf", "page", "r.*"), path)
+    """Add rows to a checkpoint: of each page of a book the row of the greatest seq counts."""
+    append(pages, path, PAGES)
 
 
 def resume_pages(spark: SparkSession, path: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the pages wanted (pdf and page): those that are done, with their results, and those that are still to do."""
-    done = read_store(spark, path, CHECKPOINT).where("status = 'done'")
-    return wanted.join(done, ["pdf", "page"]), wanted.join(done, ["pdf", "page"], "left_anti")
+    """Of the pages wanted (pdf, page and total): those that are done, with their results, and those that are still to do.
 
-
-DICTIONARY = "kind string, wrong string, fixed string, seq long"
+    A checkpoint of another file, or of one with another number of pages, is not used.
+    """
+    done = read_store(spark, path, PAGES).where("status = 'done' AND coalesce(result, '') <> ''")
+    return wanted.join(done, ["pdf", "page", "total"]), wanted.join(done, ["pdf", "page", "total"], "left_anti")
 
 
 def save_dictionary(spark: SparkSession, path: str, changes: DataFrame) -> None:
@@ -103,9 +197,7 @@ def save_dictionary(spark: SparkSession, path: str, changes: DataFrame) -> None:
 
     Saving the same changes again changes nothing.
     """
-    both = read_store(spark, path, DICTIONARY).unionByName(changes.select("kind", "wrong", "fixed", "seq"))
-    newest = both.groupBy(*IDENTIFIED).agg(F.max_by(F.struct("fixed", "seq"), F.struct("seq", "fixed")).alias("r"))
-    _write_store(newest.select(*IDENTIFIED, "r.*"), path)
+    append(changes, path, DICTIONARY)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

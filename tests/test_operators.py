@@ -66,6 +66,11 @@ TABLE = "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td
         ("| A | B |\n| 1 | 2 |", {"need_separator": False}, TABLE),
         ("+---+---+\n| A | B |\n+---+---+\n| 1 | 2 |\n+---+---+", {}, TABLE),
         ("A  B\n1\t2\nend", {"spaced": True}, TABLE + "\nend"),
+        ("A　　B\n1  2\nend", {"spaced": True}, TABLE + "\nend"),
+        ("┏━┯━┓\n│A│B│\n┠─┼─┫\n│1│2│\n┗━┷━┛", {}, TABLE),
+        ("---\n| A | B |\n| 1 | 2 |\n---", {}, "---\n| A | B |\n| 1 | 2 |\n---"),
+        ("=====\n| A | B |\n=====", {}, "=====\n| A | B |\n====="),
+        ("普通一行──没有竖边框", {}, "普通一行──没有竖边框"),
         ("| A | B || 1 | 2 |", {}, TABLE),
         ("| | B || 1 | 2 |", {}, TABLE.replace(">A<", "><")),
         ("| a || b |", {}, "| a || b |"),
@@ -244,20 +249,6 @@ def test_throttled(spark):
     assert {tuple(x) for x in pages.throttled(df).collect()} == want and pages.throttled(df.limit(0)).count() == 0
 
 
-def test_stores_keep_the_last_complete_state(spark, tmp_path):
-    path = f"{tmp_path}/store"
-    page = lambda n, status, seq: spark.createDataFrame([("b", n, status, f"r{seq}", None, seq)], sinks.CHECKPOINT)
-    assert sinks.read_store(spark, path, sinks.CHECKPOINT).count() == 0
-    for n, status, seq in ((1, "done", 1), (2, "error", 2), (2, "done", 3), (1, "error", 0)):
-        sinks.save_pages(spark, path, page(n, status, seq))
-    os.makedirs(f"{path}/snapshot-9")  # a write that did not end
-    got = {(x.page, x.status, x.result) for x in sinks.read_store(spark, path, sinks.CHECKPOINT).collect()}
-    assert got == {(1, "done", "r1"), (2, "done", "r3")} and len([x for x in os.listdir(path) if x.startswith("snapshot-")]) == 4
-    wanted = spark.createDataFrame([("b", 1), ("b", 3)], "pdf string, page int")
-    done, todo = sinks.resume_pages(spark, path, wanted)
-    assert [x.page for x in done.collect()] == [1] and [x.page for x in todo.collect()] == [3]
-
-
 def test_running_and_ranges(spark):
     df = spark.createDataFrame([(list(range(1000)),), ([],), ([5],)], "v array<int>")
     got = [x[0] for x in df.select(t.running(F.col("v"), F.lit(0), lambda a, x: a + x)).collect()]
