@@ -96,6 +96,28 @@ SIMPLIFIED = {"們": "们", "這": "这", "個": "个", "來": "来", "說": "
 TRADITIONAL = {v: k for k, v in SIMPLIFIED.items()}
 
 
+#: What the classes of formatted pages stand for in a book's style sheet.
+CLASS_STYLES = {
+    "note": "font-size: .85em", "flush": "text-indent: 0", "indent": "text-indent: 2em", "underline": "text-decoration: underline", "strike": "text-decoration: line-through",
+    "shade": "background: #eef1f4", "highlight": "background: #e0e0e0", "highlight-green": "background: #c8e6c9", "highlight-blue": "background: #bbdefb", "highlight-pink": "background: #f8bbd0",
+    "highlight-orange": "background: #ffe0b2", "highlight-purple": "background: #e1bee7", "wavy": "text-decoration: underline wavy", "double": "text-decoration: underline double",
+    "overline": "text-decoration: overline", "emphasis": "text-emphasis: dot", "sup": "vertical-align: super; font-size: .7em", "sub": "vertical-align: sub; font-size: .7em",
+    "align-left": "text-align: left", "align-center": "text-align: center", "align-right": "text-align: right", "page-break": "page-break-before: always",
+}
+
+
+def stylesheet(pages: DataFrame, by: str, html: str) -> DataFrame:
+    """by and css: for each book the rules of the classes that stand in its pages, in the order of the sheet.
+
+    Classes are told apart before they are gathered, so a book of any length sends each class once a task.
+    """
+    names = F.flatten(F.transform(F.regexp_extract_all(F.col(html), F.lit('class="([^"]*)"'), F.lit(1)), lambda c: F.split(c, r"\s+")))
+    used = pages.select(F.col(by), F.explode_outer(F.array_distinct(names)).alias("class")).distinct()
+    rules = F.array(*[F.struct(F.lit(CLASS_PREFIX + c).alias("class"), F.lit(f".{CLASS_PREFIX}{c} {{ {s} }}").alias("rule")) for c, s in CLASS_STYLES.items()])
+    held = used.groupBy(by).agg(F.collect_set("class").alias("held"))
+    return held.select(by, F.array_join(F.transform(F.filter(rules, lambda r: F.array_contains("held", r["class"])), lambda r: r["rule"]), "\n").alias("css"))
+
+
 def ink(pages: DataFrame, key: str, threshold: int = 200, border: float = 0.01, pad: float = 0.015, least: float = 0.25, most: float = 0.97) -> DataFrame:
     """Each grey page's (key, h, w, gray bytes) share of dark pixels and the box of its ink, null where a crop is of no use."""
     px = pages.select(key, "h", "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("gray")), lambda i: F.conv(F.hex(F.substring("gray", i, F.lit(1))), 16, 10).cast("int"))).alias("i", "v"))

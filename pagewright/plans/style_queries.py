@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import chapters, images, rules, styles
+from pagewright.functions import text as t
+from pagewright.operators import chapters, fragments, images, rules, styles
 from pagewright.plans.io_queries import _books
 from pagewright.plans.registry import batch_udf, query, table
+from pagewright.plans.text_queries import sql_html
 from pagewright.sources import epub
 
 
@@ -95,18 +97,52 @@ def _img_inline(s, d):
     head = F.concat(F.lit('<p class="page-img-'), kind, F.lit('"><img class="page-img-w50" src="'), F.col("doc_id").cast("string"), F.lit('"></p>'))
     return _docs(s, d).select("doc_id", images.inline_images(F.concat(head, F.coalesce("text", F.lit("")))).alias("html"))
 
-query("html_fragment", "SELECT doc_id, '<h1>' || source || '</h1>' || chr(10) || '<p>a &amp; b.</p>' AS html FROM documents")(
-    lambda s, d: _fragment(s, d)
+_SPACE = " \\t-\\r\\x{3000}\\x{200b}\\x{200c}\\x{feff}"
+
+
+def _tight_sql(x: str) -> str:
+    """White space goes, but for a blank between ASCII letters and digits; twice, as neighbours share a character."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '([A-Za-z0-9])[{_SPACE}]+([A-Za-z0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    return f"replace(regexp_replace({x}, '[{_SPACE}]+', '', 'g'), chr(1), ' ')"
+
+
+_CENTRE = 'style="text-align:center"'
+_FRAGMENT = (
+    f"SELECT doc_id, '<h1 id=\"h1\" class=\"page-align-left\" {_CENTRE}>' || source || '</h1>' || chr(10) || '<p class=\"page-note\" style=\"margin-left:2em\">loose' || "
+    f"{_tight_sql(sql_html("coalesce(text, '')"))} || '</p>' || chr(10) || '<table><tr><td> <p style=\"text-indent:2em\">' || lang || ' </p></td></tr></table>' || chr(10) || '<h2 id=\"h2\" {_CENTRE}>a&amp;b</h2>' || chr(10) || "
+    "'<p>end</p>' AS html, 'h1:1:' || source || ',h2:2:a&b' AS headings FROM documents"
 )
 
 
+@query("html_fragment", _FRAGMENT)
 def _fragment(s, d):
-    from pagewright.functions import text as t
+    """Each document as a page with a heading, text outside of blocks, a paragraph of all its text, a table and an end."""
+    body = t.escape_html(t.text_or_empty(F.col("text")))
+    page = F.concat(
+        F.lit('<h1 class="page-align-left x">'), "source", F.lit('</h1>loose <p class="page-note y" data-pl="2">'), body, F.lit('</p></p><table><tr><td> <p class="z" data-ind="first">'),
+        "lang", F.lit(" </p></td></tr></table><h2>a &amp; b</h2>\n end"),
+    )
+    out = fragments.rendered(_docs(s, d).select("doc_id", page.alias("html")), "doc_id", "html")
+    line = lambda h: F.concat_ws(":", h["id"], h["level"].cast("string"), h["title"])
+    return out.select("doc_id", "html", F.array_join(F.transform("headings", line), ",").alias("headings"))
+
+
+_CSS = (
+    "SELECT source, array_to_string(list_filter([CASE WHEN count(*) FILTER (lang = 'en') > 0 THEN '.page-note { font-size: .85em }' END, CASE WHEN count(*) FILTER (doc_id % 40 = 1) > 0 THEN "
+    "'.page-underline { text-decoration: underline }' END, '.page-highlight-pink { background: #f8bbd0 }'], lambda x: x IS NOT NULL), chr(10)) AS css FROM documents GROUP BY source"
+)
+
 
-    return _docs(s, d).select("doc_id", t.detect_headings(F.concat("source", F.lit("\na & b；"))).alias("html")).select("doc_id", F.replace("html", F.lit("；"), F.lit(".")).alias("html"))
+@query("html_css", _CSS)
+def _css(s, d):
+    """The style sheet of each source's documents, whose classes depend on language and number."""
+    note = F.when(F.col("lang") == "en", '<p class="page-note other">').otherwise("<p>")
+    line = F.when(F.col("doc_id") % 40 == 1, '<span class="page-highlight-pink page-underline">').otherwise('<span class="page-highlight-pink">')
+    pages = _docs(s, d).select("source", F.concat(note, line, t.escape_html(t.text_or_empty(F.col("text"))), F.lit("</span></p>")).alias("html"))
+    return styles.stylesheet(pages, "source", "html")
 
 
-query("html_css", "SELECT 'p{text-indent:2em}' AS css")(lambda s, d: s.range(1).select(F.lit("p{text-indent:2em}").alias("css")))
 query("html_serialize", "SELECT doc_id, '<p><strong>' || lang || '</strong> x</p>' AS html FROM documents")(
     lambda s, d: (
         rules.format_pages(
