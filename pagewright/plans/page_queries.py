@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
+from pagewright.operators import intervals
 from pagewright.operators import pages as p
 from pagewright.operators import scans
 from pagewright.plans.registry import query, table
@@ -391,25 +392,27 @@ query(
         .select("doc_id", "id")
     )
 )
-query(
+_RANGES = "SELECT doc_id, doc_id % b.n AS book, (doc_id * 97) % 3000 AS lo, (doc_id * 97) % 3000 + (doc_id % 11) * 150 AS hi FROM documents, (SELECT max(conv_id) + 1 AS n FROM conversations) b"
+
+
+@query(
     "join_span_nodes",
-    "SELECT a.conv_id AS book, r.lo AS lo, a.turn AS page FROM (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER "
-    "(PARTITION BY conv_id ORDER BY turn) AS e FROM conversations) a JOIN (SELECT unnest([100, 700]) AS lo, unnest([300, 1500]) AS hi) "
-    "r ON a.e > r.lo AND a.e - a.n < r.hi",
-)(
-    lambda spark, sf_dir: (
-        _books(spark, sf_dir)
-        .select(
-            "book",
-            "page",
-            F.length("text").alias("n"),
-            F.sum(F.length("text")).over(Window.partitionBy("book").orderBy("page")).alias("e"),
-        )
-        .crossJoin(F.broadcast(spark.createDataFrame([(100, 300), (700, 1500)], "lo int, hi int")))
-        .where("e > lo and e - n < hi")
-        .select("book", "lo", "page")
-    )
-)
+    f"SELECT r.doc_id, a.conv_id AS book, a.turn AS page, greatest(r.lo, a.e - a.n) - (a.e - a.n) AS first, least(r.hi, a.e) - (a.e - a.n) AS last FROM (SELECT conv_id, turn, length(text) AS n, "
+    f"sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS e FROM conversations) a JOIN ({_RANGES}) r ON a.conv_id = r.book AND a.e > r.lo AND a.e - a.n < r.hi AND r.lo < r.hi AND a.n > 0",
+)
+def _span_nodes(spark, sf_dir):
+    """A table of ranges of books' texts, one for each document, and the part of each page that they touch."""
+    w = Window.partitionBy("book").orderBy("page")
+    pages = _books(spark, sf_dir).select("book", "page", F.length("text").alias("n"), F.sum(F.length("text")).over(w).cast("long").alias("end"))
+    pages = pages.select("book", "page", (F.col("end") - F.col("n")).alias("start"), "end")
+    n = table(spark, sf_dir, "conversations").agg(F.max("conv_id") + 1).first()[0]
+    at = (F.col("doc_id") * 97) % 3000
+    ranges = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("book"), at.alias("start"), (at + F.col("doc_id") % 11 * 150).alias("end"))
+    met = intervals.overlapping(pages, ranges, "book", 512)
+    first, last = F.greatest("right_start", "start") - F.col("start"), F.least("right_end", "end") - F.col("start")
+    return met.select(F.col("right_doc_id").alias("doc_id"), "book", "page", first.alias("first"), last.alias("last"))
+
+
 query(
     "ut_batch_books",
     "SELECT conv_id AS book, CASE WHEN count(*) FILTER (turn = 3) = 0 THEN 'no page 3' END AS error, sum(length(text))::BIGINT AS "
