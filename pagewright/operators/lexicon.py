@@ -7,7 +7,7 @@ import difflib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import frequency_boost, similarity, u_trim
+from pagewright.functions.text import HAN, frequency_boost, let, running, similarity, u_trim
 
 
 def words_from_lines(lines: DataFrame, value: str = "value", order: str = "n") -> DataFrame:
@@ -30,18 +30,68 @@ def known_words(tokens: DataFrame, words: DataFrame, fixes: DataFrame, ignored:
     return tokens.join(lexicon, "word", "left_semi").join(ignored, "word", "left_anti")
 
 
-def greedy_tokens(text: str, known, most: int = 4) -> list[tuple[str, int, int]]:
-    """Longest known words from the left over Chinese characters, others one by one."""
-    out, i = [], 0
-    while i < len(text):
-        ch = text[i]
-        if not ("\u3400" <= ch <= "\u4dbf" or "\u4e00" <= ch <= "\u9fff" or "\uf900" <= ch <= "\ufaff"):
-            i += 1
-            continue
-        size = next((n for n in range(min(most, len(text) - i), 1, -1) if text[i : i + n] in known), 1)
-        out.append((text[i : i + size], i, i + size))
-        i += size
-    return out
+def _chosen(texts: DataFrame, key: str, text: str, entries: DataFrame, first: str, most: int, singles: bool, most_listed: int) -> DataFrame:
+    """key, text and found: for each text the entries (word, to) chosen from the left, the longest at each place.
+
+    A place is a character of the class ``first``; what was chosen covers the places inside it. All strings of up to ``most``
+    characters that begin at a place meet the entries in one join, which is a broadcast for up to ``most_listed`` entries;
+    what fits is gathered per text, sorted by place and length, and read once.
+    """
+    listed = entries.select(F.col("word").alias("entry"), F.struct(F.col("to")).alias("held")).dropDuplicates(["entry"])
+    small = listed.limit(most_listed + 1).count() <= most_listed
+    given = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # Rows alike in key and text give the same, so two hashes of both name a row.
+    row = F.struct(F.xxhash64(F.col("key").isNull(), "key", "text").alias("a"), F.xxhash64("text", "key", F.lit(1)).alias("b"))
+    given = given.withColumn("row", row)
+
+    def strings(chars):
+        n = F.size(chars)
+        at = lambda c, i, k: F.when(c.rlike(f"[{first}]") & (i + k <= n), F.struct(i.alias("at"), F.lit(k).alias("size"), F.array_join(F.slice(chars, i + 1, F.lit(k)), "").alias("word")))
+        return F.filter(F.flatten(F.transform(chars, lambda c, i: F.array(*[at(c, i, k) for k in range(1, most + 1)]))), lambda x: x.isNotNull())
+
+    chars = F.filter(F.split("text", "(?s)(?<=.)(?=.)"), lambda c: c != "")
+    pieces = given.select("row", F.explode(let(chars, strings)).alias("p")).select("row", "p.at", "p.size", "p.word")
+    met = pieces.join(F.broadcast(listed) if small else listed, F.col("word") == F.col("entry"), "left")
+    kept = met.where(F.col("held").isNotNull() | ((F.col("size") == 1) & F.lit(singles)))
+    gathered = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "word", F.col("held.to").alias("to")))).alias("fits"))
+    taken = running(F.col("fits"), F.lit(0), lambda end, x: F.when(x["at"] >= end, x["at"] - x["less"]).otherwise(end))
+    # An entry is chosen where it is the one that moved the end on.
+    ends = gathered.select(F.col("row").alias("of"), "fits", taken.alias("ends"))
+    moved = lambda fits, ends: F.filter(F.transform(fits, lambda x, i: F.when(x["at"] >= F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)), x)), lambda x: x.isNotNull())
+    chosen = let(F.struct("fits", "ends"), lambda v: moved(v["fits"], v["ends"]))
+    return given.join(ends.select("of", chosen.alias("found")), F.col("row") == F.col("of"), "left").drop("of")
+
+
+def tokens(texts: DataFrame, key: str, text: str, words: DataFrame, most: int = 4, first: str = HAN, most_listed: int = 1_000_000) -> DataFrame:
+    """key, word, start, end and known: longest words of a lexicon from the left over Chinese characters, others one by one.
+
+    ``words`` has a column word; of words longer than ``most`` characters none is found. Every row is a text of its own.
+    """
+    lexicon = words.select("word", F.lit(None).cast("string").alias("to")).where(F.col("word") != "")
+    found = _chosen(texts, key, text, lexicon, first, most, True, most_listed)
+    rows = found.select("key", F.explode("found").alias("t"))
+    known = rows.select("key", "t.word", F.col("t.at").alias("start"), (F.col("t.at") - F.col("t.less")).alias("end"))
+    return known.withColumnRenamed("key", key)
+
+
+def converted(texts: DataFrame, key: str, text: str, table: DataFrame, most: int = 8, first: str = HAN, most_listed: int = 1_000_000) -> DataFrame:
+    """key and text: phrases and characters of a table (word, to) replaced, the longest at each place, from the left."""
+    found = _chosen(texts, key, text, table, first, most, False, most_listed)
+
+    def step(a, x):
+        return F.struct((x["at"] - x["less"]).alias("at"), F.struct(a["at"].alias("begin"), x["at"].alias("end"), x["to"].alias("to")).alias("piece"))
+
+    start = F.struct(F.lit(0).alias("at"), F.struct(F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit("").alias("to")).alias("piece"))
+    pieces = running(F.col("found"), start, step)
+
+    def joined(v):
+        gap = lambda p: F.array_join(F.slice(v["chars"], p["begin"] + 1, p["end"] - p["begin"]), "")
+        tail = F.array_join(F.slice(v["chars"], F.element_at(v["pieces"], -1)["at"] + 1, F.size(v["chars"])), "")
+        return F.concat(F.array_join(F.transform(v["pieces"], lambda s: F.concat(gap(s["piece"]), s["piece"]["to"])), ""), tail)
+
+    chars = F.filter(F.split("text", "(?s)(?<=.)(?=.)"), lambda c: c != "")
+    out = F.when(F.size("found") > 0, let(F.struct(chars.alias("chars"), pieces.alias("pieces")), joined)).otherwise(F.col("text"))
+    return found.select(F.col("key").alias(key), out.alias(text))
 
 
 def candidates(wrong: DataFrame, words: DataFrame, homophones: DataFrame, fixes: DataFrame, least: float = 0.4, near: float = 0.3, top: int = 5, singles: int = 200) -> DataFrame:

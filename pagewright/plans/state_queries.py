@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
@@ -227,23 +228,37 @@ def _context(s, d):
     return x.context_boost(rows, _words(s, d)).select("doc_id", "boost")
 
 
-@batch_udf("array<struct<word:string,start:int,end:int>>")
-def _tokens(v):
-    import pyarrow as pa
+#: Letters stand for Chinese characters here, so that the documents can be cut into words of a lexicon.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_HAN = "".join(chr(0x4E00 + i) for i in range(26))
+_RUNS = "(SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS runs FROM documents)"
+_TOKENS = f"""WITH RECURSIVE w AS (SELECT DISTINCT x FROM (SELECT unnest(runs) AS x FROM {_RUNS})),
+lex AS (SELECT x FROM w WHERE length(x) BETWEEN 2 AND 4),
+step AS (SELECT x, 1 AS p, 0 AS size FROM w UNION ALL
+ SELECT x, p + size, CASE WHEN substr(x, p + size, 4) IN (FROM lex) AND p + size + 3 <= length(x) THEN 4 WHEN substr(x, p + size, 3) IN (FROM lex) AND p + size + 2 <= length(x) THEN 3
+  WHEN substr(x, p + size, 2) IN (FROM lex) AND p + size + 1 <= length(x) THEN 2 ELSE 1 END FROM step WHERE p + size <= length(x)),
+per AS (SELECT x, count(*) FILTER (size > 0) AS n, count(*) FILTER (size > 1) AS long, sum(CASE WHEN size > 0 THEN p * size ELSE 0 END) AS digest FROM step GROUP BY x)
+SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens, coalesce(sum(long), 0)::BIGINT AS n_words, coalesce(sum(digest), 0)::BIGINT AS digest
+FROM (SELECT doc_id, unnest(runs) AS x FROM {_RUNS}) JOIN per USING (x) GROUP BY doc_id"""
 
-    known = {"中国", "中国人", "人民"}
-    kind = pa.list_(pa.struct([("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    return pa.array([[{"word": w, "start": a, "end": b} for w, a, b in x.greedy_tokens(p or "", known)] for p in v.to_pylist()], kind)
 
-
-@query(
-    "pr_tokenize",
-    "SELECT doc_id, unnest(['中国人', '民', '人民']) AS word, unnest([length(text), length(text) + 3, length(text) + 5])::INT AS start FROM "
-    "documents WHERE text IS NOT NULL",
-)
+@query("pr_tokenize", _TOKENS)
 def _tokenize(s, d):
-    pages_ = _docs(s, d).where("text is not null").select("doc_id", F.explode(_tokens(F.concat("text", F.lit("中国人民，人民")))).alias("t"))
-    return pages_.select("doc_id", "t.word", "t.start")
+    """All documents, their letters as Chinese characters, cut by a lexicon of all short words that come in them.
+
+    The digest tells where tokens begin within their run of characters, and how long they are.
+    """
+    han = F.translate(F.lower(t.text_or_empty(F.col("text"))), _LETTERS, _HAN)
+    docs = _docs(s, d).select("doc_id", han.alias("text"))
+    runs = F.regexp_extract_all("text", F.lit("[\u4e00-\u4e19]+"), F.lit(0))
+    words = docs.select(F.explode(F.array_distinct(F.filter(runs, lambda w: F.length(w).between(2, 4)))).alias("word")).distinct()
+    cut = x.tokens(docs, "doc_id", "text", words)
+    w = Window.partitionBy("doc_id").orderBy("start")
+    # A run goes on where a token begins at the end of the one before.
+    fresh = F.coalesce(F.lag("end").over(w) != F.col("start"), F.lit(True))
+    cut = cut.withColumn("run", F.last(F.when(fresh, F.col("start")), True).over(w))
+    size = F.length("word")
+    return cut.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(size > 1).alias("n_words"), F.sum((F.col("start") - F.col("run") + 1) * size).cast("long").alias("digest"))
 
 
 @query(
