@@ -102,16 +102,23 @@ query(
         epub.books(_books(s, d)).select("path", F.explode("spine").alias("x")).select("path", "x.n")
     )
 )
-query(
+_PIC = "'<img src=\"data:image/png;base64,' || base64(encode('png' || conv_id)) || '\" alt=\"a &amp; b\"/>'"
+
+
+@query(
     "src_epub_body",
-    "SELECT conv_id::VARCHAR AS path, sum(length(text) + 7)::BIGINT AS chars FROM (SELECT conv_id, replace(replace(text, '&', "
-    "'&amp;'), '<', '&lt;') AS text FROM conversations) GROUP BY conv_id",
-)(
-    lambda s, d: (
-        epub.books(_books(s, d)).select("path", F.explode("spine").alias("x")).groupBy("path")
-        .agg(F.sum(F.length("x.body")).cast("long").alias("chars"))
-    )
+    f"SELECT conv_id::VARCHAR AS path, turn::INT AS page, '<p>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</p>&nbsp;' || {_PIC} || '<br/>&#169;' AS body FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)",
 )
+def _bodies(s, d):
+    """Texts of books with an image, one that is not there, a script, a comment and entities."""
+    more = F.lit('</p>&nbsp;<img class="" src="../Images/cover.png?x#y" srcset="z" alt="a &amp; b"><img src="no.png"><script>var a = "<p>";</script><!-- c --><link rel="x"><br>&#169;')
+    text = F.concat(F.lit("<p>"), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.replace(more, F.lit(' class=""'), F.lit("")))
+    cover = F.encode(F.concat(F.lit("png"), F.col("conv_id").cast("string")), "UTF-8")
+    rows = table(s, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("n"), F.lit("t").alias("title"), text.alias("text"), F.lit("b").alias("name"), F.lit("a").alias("author"), F.lit("en").alias("language"), cover.alias("cover"))
+    books = epub.pack_books(rows, "conv_id").select(F.col("conv_id").cast("string").alias("path"), "content")
+    return epub.books(books).select("path", F.explode("spine").alias("x")).select("path", F.col("x.n").alias("page"), "x.body")
+
+
 query(
     "src_epub_meta",
     "SELECT DISTINCT conv_id::VARCHAR AS path, 'Book ' || conv_id AS title, 'A & B' AS author, 'en' AS language FROM conversations",

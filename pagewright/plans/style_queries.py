@@ -9,7 +9,7 @@ from pagewright.operators import chapters, fragments, images, rules, styles
 from pagewright.plans.io_queries import _books
 from pagewright.plans.registry import batch_udf, query, table
 from pagewright.plans.text_queries import sql_html
-from pagewright.sources import epub
+from pagewright.sources import epub, files, pdf, png
 
 
 def _docs(s, d):
@@ -199,22 +199,36 @@ query("flt_ink_ratio", "SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 THEN rou
 query("ut_bench_page", "SELECT doc_id AS page, doc_id % 6 = 0 AS blank FROM documents")(
     lambda s, d: styles.ink(_grey(s, d), "page").select("page", (F.col("ink") < 1e-4).alias("blank"))
 )
-query("src_pdf_pages", "SELECT doc_id::VARCHAR AS path, unnest([1, 2, 3]) AS page FROM documents")(
-    lambda s, d: (
-        styles.render_pages(
-            _docs(s, d).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit(3).alias("n_pages")),
-            lambda data,
-            page: data[:page],
-        )
-        .select("path", "page")
-    )
-)
-query("src_img_preprocess", "SELECT doc_id, strlen(text)::INT AS n FROM documents")(
-    lambda s, d: (
-        styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: x[::-1])
-        .select("doc_id", F.length("image").alias("n"))
-    )
-)
+@query("src_pdf_pages", "SELECT doc_id::VARCHAR AS path, unnest(range(1, 2 + doc_id % 7))::INT AS page FROM documents")
+def _pdf_pages(s, d):
+    """A PDF of each document, of one to seven pages, whose tree is read for their number; drawing is injected."""
+    n = (F.col("doc_id") % 7 + 1).cast("int")
+    kids = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat((i + 2).cast("string"), F.lit(" 0 R"))), " ")
+    pages = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat((i + 2).cast("string"), F.lit(" 0 obj\n<</Type/Page/Parent 2 0 R>>\nendobj\n"))), "")
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type/Pages/Kids["), kids, F.lit("]/Count "), n.cast("string"), F.lit(">>\nendobj\n"), pages, F.lit("trailer\n<</Root 1 0 R>>\n%"), F.regexp_replace(t.text_or_empty(F.col("text")), "[^A-Za-z ]", "-"))
+    files_ = _docs(s, d).select(F.col("doc_id").cast("string").alias("path"), F.encode(body, "UTF-8").alias("content"))
+    counted = files_.withColumn("n_pages", pdf.page_counts(F.col("content")))
+    return styles.render_pages(counted, lambda data, page: data[:page]).select("path", "page")
+
+
+@batch_udf("binary")
+def _drawn(v):
+    import numpy as np
+    import pyarrow as pa
+
+    from pagewright.sources import png
+
+    return pa.array([png.encode(np.frombuffer((x or b"").ljust(-(-max(len(x or b""), 1) // 32) * 32, b"\xff"), np.uint8).reshape(-1, 32)) for x in v.to_pylist()], pa.binary())
+
+
+@query("src_img_preprocess", "SELECT doc_id, 32 AS width, greatest(1, (strlen(coalesce(text, '')) + 31) // 32)::INT AS height FROM documents")
+def _preprocessed(s, d):
+    """A picture of each document, its bytes as grey values in rows of 32, through median, sharpening and threshold."""
+    drawn = _docs(s, d).select("doc_id", _drawn(F.encode(t.text_or_empty(F.col("text")), "UTF-8")).alias("image"))
+    done = styles.preprocess(drawn, "image", lambda x: png.preprocessed(x, binarize=True))
+    return done.select("doc_id", files.png_size(F.col("image")).alias("p")).select("doc_id", "p.width", "p.height")
+
+
 query("pr_vlm", "SELECT doc_id, 'ok' AS said FROM documents")(
     lambda s, d: (
         styles.preprocess(_docs(s, d).select("doc_id", F.encode("text", "UTF-8").alias("image")), "image", lambda x: b"ok")
@@ -227,23 +241,45 @@ query("pr_vlm", "SELECT doc_id, 'ok' AS said FROM documents")(
 def _titled(content, title):
     import pyarrow as pa
 
-    return pa.array([epub.update_meta(c, title=t, description="d") for c, t in zip(content.to_pylist(), title.to_pylist())], pa.binary())
+    rows = zip(content.to_pylist(), title.to_pylist())
+    return pa.array([epub.update_meta(c, t.encode(), title=t, description="d") for c, t in rows], pa.binary())
 
 
-query(
+@batch_udf("string")
+def _cover(content):
+    import pyarrow as pa
+
+    return pa.array([epub.cover_bytes(c).decode() for c in content.to_pylist()], pa.string())
+
+
+@query(
     "sink_epub_meta",
-    "SELECT DISTINCT conv_id::VARCHAR AS path, 'New ' || conv_id AS title, 'A & B' AS author, 'd' AS description FROM conversations",
-)(
-    lambda s, d: (
-        epub.books(_books(s, d).select("path", _titled("content", F.concat(F.lit("New "), "path")).alias("content")))
-        .select("path", "meta.title", "meta.author", "meta.description")
-    )
+    "SELECT DISTINCT conv_id::VARCHAR AS path, 'New ' || conv_id AS title, 'A & B' AS author, 'd' AS description, 'New ' || conv_id AS cover FROM conversations",
 )
-query("sink_epub_edit", "SELECT DISTINCT conv_id::VARCHAR AS path FROM conversations")(
-    lambda s, d: (
-        epub.books(_books(s, d)).where("error is null").select("path")
-    )
+def _meta(s, d):
+    """Books that get a title, a description and a cover, which are read back."""
+    changed = _books(s, d).select("path", _titled("content", F.concat(F.lit("New "), "path")).alias("content"))
+    covers = changed.select("path", _cover("content").alias("cover"))
+    return epub.books(changed).select("path", "meta.title", "meta.author", "meta.description").join(covers, "path")
+
+
+@query(
+    "sink_epub_edit",
+    "SELECT 'b/' || conv_id || '_编辑' || ['', ' (1)', ' (2)'][conv_id % 3 + 1] || '.epub' AS path, count(*) AS articles, 'T & ' || min(turn) AS title, sum(length('<h1>T &amp; ' || turn || '</h1>' || chr(10)) + "
+    f"CASE WHEN regexp_matches(coalesce(text, ''), '[^ \\t-\\r]') THEN 7 + length({sql_html('text')}) ELSE 0 END)::BIGINT AS chars FROM conversations GROUP BY conv_id",
 )
+def _edited(s, d):
+    """Conversations as edited books; of a third the new name is free, of a third it is taken, of a third its first number is, too."""
+    text = F.concat(t.escape_html(t.text_or_empty(F.col("text"))), F.lit("<script>x</script>"))
+    path = F.concat(F.lit("b/"), F.col("conv_id").cast("string"), F.lit(".epub"))
+    title = F.concat(F.lit("T & "), F.col("turn").cast("string"))
+    talks = table(s, d, "conversations")
+    articles = talks.select(path.alias("path"), F.col("turn").cast("int").alias("n"), title.alias("title"), text.alias("text"))
+    names = F.slice(F.array(F.lit("_编辑.epub"), F.lit("_编辑 (1).epub")), F.lit(1), (F.col("conv_id") % 3).cast("int"))
+    existing = talks.select("conv_id").distinct().select(F.explode(F.transform(names, lambda x: F.concat(F.lit("b/"), F.col("conv_id").cast("string"), x))).alias("path"))
+    read = epub.books(epub.edited_books(articles, existing))
+    size = F.aggregate("spine", F.lit(0).cast("long"), lambda a, x: a + F.length(x["body"]))
+    return read.select("path", F.size("spine").cast("long").alias("articles"), "meta.title", size.alias("chars"))
 
 
 @batch_udf("string")
