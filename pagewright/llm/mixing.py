@@ -37,22 +37,20 @@ NEAR = 1e-3
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -> list[float]:
-    """Shares of all sizes by weight, none above ``most`` times its source's size, the excess reshared by weight."""
+    """Shares of all sizes by weight, none above ``most`` times its source's size, the excess reshared by weight.
+
+    Sources reach their limits in the order of limit over weight: once one does not, no later one does.
+    """
     out = [0.0] * len(sizes)
-    total = float(sum(sizes))
-    free = list(range(len(sizes)))
-    left = total
-    while free:
-        scale = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / scale > most * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / scale
+    left, scale = float(sum(sizes)), float(sum(weights))
+    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
+    for k, i in enumerate(order):
+        if left * weights[i] <= most * sizes[i] * scale:
+            for j in order[k:]:
+                out[j] = left * weights[j] / scale
             break
-        for i in over:
-            out[i] = most * sizes[i]
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in free or i in over)
-        free = [i for i in free if i not in over]
+        out[i] = most * sizes[i]
+        left, scale = left - out[i], scale - weights[i]
     return out
 
 

@@ -359,7 +359,9 @@ def classify(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Dat
     known = rows.where("not held_out").join(marks, F.col("doc_id") == F.col("of")).select("doc_id", "vec", "y")
     total = known.count()
     share = min(1.0, most_rows / max(total, 1))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).orderBy("doc_id", "vec").toArrow()
+    # By id and vector, and each once: an id on many rows is sampled like any other, and rows alike are one.
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", "vec"), F.lit(1_000_003)) < share * 1_000_003)
+    sample = chosen.distinct().orderBy("doc_id", "vec").toArrow()
     x = sample["vec"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * DIM).astype(np.float64)
     network = spark.sparkContext.broadcast(Network(x, sample["y"].to_numpy()))
 

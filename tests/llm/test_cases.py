@@ -6,6 +6,7 @@ import corpus_pipeline
 import pytest
 
 from pagewright.llm import anisotropic, mixing, ngram_join, packing, quality_rules, reply_trees, secret_scan
+from pagewright.llm.registry import QUERIES
 
 NAMES = (
     "t k1 k2 k3 c1 c2 c3 rep node key key2 copies n size a b masked kept clean_text n_words left_words secret_spans "
@@ -61,6 +62,27 @@ def test_operators_beside_clashing_columns(spark):
     assert reply_trees.read_back(reply_trees.format_trees(reply_trees.conversation_messages(talks))).count() == len({x[0] for x in rows()})
 
 
+@pytest.mark.parametrize("name", ["op2_token_blocks", "op6_suffix_tree", "op8_random_indexing", "op11_private_data", "op12_filter_audit", "op13_wand_search"])
+def test_queries_of_the_same_rows(spark, tmp_path, name):
+    """Long texts, repeated rows, nulls and clashing names through the queries, and through them with no rows."""
+    marks = spark.createDataFrame([(3, 1, 0), (3, 0, 1), (4, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "w3x1 w3x2"), (1, "w3x1 w3x2"), (2, None), (None, "word")], "item_id long, text string")
+    more = lambda df: df.selectExpr("*", *[f"'v' as `{n}`" for n in NAMES])
+    for case, docs in (("all", table(spark)), ("none", table(spark).limit(0))):
+        docs.write.parquet(f"{tmp_path}/{case}/documents.parquet")
+        more(marks).write.parquet(f"{tmp_path}/{case}/labels.parquet")
+        more(items).write.parquet(f"{tmp_path}/{case}/benchmark.parquet")
+        found = QUERIES[name](spark, f"{tmp_path}/{case}").collect()
+        if case == "none":
+            assert found == []
+        elif name == "op12_filter_audit":
+            assert len(found) == 600 * len({x[3] for x in rows()})
+        elif name == "op13_wand_search":
+            assert {x.item_id for x in found} == {1, None} and [x.doc_id for x in found if x.item_id == 1][:3] == [3, 3, 3]
+        else:
+            assert sorted(repr(x.doc_id) for x in found) == sorted(repr(x[0]) for x in rows())
+
+
 def test_all_null_texts(spark):
     df = spark.createDataFrame([(i, None, None, None, None) for i in range(5)] + [(None,) * 5] * 2, SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -78,3 +78,31 @@ def test_documents(spark, tmp_path):
         most = 10_000 if size > 20_000 else 60  # half of the one document that outweighs its source
         assert abs(taken - target) <= max(0.01 * target, most), (size, target, taken)
     assert m.mix(df.limit(0).selectExpr("source", "0L as size", "1L as n", "0L as key", "0L as key2")).count() == 0
+
+
+def plain_targets(sizes, weights, most=3.0):
+    """All sources above their limit at once, again and again."""
+    out, free = [0.0] * len(sizes), list(range(len(sizes)))
+    while free:
+        left = sum(sizes) - sum(out[i] for i in range(len(sizes)) if i not in free)
+        scale = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / scale > most * sizes[i]]
+        for i in over or free:
+            out[i] = most * sizes[i] if over else left * weights[i] / scale
+        free = [i for i in free if i not in over] if over else []
+    return out
+
+
+def test_targets_of_many_sources():
+    import random
+    import time
+
+    r = random.Random(2)
+    for n in (0, 1, 2, 3, 7, 40):
+        for _ in range(50):
+            sizes = [r.choice([0, 1, 5, 100, 10**6]) for _ in range(n)]
+            weights = [[5.0, 2.0, 1.0][i % 3] for i in range(n)]
+            assert all(abs(a - b) <= 1e-9 * max(1.0, b) for a, b in zip(m.targets(sizes, weights), plain_targets(sizes, weights))), sizes
+    began = time.time()
+    many = [r.randint(0, 10**6) for _ in range(100_000)]
+    assert abs(sum(m.targets(many, [[5.0, 2.0, 1.0][i % 3] for i in range(len(many))])) - sum(many)) < 1 and time.time() - began < 2
