@@ -207,25 +207,29 @@ def _single_chars(s, d):
 _SOUNDS = "(SELECT unnest(['S', 'S', 'T', 'T', 'Q', 'Q', 'D', 'L']) AS ch, unnest(['T', 'Q', 'S', 'Q', 'S', 'T', 'L', 'D']) AS alt)"
 
 
-@query("join_homophone", f"SELECT doc_id, alt FROM documents JOIN {_SOUNDS} ON left(text, 1) = ch")
+@query("join_homophone", f"SELECT doc_id, lower(alt) AS alt, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), '')) AS c FROM documents) JOIN {_SOUNDS} ON c = lower(ch) GROUP BY ALL")
 def _homophones(s, d):
-    pairs = x.pairs_from_lines(s.createDataFrame([("S T Q",), ("# A B",), ("D  L",)], "value string"))
-    return x.homophones_of(_docs(s, d).select("doc_id", F.left("text", F.lit(1)).alias("c")), pairs, "c").select("doc_id", "alt")
+    """How often each character of each text could be another one that sounds like it."""
+    pairs = x.pairs_from_lines(s.createDataFrame([("s t q",), ("# a b",), ("d  l",)], "value string"))
+    held = _docs(s, d).select("doc_id", F.explode(F.split(F.lower("text"), "")).alias("c")).groupBy("doc_id", "c").agg(F.count("*").alias("n"))
+    return x.homophones_of(held, pairs, "c").groupBy("doc_id", "alt").agg(F.sum("n").alias("n"))
 
 
-_AT = "SELECT doc_id, substr(lower(text), 1, 1) AS a, substr(lower(text), 2, 1) AS c, substr(lower(text), 3, 1) AS b FROM documents WHERE text IS NOT NULL"
+_AT = "SELECT doc_id, l[i - 1] AS a, l[i] AS c, l[i + 1] AS b FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), '') AS l FROM documents))"
 
 
 @query(
     "join_ctx_word",
-    f"SELECT doc_id, CASE WHEN (a <> '' AND a || c IN (SELECT word FROM ({_WORDS}))) OR (b <> '' AND c || b IN (SELECT word FROM "
-    f"({_WORDS}))) THEN 0.15 ELSE 0.0 END AS boost FROM ({_AT})",
+    f"SELECT doc_id, count(*) FILTER (c <> '') AS places, count(*) FILTER ((a || c) IN (SELECT word FROM ({_WORDS})) OR (c || b) IN (SELECT word FROM ({_WORDS}))) AS boosted FROM ({_AT}) GROUP BY doc_id",
 )
 def _context(s, d):
-    low = F.lower("text")
-    one = lambda i: F.substring(low, i, 1)
-    rows = _docs(s, d).where("text is not null").select("doc_id", one(1).alias("before"), one(2).alias("candidate"), one(3).alias("after"))
-    return x.context_boost(rows, _words(s, d)).select("doc_id", "boost")
+    """Every place of every text: whether its character makes a word with the one before or after it."""
+    chars = F.filter(F.split(F.lower(t.text_or_empty(F.col("text"))), ""), lambda c: c != "")
+    docs = _docs(s, d).select("doc_id", F.inline(F.array(F.struct(chars.alias("l")))))
+    each = F.transform("l", lambda c, i: F.struct(F.coalesce(F.when(i > 0, F.get("l", i - 1)), F.lit("")).alias("before"), c.alias("candidate"), F.coalesce(F.get("l", i + 1), F.lit("")).alias("after")))
+    rows = docs.select("doc_id", F.explode_outer(each).alias("x")).select("doc_id", "x.before", "x.candidate", "x.after")
+    boosted = x.context_boost(rows, _words(s, d))
+    return boosted.groupBy("doc_id").agg(F.count("candidate").alias("places"), F.count_if(F.col("boost") > 0).alias("boosted"))
 
 
 #: Letters stand for Chinese characters here, so that the documents can be cut into words of a lexicon.

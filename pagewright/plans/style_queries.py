@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
-from pagewright.operators import chapters, fragments, images, rules, styles
+from pagewright.operators import chapters, fragments, images, lexicon, rules, styles
 from pagewright.plans.io_queries import _books
 from pagewright.plans.registry import batch_udf, query, table
 from pagewright.plans.text_queries import sql_html
@@ -166,34 +166,46 @@ query(
         )
     )
 )
-query("txt_t2s", "SELECT doc_id, '这个' || text AS text FROM documents")(
-    lambda s, d: (
-        _docs(s, d)
-        .select("doc_id", styles.convert_script(F.concat(F.lit("這個"), "text"), styles.SIMPLIFIED).alias("text"))
-    )
-)
-query("txt_s2t", "SELECT doc_id, '這個' || text AS text FROM documents")(
-    lambda s, d: (
-        _docs(s, d)
-        .select("doc_id", styles.convert_script(F.concat(F.lit("这个"), "text"), styles.TRADITIONAL).alias("text"))
-    )
-)
+def _table(s, chars: dict[str, str], phrases: dict[str, str]):
+    return s.createDataFrame(list((chars | phrases).items()), "word string, to string")
+
+
+@query("txt_t2s", "SELECT doc_id, '皇后在头发后面，乾坤干杯' || coalesce(text, '') || '发国' AS text FROM documents")
+def _t2s(s, d):
+    """Phrases come before characters: an empress stays what she is, what is behind does not."""
+    table_ = _table(s, styles.SIMPLIFIED | {"頭": "头", "髮": "发", "乾": "干"}, {"皇后": "皇后", "乾坤": "乾坤"})
+    text = F.concat(F.lit("皇后在頭髮後面，乾坤乾杯"), t.text_or_empty(F.col("text")), F.lit("發國"))
+    return lexicon.converted(_docs(s, d).select("doc_id", text.alias("text")), "doc_id", "text", table_)
+
+
+@query("txt_s2t", "SELECT doc_id, '皇后在頭髮後面' || coalesce(text, '') || '發國' AS text FROM documents")
+def _s2t(s, d):
+    table_ = _table(s, styles.TRADITIONAL | {"头": "頭"}, {"皇后": "皇后", "头发": "頭髮"})
+    text = F.concat(F.lit("皇后在头发后面"), t.text_or_empty(F.col("text")), F.lit("发国"))
+    return lexicon.converted(_docs(s, d).select("doc_id", text.alias("text")), "doc_id", "text", table_)
+
+
+#: The dark block of each document's page: 4 to 16 wide, 5 to 25 high.
+_INK = "(4 + doc_id % 13) * (5 + n_chars % 21)"
 
 
 def _grey(s, d):
-    """A page of 20 by 30 for each document: a dark block, or nothing on every sixth."""
-    dark = lambda i: (i % 20).between(3, 14) & F.floor(i / 20).between(4, 22)
-    rows = _docs(s, d).select(F.col("doc_id").alias("page"), F.lit(30).alias("h"), F.lit(20).alias("w"))
-    byte = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.when(dark(i) & (F.col("page") % 6 > 0), "10").otherwise("FF"))
-    return rows.withColumn("gray", F.unhex(F.array_join(byte, "")))
+    """A page of 20 by 30 for each document, with a dark block of its own size, or nothing on every sixth."""
+    inside = lambda i: (i % 20).between(2, F.col("bw") + 1) & F.floor(i / 20).between(3, F.col("bh") + 2)
+    rows = _docs(s, d).select(F.col("doc_id").alias("page"), F.lit(30).alias("h"), F.lit(20).alias("w"), (F.col("doc_id") % 13 + 4).alias("bw"), (F.col("n_chars") % 21 + 5).alias("bh"))
+    byte = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.when(inside(i) & (F.col("page") % 6 > 0), "10").otherwise("FF"))
+    return rows.withColumn("gray", F.unhex(F.array_join(byte, ""))).drop("bw", "bh")
 
 
-@query("flt_ink_bbox", "SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 THEN '3,4,15,23' END AS box FROM documents")
+@query(
+    "flt_ink_bbox",
+    f"SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 AND {_INK} >= 150 AND doc_id % 13 >= 4 AND n_chars % 21 >= 3 THEN '2,3,' || (6 + doc_id % 13) || ',' || (8 + n_chars % 21) END AS box FROM documents",
+)
 def _ink_box(s, d):
     return styles.ink(_grey(s, d), "page").select("page", F.when(F.col("box").isNotNull(), F.array_join(F.col("box").cast("array<string>"), ",")).alias("box"))
 
 
-query("flt_ink_ratio", "SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 THEN round(12 * 19 / 600.0, 6) ELSE 0 END AS ink FROM documents")(
+query("flt_ink_ratio", f"SELECT doc_id AS page, CASE WHEN doc_id % 6 > 0 THEN round({_INK} / 600.0, 6) ELSE 0 END AS ink FROM documents")(
     lambda s, d: styles.ink(_grey(s, d), "page").select("page", F.round("ink", 6).alias("ink"))
 )
 query("ut_bench_page", "SELECT doc_id AS page, doc_id % 6 = 0 AS blank FROM documents")(
