@@ -54,15 +54,24 @@ def literal(term: str) -> str:
     return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", term)
 
 
-def find(rows: DataFrame, key: str, text: str, pattern: str, context: int = 40, most: int | None = None) -> DataFrame:
+def find(rows: DataFrame, key: str, text: str, pattern: str, context: int | None = 40, most: int | None = None) -> DataFrame:
     """key, match (from 1), start, before, hit and after of all matches, numbered; ``most`` keeps the first ones of each.
 
+    Without a context there is no before and after.
+
     What stands before a match is carried along the text from its beginning, what stands after it from its end, so no match
     takes the text along and nothing is shuffled.
     """
     parts = F.struct(F.split(F.col(text), pattern).alias("gaps"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hits"))
 
+    def placed(p):
+        ahead = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["hits"])), p["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("hit")))
+        ends = lambda a: running(F.transform(a, lambda x: x["gap"] + x["size"]), F.lit(0), lambda end, n: end + n)
+        return let(ahead, lambda a: F.zip_with(a, ends(a), lambda x, end: F.struct((end - x["size"]).alias("start"), x["hit"].alias("hit"))))
+
     def found(p):
+        if context is None:
+            return placed(p) if most is None else F.slice(placed(p), F.lit(1), F.lit(most))
         n = F.size(p["hits"])
         ahead = F.zip_with(F.slice(p["gaps"], F.lit(1), n), p["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
         back = F.reverse(F.zip_with(F.slice(p["gaps"], F.lit(2), n), F.concat(F.slice(p["hits"], F.lit(2), n), F.array(F.lit(""))), lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
@@ -77,7 +86,8 @@ def find(rows: DataFrame, key: str, text: str, pattern: str, context: int = 40,
         return both if most is None else F.slice(both, F.lit(1), F.lit(most))
 
     hits = rows.where(F.col(text).rlike(pattern)).select(key, F.posexplode(let(parts, found)).alias("found_at", "found"))
-    return hits.select(key, (F.col("found_at") + 1).alias("match"), "found.start", "found.before", "found.hit", "found.after")
+    shown = ["found.start", "found.hit"] if context is None else ["found.start", "found.before", "found.hit", "found.after"]
+    return hits.select(key, (F.col("found_at") + 1).alias("match"), *shown)
 
 
 def replace_in_text(html: Column, term: str, to: str, pattern: bool = False) -> Column:

@@ -30,6 +30,10 @@ def known_words(tokens: DataFrame, words: DataFrame, fixes: DataFrame, ignored:
     return tokens.join(lexicon, "word", "left_semi").join(ignored, "word", "left_anti")
 
 
+#: Characters of a piece of a text.
+PIECE = 64
+
+
 def _chosen(texts: DataFrame, key: str, text: str, entries: DataFrame, first: str, most: int, singles: bool, most_listed: int) -> DataFrame:
     """key, text and found: for each text the entries (word, to) chosen from the left, the longest at each place.
 
@@ -44,13 +48,17 @@ def _chosen(texts: DataFrame, key: str, text: str, entries: DataFrame, first: st
     row = F.struct(F.xxhash64(F.col("key").isNull(), "key", "text").alias("a"), F.xxhash64("text", "key", F.lit(1)).alias("b"))
     given = given.withColumn("row", row)
 
-    def strings(chars):
-        n = F.size(chars)
-        at = lambda c, i, k: F.when(c.rlike(f"[{first}]") & (i + k <= n), F.struct(i.alias("at"), F.lit(k).alias("size"), F.array_join(F.slice(chars, i + 1, F.lit(k)), "").alias("word")))
-        return F.filter(F.flatten(F.transform(chars, lambda c, i: F.array(*[at(c, i, k) for k in range(1, most + 1)]))), lambda x: x.isNotNull())
-
-    chars = F.filter(F.split("text", "(?s)(?<=.)(?=.)"), lambda c: c != "")
-    pieces = given.select("row", F.explode(let(chars, strings)).alias("p")).select("row", "p.at", "p.size", "p.word")
+    # Texts are cut into pieces, each with the characters after it that a string may reach into, so that what follows is
+    # code for single rows and no place is looked for from the start of a long text.
+    piece = max(PIECE, most)
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{piece}}}"), F.lit(0))
+    whole = lambda c: F.transform(c, lambda x, i: F.concat(x, F.left(F.coalesce(F.get(c, i + 1), F.lit("")), F.lit(most - 1))))
+    rows = given.select("row", F.posexplode(let(cut, whole)).alias("i", "piece"))
+    rows = rows.select("row", "i", "piece", F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(piece)))).alias("p"))
+    rows = rows.where(F.substring("piece", F.col("p"), F.lit(1)).rlike(f"[{first}]"))
+    fits = F.sequence(F.lit(1), F.least(F.lit(most), F.length("piece") - F.col("p") + 1))
+    rows = rows.select("row", "i", "piece", "p", F.explode(fits).alias("size"))
+    pieces = rows.select("row", (F.col("i") * piece + F.col("p") - 1).alias("at"), "size", F.substring("piece", F.col("p"), F.col("size")).alias("word"))
     met = pieces.join(F.broadcast(listed) if small else listed, F.col("word") == F.col("entry"), "left")
     kept = met.where(F.col("held").isNotNull() | ((F.col("size") == 1) & F.lit(singles)))
     gathered = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "word", F.col("held.to").alias("to")))).alias("fits"))

@@ -124,28 +124,39 @@ def throttled(writes: DataFrame, seconds: float = 2.0) -> DataFrame:
     return folded.select("job", F.explode(made).alias("x")).select("job", "x.seq")
 
 
-def _ranged(df: DataFrame, order: list[str], parts: int, sampled: int) -> DataFrame:
+#: Rows for which a range of their own is worth its cost, and bounds that are compared at a time.
+RANGE_ROWS, STEP = 1 << 14, 16
+
+
+def _ranged(df: DataFrame, order: list[str], parts: int, sampled: int, rows: int = RANGE_ROWS) -> DataFrame:
     """Adds ``range``, the number of a range of rows in the order of some columns, with bounds from a hash sample of keys."""
     total = df.count()
+    parts = min(parts, -(-total // rows))
     keyed = df.withColumn("range_key", F.struct(*order))
+    if parts < 2:
+        return keyed.withColumn("range", F.lit(0)).drop("range_key")
     some = keyed.where(F.pmod(F.xxhash64(*order), F.lit(max(1, total // sampled))) == 0).select("range_key").distinct().sort("range_key").toArrow()
     n = some.num_rows
     bounds = some.take(sorted({n * k // parts for k in range(1, parts)} - {0}))["range_key"].to_pylist() if n else []
     kinds = dict(keyed.dtypes)["range_key"]
-    limits = F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in order]) for b in bounds]).cast(f"array<{kinds}>")
-    return keyed.withColumn("range", F.size(F.filter(limits, lambda b: b <= F.col("range_key")))).drop("range_key")
+    listed = lambda of: F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in order]) for b in of]).cast(f"array<{kinds}>")
+    below = lambda some: F.size(F.filter(some, lambda b: b <= F.col("range_key")))
+    # Every sixteenth bound first, then those after the last that is not above the key.
+    coarse = keyed.withColumn("range_step", below(listed(bounds[::STEP])))
+    fine = (F.col("range_step") - 1) * STEP + below(F.slice(listed(bounds), (F.col("range_step") - 1) * STEP + 1, F.lit(STEP)))
+    return coarse.withColumn("range", F.when(F.col("range_step") > 0, fine).otherwise(0)).drop("range_key", "range_step")
 
 
-def with_group_number(df: DataFrame, by: str, order: list[str], name: str, parts: int = 256, sampled: int = 20_000) -> DataFrame:
+def with_group_number(df: DataFrame, by: str, order: list[str], name: str, parts: int = 256, sampled: int = 20_000, rows: int = RANGE_ROWS) -> DataFrame:
     """Adds the place of each row, from 1, within its group in the order of some columns; a task sees a range of a group.
 
     How many rows of a group lie in earlier ranges is counted per group and range, and joined by both.
     """
-    rows = _ranged(df, [by, *order], parts, sampled)
-    sizes = rows.groupBy(F.col(by).alias("range_of"), F.col("range").alias("range_at")).count()
+    ranged = _ranged(df, [by, *order], parts, sampled, rows)
+    sizes = ranged.groupBy(F.col(by).alias("range_of"), F.col("range").alias("range_at")).count()
     earlier = Window.partitionBy("range_of").orderBy("range_at").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select("range_of", "range_at", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("range_begins"))
-    met = rows.join(begins, F.col(by).eqNullSafe(F.col("range_of")) & (F.col("range") == F.col("range_at")))
+    met = ranged.join(begins, F.col(by).eqNullSafe(F.col("range_of")) & (F.col("range") == F.col("range_at")))
     place = F.row_number().over(Window.partitionBy(by, "range").orderBy(*order)) + F.col("range_begins")
     return met.withColumn(name, place.cast("long")).drop("range", "range_of", "range_at", "range_begins")
 

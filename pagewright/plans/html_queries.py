@@ -79,7 +79,7 @@ query(
     "'th[aeiou]|en') AS hs, unnest(range(1, len(regexp_extract_all(text, 'th[aeiou]|en')) + 1)) AS i FROM documents)",
 )(
     lambda s, d: (
-        c.find(table(s, d, "documents"), "doc_id", "text", "th[aeiou]|en")
+        c.find(table(s, d, "documents"), "doc_id", "text", "th[aeiou]|en", None)
         .select("doc_id", "match", "start", "hit")
     )
 )
@@ -95,7 +95,7 @@ query(
     "total FROM documents WHERE contains(text, 'en')",
 )(
     lambda s, d: (
-        c.find(table(s, d, "documents"), "doc_id", "text", "en", 40, 10).groupBy("doc_id")
+        c.find(table(s, d, "documents"), "doc_id", "text", "en", None, 10).groupBy("doc_id")
         .agg(F.count("*").alias("shown"))
         .join(table(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit("en")).cast("long").alias("total")), "doc_id")
     )

@@ -12,13 +12,13 @@ def test_numbers_in_a_hot_group(spark):
     r = random.Random(8)
     rows = [("hot" if r.random() < 0.9 else r.choice(["a", "b", None]), r.choice([None, *range(50)]), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, k long, id long").repartition(5)
-    got = {x.id: x.n for x in pages.with_group_number(df, "g", ["k", "id"], "n", parts=16, sampled=200).collect()}
+    got = {x.id: x.n for x in pages.with_group_number(df, "g", ["k", "id"], "n", parts=40, sampled=500, rows=50).collect()}
     want = {}
     for g in {x[0] for x in rows}:
         some = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
         want |= {x[2]: n for n, x in enumerate(some, 1)}
     assert got == want and pages.with_group_number(df.limit(0), "g", ["k"], "n").count() == 0
-    plan = pages.with_group_number(df, "g", ["k", "id"], "n")._jdf.queryExecution().optimizedPlan().toString()
+    plan = pages.with_group_number(df, "g", ["k", "id"], "n", rows=50)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(g" in plan and "range" in plan
 
 
