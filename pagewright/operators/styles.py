@@ -86,11 +86,6 @@ def indent_style(attrs: Column) -> Column:
     )
 
 
-def convert_script(c: Column, table: dict[str, str]) -> Column:
-    """Characters replaced by a table; one with no entries leaves the text as it is."""
-    return F.translate(c, "".join(table), "".join(table.values())) if table else c
-
-
 #: A few common characters in both scripts; a full table is a parameter.
 SIMPLIFIED = {"們": "们", "這": "这", "個": "个", "來": "来", "說": "说", "國": "国", "時": "时", "會": "会", "學": "学", "對": "对", "過": "过", "後": "后", "書": "书", "經": "经", "發": "发", "長": "长", "開": "开", "關": "关", "點": "点", "頁": "页"}
 TRADITIONAL = {v: k for k, v in SIMPLIFIED.items()}
