@@ -105,6 +105,7 @@ def converted(texts: DataFrame, key: str, text: str, table: DataFrame, most: int
 def candidates(wrong: DataFrame, words: DataFrame, homophones: DataFrame, fixes: DataFrame, least: float = 0.4, near: float = 0.3, top: int = 5, singles: int = 200) -> DataFrame:
     """word, score and rank of the best corrections of each distinct ``wrong``; ties go by frequency, then word.
 
+    Scores have six decimals, and those alike in these are ties.
     Words of several characters meet those that begin alike or with a homophone; single characters meet their
     homophones and the most frequent ones. A fix that was adopted is the only candidate.
     """
@@ -125,7 +126,8 @@ def candidates(wrong: DataFrame, words: DataFrame, homophones: DataFrame, fixes:
     same = homophones_of(one, homophones, "wrong").join(words, F.col("alt") == F.col("word")).select("wrong", "word", F.lit(0.3).alias("score"), "freq")
     frequent = frequent_characters(words, singles)
     often = one.crossJoin(F.broadcast(frequent)).where("wrong <> word").select("wrong", "word", (0.2 + frequency_boost(F.col("freq"))).alias("score"), "freq")
-    best = close.union(same).union(often).groupBy("wrong", "word").agg(F.least(F.lit(1.2), F.max("score")).alias("score"), F.max("freq").alias("freq")).where(F.col("score") >= least)
+    best = close.union(same).union(often).groupBy("wrong", "word").agg(F.least(F.lit(1.2), F.max("score")).alias("score"), F.max("freq").alias("freq"))
+    best = best.where(F.round("score", 9) >= least).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("wrong").orderBy(F.desc("score"), F.desc("freq"), "word")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("wrong", "word", "score", "rank").union(fixed)
 

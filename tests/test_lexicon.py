@@ -52,3 +52,13 @@ def test_phrases(spark, most_listed):
     rows = spark.createDataFrame(list(table.items()), "word string, to string")
     got = {x.k: x.t for x in lexicon.converted(df, "k", "t", rows, most_listed=most_listed).collect()}
     assert got == {i: plain(t or "") for i, t in enumerate(texts)}
+
+
+def test_scores_alike_in_six_decimals_are_ties(spark):
+    # abce comes before abxy by 4e-8; to six decimals they are alike, so the more frequent one is first.
+    words = spark.createDataFrame([("abce", 3000), ("abxy", 300_098), ("abdc", 9999)], "word string, freq long")
+    none = spark.createDataFrame([], "ch string, alt string")
+    fixes = spark.createDataFrame([], "wrong string, fixed string")
+    wrong = spark.createDataFrame([("abcd",)], "wrong string")
+    got = lexicon.candidates(wrong, words, none, fixes, least=0.2, near=0.3).orderBy("rank").collect()
+    assert [(x.word, x.score, x.rank) for x in got] == [("abxy", 0.236932, 1), ("abce", 0.236932, 2), ("abdc", 0.2, 3)]
