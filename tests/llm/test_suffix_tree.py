@@ -174,3 +174,32 @@ def test_states_against_plain_counts(spark):
     table, coded, tokens, n_kinds = s.fit_tables(docs)
     got = sorted((x.doc_id is not None, x.doc_id or 0, round(x.score, 6)) for x in s.score_tables(coded, table, tokens, n_kinds).collect())
     assert got == sorted((i is not None, i or 0, round(score(q), 6)) for (i, _), q in zip(rows, seqs))
+
+
+def test_words_that_share_a_hash(spark, tmp_path, monkeypatch):
+    # All have one xxHash64; two come in a row that is held out alone.
+    alike = ["abcdefgh12345678", "ffpr0?4pdw9@h|au", "2huq_l(t/1!5`7^h"]
+    assert len(set(s.hashes(alike).tolist())) == 1
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(1000 + i, alike[0] + " a") for i in range(20) if zlib.crc32(str(1000 + i).encode()) % 7 != 2] + [(held, f"{alike[1]} {alike[2]} a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def check():
+        n = len(rows) - 1
+        got = {x.doc_id: x for x in s.op6_suffix_tree(spark, str(tmp_path)).collect()}
+        assert (got[held].n_tokens, got[held].n_known, got[held].train_tokens) == (4, 2, 3 * n)
+        assert abs(got[held].base_score - (2 * math.log10(n + 1) - 4 * math.log10(3 * n + 4))) < 1e-9
+
+    check()
+    plain = s.digests
+    salts = []
+
+    def same(words, salt):
+        key, check = plain(words, salt)
+        return (key & 1 | 2, check) if salt == 0 else (key, check)
+
+    # Where words share a key, another salt is taken.
+    once = s._to_words
+    monkeypatch.setattr(s, "_to_words", lambda salt: salts.append(salt) or once(salt, digest=same))
+    check()
+    assert salts == [0, 1]
