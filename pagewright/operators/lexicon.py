@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from pagewright.functions.text import HAN, frequency_boost, let, running, similarity, u_trim
 
@@ -34,16 +36,79 @@ def known_words(tokens: DataFrame, words: DataFrame, fixes: DataFrame, ignored:
 PIECE = 64
 
 
+def _listed(entries: DataFrame, most: int):
+    """A table of up to ``most`` rows as a small one on the driver, None if it has more."""
+    held = entries.limit(most + 1).toArrow()
+    return held if held.num_rows <= most else None
+
+
 def _chosen(texts: DataFrame, key: str, text: str, entries: DataFrame, first: str, most: int, singles: bool, most_listed: int) -> DataFrame:
     """key, text and found: for each text the entries (word, to) chosen from the left, the longest at each place.
 
-    A place is a character of the class ``first``; what was chosen covers the places inside it. All strings of up to ``most``
-    characters that begin at a place meet the entries in one join, which is a broadcast for up to ``most_listed`` entries;
-    what fits is gathered per text, sorted by place and length, and read once.
+    A place is a character of the class ``first``; what was chosen covers the places inside it. Up to ``most_listed``
+    entries are sent to the tasks, which read each text once and shuffle nothing; of more see ``_met``.
     """
-    listed = entries.select(F.col("word").alias("entry"), F.struct(F.col("to")).alias("held")).dropDuplicates(["entry"])
-    small = listed.limit(most_listed + 1).count() <= most_listed
+    listed = entries.select(F.col("word").alias("entry"), "to").where(F.col("entry").isNotNull()).dropDuplicates(["entry"])
     given = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    held = _listed(listed, most_listed)
+    return _met(given, listed, first, most, singles) if held is None else _read(given, held, first, most, singles)
+
+
+#: What is chosen in a text.
+FOUND = ArrayType(StructType([StructField("at", IntegerType()), StructField("less", IntegerType()), StructField("word", StringType()), StructField("to", StringType())]))
+#: Characters of the texts that one batch of what is chosen is of.
+BATCH_CHARS = 1 << 20
+
+
+def _read(given: DataFrame, held, first: str, most: int, singles: bool) -> DataFrame:
+    """What is chosen, by entries that every task has."""
+    entries = given.sparkSession.sparkContext.broadcast({w: to for w, to in zip(held["entry"].to_pylist(), held["to"].to_pylist()) if len(w) <= most})
+    start = "[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), first) + "]"
+
+    def read(batches):
+        import pyarrow as pa
+
+        known, place = entries.value, re.compile(start)
+        kind = pa.struct([("at", pa.int32()), ("less", pa.int32()), ("word", pa.string()), ("to", pa.string())])
+
+        def chosen(text, out):
+            at = 0
+            while m := place.search(text, at):
+                at = m.start()
+                for size in range(min(most, len(text) - at), 0, -1):
+                    word = text[at : at + size]
+                    if word in known:
+                        break
+                else:
+                    if not singles:
+                        at += 1
+                        continue
+                for c, x in zip(out, (at, -size, word, known.get(word))):
+                    c.append(x)
+                at += size
+
+        def table(some, ends, out):
+            found = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(out, kind)], fields=list(kind))
+            return pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=["key", "text", "found"])
+
+        for batch in batches:
+            begin, ends, out, chars = 0, [0], ([], [], [], []), 0
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                chosen(text, out)
+                ends.append(len(out[0]))
+                chars += len(text)
+                if chars > BATCH_CHARS or i + 1 == batch.num_rows:
+                    yield table(batch.slice(begin, i + 1 - begin), ends, out)
+                    begin, ends, out, chars = i + 1, [0], ([], [], [], []), 0
+
+    return given.mapInArrow(read, StructType([*given.schema.fields, StructField("found", FOUND)]))
+
+
+def _met(given: DataFrame, listed: DataFrame, first: str, most: int, singles: bool) -> DataFrame:
+    """What is chosen, by any number of entries: all strings of up to ``most`` characters that begin at a place meet them
+    in one join, and what fits is gathered per text, sorted by place and length, and read once."""
+    listed = listed.select("entry", F.struct(F.col("to")).alias("held"))
     # Rows alike in key and text give the same, so two hashes of both name a row.
     row = F.struct(F.xxhash64(F.col("key").isNull(), "key", "text").alias("a"), F.xxhash64("text", "key", F.lit(1)).alias("b"))
     given = given.withColumn("row", row)
@@ -59,7 +124,7 @@ def _chosen(texts: DataFrame, key: str, text: str, entries: DataFrame, first: st
     fits = F.sequence(F.lit(1), F.least(F.lit(most), F.length("piece") - F.col("p") + 1))
     rows = rows.select("row", "i", "piece", "p", F.explode(fits).alias("size"))
     pieces = rows.select("row", (F.col("i") * piece + F.col("p") - 1).alias("at"), "size", F.substring("piece", F.col("p"), F.col("size")).alias("word"))
-    met = pieces.join(F.broadcast(listed) if small else listed, F.col("word") == F.col("entry"), "left")
+    met = pieces.join(listed, F.col("word") == F.col("entry"), "left")
     kept = met.where(F.col("held").isNotNull() | ((F.col("size") == 1) & F.lit(singles)))
     gathered = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "word", F.col("held.to").alias("to")))).alias("fits"))
     taken = running(F.col("fits"), F.lit(0), lambda end, x: F.when(x["at"] >= end, x["at"] - x["less"]).otherwise(end))
@@ -70,16 +135,20 @@ def _chosen(texts: DataFrame, key: str, text: str, entries: DataFrame, first: st
     return given.join(ends.select("of", chosen.alias("found")), F.col("row") == F.col("of"), "left").drop("of")
 
 
-def tokens(texts: DataFrame, key: str, text: str, words: DataFrame, most: int = 4, first: str = HAN, most_listed: int = 1_000_000) -> DataFrame:
-    """key, word, start, end and known: longest words of a lexicon from the left over Chinese characters, others one by one.
+def token_lists(texts: DataFrame, key: str, text: str, words: DataFrame, most: int = 4, first: str = HAN, most_listed: int = 1_000_000) -> DataFrame:
+    """key and tokens (word, start, end) of every row: longest words of a lexicon from the left over Chinese characters, others one by one.
 
     ``words`` has a column word; of words longer than ``most`` characters none is found. Every row is a text of its own.
     """
     lexicon = words.select("word", F.lit(None).cast("string").alias("to")).where(F.col("word") != "")
     found = _chosen(texts, key, text, lexicon, first, most, True, most_listed)
-    rows = found.select("key", F.explode("found").alias("t"))
-    known = rows.select("key", "t.word", F.col("t.at").alias("start"), (F.col("t.at") - F.col("t.less")).alias("end"))
-    return known.withColumnRenamed("key", key)
+    token = lambda t: F.struct(t["word"].alias("word"), t["at"].alias("start"), (t["at"] - t["less"]).alias("end"))
+    return found.select(F.col("key").alias(key), F.transform("found", token).alias("tokens"))
+
+
+def tokens(texts: DataFrame, key: str, text: str, words: DataFrame, most: int = 4, first: str = HAN, most_listed: int = 1_000_000) -> DataFrame:
+    """The tokens of ``token_lists`` as rows: key, word, start and end."""
+    return token_lists(texts, key, text, words, most, first, most_listed).select(key, F.inline("tokens"))
 
 
 def converted(texts: DataFrame, key: str, text: str, table: DataFrame, most: int = 8, first: str = HAN, most_listed: int = 1_000_000) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
@@ -256,13 +255,18 @@ def _tokenize(s, d):
     docs = _docs(s, d).select("doc_id", han.alias("text"))
     runs = F.regexp_extract_all("text", F.lit("[\u4e00-\u4e19]+"), F.lit(0))
     words = docs.select(F.explode(F.array_distinct(F.filter(runs, lambda w: F.length(w).between(2, 4)))).alias("word")).distinct()
-    cut = x.tokens(docs, "doc_id", "text", words)
-    w = Window.partitionBy("doc_id").orderBy("start")
-    # A run goes on where a token begins at the end of the one before.
-    fresh = F.coalesce(F.lag("end").over(w) != F.col("start"), F.lit(True))
-    cut = cut.withColumn("run", F.last(F.when(fresh, F.col("start")), True).over(w))
-    size = F.length("word")
-    return cut.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(size > 1).alias("n_words"), F.sum((F.col("start") - F.col("run") + 1) * size).cast("long").alias("digest"))
+    cut = x.token_lists(docs, "doc_id", "text", words).where(F.size("tokens") > 0)
+
+    def step(a, token):
+        # A run goes on where a token begins at the end of the one before.
+        run = F.when(a["end"] == token["start"], a["run"]).otherwise(token["start"])
+        digest = a["digest"] + (token["start"] - run + 1) * (token["end"] - token["start"])
+        return F.struct(token["end"].alias("end"), run.alias("run"), digest.alias("digest"))
+
+    zero = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("digest"))
+    long = F.size(F.filter("tokens", lambda token: token["end"] - token["start"] > 1))
+    each = cut.select("doc_id", F.size("tokens").alias("n"), long.alias("long"), F.aggregate("tokens", zero, step, lambda a: a["digest"]).alias("digest"))
+    return each.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("long").alias("n_words"), F.sum("digest").alias("digest"))
 
 
 @query(

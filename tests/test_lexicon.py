@@ -62,3 +62,10 @@ def test_scores_alike_in_six_decimals_are_ties(spark):
     wrong = spark.createDataFrame([("abcd",)], "wrong string")
     got = lexicon.candidates(wrong, words, none, fixes, least=0.2, near=0.3).orderBy("rank").collect()
     assert [(x.word, x.score, x.rank) for x in got] == [("abxy", 0.236932, 1), ("abce", 0.236932, 2), ("abdc", 0.2, 3)]
+
+
+def test_tokens_and_phrases_shuffle_no_texts(spark):
+    df = spark.createDataFrame([(1, "中国a人民")], "k int, t string")
+    for out in (lexicon.tokens(df, "k", "t", df.selectExpr("'人民' word")), lexicon.converted(df, "k", "t", df.selectExpr("'人民' word", "'x' to"))):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() in (1, 3)
