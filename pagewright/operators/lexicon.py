@@ -201,9 +201,15 @@ def candidates(wrong: DataFrame, words: DataFrame, homophones: DataFrame, fixes:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("wrong", "word", "score", "rank").union(fixed)
 
 
-def context_boost(rows: DataFrame, words: DataFrame, candidate: str = "candidate", before: str = "before", after: str = "after") -> DataFrame:
-    """Adds boost: 0.15 where the candidate makes a word of the lexicon with the character before it or after it."""
+def context_boost(rows: DataFrame, words: DataFrame, candidate: str = "candidate", before: str = "before", after: str = "after", most_listed: int = 1_000_000) -> DataFrame:
+    """Adds boost: 0.15 where the candidate makes a word of the lexicon with the character before it or after it.
+
+    A lexicon of up to ``most_listed`` words is sent to the tasks and no row is shuffled; to a larger one rows are dealt.
+    """
     lexicon = words.select("word").distinct()
+    held = _listed(lexicon, most_listed)
+    if held is not None:
+        lexicon = F.broadcast(rows.sparkSession.createDataFrame(held, "word string"))
     ahead = lexicon.select(F.col("word").alias("ahead"), F.lit(True).alias("is_ahead"))
     behind = lexicon.select(F.col("word").alias("behind"), F.lit(True).alias("is_behind"))
     joined = rows.withColumns(

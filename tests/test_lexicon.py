@@ -69,3 +69,17 @@ def test_tokens_and_phrases_shuffle_no_texts(spark):
     for out in (lexicon.tokens(df, "k", "t", df.selectExpr("'人民' word")), lexicon.converted(df, "k", "t", df.selectExpr("'人民' word", "'x' to"))):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
         assert out.count() in (1, 3)
+
+
+@pytest.mark.parametrize("most_listed", [1_000_000, 0])
+def test_boosted_rows_are_not_shuffled_to_a_small_lexicon(spark, most_listed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(1, "a", "b", "c"), (2, "", "b", ""), (3, "x", "b", "d"), (4, None, None, None)], "k int, before string, candidate string, after string")
+        words = spark.createDataFrame([("ab",), ("bd",), ("ab",), (None,)], "word string").repartition(3)
+        out = lexicon.context_boost(rows, words, most_listed=most_listed)
+        joins = out._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in joins) == (most_listed == 0)
+        assert sorted((x.k, x.boost) for x in out.collect()) == [(1, 0.15), (2, 0.0), (3, 0.15), (4, 0.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
