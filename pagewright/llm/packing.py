@@ -32,6 +32,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 TASK_BINS = 1 << 40
 #: Pieces that a task holds before it packs them.
 WINDOW = 200_000
+#: Rows of a batch of texts, and bytes of those that are encoded at a time.
+BATCH_ROWS = 1000
+SLICE = 2 << 20
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -78,8 +81,9 @@ def pack_documents(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from pagewright.llm.encoding import encoder, slices
+        from pagewright.llm.encoding import encoder, slices, trim
 
+        trim()
         encode = encoder(tokenizer).encode
         end = struct.pack("<I", end_id)
         number = TaskContext.get().partitionId() * TASK_BINS
@@ -99,7 +103,7 @@ def pack_documents(
 
         held: list[tuple] = []
         for given in batches:
-            for some in slices(given):
+            for some in slices(given, SLICE):
                 full = []
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     ids += end
@@ -122,7 +126,7 @@ def pack_documents(
             yield from map(batch, packed(held))
 
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialise(plain.mapInArrow(cut, PIECES), "pieces")
+    pieces = materialise(plain.mapInArrow(cut, PIECES), "pieces", BATCH_ROWS)
     loose = pieces.where("open")
     tasks = (loose.agg(F.max("sequence_id")).first()[0] or 0) // TASK_BINS + 1
     # Where each underfull sequence of a task has gone so far: its sequence by now, and its place in that.

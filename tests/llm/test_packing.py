@@ -77,3 +77,16 @@ def test_lengths_clustered_by_task(spark):
         assert len(got) == 3000
         _, _, fill = p.best_fit(sorted((x.length for x in got), reverse=True), 64)
         assert check(got, 64) <= most * len(fill), (carry, len(fill))
+
+
+def test_tasks_take_few_texts_at_a_time(spark, monkeypatch):
+    seen, plain = {}, p.materialise
+
+    def kept(df, name, *more):
+        seen[name] = more
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(p, "materialise", kept)
+    df = spark.createDataFrame([(i, "a text " * 9) for i in range(30)], "doc_id long, text string")
+    assert p.pack_documents(df, P.path("byte_bpe_50k.json")).count() == 30
+    assert seen["pieces"] and seen["pieces"][0] <= 1000 and p.SLICE <= 2 << 20
