@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -203,3 +204,23 @@ def test_words_that_share_a_hash(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(s, "_to_words", lambda salt: salts.append(salt) or once(salt, digest=same))
     check()
     assert salts == [0, 1]
+
+
+def test_rounds_hold_a_part_of_the_shuffles(spark, monkeypatch):
+    # What is shuffled at once is a round of the contexts, or of the rows, and what only the counts need is deleted.
+    docs = spark.createDataFrame([(i, i is not None and i % 5 == 0, t) for i, t in corpus()], "doc_id long, held_out boolean, text string").repartition(3)
+    key = lambda x: (x.doc_id is not None, x.doc_id or 0, x.n_tokens, x.n_known, round(x.base_score, 5), round(x.score, 5))
+    table, coded, tokens, kinds = s.fit_tables(docs)
+    want = sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=1e-3).collect()))
+    names, plain = [], s.materialise
+    monkeypatch.setattr(s, "materialise", lambda df, name, *a, **k: names.append(name) or plain(df, name, *a, **k))
+    monkeypatch.setattr(s, "BUCKET_TOKENS", 1000)
+    monkeypatch.setattr(s, "LOOKED_UP_TOKENS", 700)
+    monkeypatch.setattr(s, "ROUNDS", 3)
+    monkeypatch.setattr(s, "SLOT_BITS", 3)
+    table, coded, tokens, kinds = s.fit_tables(docs)
+    assert names.count("found") > 3 and not os.path.exists(coded._work_path.removeprefix("file:") + "/met=true")
+    assert sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=1e-3).collect())) == want
+    assert names.count("scored") == 3 and "placed" not in names
+    turns = s.turn_of(np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 30_000), 3)
+    assert (abs(np.bincount(turns, minlength=3) - 10_000) < 500).all() and len(np.bincount(turns)) == 3
