@@ -224,3 +224,24 @@ def test_rounds_hold_a_part_of_the_shuffles(spark, monkeypatch):
     assert names.count("scored") == 3 and "placed" not in names
     turns = s.turn_of(np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 30_000), 3)
     assert (abs(np.bincount(turns, minlength=3) - 10_000) < 500).all() and len(np.bincount(turns)) == 3
+
+
+def test_a_round_of_scoring_shuffles_a_quarter_of_the_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, i is not None and i % 5 == 0, t) for i, t in corpus()], "doc_id long, held_out boolean, text string").repartition(3)
+    key = lambda x: (x.doc_id is not None, x.doc_id or 0, x.n_tokens, x.n_known, round(x.base_score, 5), round(x.score, 5))
+    table, coded, tokens, kinds = s.fit_tables(docs)
+    want = sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=1e-3).collect()))
+    rows, plain = {}, s.materialise
+
+    def noted(df, name, *a, **k):
+        out = plain(df, name, *a, **k)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(s, "materialise", noted)
+    monkeypatch.setattr(s, "BUCKET_TOKENS", 1000)
+    monkeypatch.setattr(s, "LOOKED_UP_TOKENS", 700)
+    table, coded, tokens, kinds = s.fit_tables(docs)
+    assert sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=1e-3).collect())) == want
+    # Each round holds its part of all rows on disk; counting, which takes all words in every round, has no more rounds for it.
+    assert sum(rows["scored"]) == len(want) and max(rows["scored"]) < 0.27 * len(want) and len(rows["found"]) <= 6
