@@ -245,3 +245,24 @@ def test_a_round_of_scoring_shuffles_a_quarter_of_the_rows(spark, monkeypatch):
     assert sorted(map(key, s.score_tables(coded, table, tokens, kinds, common_share=1e-3).collect())) == want
     # Each round holds its part of all rows on disk; counting, which takes all words in every round, has no more rounds for it.
     assert sum(rows["scored"]) == len(want) and max(rows["scored"]) < 0.27 * len(want) and len(rows["found"]) <= 6
+
+
+def test_texts_come_in_batches_of_a_few_megabytes(spark, monkeypatch):
+    # 5,000 rows in one task: a batch of all of them would be held beside what is made of it.
+    docs = spark.range(5000).selectExpr("id as doc_id", "false as held_out", "concat('the house ', id) as text").coalesce(1)
+    plain = s._to_words
+
+    def guarded(salt):
+        to_words = plain(salt)
+
+        def watch(batches):
+            for batch in batches:
+                assert batch.num_rows <= 2000, batch.num_rows
+                yield batch
+
+        return lambda batches: to_words(watch(batches))
+
+    monkeypatch.setattr(s, "_to_words", guarded)
+    coded, counts, tokens, kinds = s._coded(docs)
+    assert (coded.count(), tokens, kinds) == (5000, 20_000, 5003)
+    assert coded.select("row").distinct().count() == 5000
